@@ -52,12 +52,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _encoding(path: str, pattern: str):
-    if path not in _loaded:
+def rank_encoder(path: str, pattern: str):
+    """Encodes pre-tokens of the tiktoken library's kind, each by itself."""
+
+    def load():
         import tiktoken
 
-        _loaded[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return _loaded[path]
+        one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})._encode_single_piece
+        return lambda words: [one(w) for w in words]
+
+    return path, load
+
+
+def tokenizer_encoder(path: str):
+    """Encodes chunks by the tokenizers library, without special tokens."""
+
+    def load():
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return lambda words: [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+
+    return path, load
 
 
 def pack(values: list[bytes]) -> bytes:
@@ -72,15 +92,18 @@ def unpack(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]  # noqa: B905
 
 
-def split_blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Packed rows of docs (doc_id, text): for each block its words by bucket, and with bucket -1 its sequence."""
+def split_blocks(docs: DataFrame, pattern: str | None, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Packed rows of docs (doc_id, text): for each block its words by bucket, and with bucket -1 its sequence.
+
+    Without a pattern the chunks themselves are the words.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         import xxhash
         from pyspark import TaskContext
 
-        find, block, schema = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32, pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("ends", pa.binary())])
+        find, block, schema = regex.compile(pattern).findall if pattern else lambda chunk: [chunk] if chunk else [], TaskContext.get().partitionId() << 32, pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("ends", pa.binary())])
         words: dict[str, int] = {}
         memo: dict[str, tuple[int, ...]] = {}
         ids, ends, parts = [], [], []
@@ -122,20 +145,23 @@ def split_blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(split, PACKED)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and ids (array of int) of docs (doc_id, text); every pre-token is encoded by itself, without special tokens."""
+def encode(docs: DataFrame, encoder: tuple, pattern: str | None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id and ids (array of int) of docs (doc_id, text); encoder: of rank_encoder or tokenizer_encoder."""
     buckets = min(partitions(docs.sparkSession), BUCKETS)
     packed = materialise(split_blocks(docs, pattern, buckets, block_bytes), "words")
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, known = _encoding(ranks, pattern)._encode_single_piece, {}
+        name, load = encoder
+        if name not in _loaded:
+            _loaded[name] = load()
+        many, known = _loaded[name], {}
         for b in batches:
             out = []
             for data in b.column("data").to_pylist():
                 words = unpack(data)
-                for w in words:
-                    if w not in known:
-                        known[w] = np.array(one(w), "<u4").tobytes()
+                new = [w for w in words if w not in known]
+                for w, ids in zip(new, many(new), strict=True):
+                    known[w] = np.array(ids, "<u4").tobytes()
                 out.append(pack([known[w] for w in words]))
             none = pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(out, pa.binary()), none, none], ["block", "bucket", "data", "docs", "ends"])
@@ -186,7 +212,7 @@ def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    both = decode(encode(docs, rank_encoder(ranks, public_tokenizers.PATTERN), public_tokenizers.PATTERN), ranks)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

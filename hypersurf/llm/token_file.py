@@ -9,8 +9,8 @@ File: magic, then segments of SEGMENT ids (the last one shorter), then the foote
 level the chunks, the bitmap and the directory.  Footer (JSON line, then int64 arrays): places of the levels, the number
 of ids, and of every document its id, first token and token count.
 
-Scale: documents are range partitioned by id; each task writes one file of its own in segments, so memory holds a slice
-of texts and a segment of ids.  The driver gets one manifest row a file.  Files are moved into place when complete and
+Scale: each distinct chunk of the corpus is encoded once (see pieces.py); documents of ids are range partitioned by id, and each task
+writes one file of its own in segments, so memory holds a batch of ids and a segment.  The driver gets one manifest row a file.  Files are moved into place when complete and
 hold the same bytes if a lost task runs again.
 
 Cases: null text is empty (only the end id); null ids come first; repeated rows stay repeated, in any order; an empty table gives no
@@ -26,16 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .pieces import chunks
-from .work import open_fs, partitions, publish, slices, table, work_dir
+from .pieces import encode, tokenizer_encoder
+from .work import materialise, open_fs, partitions, publish, table, work_dir
 
 MAGIC, SEGMENT, STRIDE = b"DACIDS1\n", 1 << 20, 512
-_memo: dict = {}
-#: Chunks of text whose ids a worker keeps between batches.
-MEMO_ENTRIES = 300_000
 
 
 def split_levels(ids: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
@@ -143,49 +140,23 @@ class TokenFile:
             yield doc_id, start, got[0] if len(got) == 1 else np.concatenate([*got, np.zeros(0, np.uint32)])
 
 
-def encode_by_chunk(tokenizer, texts: list[str], memo: dict) -> Iterator[np.ndarray]:
-    """Ids of each text, each distinct chunk encoded once.
-
-    A byte-level pre-tokenizer always begins a new piece at a space before a character that is no white space, so
-    the text may be cut there; a chunk's ids then don't depend on what surrounds it.
-    """
-    for text in texts:
-        parts = chunks(text)
-        if new := [c for c in dict.fromkeys(parts) if c not in memo]:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-                new = list(dict.fromkeys(parts))
-            for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, np.uint32).tobytes()
-        yield np.frombuffer(b"".join([memo[c] for c in parts]), np.uint32)
-
-
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> list[tuple[str, int, int]]:
-    """Writes documents in id order into files below folder; (path, first token, tokens) of each file, in order."""
-    spark = docs.sparkSession
+def write_token_files(tokens: DataFrame, folder: str, end_id: int = 0, segment: int = SEGMENT) -> list[tuple[str, int, int]]:
+    """Writes tokens (doc_id, ids) in id order, each document with an end id, into files below folder; (path, first token, tokens) of each file, in order."""
+    spark = tokens.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        if vocabulary not in _memo:
-            t = Tokenizer.from_file(vocabulary)
-            t.encode_special_tokens = True
-            _memo[vocabulary] = t, {}
-        tokenizer, memo = _memo[vocabulary]
         counts = [0, 0]
         end = np.array([end_id], np.uint32)
 
         def put(out) -> None:
             writer = TokenFileWriter(out, segment)
-            for batch in batches:
-                for b in slices(batch, "text"):
-                    for doc_id, ids in zip(b.column(0).to_pylist(), encode_by_chunk(tokenizer, b.column("text").to_pylist(), memo), strict=True):
-                        writer.add(-(1 << 63) if doc_id is None else doc_id, np.append(ids, end))
+            for b in batches:
+                lists = b.column("ids")
+                flat, ends = lists.flatten().to_numpy().astype(np.uint32), np.cumsum(pc.list_value_length(lists).to_numpy())
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), np.split(flat, ends[:-1]), strict=True):
+                    writer.add(-(1 << 63) if doc_id is None else doc_id, np.append(ids, end))
             writer.close()
             counts[:] = writer.n, len(writer.docs)
 
@@ -193,8 +164,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         path = publish(folder, f"ids-{part:06d}.dac", put)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array(counts[:1]), pa.array(counts[1:])], ["part", "path", "n", "docs"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(write, "part int, path string, n long, docs long").collect()
+    ranged = tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    made = ranged.mapInArrow(write, "part int, path string, n long, docs long").collect()
     out, start = [], 0
     for r in sorted(made):
         if r["docs"]:
@@ -225,5 +196,7 @@ def read_token_files(spark: SparkSession, files: list[tuple[str, int, int]]) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), work_dir(spark, "token-files"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = materialise(encode(docs, tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json")), None), "tokens")
+    files = write_token_files(tokens, work_dir(spark, "token-files"))
     return read_token_files(spark, files)

@@ -1 +1,115 @@
-QUERIES, ORACLES = {}, {}
+"""Registered queries over the driver's tables; plans/oracles.py says the same in SQL.
+
+Complexes are made of line items: order o holds square l_partkey mod the number of squares of the cube.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codecs
+from ..operators import cells, dedup, symmetry, topology
+from . import profile
+from .enumerate import Options, enumerate_surfaces
+from .oracles import ORACLES
+
+#: Cube of the queries on complexes.
+N = 4
+
+
+def complexes(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return items.select(F.col("l_orderkey").cast("long").alias("cid"), (F.col("l_partkey") % cells.sizes(n)[2]).cast("int").alias("sq")).distinct()
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key = F.col("l_orderkey").cast("long")
+    return items.select((F.col("l_partkey") % 1000).cast("long").alias("label"), (key * 1024 + F.col("l_linenumber")).alias("id"), (key * 31 + F.col("l_linenumber") * 7).alias("cplx"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run log in which every event is a line; a run is 500 of them."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("long").alias("e"), (F.col("user_id") % 48).cast("string").alias("level"))
+    value = lambda name, mod: F.concat(F.lit(f" {name}="), (F.col("e") % mod).cast("string"))
+    level = F.concat(F.lit(" level="), F.col("level"))
+    text = (
+        F.when(F.expr("e % 500 = 0"), F.concat(F.lit("run_start run_label=r"), F.expr("cast(e div 500 % 3 as string)"), F.lit(" n=5 dbprefix= chunksize=1000 backend_bits=128")))
+        .when(F.expr("e % 500 = 499"), F.lit("run_end"))
+        .when(F.expr("e % 10 between 1 and 6"), F.concat(F.lit("chunk"), level, F.lit(" chunk=1/1"), value("read_ms", 17), value("analyze_ms", 101), value("reduce_ms", 13), value("proc_ms", 131), value("generated", 1009), value("labeled_ins", 503), value("good_ins", 7)))
+        .when(F.expr("e % 10 = 7"), F.concat(F.lit("commit"), level, value("commit_ms", 19), F.lit(" chunks_in_tx=16")))
+        .when(F.expr("e % 10 = 8"), F.concat(F.lit("prune"), level, value("prune_global_coverage", 23), value("prune_edge_neighborhood", 29)))
+        .when(F.expr("e % 10 = 9"), F.concat(F.lit("canon"), level, value("canon_calls", 37)))
+        .otherwise(F.lit("some other line"))
+    )
+    return e.select(F.col("e").alias("line_no"), F.concat(F.lit("2024-01-01 00:00:00 "), text).alias("value"))
+
+
+def _surfaces(spark: SparkSession, n: int, mode: str) -> DataFrame:
+    goods, _ = enumerate_surfaces(spark, Options(n, mode))
+    mask = F.conv(F.hex("label"), 16, 10).cast("long")
+    return goods.select(F.col("squares").cast("int").alias("squares"), symmetry.canonical_label(mask, n).alias("label"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symmetry.masks(complexes(spark, sf_dir)).select("cid", symmetry.canonical_label(F.col("mask"), N).alias("label"))
+
+
+def _good_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = symmetry.masks(complexes(spark, sf_dir))
+    held = m.where("cid % 2 = 0").select("mask").distinct()
+    return dedup.insert_if_absent(m.where("cid % 2 = 1").groupBy("mask").agg(F.min("cid").alias("cid")), held, "mask")
+
+
+def _on(f, n: int = N):
+    return lambda spark, sf_dir: f(complexes(spark, sf_dir, n), n)
+
+
+QUERIES = {
+    "cells": lambda s, d: cells.cells(s, N).select("dim", "idx", "code"),
+    "square_edges": lambda s, d: cells.square_edges(s, N),
+    "square_vertices": lambda s, d: cells.square_vertices(s, N),
+    "edge_squares": lambda s, d: cells.edge_squares(s, N),
+    "vertex_neighbors": lambda s, d: cells.vertex_neighbors(s, N),
+    "link_cycles": lambda s, d: cells.link_cycles(s, N),
+    "group_action": lambda s, d: cells.group_action(s, N).groupBy("sq", "sq_image").agg(F.count("*").alias("symmetries")),
+    "keyset_page": lambda s, d: dedup.page(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").alias("cplx")), "id", 1000, 500),
+    "merge_shards": lambda s, d: dedup.merge_shards([complexes(s, d).where(dedup.shard_of("cid", 4) == k).groupBy("cid").agg(F.count("*").alias("squares")) for k in range(4)], "cid"),
+    "complex_mask": lambda s, d: symmetry.masks(complexes(s, d)),
+    "mask_explode": lambda s, d: symmetry.squares_of(symmetry.masks(complexes(s, d)), N),
+    "popcount": lambda s, d: symmetry.masks(complexes(s, d)).select("cid", F.bit_count("mask").alias("squares")),
+    "edge_test": _on(topology.edge_test, 3),
+    "edge_test_n4": _on(topology.edge_test),
+    "free_edges": _on(topology.free_edges),
+    "saturated_edges": _on(topology.saturated_edges),
+    "coverage_histogram": _on(topology.coverage_histogram),
+    "coverage_prune": lambda s, d: topology.coverage_prune(complexes(s, d), N, 8),
+    "lookahead_depth1": _on(topology.lookahead),
+    "vertex_codes": _on(topology.vertex_codes),
+    "link_class": _on(topology.link_class),
+    "priority_edges": _on(topology.priority_edges),
+    "extend_closed": _on(topology.extend_closed),
+    "extend_any": _on(topology.extend_any),
+    "extend_boundary": _on(topology.extend_boundary),
+    "extend_disconnected": _on(topology.extend_disconnected, 3),
+    "keep_rules": _on(topology.keep_rules, 3),
+    "vertex_signature": _on(topology.vertex_signatures),
+    "neighbor_ranks": lambda s, d: symmetry.neighbor_ranks(topology.vertex_signatures(complexes(s, d), N), N),
+    "canonical_label": _labels,
+    "orbit_sizes": lambda s, d: symmetry.orbit_sizes(symmetry.masks(complexes(s, d)), N),
+    "keep_first": lambda s, d: dedup.keep_first(candidates(s, d), "label", "id"),
+    "keep_first_self": lambda s, d: candidates(s, d).groupBy("cplx").agg(F.min("id").alias("id")),
+    "insert_if_absent": _good_insert,
+    "shard_counts": lambda s, d: complexes(s, d).select("cid").distinct().groupBy(dedup.shard_of("cid", 16).alias("shard")).agg(F.count("*").alias("rows")),
+    "good_count": lambda s, d: symmetry.masks(complexes(s, d, 3)).where("mask = 63").agg(F.count("*").alias("goods")),
+    "combinadic_rank": lambda s, d: codecs.combinadic_rank(complexes(s, d)),
+    "enumerate_closed_n3": lambda s, d: _surfaces(s, 3, ""),
+    "enumerate_closed_n4": lambda s, d: _surfaces(s, 4, ""),
+    "enumerate_disconnected_n4": lambda s, d: _surfaces(s, 4, "d"),
+    "enumerate_boundary_n3": lambda s, d: _surfaces(s, 3, "b"),
+    "log_runs": lambda s, d: profile.runs(log_lines(s, d)),
+    "log_levels": lambda s, d: profile.levels(log_lines(s, d)),
+    "log_compare": lambda s, d: profile.compare(log_lines(s, d), 1, 2),
+    "pct_delta": lambda s, d: profile.compare(log_lines(s, d), 1, 2, 0).select("level", "delta"),
+}

@@ -215,9 +215,16 @@ def digests(docs: DataFrame) -> DataFrame:
     both = decode(encode(docs, rank_encoder(ranks, public_tokenizers.PATTERN), public_tokenizers.PATTERN), ranks)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(b.column("ids")).cast(pa.int64()), pa.array(ids, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in b.column("decoded").to_pylist()], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                b = batch.slice(start, 256)
+                sizes = pc.list_value_length(b.column("ids")).to_numpy()
+                flat = b.column("ids").flatten()
+                names = pa.array(np.arange((pc.max(flat).as_py() or 0) + 1)).cast(pa.string()).take(flat)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), names)
+                ids = [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(lists, ",")]
+                texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column("decoded")]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return both.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

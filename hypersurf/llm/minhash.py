@@ -9,11 +9,12 @@ similarity of their shingle sets (THRESHOLD or more).
 
 Scale: equal texts are one node, so copies cost one row each.  Bands are shuffled as pairs of longs.  A bucket never
 emits all its pairs: its members are compared with one pivot, a few rounds of pivots follow for the members that
-are still in other components, and only between components that are left in a bucket are pairs formed, so
-that no link is lost.  Components are found by star contraction in shared storage.  Texts are shuffled once, for documents
+are still in other components.  What is left is dealt anew by its rarest shingles
+(see rare_shingles), and only there pairs of different components are formed, so that no link is lost.
+Components are found by star contraction in shared storage.  Texts are shuffled once, for documents
 with candidates.
 
-Misses: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^24 = 0.999997.
+Misses: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^6)^32 = 0.99994.
 
 Cases: null and empty texts are classes of their own; texts without words are joined with equal texts only; a null id has
 a null class; equal ids are one document; other columns are ignored.
@@ -32,9 +33,9 @@ from .components import components
 from .words import gram_hashes, mixed, split_words, word_hashes
 from .work import materialise, slices, table
 
-SHINGLE, THRESHOLD, REGISTERS, ROWS, PIVOTS = 5, 0.8, 96, 4, 3
-#: An estimate this far below the threshold is six standard errors off: sqrt(0.8 * 0.2 / 96) = 0.041.
-MARGIN = 0.25
+SHINGLE, THRESHOLD, REGISTERS, ROWS, PIVOTS = 5, 0.8, 192, 6, 2
+#: An estimate this far below the threshold is over four standard errors off: sqrt(0.8 * 0.2 / 192) = 0.029.
+MARGIN = 0.12
 
 
 def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +76,7 @@ def prob_minhash(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def sketch(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
-    """doc_id, digest (of the text; null for an empty one), bands (array of long) and registers (binary, 4 bytes each)."""
+    """doc_id, digest (of the text; null for an empty one), bands (array of long) and registers (binary, a byte each)."""
     names = ["doc_id", "digest", "bands", "registers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def sketch(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS, n: int
                 full = np.bincount(doc, minlength=b.num_rows) > 0
                 bands = [gram_hashes(won[:, k : k + rows].T.reshape(rows, -1).T.ravel(), rows)[::rows] + np.uint64(k) for k in range(0, registers, rows)]
                 bands = mixed(np.stack(bands, 1)).view(np.int64)
-                kept = won.astype(np.uint32)
+                kept = mixed(won).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([x if f else [] for x, f in zip(bands.tolist(), full, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in kept], pa.binary())], names)
 
     rows_in = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.length("text") > 0, F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
@@ -96,23 +97,57 @@ def sketch(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS, n: int
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
     """Of pairs (a, b) of ids of texts (doc_id, text, registers) those with Jaccard similarity of at least threshold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("ra", "rb"))
+                yield b.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= threshold - MARGIN))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [float(np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32))) for x, y in zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist(), strict=True)]
-            batch = batch.filter(pa.array([s >= threshold - MARGIN for s in same], pa.bool_()))
             for b in slices(batch, "ta"):
                 sides = []
                 for c in ("ta", "tb"):
                     doc, value, _ = shingles(b.column(c), n)
-                    sides.append(np.split(value, np.searchsorted(doc, np.arange(1, b.num_rows))) if b.num_rows else [])
+                    sides.append(np.split(value, np.searchsorted(doc, np.arange(1, b.num_rows))))
                 good = []
                 for x, y in zip(*sides, strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(both >= threshold * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"), F.col("registers").alias(f"r{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "ra", "rb").mapInArrow(run, "a long, b long")
+    def both(pairs: DataFrame, column: str) -> DataFrame:
+        a, b = (texts.select(F.col("doc_id").alias(k), F.col(column).alias(f"{column[0]}{k}")) for k in "ab")
+        return pairs.join(a, "a").join(b, "b")
+
+    near = materialise(both(pairs, "registers").select("a", "b", "ra", "rb").mapInArrow(estimate, "a long, b long"), "estimated")
+    return both(near, "text").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
+
+
+def rare_shingles(nodes: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
+    """key, node, root, size: of each of nodes (node, root) so many of its rarest shingles that similar sets share one of them.
+
+    Sets of similarity t share all but (1 - t) of either's shingles, so one of the first (1 - t) * size + 1 of either in
+    any common order; in order of rarity these are hardly ever of a passage that many documents share.  Only shingles
+    with nodes of different roots are returned.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                doc, value, _ = shingles(b.column("text"), n)
+                yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(doc)), b.column("root").take(pa.array(doc)), pa.array(value.view(np.int64))], ["node", "root", "key"])
+
+    of = texts.select(F.col("doc_id").alias("node"), "text").join(nodes, "node").select("node", "root", "text")
+    each = materialise(of.mapInArrow(explode, "node long, root long, key long"), "shingles")
+    ranked = each.join(each.groupBy("key").agg(F.count("*").alias("df")), "key").where("df > 1")
+    sizes = each.groupBy("node").agg(F.count("*").alias("size"))
+    rare = ranked.groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held")).join(sizes, "node")
+    # Shingles of one document only are the rarest of all and take the first places, though they link nothing.
+    rest = F.floor((1 - threshold) * F.col("size") + 1e-9) + 1 - (F.col("size") - F.size("held"))
+    rare = rare.where(rest > 0).select("node", "root", "size", F.explode(F.slice("held", F.lit(1), rest.cast("int"))).alias("x")).select("node", "root", "size", F.col("x.key").alias("key"))
+    shared = rare.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
+    return rare.join(shared, "key").select("key", "node", "root", "size")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
@@ -137,13 +172,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
             mixed_keys = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
             at = materialise(at.join(mixed_keys, "key").select("key", "node", "root"), "mixed-buckets")
         if turn < PIVOTS:
-            pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")) if turn else F.min(F.struct("node", "root"))
+            # First whoever shares most buckets with others: the original of a family of copies, if it is there.
+            if turn == 0:
+                sizes = at.groupBy("key").agg(F.count("*").alias("size"))
+                weight = at.join(sizes, "key").groupBy("node").agg((-F.sum("size")).alias("h"))
+                at = materialise(at.join(weight, "node"), "weighed")
+            else:
+                at = at.withColumn("h", F.xxhash64("node", F.lit(turn)))
+            pivot = F.min(F.struct("h", "node", "root"))
             pivots = at.groupBy("key").agg(pivot.alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("proot"))
             pairs = at.join(pivots, "key").where("root <> proot")
             pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         else:
-            one, two = at.select("key", F.col("node").alias("a"), F.col("root").alias("x")), at.select("key", F.col("node").alias("b"), F.col("root").alias("y"))
-            pairs = one.join(two, "key").where("a < b and x <> y").select("a", "b")
+            at = materialise(rare_shingles(at.select("node", "root").distinct(), texts, threshold, n), "rare-shingles")
+            one, two = (at.select("key", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("size").alias(f"s{k}")) for k in "ab")
+            pairs = one.join(two, "key").where("a < b and ra <> rb").where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb")).select("a", "b")
         pairs = materialise(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             break

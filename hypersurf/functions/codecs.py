@@ -75,15 +75,12 @@ def to_adaptive(value: int, n2: int) -> bytes:
 
 
 def decode(data: bytes, n2: int) -> int:
-    """Any tagged form; without a known tag, the fixed form."""
-    size = max(1, -(-n2 // 8))
-    if data[0] == RAW and len(data) == size + 1:
+    """Any tagged form; a first byte that is no tag means the fixed form (one that may begin with a tag is read by from_fixed)."""
+    if data[0] == RAW:
         return from_fixed(data[1:])
-    if data[0] == SPARSE and len(data) != size:
+    if data[0] == SPARSE:
         return from_sparse(data, n2)
-    if data[0] == COMBINADIC and len(data) == 4 + data[3] and len(data) != size:
-        return from_combinadic(data)
-    return from_fixed(data)
+    return from_combinadic(data) if data[0] == COMBINADIC else from_fixed(data)
 
 
 def split_limbs(value: int, bits: int, limbs: int) -> list[int]:

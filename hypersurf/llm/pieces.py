@@ -75,7 +75,28 @@ def tokenizer_encoder(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        return lambda words: [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        vocabulary = tokenizer.get_vocab()
+        lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            lengths[i] = len(token)  # the byte-level alphabet has one character for each byte
+
+        def many(words: list[bytes]) -> list:
+            # Chunks that begin with a space and a letter are encoded in one string, as a call of the library is costly;
+            # their ids are told apart by the bytes that each token stands for.
+            out: list = [None] * len(words)
+            joined = [i for i, w in enumerate(words) if w[:1] == b" " and w[1:2].isalpha()]
+            alone = sorted(set(range(len(words))) - set(joined))
+            for i, e in zip(alone, tokenizer.encode_batch_fast([words[i].decode("utf-8") for i in alone], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+            runs = [joined[k : k + 500] for k in range(0, len(joined), 500)]
+            for run, e in zip(runs, tokenizer.encode_batch_fast([b"".join(words[i] for i in run).decode("utf-8") for run in runs], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int64)
+                cuts = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(words[i]) for i in run]))
+                for i, part in zip(run, np.split(ids, cuts[:-1] + 1), strict=True):
+                    out[i] = part
+            return out
+
+        return many
 
     return path, load
 

@@ -61,9 +61,6 @@ class Corpus:
         order = np.argsort(np.concatenate(owners), kind="stable")
         self.gram, self.gram_word = np.concatenate(grams)[order], np.concatenate(owners)[order]
 
-    def doc_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
-
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(words of each window with self.n as filler, its text)."""
         sizes = np.diff(self.ends, prepend=0)
@@ -97,15 +94,22 @@ class Corpus:
 
 def log_odds(corpus: Corpus, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shrunken log odds, between toxic and other documents, that a document holds a word slot or a character slot."""
-    pairs = np.unique(corpus.doc_of() * np.int64(corpus.n + 1) + corpus.flat)
-    doc, word = pairs // (corpus.n + 1), pairs % (corpus.n + 1)
+    counts = np.zeros((2, 2, SLOTS))  # (word or character slots, toxic or not, slot)
     starts = np.searchsorted(corpus.gram_word, np.arange(corpus.n + 1))
-    sizes = np.diff(starts)[word]
-    at = np.repeat(starts[word] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    gram_pairs = np.unique(np.repeat(doc, sizes) * np.int64(SLOTS) + corpus.gram[at])
+    for first in range(0, len(corpus.ends), 100):  # documents' n-grams are many times their words
+        low, high = corpus.ends[first - 1] if first else 0, corpus.ends[min(first + 100, len(corpus.ends)) - 1]
+        owner = np.searchsorted(corpus.ends, np.arange(low, high), side="right")
+        pairs = np.unique(owner * np.int64(corpus.n + 1) + corpus.flat[low:high])
+        doc, word = pairs // (corpus.n + 1), pairs % (corpus.n + 1)
+        sizes = np.diff(starts)[word]
+        at = np.repeat(starts[word] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        word_pairs = np.unique(doc * np.int64(SLOTS) + corpus.word[word])
+        gram_pairs = np.unique(np.repeat(doc, sizes) * np.int64(SLOTS) + corpus.gram[at])
+        for kind, both in enumerate((word_pairs, gram_pairs)):
+            for bad in (0, 1):
+                counts[kind, bad] += np.bincount(both[toxic[both // SLOTS] == bad] % SLOTS, minlength=SLOTS)
     out = []
-    for d, slot in ((doc, corpus.word[word]), (gram_pairs // SLOTS, gram_pairs % SLOTS)):
-        bad, good = (np.bincount(slot[toxic[d] == k], minlength=SLOTS) for k in (1, 0))
+    for good, bad in counts:
         odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((1 - toxic).sum() + 1))
         out.append((odds * (bad + good) / (bad + good + 4)).astype(np.float32))
     return out[0], out[1]

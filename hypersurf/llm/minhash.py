@@ -125,11 +125,12 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n:
 
 
 def rare_shingles(nodes: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
-    """key, node, root, size: of each of nodes (node, root) so many of its rarest shingles that similar sets share one of them.
+    """key, node, root, size, left: of each of nodes (node, root) so many of its rarest shingles that similar sets share one of them.
 
     Sets of similarity t share all but (1 - t) of either's shingles, so one of the first (1 - t) * size + 1 of either in
     any common order; in order of rarity these are hardly ever of a passage that many documents share.  Only shingles
-    with nodes of different roots are returned.
+    with nodes of different roots are returned.  left counts the node's shingles from this one on: the first shared
+    shingle of two sets bounds what they share by the smaller left of the two.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +146,9 @@ def rare_shingles(nodes: DataFrame, texts: DataFrame, threshold: float, n: int)
     rare = ranked.groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held")).join(sizes, "node")
     # Shingles of one document only are the rarest of all and take the first places, though they link nothing.
     rest = F.floor((1 - threshold) * F.col("size") + 1e-9) + 1 - (F.col("size") - F.size("held"))
-    rare = rare.where(rest > 0).select("node", "root", "size", F.explode(F.slice("held", F.lit(1), rest.cast("int"))).alias("x")).select("node", "root", "size", F.col("x.key").alias("key"))
+    rare = rare.where(rest > 0).select("node", "root", "size", F.size("held").alias("n_held"), F.posexplode(F.slice("held", F.lit(1), rest.cast("int"))).alias("at", "x")).select("node", "root", "size", (F.col("n_held") - F.col("at")).alias("left"), F.col("x.key").alias("key"))
     shared = rare.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-    return rare.join(shared, "key").select("key", "node", "root", "size")
+    return rare.join(shared, "key").select("key", "node", "root", "size", "left")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
@@ -185,8 +186,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
             pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         else:
             at = materialise(rare_shingles(at.select("node", "root").distinct(), texts, threshold, n), "rare-shingles")
-            one, two = (at.select("key", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("size").alias(f"s{k}")) for k in "ab")
-            pairs = one.join(two, "key").where("a < b and ra <> rb").where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb")).select("a", "b")
+            one, two = (at.select("key", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("size").alias(f"s{k}"), F.col("left").alias(f"l{k}")) for k in "ab")
+            # Similarity t needs t / (1 + t) of both sizes together in common; of a link at least the first shared shingle has as much left.
+            enough = F.least("la", "lb") * (1 + threshold) + 1e-6 >= threshold * (F.col("sa") + F.col("sb"))
+            pairs = one.join(two, "key").where("a < b and ra <> rb").where(enough).select("a", "b")
         pairs = materialise(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             break

@@ -194,6 +194,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
         if pairs.isEmpty():
             break
         new = materialise(verify(pairs, texts, threshold, n), "links")
+        if new.isEmpty():
+            continue
         links = new if links is None else links.unionByName(new)
         roots = materialise(components(links), "roots")
     if roots is None:

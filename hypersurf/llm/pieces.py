@@ -31,6 +31,7 @@ from .work import materialise, partitions, slices, table
 BLOCK_BYTES, BUCKETS = 16 << 20, 4096
 PACKED = "block long, bucket int, data binary, docs binary, ends binary"
 _loaded: dict = {}
+_known: dict = {}
 
 
 def chunks(text: str) -> list[str]:
@@ -47,6 +48,31 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def chunk_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(index into the distinct chunks of each chunk, ends of the texts in that, distinct chunks), cut as by chunks()."""
+    lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    coded = lists.flatten().dictionary_encode()
+    codes, parts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    n, first = len(parts), np.zeros(len(codes), bool)
+    first[offsets[:-1]] = True
+    goes_on = np.fromiter((not p or p[0].isspace() for p in parts), bool, n)[codes] & ~first
+    starts = np.flatnonzero(~goes_on)
+    sizes = np.diff(starts, append=len(codes))
+    # Below n: a space and the part; below 2n: the part that begins a text; above: several parts.
+    value, longer = codes[starts] + n * first[starts], {}
+    for i in np.flatnonzero(sizes > 1).tolist():
+        at = starts[i]
+        whole = " " * (not first[at]) + " ".join([parts[c] for c in codes[at : at + sizes[i]]])
+        value[i] = 2 * n + longer.setdefault(whole, len(longer))
+    used = np.flatnonzero(np.bincount(value, minlength=1))
+    place = np.zeros(2 * n + len(longer) + 1, np.int64)
+    place[used] = np.arange(len(used))
+    names = list(longer)
+    words = [(f" {parts[v]}" if v < n else parts[v - n] if v < 2 * n else names[v - 2 * n]).encode() for v in used.tolist()]
+    return place[value], np.cumsum(~goes_on)[offsets[1:] - 1], words
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -205,6 +231,36 @@ def encode(docs: DataFrame, encoder: tuple, pattern: str | None, block_bytes: in
     return packed.where("bucket < 0").unionByName(encoded).groupBy("block").applyInArrow(reassemble, "doc_id long, ids array<int>")
 
 
+def encode_in_place(docs: DataFrame, encoder: tuple, most_known: int = 400_000) -> DataFrame:
+    """doc_id and ids (array of int) of docs (doc_id, text), without a shuffle: each slice's distinct chunks are encoded once.
+
+    A worker remembers the ids of chunks; beyond most_known it starts anew, which changes its speed only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, load = encoder
+        if name not in _loaded:
+            _loaded[name] = load()
+        many, known = _loaded[name], _known.setdefault(name, {})
+        for batch in batches:
+            for b in slices(batch, "text"):
+                codes, ends, words = chunk_codes(b.column("text"))
+                if len(known) > most_known:
+                    known.clear()
+                new = [w for w in words if w not in known]
+                for w, ids in zip(new, many(new), strict=True):
+                    known[w] = np.array(ids, "<u4").tobytes()
+                encoded = [known[w] for w in words]
+                sizes = np.fromiter((len(w) // 4 for w in encoded), np.int64, len(encoded))
+                starts, each = np.cumsum(sizes) - sizes, sizes[codes]
+                after = np.cumsum(each)
+                flat = np.frombuffer(b"".join(encoded), "<u4")[np.repeat(starts[codes] - after + each, each) + np.arange(each.sum())]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], after[ends - 1]]), pa.int32()), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def decode(tokens: DataFrame, ranks: str) -> DataFrame:
     """tokens (doc_id, ids) with `decoded`, the bytes of the ids in order, joined from the token-byte table."""
 

@@ -9,7 +9,7 @@ File: magic, then segments of SEGMENT ids (the last one shorter), then the foote
 level the chunks, the bitmap and the directory.  Footer (JSON line, then int64 arrays): places of the levels, the number
 of ids, and of every document its id, first token and token count.
 
-Scale: each distinct chunk of the corpus is encoded once (see pieces.py); documents of ids are range partitioned by id, and each task
+Scale: distinct chunks of a slice are encoded once, without a shuffle (see pieces.py); documents of ids are range partitioned by id, and each task
 writes one file of its own in segments, so memory holds a batch of ids and a segment.  The driver gets one manifest row a file.  Files are moved into place when complete and
 hold the same bytes if a lost task runs again.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .pieces import encode, tokenizer_encoder
+from .pieces import encode_in_place, tokenizer_encoder
 from .work import materialise, open_fs, partitions, publish, table, work_dir
 
 MAGIC, SEGMENT, STRIDE = b"DACIDS1\n", 1 << 20, 512
@@ -197,6 +197,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = materialise(encode(docs, tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json")), None), "tokens")
+    tokens = materialise(encode_in_place(docs, tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json"))), "tokens")
     files = write_token_files(tokens, work_dir(spark, "token-files"))
     return read_token_files(spark, files)

@@ -91,6 +91,9 @@ def test_pieces_and_token_files(spark, docs, tmp_path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     tokens = pieces.encode(docs, pieces.tokenizer_encoder(path), None, 3000)
+    for most in (0, 400_000):
+        same = {(r.doc_id, tuple(r.ids)) for r in pieces.encode_in_place(docs, pieces.tokenizer_encoder(path), most).collect()}
+        assert same == {(r.doc_id, tuple(r.ids)) for r in tokens.collect()}
     rows = sorted(token_file.read_token_files(spark, token_file.write_token_files(tokens, str(tmp_path), segment=1000)).collect(), key=lambda r: r.start)
     start = 0
     for r, i in zip(rows, sorted(texts, key=lambda i: (i is not None, i)), strict=True):
@@ -99,6 +102,13 @@ def test_pieces_and_token_files(spark, docs, tmp_path):
         start += len(ids)
 
 
+def test_chunk_codes():
+    texts = ["", " ", "  a  b ", None, "a b", "\n x \t y", "é  ñ\u2003z  ", "a b a b", " a"]
+    codes, ends, names = pieces.chunk_codes(pa.array(["skip", *texts]).slice(1))
+    got = [[names[i].decode() for i in codes[a:b]] for a, b in zip([0, *ends], ends, strict=False)]
+    assert got == [pieces.chunks(t or "") for t in texts]
+
+
 def test_loser_tree_and_urls():
     r = random.Random(1)
     for k in (0, 1, 2, 3, 7, 8):

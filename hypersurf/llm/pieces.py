@@ -139,6 +139,16 @@ def unpack(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]  # noqa: B905
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids of 0 to 2^32 - 1 in the fewest of 2 or 4 bytes each, compressed."""
+    small = not len(ids) or int(ids.max()) < 1 << 16
+    return (b"2" if small else b"4") + zstandard.compress(ids.astype("<u2" if small else "<u4").tobytes(), 1)
+
+
+def unpack_ids(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), "<u2" if data[:1] == b"2" else "<u4").astype(np.uint32)
+
+
 def split_blocks(docs: DataFrame, pattern: str | None, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Packed rows of docs (doc_id, text): for each block its words by bucket, and with bucket -1 its sequence.
 
@@ -231,8 +241,8 @@ def encode(docs: DataFrame, encoder: tuple, pattern: str | None, block_bytes: in
     return packed.where("bucket < 0").unionByName(encoded).groupBy("block").applyInArrow(reassemble, "doc_id long, ids array<int>")
 
 
-def encode_in_place(docs: DataFrame, encoder: tuple, most_known: int = 400_000) -> DataFrame:
-    """doc_id and ids (array of int) of docs (doc_id, text), without a shuffle: each slice's distinct chunks are encoded once.
+def encode_in_place(docs: DataFrame, encoder: tuple, most_known: int = 400_000, packed: bool = False) -> DataFrame:
+    """doc_id and ids (array of int; packed: binary of pack_ids) of docs (doc_id, text), without a shuffle: each slice's distinct chunks are encoded once.
 
     A worker remembers the ids of chunks; beyond most_known it starts anew, which changes its speed only.
     """
@@ -255,10 +265,13 @@ def encode_in_place(docs: DataFrame, encoder: tuple, most_known: int = 400_000)
                 starts, each = np.cumsum(sizes) - sizes, sizes[codes]
                 after = np.cumsum(each)
                 flat = np.frombuffer(b"".join(encoded), "<u4")[np.repeat(starts[codes] - after + each, each) + np.arange(each.sum())]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], after[ends - 1]]), pa.int32()), pa.array(flat.astype(np.int32)))
+                if packed:
+                    lists = pa.array(map(pack_ids, np.split(flat, after[ends - 1][:-1])), pa.binary())
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], after[ends - 1]]), pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, ids " + ("binary" if packed else "array<int>"))
 
 
 def decode(tokens: DataFrame, ranks: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .pieces import encode_in_place, tokenizer_encoder
+from .pieces import encode_in_place, tokenizer_encoder, unpack_ids
 from .work import materialise, open_fs, partitions, publish, table, work_dir
 
 MAGIC, SEGMENT, STRIDE = b"DACIDS1\n", 1 << 20, 512
@@ -141,7 +141,7 @@ class TokenFile:
 
 
 def write_token_files(tokens: DataFrame, folder: str, end_id: int = 0, segment: int = SEGMENT) -> list[tuple[str, int, int]]:
-    """Writes tokens (doc_id, ids) in id order, each document with an end id, into files below folder; (path, first token, tokens) of each file, in order."""
+    """Writes tokens (doc_id, ids; ids as arrays or packed) in id order, each document with an end id, into files below folder; (path, first token, tokens) of each file, in order."""
     spark = tokens.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +154,11 @@ def write_token_files(tokens: DataFrame, folder: str, end_id: int = 0, segment:
             writer = TokenFileWriter(out, segment)
             for b in batches:
                 lists = b.column("ids")
-                flat, ends = lists.flatten().to_numpy().astype(np.uint32), np.cumsum(pc.list_value_length(lists).to_numpy())
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), np.split(flat, ends[:-1]), strict=True):
+                if pa.types.is_binary(lists.type):
+                    parts = map(unpack_ids, lists.to_pylist())
+                else:
+                    parts = np.split(lists.flatten().to_numpy().astype(np.uint32), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), parts, strict=True):
                     writer.add(-(1 << 63) if doc_id is None else doc_id, np.append(ids, end))
             writer.close()
             counts[:] = writer.n, len(writer.docs)
@@ -197,6 +200,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = materialise(encode_in_place(docs, tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json"))), "tokens")
+    tokens = materialise(encode_in_place(docs, tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json")), packed=True), "tokens")
     files = write_token_files(tokens, work_dir(spark, "token-files"))
     return read_token_files(spark, files)

@@ -95,6 +95,9 @@ def test_pieces_and_token_files(spark, docs, tmp_path):
         same = {(r.doc_id, tuple(r.ids)) for r in pieces.encode_in_place(docs, pieces.tokenizer_encoder(path), most).collect()}
         assert same == {(r.doc_id, tuple(r.ids)) for r in tokens.collect()}
     rows = sorted(token_file.read_token_files(spark, token_file.write_token_files(tokens, str(tmp_path), segment=1000)).collect(), key=lambda r: r.start)
+    packed = pieces.encode_in_place(docs, pieces.tokenizer_encoder(path), packed=True)
+    assert sorted(rows, key=str) == sorted(token_file.read_token_files(spark, token_file.write_token_files(packed, str(tmp_path / "packed"), segment=1000)).collect(), key=str)
+    assert all((pieces.unpack_ids(pieces.pack_ids(np.array(x, np.uint32))) == x).all() for x in ([], [1, 65535], [65536, 0]))
     start = 0
     for r, i in zip(rows, sorted(texts, key=lambda i: (i is not None, i)), strict=True):
         ids = [*t.encode(texts[i], add_special_tokens=False).ids, 0]

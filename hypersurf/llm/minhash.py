@@ -1,16 +1,17 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-A document is the weighted set of its word 5-grams (a shorter one is a single shingle); a shingle's weight is
-1 + log2 of its count.  Every shingle sends arrivals of an exponential process whose rate is its weight to random registers; a register
+A document is the set of its word 5-grams (a shorter one is a single shingle), each of weight 1 however often it
+occurs.  Every shingle sends arrivals of an exponential process whose rate is its weight to random registers; a register
 keeps its earliest arrival's shingle, and a shingle ends as soon as its next arrival is later than every register's.  The
-share of equal registers estimates the probability Jaccard similarity of two sets.  Bands of ROWS registers give
-candidates; those whose estimate is far below the threshold are dropped, and the rest is verified on the whole texts by the Jaccard
-similarity of their shingle sets (THRESHOLD or more).
+share of equal registers estimates the probability Jaccard similarity of two sets, which for equal weights is the Jaccard
+similarity that defines a link (THRESHOLD or more).  Bands of ROWS registers give candidates; those whose estimate is far
+below the threshold wait for the exact last round, and the rest is verified on the whole texts.
 
 Scale: equal texts are one node, so copies cost one row each.  Bands are shuffled as pairs of longs.  A bucket never
 emits all its pairs: its members are compared with one pivot, a few rounds of pivots follow for the members that
 are still in other components.  What is left is dealt anew by its rarest shingles
-(see rare_shingles), and only there pairs of different components are formed, so that no link is lost.
+(see rare_shingles), and only there pairs of different components are formed and all verified on their texts, so that no
+link is lost.
 Components are found by star contraction in shared storage.  Texts are shuffled once, for documents
 with candidates.
 
@@ -82,8 +83,8 @@ def sketch(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS, n: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                doc, value, count = shingles(b.column("text"), n)
-                won = prob_minhash(doc, value, 1 + np.log2(count), b.num_rows, registers)
+                doc, value, _ = shingles(b.column("text"), n)
+                won = prob_minhash(doc, value, np.ones(len(doc)), b.num_rows, registers)
                 full = np.bincount(doc, minlength=b.num_rows) > 0
                 bands = [gram_hashes(won[:, k : k + rows].T.reshape(rows, -1).T.ravel(), rows)[::rows] + np.uint64(k) for k in range(0, registers, rows)]
                 bands = mixed(np.stack(bands, 1)).view(np.int64)
@@ -94,8 +95,11 @@ def sketch(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS, n: int
     return rows_in.mapInArrow(run, "doc_id long, digest string, bands array<long>, registers binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
-    """Of pairs (a, b) of ids of texts (doc_id, text, registers) those with Jaccard similarity of at least threshold."""
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, screen: bool = True) -> DataFrame:
+    """Of pairs (a, b) of ids of texts (doc_id, text, registers) those with Jaccard similarity of at least threshold.
+
+    With screen, pairs whose estimate is MARGIN below it are dropped unread.
+    """
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +124,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n:
         a, b = (texts.select(F.col("doc_id").alias(k), F.col(column).alias(f"{column[0]}{k}")) for k in "ab")
         return pairs.join(a, "a").join(b, "b")
 
-    near = materialise(both(pairs, "registers").select("a", "b", "ra", "rb").mapInArrow(estimate, "a long, b long"), "estimated")
+    near = materialise(both(pairs, "registers").select("a", "b", "ra", "rb").mapInArrow(estimate, "a long, b long"), "estimated") if screen else pairs
     return both(near, "text").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
 
 
@@ -193,7 +197,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
         pairs = materialise(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             break
-        new = materialise(verify(pairs, texts, threshold, n), "links")
+        new = materialise(verify(pairs, texts, threshold, n, turn < PIVOTS), "links")
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)

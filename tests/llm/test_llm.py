@@ -215,6 +215,15 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(_docs(spark, rows[:0]).select("doc_id", "text")).count() == 0
 
 
+def test_near_duplicates_that_repeat_a_line(spark):
+    rows = []
+    for k in range(12):
+        own = [f"w{k}x{i}" for i in range(60)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own + own[50:] * 20))]
+    got = minhash.near_duplicates(_docs(spark, rows).select("doc_id", "text")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_prob_minhash_estimates():
     x, y = {1: 3.0, 2: 1.0, 3: 2.0, 9: 1.0}, {1: 1.0, 2: 1.0, 3: 2.0, 8: 4.0}
     won = minhash.prob_minhash(np.array([0] * 4 + [1] * 4), words.mixed(np.array([*x, *y], np.uint64)), np.array([*x.values(), *y.values()]), 2, 20_000)

@@ -4,13 +4,15 @@ Each language's labelled text gives a suffix automaton.  A text is parsed greedi
 text: every phrase is the longest string at its place that occurs in it (a single character where none does).  With k
 phrases against a text of N characters the cost is k * log2(N); the language of least cost wins, the first by name of equals.
 
-The automaton's failures lead to the root and count a phrase, which makes it a plain transition table; texts are walked
-side by side, one table lookup a character, in segments of SEGMENT characters (a cut adds one phrase at most, to every
+Each language has an alphabet of its own, of all letters of its training text; a letter that is not in it matches nowhere.
+The automaton's failures lead to the root and count a phrase, which makes it a transition table: plain for the DENSE
+commonest letters, and the transitions that exist, sorted, for the others.  Texts are walked side by side, one
+lookup a character, in segments of SEGMENT characters (a cut adds one phrase at most, to every
 language alike).  Upper and lower case are one; everything between letters is one space.
 
 Training is bounded: about SAMPLE_ROWS labelled rows a language, picked by a hash of the id over the whole table, of which whole texts
-in hash order are taken until SAMPLE_CHARS characters are reached.  The tables (at most 2 * SAMPLE_CHARS states of 64 classes
-a language) go to executors by Spark's broadcast.  Prediction is one pass without a shuffle.
+in hash order are taken until SAMPLE_CHARS characters are reached.  The tables (at most 2 * SAMPLE_CHARS states of DENSE classes
+and 3 * SAMPLE_CHARS other transitions a language) go to executors by Spark's broadcast.  Prediction is one pass without a shuffle.
 
 Cases: null text or no letter gives `und` with score 0; without any labelled row every text is `und`; rows with null id are never in the
 sample; repeated rows repeat; other columns are ignored.
@@ -28,67 +30,108 @@ from pyspark.sql import functions as F
 
 from .work import slices, table
 
-SAMPLE_ROWS, SAMPLE_CHARS, SEGMENT, CLASSES = 60, 24_000, 1024, 64
+SAMPLE_ROWS, SAMPLE_CHARS, SEGMENT, DENSE = 60, 24_000, 1024, 64
 #: Cost a letter, in bits, above which a text of SURE characters or more is in none of the learned languages: a letter of a
-#: script that no language has costs a phrase each, over 14 bits; text of a learned language costs about 3.
+#: script that no language has costs a phrase each, over 14 bits; text of a learned language costs about 3.  One with a
+#: large alphabet costs more, so its bound is half way between its own cost and that of unknown letters if that is higher.
 STRANGE, SURE = 9.0, 20
 
 
+class Parser:
+    """Total transitions: twice the next state, plus 1 where a phrase ends before this character."""
+
+    def __init__(self, steps: list[dict[int, int]], classes: int):
+        self.classes, self.width = classes, min(classes, DENSE)
+        self.fresh = np.ones(classes, np.int64)
+        for c, to in steps[0].items():
+            self.fresh[c] = 2 * to + 1
+        self.dense = np.tile(self.fresh[: self.width].astype(np.int32), (len(steps), 1))
+        at = np.fromiter((s * classes + c for s, step in enumerate(steps) for c in step), np.int64)
+        to = np.fromiter((2 * x for step in steps for x in step.values()), np.int64)
+        common = at % classes < self.width
+        self.dense[at[common] // classes, at[common] % classes] = to[common]
+        order = np.argsort(at[~common])
+        self.keys, self.next = at[~common][order], to[~common][order]
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if self.classes == self.width:
+            return self.dense.ravel()[state * self.width + c]
+        got = self.dense.ravel()[state * self.width + np.minimum(c, self.width - 1)].astype(np.int64)
+        rare = np.flatnonzero(c >= self.width)
+        if len(rare):
+            key = state[rare] * self.classes + c[rare]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            got[rare] = np.where(self.keys[place] == key, self.next[place], self.fresh[c[rare]])
+        return got
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        state, c = at
+        return int(self.step(np.array([state]), np.array([c]))[0]) if c < self.classes else 1
+
+
 class Automaton:
-    """Suffix automaton of a string of character classes, as arrays."""
+    """Suffix automaton of a string of character classes."""
 
     def __init__(self, classes: np.ndarray):
-        n = len(classes)
-        step = np.full((2 * n + 2, CLASSES), -1, np.int32)
-        link, length = [-1] * (2 * n + 2), [0] * (2 * n + 2)
-        last, states = 0, 1
+        self.classes = int(classes.max(initial=0)) + 1
+        steps, link, length, last = [{}], [-1], [0], 0
         for c in classes.tolist():
-            new = states
-            states += 1
-            length[new] = length[last] + 1
+            new = len(steps)
+            steps.append({})
+            link.append(-1)
+            length.append(length[last] + 1)
             at = last
-            while at >= 0 and step[at, c] < 0:
-                step[at, c] = new
+            while at >= 0 and c not in steps[at]:
+                steps[at][c] = new
                 at = link[at]
             if at < 0:
                 link[new] = 0
             else:
-                old = int(step[at, c])
+                old = steps[at][c]
                 if length[at] + 1 == length[old]:
                     link[new] = old
                 else:
-                    copy = states
-                    states += 1
-                    length[copy], link[copy] = length[at] + 1, link[old]
-                    step[copy] = step[old]
-                    while at >= 0 and step[at, c] == old:
-                        step[at, c] = copy
+                    copy = len(steps)
+                    steps.append(dict(steps[old]))
+                    length.append(length[at] + 1)
+                    link.append(link[old])
+                    while at >= 0 and steps[at].get(c) == old:
+                        steps[at][c] = copy
                         at = link[at]
                     link[old] = link[new] = copy
             last = new
-        self.step = step[:states]
+        self.steps = steps
 
-    def parser(self) -> np.ndarray:
-        """Total transitions: twice the next state, plus 1 where a phrase ends before this character."""
-        fresh = np.where(self.step[0] >= 0, self.step[0], 0)
-        return np.where(self.step >= 0, 2 * self.step, 2 * fresh[None, :] + 1).astype(np.int32)
+    def parser(self) -> Parser:
+        return Parser(self.steps, self.classes)
 
 
 class Model:
-    def __init__(self, texts: dict[str, str]):
-        """texts: training text of each language."""
+    def __init__(self, texts: dict[str, str], bounds: bool = True):
+        """texts: training text of each language; bounds: whether to learn the bounds of strange texts."""
         self.names = sorted(texts)
         clean = {k: " ".join("".join(c if c.isalpha() else " " for c in texts[k].lower()).split()) for k in self.names}
-        seen = Counter("".join(clean.values()))
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if c != " "][: CLASSES - 2]
-        self.classes = {c: i + 2 for i, c in enumerate(letters)}
         self.names = [k for k in self.names if clean[k]]
-        self.tables = [Automaton(np.array([self.classes.get(c, 1 if c != " " else 0) for c in clean[k]], np.int64)).parser() for k in self.names]
+        self.classes = {c: i + 2 for i, c in enumerate(sorted(set("".join(clean.values())) - {" "}))}
+        self.alphabets, self.tables = [], []
+        for k in self.names:
+            seen = sorted(Counter(clean[k].replace(" ", "")).items(), key=lambda x: (-x[1], x[0]))
+            own = np.ones(len(self.classes) + 2, np.int32)
+            own[[0, *(self.classes[c] for c, _ in seen)]] = [0, *range(2, len(seen) + 2)]
+            self.alphabets.append(own)
+            self.tables.append(Automaton(own[[self.classes.get(c, 0) for c in clean[k]]]).parser())
         self.bits = [np.log2(max(2, len(clean[k]))) for k in self.names]
+        self.bounds = dict.fromkeys(self.names, STRANGE)
+        for k, own, bits in zip(self.names, self.alphabets, self.bits, strict=True):
+            if bounds and own.max() >= DENSE:
+                first, rest = clean[k][: len(clean[k]) // 2], clean[k][len(clean[k]) // 2 :]
+                half = Model({k: first}, bounds=False)
+                letters, cost = half.costs([rest], half.code_table())
+                self.bounds[k] = max(STRANGE, (cost[0, 0] / letters[0] + bits) / 2)
 
     def code_table(self) -> np.ndarray:
-        """Class of each code point: 0 no letter, 1 a letter of no class."""
-        out = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint8, 0x110000)
+        """Class of each code point: 0 no letter, 1 a letter of no language."""
+        out = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.int32, 0x110000)
         for c, k in self.classes.items():
             out[ord(c)] = k
         return out
@@ -112,11 +155,11 @@ class Model:
         starts, lengths, seg_owner = starts[order], lengths[order], seg_owner[order]
         out = np.zeros((len(texts), len(self.names)))
         live = np.searchsorted(-lengths, -np.arange(1, SEGMENT + 1), side="right") if len(lengths) else []
-        for k, step in enumerate(self.tables):
-            step, state, phrases = step.ravel(), np.zeros(len(starts), np.int64), np.ones(len(starts), np.int64)
+        for k, (own, parser) in enumerate(zip(self.alphabets, self.tables, strict=True)):
+            mine, state, phrases = own[flat], np.zeros(len(starts), np.int64), np.ones(len(starts), np.int64)
             for t in range(int(lengths[0]) if len(lengths) else 0):
                 n = live[t]
-                got = step[state[:n] * CLASSES + flat[starts[:n] + t]]
+                got = parser.step(state[:n], mine[starts[:n] + t])
                 state[:n] = got >> 1
                 phrases[:n] += got & 1
             out[:, k] = np.bincount(seg_owner, phrases, len(texts)) * self.bits[k]
@@ -179,4 +222,7 @@ def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejects documents without letters and those in none of the learned languages."""
     model = fit(docs)
     got = predict(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
-    return got.where((F.col("lang_pred") != "und") & ((F.col("cost") <= STRANGE) | (F.length("text") < SURE))).select("doc_id", "text", "lang", "source", "n_chars")
+    bound = F.lit(STRANGE)
+    for k, most in model.bounds.items():
+        bound = F.when(F.col("lang_pred") == k, float(most)).otherwise(bound)
+    return got.where((F.col("lang_pred") != "und") & ((F.col("cost") <= bound) | (F.length("text") < SURE))).select("doc_id", "text", "lang", "source", "n_chars")

@@ -164,6 +164,19 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(docs.select("doc_id", "text"), none).collect()} == {"und"}
 
 
+def test_language_of_large_alphabets():
+    r = random.Random(8)
+    many = ["".join(chr(0x4E00 + r.randrange(900)) for _ in range(r.randint(1, 3))) for _ in range(1500)]
+    texts = {"han": " ".join(r.choice(many) for _ in range(4000)), "aa": " ".join(_texts(1, 40)), "zz": " ".join(_texts(2, 40)).translate(str.maketrans("abcdefgh", "stuvwxyz"))}
+    model = language.Model(texts)
+    asked = [" ".join(r.choice(many) for _ in range(60)), " ".join(_texts(1, 2)), "".join(chr(0x3B1 + r.randrange(17)) for _ in range(200)), "".join(chr(0xAC00 + r.randrange(900)) for _ in range(200))]
+    langs, _, costs = model.predict(asked, model.code_table())
+    assert langs[:2] == ["han", "aa"] and costs[0] <= model.bounds["han"] and costs[1] <= model.bounds["aa"] == language.STRANGE
+    assert all(costs[i] > model.bounds[langs[i]] for i in (2, 3))
+    small = language.Model({k: texts[k] for k in ("aa", "zz")})
+    assert (small.costs(asked, small.code_table())[1] == model.costs(asked, model.code_table())[1][:, [0, 2]]).all()
+
+
 def test_automaton_counts_phrases():
     classes = np.random.default_rng(2).integers(0, 4, 300)
     table, text = language.Automaton(classes).parser(), np.random.default_rng(3).integers(0, 5, 200).tolist()

@@ -10,8 +10,9 @@ commonest letters, and the transitions that exist, sorted, for the others.  Text
 lookup a character, in segments of SEGMENT characters (a cut adds one phrase at most, to every
 language alike).  Upper and lower case are one; everything between letters is one space.
 
-Training is bounded: about SAMPLE_ROWS labelled rows a language, picked by a hash of the id over the whole table, of which whole texts
-in hash order are taken until SAMPLE_CHARS characters are reached.  The tables (at most 2 * SAMPLE_CHARS states of DENSE classes
+Training is bounded: about SAMPLE_ROWS labelled rows a language, picked by a hash of the id over the whole table.  Training texts are
+cut: each row gives the same number of characters at most, the largest with which all rows together stay within SAMPLE_CHARS; a
+longer one gives PIECES pieces from places spread evenly from its start to its end.  The tables (at most 2 * SAMPLE_CHARS states of DENSE classes
 and 3 * SAMPLE_CHARS other transitions a language) go to executors by Spark's broadcast.  Prediction is one pass without a shuffle.
 
 Cases: null text or no letter gives `und` with score 0; without any labelled row every text is `und`; rows with null id are never in the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .work import slices, table
 
-SAMPLE_ROWS, SAMPLE_CHARS, SEGMENT, DENSE = 60, 24_000, 1024, 64
+SAMPLE_ROWS, SAMPLE_CHARS, PIECES, SEGMENT, DENSE = 60, 24_000, 4, 1024, 64
 #: Cost a letter, in bits, above which a text of SURE characters or more is in none of the learned languages: a letter of a
 #: script that no language has costs a phrase each, over 14 bits; text of a learned language costs about 3.  One with a
 #: large alphabet costs more, so its bound is half way between its own cost and that of unknown letters if that is higher.
@@ -187,14 +188,36 @@ def sample(rows: DataFrame, label: str, per_label: int, seed: int = 0) -> DataFr
     return rows.withColumn("pick", pick).where(F.col("pick") < limit)
 
 
+def fair_share(sizes: list[int], most: int) -> int:
+    """The largest number that, as a bound of each of sizes, keeps their sum within most."""
+    left = most
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= size
+    return max(sizes, default=0)
+
+
+def spread(text: str, most: int) -> str:
+    """The text, or of one longer than most as many pieces from places spread over it."""
+    width = (most - PIECES + 1) // PIECES
+    if len(text) <= most or width < 1:
+        return text[: max(0, most)]
+    return " ".join(text[k * (len(text) - width) // (PIECES - 1) :][:width] for k in range(PIECES))
+
+
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """From doc_id, text, lang of the documents whose crc32(doc_id) mod 5 is not 0."""
     known = docs.where("lang is not null and doc_id is not null and text is not null and length(text) > 0").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    texts: dict[str, str] = {}
-    got = sample(known.select("doc_id", "lang", "text"), "lang", rows).select("lang", "pick", "doc_id", F.substring("text", 1, chars).alias("text"))
+    # Long texts are cut once by executors, so that the driver gets no more than chars of a row.
+    width = max(1, (chars - PIECES + 1) // PIECES)
+    pieces = [F.substring("text", F.floor((F.length("text") - width) * k / (PIECES - 1)).cast("int") + 1, F.lit(width)) for k in range(PIECES)]
+    text = F.when(F.length("text") <= chars, F.col("text")).otherwise(F.concat_ws(" ", *pieces))
+    got = sample(known.select("doc_id", "lang", "text"), "lang", rows).select("lang", "pick", "doc_id", text.alias("text"))
+    held: dict[str, list[str]] = {}
     for r in sorted(got.collect(), key=lambda r: (r["pick"], r["doc_id"])):
-        if len(texts.get(r["lang"], "")) < chars:
-            texts[r["lang"]] = (texts.get(r["lang"], "") + " " + r["text"])[:chars]
+        held.setdefault(r["lang"], []).append(r["text"])
+    texts = {k: " ".join(spread(t, fair_share([len(x) + 1 for x in v], chars) - 1) for t in v) for k, v in held.items()}
     return Model(texts)
 
 

@@ -177,6 +177,18 @@ def test_language_of_large_alphabets():
     assert (small.costs(asked, small.code_table())[1] == model.costs(asked, model.code_table())[1][:, [0, 2]]).all()
 
 
+def test_language_learns_of_every_row(spark):
+    rows = [(i, "same " * 8000 if i == 0 else f"{'abcdefghij'[i % 10] * 4}{'klmnopqrst'[i // 10] * 4} " * (500 if i < 30 else 20) + "end", "aa", "s", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    model = language.fit(docs)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    codes = model.code_table()
+    assert len(learned) > 40 and all(c < 2 for c in model.predict([r[1][:100] for r in learned], codes)[2])
+    assert 23_000 < 2 ** model.bits[0] <= language.SAMPLE_CHARS
+    assert language.spread("0123456789" * 4, 11) == "01 23 56 89" and language.fair_share([1, 50, 9], 30) == 20
+    assert language.spread("abc", 3) == "abc" and language.fair_share([1, 2], 30) == 2
+
+
 def test_automaton_counts_phrases():
     classes = np.random.default_rng(2).integers(0, 4, 300)
     table, text = language.Automaton(classes).parser(), np.random.default_rng(3).integers(0, 5, 200).tolist()

@@ -101,8 +101,8 @@ def fixed_column(mask: Column, n2: int) -> Column:
 
 
 def combinadic_rank(c: DataFrame, most: int = 24) -> DataFrame:
-    """cid, k and rank of the k-set of squares of complexes in long form; up to 24 squares in the cube."""
+    """cid, k and rank of the k-set of squares of complexes in long form; up to `most` squares in the cube, others raise."""
     nth = F.row_number().over(W.partitionBy("cid").orderBy("sq"))
     spark = c.sparkSession
     table = spark.createDataFrame([(p, j, comb(p, j)) for p in range(most) for j in range(1, most + 1)], "sq int, j int, c long")
-    return c.withColumn("j", nth).join(F.broadcast(table), ["sq", "j"]).groupBy("cid").agg(F.count("*").cast("int").alias("k"), F.sum("c").alias("rank"))
+    return c.withColumn("j", nth).join(F.broadcast(table), ["sq", "j"], "left").withColumn("c", F.coalesce("c", F.raise_error(F.lit(f"square outside 0 to {most - 1}")))).groupBy("cid").agg(F.count("*").cast("int").alias("k"), F.sum("c").alias("rank"))

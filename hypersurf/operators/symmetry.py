@@ -20,8 +20,8 @@ from . import cells
 
 
 def masks(c: DataFrame) -> DataFrame:
-    """cid and mask of complexes in long form."""
-    return c.groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, sq)")).alias("mask"))
+    """cid and mask of complexes in long form; a square that has no bit of a BIGINT below its sign raises."""
+    return c.groupBy("cid").agg(F.bit_or(F.expr("if(sq < 0 or sq > 62, raise_error('square outside 0 to 62'), shiftleft(1L, sq))")).alias("mask"))
 
 
 def squares_of(m: DataFrame, n: int) -> DataFrame:

@@ -72,6 +72,18 @@ def test_codecs_round_trip(n2, data):
     assert codecs.merge_limbs(codecs.split_limbs(value, 60, 12), 60) == value
 
 
+@pytest.mark.parametrize(("operator", "most"), [("rank", 24), ("mask", 63)])
+def test_squares_outside_the_range_raise(spark, operator, most):
+    from hypersurf.operators.symmetry import masks
+
+    run = codecs.combinadic_rank if operator == "rank" else masks
+    of = lambda *at: run(spark.createDataFrame([(1, s) for s in at], "cid long, sq int"))
+    assert of(0, most - 1).first()[-1] == (most - 1) * (most - 2) // 2 if operator == "rank" else of(0, most - 1).first()[-1] == 1 | 1 << most - 1
+    for bad in (most, -1):
+        with pytest.raises(Exception, match="square outside"):
+            of(0, bad).collect()
+
+
 def test_bad_options():
     with pytest.raises(ValueError):
         en.Options(8)

@@ -1,23 +1,30 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Split: each block of documents (BLOCK_BYTES of text, or one longer document) is cut into pre-tokens with positions; of each block the
-distinct pre-tokens, dealt into buckets by hash, and the sequence of their places are kept.  Encode: buckets are
+distinct pre-tokens, dealt into buckets by hash, are one stream, the sequence of their places another.  Encode: buckets are
 shuffled, so that each distinct word of the corpus meets in one task, which encodes it once.  Join back: each block
 gets its words' ids and puts them in its sequence's order.  Decoding joins each id with the token-byte table.
 
 Rows travel packed: a row a (block, bucket) with all its words, not a row a pre-token, which would shuffle several
-times the input.  A word that is everywhere is one entry a block, so no bucket is hot.  Tasks hold one block, or the
-distinct words of one bucket.  The token-byte table is bounded by the vocabulary.
+times the input.  A word that is everywhere is one entry a block, so no bucket is hot.  The two streams come from two passes
+over the documents, so that neither is stored before its shuffle; each bucket of a block carries a check sum in both, and an input that
+changes between the passes is an error.  Buckets grow with the input up to BUCKETS; a task that meets more than MOST_KNOWN
+words encodes some again.  Tasks hold one block, or the words of one bucket, and work on WINDOW pre-tokens at a time.
+The token-byte table is bounded by the vocabulary.
 
 Cases: null and empty texts have no ids and decode to no bytes; null ids and repeated rows keep their rows; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; strings of special tokens are ordinary text to rank_encoder, and to tokenizer_encoder what they are to the
+tokenizers library (their own ids); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import json
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import materialise, partitions, slices, table
+from .work import materialise, partitions, release, slices, table
 
-BLOCK_BYTES, BUCKETS = 16 << 20, 4096
-PACKED = "block long, bucket int, data binary, docs binary, ends binary"
+BLOCK_BYTES, BUCKET_BYTES, BUCKETS, WINDOW, MOST_KNOWN = 6 << 20, 16 << 20, 16_384, 1 << 18, 400_000
+PACKED = "block long, bucket int, data binary, docs binary, ends binary, sums binary"
 _loaded: dict = {}
-_known: dict = {}
 
 
 def chunks(text: str) -> list[str]:
@@ -48,31 +54,6 @@ def chunks(text: str) -> list[str]:
     return out
 
 
-def chunk_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(index into the distinct chunks of each chunk, ends of the texts in that, distinct chunks), cut as by chunks()."""
-    lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
-    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    coded = lists.flatten().dictionary_encode()
-    codes, parts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    n, first = len(parts), np.zeros(len(codes), bool)
-    first[offsets[:-1]] = True
-    goes_on = np.fromiter((not p or p[0].isspace() for p in parts), bool, n)[codes] & ~first
-    starts = np.flatnonzero(~goes_on)
-    sizes = np.diff(starts, append=len(codes))
-    # Below n: a space and the part; below 2n: the part that begins a text; above: several parts.
-    value, longer = codes[starts] + n * first[starts], {}
-    for i in np.flatnonzero(sizes > 1).tolist():
-        at = starts[i]
-        whole = " " * (not first[at]) + " ".join([parts[c] for c in codes[at : at + sizes[i]]])
-        value[i] = 2 * n + longer.setdefault(whole, len(longer))
-    used = np.flatnonzero(np.bincount(value, minlength=1))
-    place = np.zeros(2 * n + len(longer) + 1, np.int64)
-    place[used] = np.arange(len(used))
-    names = list(longer)
-    words = [(f" {parts[v]}" if v < n else parts[v - n] if v < 2 * n else names[v - 2 * n]).encode() for v in used.tolist()]
-    return place[value], np.cumsum(~goes_on)[offsets[1:] - 1], words
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -90,41 +71,86 @@ def rank_encoder(path: str, pattern: str):
     return path, load
 
 
-def tokenizer_encoder(path: str):
-    """Encodes chunks by the tokenizers library, without special tokens."""
+def byte_alphabet() -> dict[int, str]:
+    """Character of each byte in byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    def load():
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+class ChunkEncoder:
+    """Ids of texts by the tokenizers library, which encodes each distinct chunk once; as bytes of 32-bit ids.
+
+    Byte-level models without a normalizer only.  Strings of added tokens get their own ids, as in the library.
+    """
+
+    def __init__(self, path: str, most_known: int = MOST_KNOWN):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        vocabulary = tokenizer.get_vocab()
-        lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            lengths[i] = len(token)  # the byte-level alphabet has one character for each byte
-
-        def many(words: list[bytes]) -> list:
-            # Chunks that begin with a space and a letter are encoded in one string, as a call of the library is costly;
-            # their ids are told apart by the bytes that each token stands for.
-            out: list = [None] * len(words)
-            joined = [i for i, w in enumerate(words) if w[:1] == b" " and w[1:2].isalpha()]
-            alone = sorted(set(range(len(words))) - set(joined))
-            for i, e in zip(alone, tokenizer.encode_batch_fast([words[i].decode("utf-8") for i in alone], add_special_tokens=False), strict=True):
-                out[i] = e.ids
-            runs = [joined[k : k + 500] for k in range(0, len(joined), 500)]
-            for run, e in zip(runs, tokenizer.encode_batch_fast([b"".join(words[i] for i in run).decode("utf-8") for run in runs], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.int64)
-                cuts = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(words[i]) for i in run]))
-                for i, part in zip(run, np.split(ids, cuts[:-1] + 1), strict=True):
-                    out[i] = part
-            return out
-
-        return many
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        kind = form["pre_tokenizer"] or {}
+        if form.get("normalizer") or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True):
+            raise ValueError("only byte-level tokenizers without a normalizer or a prefix space")
+        if any(t[k] for t in form["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("an added token takes in its neighbourhood")
+        self.tokenize, self.pre_tokenize, self.most_known = tokenizer.model.tokenize, tokenizer.pre_tokenizer.pre_tokenize_str, most_known
+        letters = byte_alphabet()
+        self.table, self.space = str.maketrans({chr(b): c for b, c in letters.items()}), letters[32]
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in form["added_tokens"]}
+        self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
+        outer = self
+
+        class Tails(dict):
+            """By chunk without the space before it."""
+
+            def __missing__(self, part: str) -> bytes:
+                if part.isalpha():
+                    piece = outer.space + (part if part.isascii() else part.encode().decode("latin-1").translate(outer.table))
+                    got = outer._ids([piece])
+                else:
+                    got = outer._ids([p for p, _ in outer.pre_tokenize(f" {part}")])
+                self[part] = got
+                return got
+
+        self.tails = Tails()
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        return array("I", [t.id for p in pieces for t in self.tokenize(p)]).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        if not text:
+            return b""
+        parts = text.split(" ")
+        if _ODD(text):
+            first, *rest = chunks(text)
+            rest = [c[1:] for c in rest]
+        else:
+            first, *rest = parts
+        return self._ids([p for p, _ in self.pre_tokenize(first)]) + b"".join(map(self.tails.__getitem__, rest))
 
-    return path, load
+    def __call__(self, text: str) -> bytes:
+        if len(self.tails) > self.most_known:
+            self.tails.clear()
+        parts = self.split_added(text)
+        return self._plain(text) if len(parts) == 1 else b"".join(self.added.get(p) if k % 2 else self._plain(p) for k, p in enumerate(parts))
+
+
+#: A space before white space or the end: only then a part between spaces is not a chunk of its own.
+_ODD = re.compile(r" (?=\s|\Z)").search
+
+
+def loaded(encoder: tuple):
+    name, load = encoder
+    if name not in _loaded:
+        _loaded[name] = load()
+    return _loaded[name]
+
+
+def tokenizer_encoder(path: str, most_known: int = MOST_KNOWN) -> tuple:
+    """Encodes texts by the tokenizers library, add_special_tokens=False."""
+    return (path, most_known), lambda: ChunkEncoder(path, most_known)
 
 
 def pack(values: list[bytes]) -> bytes:
@@ -149,180 +175,238 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data[1:]), "<u2" if data[:1] == b"2" else "<u4").astype(np.uint32)
 
 
-def split_blocks(docs: DataFrame, pattern: str | None, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Packed rows of docs (doc_id, text): for each block its words by bucket, and with bucket -1 its sequence.
-
-    Without a pattern the chunks themselves are the words.
-    """
+def split_blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int, words_only: bool) -> DataFrame:
+    """Packed rows of docs (doc_id, text), for each block: with words_only its words by bucket, else its sequence with bucket -1."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         import xxhash
         from pyspark import TaskContext
 
-        find, block, schema = regex.compile(pattern).findall if pattern else lambda chunk: [chunk] if chunk else [], TaskContext.get().partitionId() << 32, pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("ends", pa.binary())])
+        find, block = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
+        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("data", "docs", "ends", "sums"))])
         words: dict[str, int] = {}
-        memo: dict[str, tuple[int, ...]] = {}
-        ids, ends, parts = [], [], []
-        held = total = 0
+        memo: dict[str, array] = {}
+        ids, ends, sequence, held = [], [], array("I"), 0
 
         def flush() -> pa.RecordBatch:
             names = [w.encode("utf-8", "surrogatepass") for w in words]
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(names))
             order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            sequence = place[np.concatenate(parts)] if len(order) else np.zeros(0, np.uint32)
-            rows = [(block, -1, zstandard.compress(sequence.tobytes(), 3), np.array([x for d in ids for x in (d is None, d or 0)], "<i8").tobytes(), np.array(ends, "<i8").tobytes())]
-            starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows += [(block, b, pack([names[i] for i in order[starts[b] : starts[b + 1]]]), None, None) for b in range(buckets) if starts[b] < starts[b + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            used, starts = np.unique(bucket[order], return_index=True)
+            parts = [[names[i] for i in own] for own in np.split(order, starts[1:])] if len(names) else []
+            sums = [xxhash.xxh3_64_intdigest(b"\0".join(p)) for p in parts]
+            if words_only:
+                rows = [(block, b, pack(p), None, None, np.array([c], "<u8").tobytes()) for b, p, c in zip(used.tolist(), parts, sums, strict=True)]
+            else:
+                place = np.empty(len(order), np.uint32)
+                place[order] = np.arange(len(order), dtype=np.uint32)
+                at = place[np.frombuffer(sequence, np.uint32)] if len(order) else np.zeros(0, np.uint32)
+                rows = [(block, -1, zstandard.compress(at.tobytes(), 3), np.array([x for d in ids for x in (d is None, d or 0)], "<i8").tobytes(), np.array(ends, "<i8").tobytes(), np.array(sums, "<u8").tobytes())]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
 
         for batch in batches:
             for b in slices(batch, "text"):
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column("text").to_pylist(), strict=True):
-                    sequence: list[int] = []
-                    for chunk in chunks(text or ""):
+                    for chunk in chunks(text) if text else ():
                         got = memo.get(chunk)
                         if got is None:
-                            got = memo[chunk] = tuple(words.setdefault(w, len(words)) for w in find(chunk))
-                        sequence += got
-                    parts.append(np.array(sequence, np.int64))
-                    total += len(sequence)
+                            got = memo[chunk] = array("I", [words.setdefault(w, len(words)) for w in find(chunk)])
+                        if not words_only:
+                            sequence.extend(got)
                     held += len(text or "")
                     ids.append(doc_id)
-                    ends.append(total)
+                    ends.append(len(sequence))
                     if held >= block_bytes:
                         yield flush()
-                        block, held, total = block + 1, 0, 0
-                        words, memo, ids, ends, parts = {}, {}, [], [], []
+                        block, held, words, memo, ids, ends, sequence = block + 1, 0, {}, {}, [], [], array("I")
         if ids:
             yield flush()
+        words, memo = {}, {}
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(split, PACKED)
 
 
-def encode(docs: DataFrame, encoder: tuple, pattern: str | None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and ids (array of int) of docs (doc_id, text); encoder: of rank_encoder or tokenizer_encoder."""
-    buckets = min(partitions(docs.sparkSession), BUCKETS)
-    packed = materialise(split_blocks(docs, pattern, buckets, block_bytes), "words")
+def _windows(ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, last + 1, first place, last + 1) of runs of texts of at most WINDOW places, or of stretches of a longer text."""
+    k, at = 0, 0
+    while k < len(ends):
+        stop = max(k + 1, int(np.searchsorted(ends, at + WINDOW, side="right")))
+        for low in range(at, max(int(ends[stop - 1]), at + 1), WINDOW) if stop == k + 1 else (at,):
+            yield k, stop, low, min(int(ends[stop - 1]), low + WINDOW) if stop == k + 1 else int(ends[stop - 1])
+        k, at = stop, int(ends[stop - 1])
+
+
+def encode(docs: DataFrame, encoder: tuple, pattern: str, block_bytes: int = BLOCK_BYTES, stable: bool = False, finish: Callable | None = None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
+    """doc_id and ids (array of int) of docs (doc_id, text); encoder: of rank_encoder.
+
+    docs is read twice: one that isn't read from files as it is (stable) is stored first.  finish: makes other columns (schema) of the
+    runs (ids of documents, first document, last + 1, offsets, ids) of a block, instead of the ids.
+    """
+    docs = docs.select("doc_id", "text") if stable else materialise(docs.select("doc_id", "text"), "texts")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = min(max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES)), BUCKETS)
+    finish = finish or _lists
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, load = encoder
-        if name not in _loaded:
-            _loaded[name] = load()
-        many, known = _loaded[name], {}
+        many, known = loaded(encoder), {}
         for b in batches:
             out = []
             for data in b.column("data").to_pylist():
                 words = unpack(data)
+                if len(known) > MOST_KNOWN:
+                    known = {}
                 new = [w for w in words if w not in known]
                 for w, ids in zip(new, many(new), strict=True):
-                    known[w] = np.array(ids, "<u4").tobytes()
+                    known[w] = array("I", ids).tobytes()
                 out.append(pack([known[w] for w in words]))
             none = pa.nulls(b.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(out, pa.binary()), none, none], ["block", "bucket", "data", "docs", "ends"])
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(out, pa.binary()), none, none, b.column("sums")], [x.split()[0] for x in PACKED.split(", ")])
+        known = {}
+        release()
 
     def reassemble(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("bucket", "data", "docs", "ends")), strict=True), key=lambda r: r[0])
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("bucket", "data", "docs", "ends", "sums")), strict=True), key=lambda r: r[0])
+        if rows[0][0] != -1 or b"".join(r[4] for r in rows[1:]) != rows[0][4]:
+            raise RuntimeError("the documents changed between two passes; store them first")
         sequence = np.frombuffer(zstandard.decompress(rows[0][1]), np.uint32)
-        ids, ends = np.frombuffer(rows[0][2], "<i8").reshape(-1, 2), np.frombuffer(rows[0][3], "<i8")
+        ids = [None if z else d for z, d in np.frombuffer(rows[0][2], "<i8").reshape(-1, 2).tolist()]
+        ends = np.frombuffer(rows[0][3], "<i8")
         words = [w for r in rows[1:] for w in unpack(r[1])]
-        sizes = np.fromiter((len(w) // 4 for w in words), np.int64, len(words))
-        table_ids, starts = np.frombuffer(b"".join(words), "<u4").astype(np.int32), np.cumsum(sizes) - sizes
-        each = sizes[sequence]
-        after = np.cumsum(each)
-        offsets = np.concatenate([[0], np.concatenate([[0], after])[ends]])
-        flat = table_ids[np.repeat(starts[sequence] - after + each, each) + np.arange(each.sum())]
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat, pa.int32())) if offsets[-1] >= 1 << 31 else pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.table({"doc_id": pa.array([None if z else d for z, d in ids.tolist()], pa.int64()), "ids": lists})
+        sizes = np.fromiter((len(w) // 4 for w in words), np.int32, len(words))
+        flat, starts = np.frombuffer(b"".join(words), "<u4"), np.cumsum(sizes, dtype=np.int64) - sizes
 
-    encoded = packed.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(encode_words, PACKED)
-    return packed.where("bucket < 0").unionByName(encoded).groupBy("block").applyInArrow(reassemble, "doc_id long, ids array<int>")
+        def runs() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+            for first, last, low, high in _windows(ends):
+                own = sequence[low:high]
+                each = sizes[own]
+                after = np.cumsum(each, dtype=np.int64)
+                offsets = np.concatenate([[0], np.concatenate([[0], after])[np.minimum(ends[first:last], high) - low]])
+                yield first, last, offsets, flat[np.repeat(starts[own] - after + each, each) + np.arange(after[-1] if len(after) else 0)]
 
+        out = finish(ids, runs())
+        release()
+        return out
 
-def encode_in_place(docs: DataFrame, encoder: tuple, most_known: int = 400_000, packed: bool = False) -> DataFrame:
-    """doc_id and ids (array of int; packed: binary of pack_ids) of docs (doc_id, text), without a shuffle: each slice's distinct chunks are encoded once.
+    encoded = split_blocks(docs, pattern, buckets, block_bytes, True).repartitionById(buckets, F.col("bucket")).mapInArrow(encode_words, PACKED)
+    return split_blocks(docs, pattern, buckets, block_bytes, False).unionByName(encoded).groupBy("block").applyInArrow(reassemble, schema)
 
-    A worker remembers the ids of chunks; beyond most_known it starts anew, which changes its speed only.
+
+def _lists(ids: list, runs: Iterator) -> pa.Table:
+    """doc_id and ids of a block, put together from its runs."""
+    values, ends, held = [], np.zeros(len(ids) + 1, np.int64), 0
+    for first, last, offsets, own in runs:
+        ends[first + 1 : last + 1] = held + offsets[1:]
+        values.append(own.astype(np.int32))
+        held += len(own)
+    flat = pa.array(np.concatenate([np.zeros(0, np.int32), *values]))
+    lists = pa.LargeListArray.from_arrays(pa.array(ends), flat) if held >= 1 << 31 else pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": lists})
+
+
+def encode_in_place(docs: DataFrame, encoder: tuple, bounds: list[int] | None = None) -> DataFrame:
+    """doc_id and ids (array of int) of docs (doc_id, text), without a shuffle; encoder: of tokenizer_encoder.
+
+    With bounds: ids packed (see pack_ids), and `part`, the number of bounds that are at most doc_id.
     """
+    schema = "doc_id long, ids array<int>" if bounds is None else "part int, doc_id long, ids binary"
+    limits = np.array(bounds or [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, load = encoder
-        if name not in _loaded:
-            _loaded[name] = load()
-        many, known = _loaded[name], _known.setdefault(name, {})
+        one = loaded(encoder)
         for batch in batches:
             for b in slices(batch, "text"):
-                codes, ends, words = chunk_codes(b.column("text"))
-                if len(known) > most_known:
-                    known.clear()
-                new = [w for w in words if w not in known]
-                for w, ids in zip(new, many(new), strict=True):
-                    known[w] = np.array(ids, "<u4").tobytes()
-                encoded = [known[w] for w in words]
-                sizes = np.fromiter((len(w) // 4 for w in encoded), np.int64, len(encoded))
-                starts, each = np.cumsum(sizes) - sizes, sizes[codes]
-                after = np.cumsum(each)
-                flat = np.frombuffer(b"".join(encoded), "<u4")[np.repeat(starts[codes] - after + each, each) + np.arange(each.sum())]
-                if packed:
-                    lists = pa.array(map(pack_ids, np.split(flat, after[ends - 1][:-1])), pa.binary())
+                got = [one(t) if t else b"" for t in b.column("text").to_pylist()]
+                if bounds is None:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in got)])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), np.int32)))], ["doc_id", "ids"])
                 else:
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], after[ends - 1]]), pa.int32()), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "ids"])
+                    part = np.searchsorted(limits, pc.fill_null(b.column("doc_id"), -(1 << 63)).to_numpy(), side="right").astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), b.column("doc_id"), pa.array([pack_ids(np.frombuffer(x, "<u4")) for x in got], pa.binary())], ["part", "doc_id", "ids"])
+        release()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
+
+
+class TokenBytes:
+    """The token-byte table of a file of ranks, to be joined with ids."""
+
+    def __init__(self, ranks: str):
+        by_id = sorted((i, t) for t, i in read_ranks(ranks).items())
+        ids = np.array([i for i, _ in by_id])
+        self.place = np.full(by_id[-1][0] + 1, -1, np.int32)
+        self.place[ids] = np.arange(len(ids))
+        self.tokens = pa.array([t for _, t in by_id], pa.binary())
+
+    def join(self, flat: np.ndarray) -> pa.Array:
+        """Bytes of each id."""
+        if len(flat) and int(flat.max()) >= len(self.place) or (self.place[flat] < 0).any():
+            raise ValueError("an id is not in the token table")
+        return self.tokens.take(pa.array(self.place[flat]))
+
+
+def token_bytes(ranks: str) -> tuple:
+    return ("bytes", ranks), lambda: TokenBytes(ranks)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, ids " + ("binary" if packed else "array<int>"))
+def _texts_of(values: pa.Array, offsets: np.ndarray, by: bytes) -> pa.Array:
+    """The values between offsets joined."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values), pa.scalar(by, values.type))
 
 
 def decode(tokens: DataFrame, ranks: str) -> DataFrame:
     """tokens (doc_id, ids) with `decoded`, the bytes of the ids in order, joined from the token-byte table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = sorted((i, t) for t, i in read_ranks(ranks).items())
-        ids, size = np.array([i for i, _ in by_id]), by_id[-1][0] + 1
-        place = np.full(size, -1, np.int64)
-        place[ids] = np.arange(len(ids))
-        tokens_of = pa.array([t for _, t in by_id], pa.binary())
+        tokens_of = loaded(token_bytes(ranks))
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 b = batch.slice(start, 256)
                 lists = b.column("ids")
-                flat = place[lists.flatten().to_numpy()]
-                if (flat < 0).any():
-                    raise ValueError("an id is not in the token table")
-                ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-                joined = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), tokens_of.take(pa.array(flat)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pc.binary_join(joined, pa.scalar(b"", pa.binary()))], ["doc_id", "ids", "decoded"])
+                offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, _texts_of(tokens_of.join(lists.flatten().to_numpy()), offsets, b"").cast(pa.binary())], ["doc_id", "ids", "decoded"])
+        release()
 
     return tokens.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 by the public multi-language vocabulary."""
+def digests(docs: DataFrame, stable: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 by the public multi-language vocabulary; the ids don't leave the step that puts them together."""
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(docs, rank_encoder(ranks, public_tokenizers.PATTERN), public_tokenizers.PATTERN), ranks)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                b = batch.slice(start, 256)
-                sizes = pc.list_value_length(b.column("ids")).to_numpy()
-                flat = b.column("ids").flatten()
-                names = pa.array(np.arange((pc.max(flat).as_py() or 0) + 1)).cast(pa.string()).take(flat)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), names)
-                ids = [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(lists, ",")]
-                texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column("decoded")]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return both.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(ids: list, runs: Iterator) -> pa.Table:
+        tokens_of = loaded(token_bytes(ranks))
+        if "names" not in vars(tokens_of):
+            tokens_of.names = pa.array(np.arange(len(tokens_of.place))).cast(pa.string()).cast(pa.binary())
+        sizes, done = np.zeros(len(ids), np.int64), [[], []]
+        open_at, hashes = -1, None
+        for first, last, offsets, flat in runs:
+            sizes[first:last] += np.diff(offsets)
+            texts = _texts_of(tokens_of.names.take(pa.array(flat)), offsets, b","), _texts_of(tokens_of.join(flat), offsets, b"")
+            if first == open_at:  # a further stretch of a long document
+                for k, text in enumerate(texts):
+                    hashes[k].update(b"," if k == 0 and len(flat) else b"")
+                    hashes[k].update(text[0].as_buffer())
+            else:
+                hashes = [None, None]
+                for k, column in enumerate(texts):
+                    for text in column:
+                        hashes[k] = hashlib.sha256(text.as_buffer())
+                        done[k].append(hashes[k])
+                open_at = first if last == first + 1 else -1
+        names = [pa.array([h.hexdigest() for h in x], pa.string()) for x in done]
+        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes), *names], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(docs, rank_encoder(ranks, public_tokenizers.PATTERN), public_tokenizers.PATTERN, stable=stable, finish=digest, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), stable=True)
 
 
 def encode_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the token digests of every document that is left."""
-    return digests(docs.select("doc_id", "text"))
+    """Pipeline stage: the token digests of every document that is left; docs is stored by the stage before."""
+    return digests(docs.select("doc_id", "text"), stable=True)

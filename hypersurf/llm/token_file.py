@@ -9,12 +9,13 @@ File: magic, then segments of SEGMENT ids (the last one shorter), then the foote
 level the chunks, the bitmap and the directory.  Footer (JSON line, then int64 arrays): places of the levels, the number
 of ids, and of every document its id, first token and token count.
 
-Scale: distinct chunks of a slice are encoded once, without a shuffle (see pieces.py); documents of ids are range partitioned by id, and each task
-writes one file of its own in segments, so memory holds a batch of ids and a segment.  The driver gets one manifest row a file.  Files are moved into place when complete and
-hold the same bytes if a lost task runs again.
+Scale: bounds of ranges come from the ids of the documents alone; texts are encoded where they are read, each distinct chunk of a worker once
+(see pieces.py), and shuffled once, as packed ids, to their range.  Each task writes files of its own in segments and begins a new file
+after FILE_IDS ids or FILE_DOCS documents, so memory holds a batch of ids, a segment and a bounded footer.  The driver gets one manifest row a file.
+A file's name holds its attempt, and the manifest names files of committed attempts only, so a lost or speculative task does no harm.
 
-Cases: null text is empty (only the end id); null ids come first; repeated rows stay repeated, in any order; an empty table gives no
-rows; other columns are ignored.
+Cases: null text is empty (only the end id); null ids come first; repeated rows stay repeated, rows of one id ordered by their ids; an empty
+table gives no rows; strings of special tokens in a text get the ids that the library gives them; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .pieces import encode_in_place, tokenizer_encoder, unpack_ids
-from .work import materialise, open_fs, partitions, publish, table, work_dir
+from .work import open_fs, partitions, publish, release, table, work_dir
 
-MAGIC, SEGMENT, STRIDE = b"DACIDS1\n", 1 << 20, 512
+MAGIC, SEGMENT, STRIDE = b"DACIDS1\n", 1 << 18, 512
+#: Text bytes of a range; ids and documents after which a file ends.
+RANGE_BYTES, FILE_IDS, FILE_DOCS = 256 << 20, 1 << 27, 1 << 20
 
 
 def split_levels(ids: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
@@ -140,39 +143,45 @@ class TokenFile:
             yield doc_id, start, got[0] if len(got) == 1 else np.concatenate([*got, np.zeros(0, np.uint32)])
 
 
-def write_token_files(tokens: DataFrame, folder: str, end_id: int = 0, segment: int = SEGMENT) -> list[tuple[str, int, int]]:
-    """Writes tokens (doc_id, ids; ids as arrays or packed) in id order, each document with an end id, into files below folder; (path, first token, tokens) of each file, in order."""
-    spark = tokens.sparkSession
+def id_bounds(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> list[int]:
+    """Ids at which ranges of docs (doc_id, text) begin: about as many rows in each, and as many ranges as shuffle partitions or more."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(partitions(docs.sparkSession), -(-size // range_bytes))
+    at = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else None
+    return sorted(set(at or []))
+
+
+def write_token_files(tokens: DataFrame, ranges: int, folder: str, end_id: int = 0, segment: int = SEGMENT, file_ids: int = FILE_IDS) -> list[tuple[str, int, int]]:
+    """Writes tokens (part, doc_id, packed ids) in id order, each document with an end id, into files below folder; (path, first token, tokens) of each file, in order.
+
+    part: range of the ids, from 0 to ranges - 1, ascending with doc_id.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = [0, 0]
-        end = np.array([end_id], np.uint32)
-
-        def put(out) -> None:
-            writer = TokenFileWriter(out, segment)
-            for b in batches:
-                lists = b.column("ids")
-                if pa.types.is_binary(lists.type):
-                    parts = map(unpack_ids, lists.to_pylist())
-                else:
-                    parts = np.split(lists.flatten().to_numpy().astype(np.uint32), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), parts, strict=True):
-                    writer.add(-(1 << 63) if doc_id is None else doc_id, np.append(ids, end))
-            writer.close()
-            counts[:] = writer.n, len(writer.docs)
-
-        part = TaskContext.get().partitionId()
-        path = publish(folder, f"ids-{part:06d}.dac", put)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array(counts[:1]), pa.array(counts[1:])], ["part", "path", "n", "docs"])
-
-    ranged = tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    made = ranged.mapInArrow(write, "part int, path string, n long, docs long").collect()
+        part, attempt, end, made = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), np.array([end_id], np.uint32), []
+        rows = ((d, unpack_ids(x.as_py())) for b in batches for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True))
+        ahead = next(rows, None)
+        while ahead:
+
+            def put(out) -> None:
+                nonlocal ahead
+                writer = TokenFileWriter(out, segment)
+                while ahead and writer.n < file_ids and len(writer.docs) < FILE_DOCS:
+                    writer.add(-(1 << 63) if ahead[0] is None else ahead[0], np.append(ahead[1], end))
+                    ahead = next(rows, None)
+                writer.close()
+                made.append(writer.n)
+
+            path = publish(folder, f"ids-{part:06d}-{len(made):04d}-{attempt}.dac", put)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(made)], pa.int32()), pa.array([path]), pa.array(made[-1:], pa.int64())], ["part", "nth", "path", "n"])
+        release()
+
+    ranged = tokens.repartitionById(ranges, F.col("part")).sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
     out, start = [], 0
-    for r in sorted(made):
-        if r["docs"]:
-            out.append((r["path"], start, r["n"]))
+    for r in sorted(ranged.mapInArrow(write, "part int, nth int, path string, n long").collect()):
+        out.append((r["path"], start, r["n"]))
         start += r["n"]
     return out
 
@@ -181,25 +190,61 @@ def read_token_files(spark: SparkSession, files: list[tuple[str, int, int]]) ->
     """doc_id, start (over all files), n_tokens, ids_crc32 of each document, one task a file."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
         for b in batches:
             for path, first in zip(b.column("path").to_pylist(), b.column("first").to_pylist(), strict=True):
                 store, at = open_fs(path)
                 with store.open_input_file(at) as f:
-                    rows = [(None if d == -(1 << 63) else d, first + s, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, s, ids in TokenFile(f).documents()]
-                for k in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[k : k + 10_000], strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    for d, s, ids in TokenFile(f).documents():
+                        rows.append((None if d == -(1 << 63) else d, first + s, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        if len(rows) == 4096:
+                            yield flush()
+                            rows = []
+        if rows:
+            yield flush()
+        release()
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not files:
         return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame([(p, s) for p, s, _ in files], "path string, first long")
-    return listed.repartition(len(files)).mapInArrow(read, schema)
+    listed = spark.createDataFrame([(k, p, s) for k, (p, s, _) in enumerate(files)], "k int, path string, first long")
+    return listed.repartitionById(len(files), F.col("k")).mapInArrow(read, schema)
+
+
+def tokens_at(places: DataFrame, files: list[tuple[str, int, int]]) -> DataFrame:
+    """places (place, over all files) with the id there, null outside; each is read by itself, without decoding a block."""
+    firsts, last = np.array([s for _, s, _ in files], np.int64), files[-1][1] + files[-1][2] if files else 0
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, at = -1, None
+        for b in batches:
+            out = []
+            for place in b.column("place").to_pylist():
+                if place is None or not 0 <= place < last:
+                    out.append(None)
+                    continue
+                k = int(np.searchsorted(firsts, place, side="right")) - 1
+                if k != of:
+                    store, path = open_fs(files[k][0])
+                    of, at = k, TokenFile(store.open_input_file(path))
+                out.append(at[place - files[k][1]])
+            yield pa.RecordBatch.from_arrays([b.column("place"), pa.array(out, pa.int64())], ["place", "id"])
+
+    return places.select(F.col("place").cast("long").alias("place")).mapInArrow(look, "place long, id long")
+
+
+def token_files(docs: DataFrame, path: str, folder: str, range_bytes: int = RANGE_BYTES, segment: int = SEGMENT, file_ids: int = FILE_IDS) -> list[tuple[str, int, int]]:
+    """Files of the ids of docs (doc_id, text) by the tokenizer of a path."""
+    bounds = id_bounds(docs, range_bytes)
+    return write_token_files(encode_in_place(docs, tokenizer_encoder(path), bounds), len(bounds) + 1, folder, segment=segment, file_ids=file_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = materialise(encode_in_place(docs, tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json")), packed=True), "tokens")
-    files = write_token_files(tokens, work_dir(spark, "token-files"))
-    return read_token_files(spark, files)
+    return read_token_files(spark, token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), work_dir(spark, "token-files")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,7 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that a Python step looks at together; a longer text is a step of its own.
 SLICE_BYTES = 4 << 20
@@ -21,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder that the cluster names in spark.checkpoint.dir."""
+    """A fresh folder below the shared folder that the cluster names in spark.checkpoint.dir; a temporary one in local mode if it names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.getCheckpointDir():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hypersurf-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -38,6 +43,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def columns(df: DataFrame, more: str) -> StructType:
+    """Schema of a step that adds columns to those of df."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def plain_names(docs: DataFrame) -> DataFrame:
+    """docs with names of columns that clash with nothing, but for text."""
+    return docs.toDF(*["text" if c == "text" else f"_{k}" for k, c in enumerate(docs.columns)])
+
+
+def own_names(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, by its names, of a frame made from plain_names(docs)."""
+    return df.select([F.col("text" if c == "text" else f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,6 +94,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Gives freed memory of a Python worker back, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text, empty for null."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

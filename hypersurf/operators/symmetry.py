@@ -13,7 +13,6 @@ from itertools import permutations, product
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import cells
@@ -80,11 +79,3 @@ def orbit_sizes(m: DataFrame, n: int) -> DataFrame:
     moved = labels.withColumn("sq", F.explode(F.expr(f"sequence(0, {cells.sizes(n)[2] - 1})"))).where("(shiftright(label, sq) & 1) = 1").join(group, "sq")
     each = moved.groupBy("label", "g").agg(F.bit_or(F.expr("shiftleft(1L, sq_image)")).alias("image"))
     return each.groupBy("label").agg(F.countDistinct("image").cast("int").alias("orbit_size"))
-
-
-def neighbor_ranks(signatures: DataFrame, n: int) -> DataFrame:
-    """cid, vertex, coord, rank: place of a neighbour's signature among the distinct ones around the vertex."""
-    near = F.broadcast(cells.vertex_neighbors(signatures.sparkSession, n))
-    around = near.join(signatures.select("cid", F.col("vertex").alias("nbr"), "sig2"), "nbr")
-    rank = F.dense_rank().over(W.partitionBy("cid", "vertex").orderBy("sig2")) - 1
-    return around.select("cid", "vertex", "coord", rank.cast("int").alias("rank"))

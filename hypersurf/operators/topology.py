@@ -1,16 +1,19 @@
 """Tests of complexes in long form (cid, sq): one row a square.
 
-Incidence tables have a few hundred rows at most and are broadcast; every result is one or two aggregations on cid.
+Every test gathers a complex in one aggregation on cid, the only shuffle, as a mask of its squares (limbs of 60 bits, the lowest first; one limb
+up to the 4-cube), and is then evaluated row by row against the cube's incidence as literals: numbers of squares are bit counts of masks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cells
+from .incidence import incidence
+
+#: Bits of a limb: a struct or array of limbs orders as the number, as the sign bit is never set.
+LIMB = 60
 
 #: Code of a vertex with (edges, squares) of the complex; from the 7-cube on also the second table.
 CODES = {(2, 1): 1, (3, 2): 2, (3, 3): 3, (4, 2): 4, (4, 3): 5, (4, 4): 6, (5, 3): 7, (5, 4): 8, (5, 5): 9, (6, 3): 10, (6, 4): 11, (6, 5): 12, (6, 6): 13}
@@ -32,45 +35,89 @@ def other(n: int) -> int:
     return 18 if n >= 7 else 14
 
 
-def _lookup(table: dict, key: Column, default: int) -> Column:
-    return reduce(lambda c, kv: F.when(key == F.lit(kv[0]), F.lit(kv[1])).otherwise(c), table.items(), F.lit(default))
+def literal(x) -> str:
+    """SQL of a number, or of a list of lists of numbers."""
+    return f"array({', '.join(map(literal, x))})" if isinstance(x, (list, tuple)) else str(x)
+
+
+def _mask(squares, n: int):
+    """Squares as the mask of a single limb, or as a list of squares where the cube needs more."""
+    return f"{sum(1 << s for s in squares)}L" if one_limb(n) else list(squares)
+
+
+def one_limb(n: int) -> bool:
+    return cells.sizes(n)[2] <= LIMB
+
+
+def limbs(sq: str, n: int) -> list:
+    """Aggregates of squares to limbs; a square outside the cube raises."""
+    n2 = cells.sizes(n)[2]
+    known = f"if({sq} < 0 or {sq} >= {n2}, raise_error('square outside 0 to {n2 - 1}'), {sq})"
+    return [F.bit_or(F.expr(f"if({known} div {LIMB} = {k}, shiftleft(1L, cast({sq} % {LIMB} as int)), 0L)")) for k in range(-(-n2 // LIMB))]
+
+
+def states(c: DataFrame, n: int) -> DataFrame:
+    """cid and limbs of each complex, and deg: how many of its squares lie on each edge."""
+    out = c.groupBy("cid").agg(F.array(*limbs("sq", n)).alias("limbs"))
+    return out.withColumn("deg", F.expr(f"transform({literal([_mask(x, n) for x in incidence(n).squares_on])}, x -> {count('x', n)})"))
 
 
-def edge_degrees(c: DataFrame, n: int) -> DataFrame:
-    return c.join(F.broadcast(cells.square_edges(c.sparkSession, n)), "sq").groupBy("cid", "edge").agg(F.count("*").alias("m"))
+def has(sq: str, n: int) -> str:
+    """SQL: whether the complex holds a square."""
+    return f"(shiftright(limbs[0], {sq}) & 1L) = 1L" if one_limb(n) else f"(shiftright(limbs[cast({sq} div {LIMB} as int)], cast({sq} % {LIMB} as int)) & 1L) = 1L"
+
+
+def count(x: str, n: int) -> str:
+    """SQL: how many squares of _mask x the complex holds."""
+    return f"bit_count(limbs[0] & {x})" if one_limb(n) else f"size(filter({x}, q -> {has('q', n)}))"
+
+
+def holds(x: str, n: int) -> str:
+    """SQL: whether the complex holds all squares of _mask x."""
+    return f"(limbs[0] & {x}) = {x}" if one_limb(n) else f"forall({x}, q -> {has('q', n)})"
+
+
+def _edges(where: str) -> str:
+    return f"filter(sequence(0, size(deg) - 1), e -> deg[e] {where})"
 
 
 def edge_test(c: DataFrame, n: int) -> DataFrame:
     """ok: no edge in three squares; closed: every used edge in exactly two."""
-    per = edge_degrees(c, n).groupBy("cid").agg(F.sum("m").alias("sides"), F.min("m").alias("low"), F.max("m").alias("high"))
-    return per.select("cid", (F.col("sides") / 4).cast("int").alias("n_squares"), (F.col("high") <= 2).alias("ok"), ((F.col("high") <= 2) & (F.col("low") == 2)).alias("closed"))
+    ok = F.expr("forall(deg, d -> d <= 2)")
+    return states(c, n).select("cid", F.expr("aggregate(deg, 0, (a, d) -> a + d) div 4").cast("int").alias("n_squares"), ok.alias("ok"), (ok & F.expr("forall(deg, d -> d = 0 or d = 2)")).alias("closed"))
 
 
 def free_edges(c: DataFrame, n: int) -> DataFrame:
-    return edge_degrees(c, n).where("m = 1").select("cid", "edge")
+    return states(c, n).select("cid", F.explode(F.expr(_edges("= 1"))).alias("edge"))
 
 
 def saturated_edges(c: DataFrame, n: int) -> DataFrame:
-    return edge_degrees(c, n).where("m = 2").select("cid", "edge")
+    return states(c, n).select("cid", F.explode(F.expr(_edges("= 2"))).alias("edge"))
+
+
+def _legal(n: int) -> str:
+    """SQL: sq, covers of the absent squares that meet no edge in two or more squares, with the free edges they cover, 1 at least."""
+    near = f"transform({literal(incidence(n).edges_of)}, (es, i) -> named_struct('sq', i, 'most', array_max(transform(es, e -> deg[e])), 'covers', size(filter(es, e -> deg[e] = 1))))"
+    return f"filter({near}, x -> x.most = 1 and not {has('x.sq', n)})"
 
 
 def legal_squares(c: DataFrame, n: int) -> DataFrame:
     """cid, sq, covers: absent squares that meet no edge in two or more squares, with the free edges they cover, 1 at least."""
-    by_edge = F.broadcast(cells.square_edges(c.sparkSession, n))
-    near = edge_degrees(c, n).join(by_edge, "edge").groupBy("cid", "sq").agg(F.max("m").alias("most"), F.count_if(F.col("m") == 1).cast("int").alias("covers"))
-    return near.where("most = 1").join(c, ["cid", "sq"], "left_anti").select("cid", "sq", "covers")
+    return states(c, n).select("cid", F.inline(F.expr(_legal(n)))).select("cid", "sq", "covers")
+
+
+def _histogram(c: DataFrame, n: int) -> DataFrame:
+    counts = states(c, n).withColumn("legal", F.expr(_legal(n)))
+    return counts.select("cid", "deg", *[F.expr(f"size(filter(legal, x -> x.covers = {k}))").alias(f"b{k}") for k in range(1, 5)])
 
 
 def coverage_histogram(c: DataFrame, n: int) -> DataFrame:
-    legal = legal_squares(c, n)
-    counts = legal.groupBy("cid").agg(*[F.count_if(F.col("covers") == k).cast("int").alias(f"b{k}") for k in range(1, 5)])
-    return c.select("cid").distinct().join(counts, "cid", "left").na.fill(0)
+    return _histogram(c, n).drop("deg")
 
 
 def coverage_prune(c: DataFrame, n: int, max_squares: int) -> DataFrame:
     """Whether a complex can still be closed within max_squares, by what its best legal squares cover."""
-    free = free_edges(c, n).groupBy("cid").agg(F.count("*").cast("int").alias("free"))
-    base = c.groupBy("cid").agg(F.count("*").cast("int").alias("n_squares")).join(coverage_histogram(c, n), "cid").join(free, "cid", "left").na.fill(0)
+    base = _histogram(c, n).withColumn("n_squares", F.expr("aggregate(deg, 0, (a, d) -> a + d) div 4").cast("int")).withColumn("free", F.expr("size(filter(deg, d -> d = 1))"))
     left = F.greatest(F.lit(0), max_squares - F.col("n_squares"))
     cap, rest = F.lit(0), left
     for k in (4, 3, 2, 1):
@@ -80,34 +127,30 @@ def coverage_prune(c: DataFrame, n: int, max_squares: int) -> DataFrame:
     return base.select("cid", "n_squares", "free", cap.alias("cap"), keep.alias("keep"))
 
 
-def vertex_codes(c: DataFrame, n: int) -> DataFrame:
-    """cid, vertex, edges, squares, code of every used vertex."""
-    spark = c.sparkSession
-    edges = c.join(F.broadcast(cells.square_edges(spark, n)), "sq").select("cid", "edge").distinct()
-    edges = edges.join(F.broadcast(cells.edge_vertices(spark, n)), "edge").groupBy("cid", "vertex").agg(F.count("*").cast("int").alias("edges"))
-    squares = c.join(F.broadcast(cells.square_vertices(spark, n)), "sq").groupBy("cid", "vertex").agg(F.count("*").cast("int").alias("squares"))
-    key = F.col("edges") * 8 + F.col("squares")
-    code = _lookup({e * 8 + s: k for (e, s), k in codes(n).items()}, key, other(n))
-    return edges.join(squares, ["cid", "vertex"]).select("cid", "vertex", "edges", "squares", code.alias("code"))
+def with_codes(s: DataFrame, n: int) -> DataFrame:
+    """states with edges, squares and code of every vertex of the cube (code 0 where it is unused)."""
+    at, top = incidence(n), n * (n - 1) // 2 + 1
+    table = [codes(n).get((e, q), other(n)) if e else 0 for e in range(n + 1) for q in range(top)]
+    s = s.withColumn("edges", F.expr(f"transform({literal(at.edges_at)}, es -> size(filter(es, e -> deg[e] > 0)))"))
+    s = s.withColumn("squares", F.expr(f"transform({literal([_mask(x, n) for x in at.squares_at])}, x -> {count('x', n)})"))
+    return s.withColumn("code", F.expr(f"zip_with(edges, squares, (e, q) -> {literal(table)}[e * {top} + q])"))
 
 
-def full_cycles(c: DataFrame, n: int) -> DataFrame:
-    """cid, vertex, len of short link cycles all of whose squares are present."""
-    table = cells.link_cycles(c.sparkSession, n)
-    squares = table.withColumn("cycle", F.struct("vertex", "s1", "s2", "s3", "s4", "s5")).select("vertex", "len", "cycle", F.explode(F.filter(F.array("s1", "s2", "s3", "s4", "s5"), lambda s: s >= 0)).alias("sq"))
-    met = c.join(F.broadcast(squares), "sq").groupBy("cid", "vertex", "len", "cycle").agg(F.count("*").alias("k"))
-    return met.where("k = len").select("cid", "vertex", "len").distinct()
+def vertex_codes(c: DataFrame, n: int) -> DataFrame:
+    """cid, vertex, edges, squares, code of every used vertex."""
+    rows = F.explode(F.expr("filter(sequence(0, size(code) - 1), v -> edges[v] > 0)")).alias("vertex")
+    return with_codes(states(c, n), n).select("cid", rows, "edges", "squares", "code").select("cid", "vertex", *[F.expr(f"cast({x}[vertex] as int)").alias(x) for x in ("edges", "squares", "code")])
 
 
 def link_class(c: DataFrame, n: int) -> DataFrame:
     """bad: a link has several paths; hopeless: a link can't become one path or one cycle any more."""
-    held = full_cycles(c, n).groupBy("cid", "vertex").agg(F.collect_set("len").alias("lens"))
-    at = vertex_codes(c, n).join(held, ["cid", "vertex"], "left")
-    bad = F.col("code").isin(*(BAD + BAD_7 if n >= 7 else BAD))
-    hopeless = F.col("code") == other(n)
+    hopeless = [f"exists(code, k -> k = {other(n)})"]
     for length, of in (HOPELESS_7 if n >= 7 else HOPELESS).items():
-        hopeless = hopeless | (F.col("code").isin(*of) & F.coalesce(F.array_contains("lens", length), F.lit(False)))
-    return at.groupBy("cid").agg(F.bool_or(bad).alias("bad"), F.bool_or(hopeless).alias("hopeless"))
+        cycles = [[_mask(x, n) for x in at.get(length, ())] for at in incidence(n).cycles]
+        if of and any(cycles):
+            hopeless.append(f"exists(sequence(0, size(code) - 1), v -> code[v] in ({', '.join(map(str, of))}) and exists({literal(cycles)}[v], x -> {holds('x', n)}))")
+    bad = f"exists(code, k -> k in ({', '.join(map(str, BAD + BAD_7 if n >= 7 else BAD))}))"
+    return with_codes(states(c, n), n).select("cid", F.expr(bad).alias("bad"), F.expr(" or ".join(hopeless)).alias("hopeless"))
 
 
 def keep_rules(c: DataFrame, n: int) -> DataFrame:
@@ -123,61 +166,93 @@ def keep_rules(c: DataFrame, n: int) -> DataFrame:
     return both.select("cid", F.inline(rows))
 
 
+def _priority(c: DataFrame, n: int) -> DataFrame:
+    """states with weight (of each free edge, its lighter end's; null for others), least and first, the first edge of that weight (null without free edges).
+
+    No filter may follow on these: it would be pushed down with a copy of their expressions for each reference.
+    """
+    table = [WEIGHTS.get(k, 0) for k in range(other(n) + 1)]
+    s = with_codes(states(c, n), n)
+    s = s.withColumn("weight", F.expr(f"transform({literal(incidence(n).ends)}, (vs, e) -> if(deg[e] = 1, least({literal(table)}[code[vs[0]]], {literal(table)}[code[vs[1]]]), null))"))
+    s = s.withColumn("least", F.expr("array_min(weight)"))
+    return s.withColumn("first", F.expr("if(least is null, null, cast(array_position(weight, least) as int) - 1)"))
+
+
 def priority_edges(c: DataFrame, n: int) -> DataFrame:
     """Free edges of the least weight of their complex; an edge weighs as its lighter end."""
-    weight = _lookup(WEIGHTS, F.col("code"), 0)
-    ends = free_edges(c, n).join(F.broadcast(cells.edge_vertices(c.sparkSession, n)), "edge").join(vertex_codes(c, n), ["cid", "vertex"])
-    each = ends.groupBy("cid", "edge").agg(F.min(weight).alias("w"))
-    least = each.groupBy("cid").agg(F.min("w").alias("least"))
-    return each.join(least, "cid").where("w = least").select("cid", "edge", F.col("w").alias("weight"))
+    edges = F.explode(F.expr("filter(sequence(0, size(deg) - 1), e -> weight[e] = least)")).alias("edge")
+    return _priority(c, n).select("cid", edges, F.col("least").alias("weight"))
+
+
+def _on_first(n: int) -> str:
+    """SQL: the legal squares on the first edge of priority."""
+    return f"filter({literal(incidence(n).squares_on)}[first], s -> not {has('s', n)} and forall({literal(incidence(n).edges_of)}[s], e -> deg[e] <= 1))"
 
 
 def extend_closed(c: DataFrame, n: int) -> DataFrame:
     """cid, sq: legal squares on the first edge of priority."""
-    first = priority_edges(c, n).groupBy("cid").agg(F.min("edge").alias("edge"))
-    on = first.join(F.broadcast(cells.square_edges(c.sparkSession, n)), "edge").select("cid", "sq")
-    return on.join(legal_squares(c, n), ["cid", "sq"], "left_semi")
+    return _priority(c, n).select("cid", F.explode(F.expr(_on_first(n))).alias("sq"))
 
 
 def extend_any(c: DataFrame, n: int) -> DataFrame:
     """cid, sq: every absent square."""
-    every = c.select("cid").distinct().withColumn("sq", F.explode(F.expr(f"sequence(0, {cells.sizes(n)[2] - 1})")))
-    return every.join(c, ["cid", "sq"], "left_anti")
+    return states(c, n).select("cid", F.explode(F.expr(f"filter(sequence(0, {cells.sizes(n)[2] - 1}), s -> not {has('s', n)})")).alias("sq"))
+
+
+def _absent_where(n: int, edge: str) -> str:
+    """SQL: absent squares with an edge e for which `edge` holds."""
+    absent = f"filter(transform({literal(incidence(n).edges_of)}, (es, s) -> if(not {has('s', n)} and exists(es, e -> {edge}), s, null)), s -> s is not null)"
+    return absent
 
 
 def extend_boundary(c: DataFrame, n: int) -> DataFrame:
     """cid, sq: absent squares on any free edge."""
-    on = free_edges(c, n).join(F.broadcast(cells.square_edges(c.sparkSession, n)), "edge").select("cid", "sq").distinct()
-    return on.join(c, ["cid", "sq"], "left_anti")
+    return states(c, n).select("cid", F.explode(F.expr(_absent_where(n, "deg[e] = 1"))).alias("sq"))
 
 
 def extend_disconnected(c: DataFrame, n: int) -> DataFrame:
     """cid, sq: absent squares on the first free edge; every absent square where no edge is free."""
-    free = free_edges(c, n)
-    first = free.groupBy("cid").agg(F.min("edge").alias("edge"))
-    on = first.join(F.broadcast(cells.square_edges(c.sparkSession, n)), "edge").select("cid", "sq").join(c, ["cid", "sq"], "left_anti")
-    return on.unionByName(extend_any(c.join(first, "cid", "left_anti"), n))
+    first = states(c, n).withColumn("first", F.expr("cast(array_position(deg, 1) as int) - 1"))
+    return first.select("cid", F.explode(F.expr(_absent_where(n, "first = -1 or e = first"))).alias("sq"))
 
 
 def lookahead(c: DataFrame, n: int) -> DataFrame:
     """Whether some legal square lies on the first edge of priority."""
-    first = priority_edges(c, n).select("cid").distinct()
-    return first.join(extend_closed(c, n).groupBy("cid").agg(F.count("*").cast("int").alias("moves")), "cid", "left").na.fill(0).select("cid", "moves", (F.col("moves") > 0).alias("feasible"))
+    moves = f"if(first is null, array(), transform(array(size({_on_first(n)})), k -> named_struct('moves', k, 'feasible', k > 0)))"
+    return _priority(c, n).select("cid", F.inline(F.expr(moves)))
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL of body with a name for a value that it uses several times."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _signed(c: DataFrame, n: int) -> DataFrame:
+    """cid, sig1 and sig2 of every vertex of the cube, as arrays by vertex."""
+    near = literal(incidence(n).near)
+    s = with_codes(states(c, n), n).select("cid", F.expr("transform(code, k -> lpad(cast(k as string), 2, '0'))").alias("sig"))
+    for name, of, by in (("sig1", ":", ","), ("sig2", "|", ";")):
+        before = "sig" if name == "sig1" else "sig1"
+        s = s.withColumn(name, F.expr(f"transform({near}, (ws, v) -> concat({before}[v], '{of}', array_join(array_sort(transform(ws, w -> {before}[w])), '{by}')))"))
+    return s.select("cid", "sig1", "sig2")
 
 
 def vertex_signatures(c: DataFrame, n: int) -> DataFrame:
     """cid, vertex, sig1 (code, then the neighbours' codes in order) and sig2 (the same of sig1) of every vertex of the cube."""
-    spark = c.sparkSession
-    every = c.select("cid").distinct().withColumn("vertex", F.explode(F.expr(f"sequence(0, {2**n - 1})")))
-    code = F.lpad(F.coalesce("code", F.lit(0)).cast("string"), 2, "0")
-    zero = every.join(vertex_codes(c, n), ["cid", "vertex"], "left").select("cid", "vertex", code.alias("sig"))
-    near = F.broadcast(cells.vertex_neighbors(spark, n).select("vertex", F.col("nbr")))
-
-    def hop(s: DataFrame, by: str, of: str, name: str) -> DataFrame:
-        around = s.join(near, "vertex").select("cid", F.col("nbr").alias("vertex"), F.col("sig").alias("x"))
-        lists = around.groupBy("cid", "vertex").agg(F.array_join(F.array_sort(F.collect_list("x")), by).alias("around"))
-        return s.join(lists, ["cid", "vertex"]).select("cid", "vertex", F.concat("sig", F.lit(of), "around").alias(name))
-
-    one = hop(zero, ",", ":", "sig1")
-    two = hop(one.withColumnRenamed("sig1", "sig"), ";", "|", "sig2")
-    return one.join(two, ["cid", "vertex"])
+    return _signed(c, n).select("cid", F.posexplode(F.arrays_zip("sig1", "sig2")).alias("vertex", "s")).select("cid", "vertex", "s.sig1", "s.sig2")
+
+
+def neighbor_ranks(c: DataFrame, n: int) -> DataFrame:
+    """cid, vertex, coord, rank: place of a neighbour's signature among the distinct ones around the vertex."""
+    ranks = f"transform({literal(incidence(n).near)}, ws -> transform(ws, w -> size(filter(array_distinct(transform(ws, x -> sig2[x])), y -> y < sig2[w]))))"
+    rows = _signed(c, n).select("cid", F.posexplode(F.expr(ranks)).alias("vertex", "r"))
+    return rows.select("cid", "vertex", F.posexplode("r").alias("coord", "rank"))
+
+
+def refined_ranks(c: DataFrame, n: int, rounds: int = 3) -> DataFrame:
+    """cid, vertex, rank after so many rounds, each of which ranks the vertices by their own rank and their neighbours' in order, starting from the codes."""
+    near, rank = literal(incidence(n).near), "code"
+    for _ in range(rounds):
+        signed = f"transform({near}, (ws, v) -> concat(array(r[v]), array_sort(transform(ws, w -> r[w]))))"
+        rank = let(rank, "r", let(signed, "g", let("array_sort(array_distinct(g))", "o", "transform(g, x -> cast(array_position(o, x) as int) - 1)")))
+    return with_codes(states(c, n), n).select("cid", F.posexplode(F.expr(rank)).alias("vertex", "rank"))

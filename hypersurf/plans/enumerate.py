@@ -2,15 +2,19 @@
 
 One level is one job: every complex of the frontier is extended by a square, children are tested and labelled in Arrow batches,
 and one shuffle by label removes copies.  The label itself is the representative, so no order or id matters.  Levels are
-Parquet folders; the driver loop reads counts only.
+Parquet folders; the driver loop reads counts only.  What a level's tasks count (children, prunes, labels) is a row of the level
+with an empty label, so that it is right when tasks run again.  A run that ended early goes on from its last complete level.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
 from functools import lru_cache
 from itertools import permutations, product
 
@@ -19,13 +23,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cells, topology
+from ..operators.incidence import Incidence
 
 MODES = ("", "d", "b", "db")
+#: What tasks count, in the order of the counts of a level.
+COUNTS = ("generated", "prune_global_coverage", "prune_edge_neighborhood", "canon_calls", "canon_root_candidates", "canon_tau_trials")
+#: Depth from which the look-ahead has a budget.
+BUDGET_DEPTH = 4
+
+
+def env_flag(value: str | None, default: bool) -> bool:
+    """1, true, yes, on (y, t) are true, 0, false, no, off (n, f) false, in any case; else the default."""
+    word = (value or "").strip().lower()
+    return True if word in ("1", "true", "yes", "on", "y", "t") else False if word in ("0", "false", "no", "off", "n", "f") else default
+
+
+def env_number(value: str | None, default: int | None) -> int | None:
+    """A positive number, else the default."""
+    word = (value or "").strip()
+    return int(word) if word.isdigit() and int(word) > 0 else default
 
 
 @dataclass(frozen=True)
 class Options:
-    """mode: closed connected (""), closed with several parts ("d"), with boundary ("b"), both ("db")."""
+    """mode: closed connected (""), closed with several parts ("d"), with boundary ("b"), both ("db").
+
+    max_squares bounds closed modes only.  lookahead: moves that the look-ahead tries (0: none); from BUDGET_DEPTH on it may visit lookahead_nodes
+    complexes, and more are an error.  labels: "canonical", or "none" to keep complexes as they are, without reduction by symmetry.
+    seed: "first" square, or "all" of them.
+    """
 
     n: int
     mode: str = ""
@@ -33,53 +59,50 @@ class Options:
     stop_level: int | None = None
     check_links: bool = True
     coverage_prune: bool = True
-    lookahead: int = 1
+    edge_prune: bool = True
+    lookahead: int = 4
     lookahead_nodes: int = 200_000
+    labels: str = "canonical"
+    seed: str = "first"
 
     def __post_init__(self):
         cells.check_dimension(self.n)
         if self.mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}, not {self.mode!r}")
+        if self.labels not in ("canonical", "none") or self.seed not in ("first", "all"):
+            raise ValueError("labels must be canonical or none, seed first or all")
+
+    @classmethod
+    def historical(cls, n: int, mode: str = "", **more) -> Options:
+        """The settings of the first long runs."""
+        return cls(n, mode, **({"max_squares": 36, "lookahead": 1} | more))
+
+    @classmethod
+    def from_env(cls, n: int, mode: str = "", env: dict[str, str] | None = None) -> Options:
+        """Settings by the names of environment variables."""
+        env = dict(os.environ) if env is None else env
+        if env_flag(env.get("RUN35_COMPAT"), False):
+            return cls.historical(n, mode, stop_level=env_number(env.get("TEST_UP_TO"), None), check_links=env_flag(env.get("CHECK_VERTEX_LINKS"), True))
+        return cls(
+            n, mode, max_squares=env_number(env.get("MAX_SQUARES"), None), stop_level=env_number(env.get("TEST_UP_TO"), None), check_links=env_flag(env.get("CHECK_VERTEX_LINKS"), True),
+            coverage_prune=env_flag(env.get("GLOBAL_COVERAGE_PRUNE"), True), edge_prune=env_flag(env.get("EDGE_NEIGHBORHOOD_PRUNE"), True),
+            lookahead=env_number(env.get("EDGE_NEIGHBORHOOD_LOOKAHEAD"), 4), lookahead_nodes=env_number(env.get("EDGE_NEIGHBORHOOD_LOOKAHEAD_NODE_BUDGET"), 200_000),
+        )
+
+    @property
+    def cap(self) -> int:
+        """Squares that a surface can have."""
+        every = cells.sizes(self.n)[2]
+        return min(every, self.max_squares or every) if self.mode in ("", "d") else every
 
 
-class Cube:
-    """Incidence of the n-cube as index lists, for the kernel."""
+class Cube(Incidence):
+    """Incidence with vertex codes and cycles as masks, for the kernel."""
 
     def __init__(self, n: int):
-        every = list(product(range(3), repeat=n))
-        by_dim = [[c for c in every if c.count(2) == d] for d in range(3)]
-        index = [{c: i for i, c in enumerate(x)} for x in by_dim]
-        cut = lambda c: [c[:k] + (b,) + c[k + 1 :] for k in range(n) if c[k] == 2 for b in (0, 1)]
-        self.n, self.squares, self.square_index = n, by_dim[2], index[2]
-        self.edges_of = [[index[1][f] for f in cut(s)] for s in by_dim[2]]
-        self.ends = [[index[0][f] for f in cut(e)] for e in by_dim[1]]
-        self.vertices_of = [sorted({v for e in es for v in self.ends[e]}) for es in self.edges_of]
-        self.squares_on = [[] for _ in by_dim[1]]
-        for s, es in enumerate(self.edges_of):
-            for e in es:
-                self.squares_on[e].append(s)
-        self.vertices = by_dim[0]
-        self.near = [[index[0][v[:k] + (1 - v[k],) + v[k + 1 :]] for k in range(n)] for v in by_dim[0]]
+        super().__init__(n)
         self.codes, self.other = topology.codes(n), topology.other(n)
-        self.cycles = self._cycles()
-
-    def _cycles(self) -> list[dict[int, list[int]]]:
-        """For each vertex and length the masks of closed walks of squares around it."""
-        at = [[] for _ in self.vertices]
-        for s, vs in enumerate(self.vertices_of):
-            dirs = sum(1 << k for k in range(self.n) if self.squares[s][k] == 2)
-            for v in vs:
-                at[v].append((1 << s, dirs))
-        out = []
-        for around in at:
-            found: dict[int, list[int]] = {}
-            layer = [(m, d, i) for i, (m, d) in enumerate(around)]
-            for length in range(2, 6 if self.n >= 7 else 5):
-                layer = [(m | around[j][0], d ^ around[j][1], j) for m, d, i in layer for j in range(i + 1, len(around))]
-                if length >= 3:
-                    found[length] = [m for m, d, _ in layer if not d]
-            out.append(found)
-        return out
+        self.cycles = [{k: [sum(1 << s for s in x) for x in cycles] for k, cycles in at.items()} for at in self.cycles]
 
 
 @lru_cache
@@ -141,55 +164,63 @@ class Complex:
         covers = [sum(e in free for e in self.c.edges_of[s]) for s in {s for e in free for s in self.c.squares_on[e]} if self.legal(s)]
         return sum(sorted(covers, reverse=True)[:left]) >= len(free)
 
-    def feasible(self, left: int, depth: int, budget: list[int]) -> bool:
-        """Whether some `depth` legal moves on edges of priority keep the rest coverable; an exhausted budget says yes."""
+    def feasible(self, left: int, depth: int, budget: list[int] | None) -> bool:
+        """Whether some `depth` legal moves on edges of priority keep the rest coverable; an exhausted budget is an error."""
         if not self.degree or not self.free:
             return True
         if left <= 0:
             return False
         for s in sorted({s for e in self.priority() for s in self.c.squares_on[e] if self.legal(s)}):
-            budget[0] -= 1
-            if budget[0] < 0:
-                return True
+            if budget is not None:
+                budget[0] -= 1
+                if budget[0] < 0:
+                    raise RuntimeError("the look-ahead visited more complexes than lookahead_nodes allows")
             child = Complex(self.c, self.mask | 1 << s)
             if child.coverable(left - 1) and (depth <= 1 or child.feasible(left - 1, depth - 1, budget)):
                 return True
         return False
 
-    def extensions(self, o: Options) -> list[int]:
+    def extensions(self, o: Options, counts: dict[str, int]) -> list[int]:
         """Squares that may be added in this mode."""
         c = self.c
-        absent = [s for s in range(len(c.squares)) if not self.mask >> s & 1]
-        if o.max_squares is not None and len(self.squares) >= o.max_squares:
-            return []
-        if o.mode == "db":
-            return absent
-        if o.mode == "b":
-            on = {s for e in self.free for s in c.squares_on[e]}
-            return [s for s in absent if s in on]
-        if o.mode == "d":
+        if o.mode != "":
+            absent = [s for s in range(len(c.squares)) if not self.mask >> s & 1]
+            if o.mode == "db":
+                return absent
+            if o.mode == "b":
+                on = {s for e in self.free for s in c.squares_on[e]}
+                return [s for s in absent if s in on]
             free = self.free
             return [s for s in c.squares_on[free[0]] if not self.mask >> s & 1] if free else absent
-        if o.max_squares is not None and o.coverage_prune:
-            left = o.max_squares - len(self.squares)
-            if not self.coverable(left) or o.lookahead and not self.feasible(left, o.lookahead, [o.lookahead_nodes]):
-                return []
+        left = o.cap - len(self.squares)
+        if left <= 0:
+            return []
+        if o.coverage_prune and not self.coverable(left):
+            counts["prune_global_coverage"] += 1
+            return []
+        if o.edge_prune and o.lookahead and not self.feasible(left, o.lookahead, [o.lookahead_nodes] if o.lookahead >= BUDGET_DEPTH else None):
+            counts["prune_edge_neighborhood"] += 1
+            return []
         edges = self.priority()
         return [s for s in c.squares_on[edges[0]] if self.legal(s)] if edges else []
 
-    def label(self, codes: dict[int, int]) -> int:
+    def label(self, codes: dict[int, int], counts: dict[str, int] | None = None) -> int:
         """Least image under the symmetries that send a vertex of least signature to the origin and sort its neighbours."""
         c, n = self.c, self.c.n
         sig = [codes.get(v, 0) for v in range(len(c.vertices))]
         for _ in range(2):
             sig = [(sig[v], tuple(sorted(sig[w] for w in c.near[v]))) for v in range(len(c.vertices))]
         least, best = min(sig), None
+        counts = counts if counts is not None else dict.fromkeys(COUNTS, 0)
+        counts["canon_calls"] += 1
         for root in (v for v in range(len(sig)) if sig[v] == least):
+            counts["canon_root_candidates"] += 1
             around = [sig[w] for w in c.near[root]]
             ranks = {x: i for i, x in enumerate(sorted(set(around)))}
             groups = [[k for k in range(n) if ranks[around[k]] == r] for r in range(len(ranks))]
             flipped = [tuple(d if d == 2 else d ^ r for d, r in zip(c.squares[s], c.vertices[root], strict=True)) for s in self.squares]
             for parts in product(*(permutations(g) for g in groups)):
+                counts["canon_tau_trials"] += 1
                 order = [k for p in parts for k in p]
                 image = 0
                 for s in flipped:
@@ -199,11 +230,12 @@ class Complex:
         return best
 
 
-def children(o: Options, mask: int) -> Iterator[tuple[int, bool, bool]]:
+def children(o: Options, mask: int, counts: dict[str, int] | None = None) -> Iterator[tuple[int, bool, bool]]:
     """(label, to the frontier, accepted) of every child that is kept."""
-    c = cube(o.n)
+    c, counts = cube(o.n), counts if counts is not None else dict.fromkeys(COUNTS, 0)
     parent = Complex(c, mask)
-    for s in parent.extensions(o):
+    for s in parent.extensions(o, counts):
+        counts["generated"] += 1
         child = Complex(c, mask | 1 << s)
         if max(child.degree.values()) > 2:
             continue
@@ -217,52 +249,112 @@ def children(o: Options, mask: int) -> Iterator[tuple[int, bool, bool]]:
         else:
             labeled, good = True, not bad and (closed or "b" in o.mode)
         if labeled or good:
-            yield child.label(codes), labeled, good
+            yield child.label(codes, counts) if o.labels == "canonical" else child.mask, labeled, good
 
 
-SCHEMA = "label binary, labeled boolean, good boolean"
+SCHEMA = "label binary, labeled boolean, good boolean, counts array<bigint>"
+METRICS = "level int, frontier long, good long, ms long, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
 def step(frontier: DataFrame, o: Options) -> DataFrame:
-    """label, labeled, good of the distinct children of a frontier (label)."""
+    """label, labeled, good of the distinct children of a frontier (label); a row with an empty label has the counts of the tasks."""
     size = -(-cells.sizes(o.n)[2] // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = dict.fromkeys(COUNTS, 0)
+
+        def batch(found: dict[bytes, tuple[bool, bool]], counted: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x for x, _ in found.values()], pa.bool_()), pa.array([x for _, x in found.values()], pa.bool_()), pa.array(counted, pa.list_(pa.int64()))], ["label", "labeled", "good", "counts"])
+
         for b in batches:
             found: dict[bytes, tuple[bool, bool]] = {}
             for parent in b.column("label").to_pylist():
-                for label, labeled, good in children(o, int.from_bytes(parent, "big")):
+                for label, labeled, good in children(o, int.from_bytes(parent, "big"), counts):
                     found[label.to_bytes(size, "big")] = (labeled, good)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x for x, _ in found.values()], pa.bool_()), pa.array([x for _, x in found.values()], pa.bool_())], ["label", "labeled", "good"])
+            yield batch(found, [None] * len(found))
+        yield batch({b"": (False, False)}, [list(counts.values())])
 
-    return frontier.mapInArrow(run, SCHEMA).groupBy("label").agg(F.bool_or("labeled").alias("labeled"), F.bool_or("good").alias("good"))
+    sums = F.when(F.length("label") == 0, F.array(*[F.sum(F.get("counts", F.lit(k))) for k in range(len(COUNTS))]))
+    return frontier.mapInArrow(run, SCHEMA).groupBy("label").agg(F.bool_or("labeled").alias("labeled"), F.bool_or("good").alias("good"), sums.alias("counts"))
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hypersurf-")
-    return f"{base.rstrip('/')}/levels-{uuid.uuid4().hex[:12]}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
+    return f"{(base or tempfile.mkdtemp(prefix='hypersurf-')).rstrip('/')}/levels-{uuid.uuid4().hex[:12]}"
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def enumerate_surfaces(spark: SparkSession, options: Options, path: str | None = None) -> tuple[DataFrame, list[dict]]:
-    """Accepted surfaces (squares, label) and, for each level, its counts.
+def enumerate_surfaces(spark: SparkSession, options: Options, path: str | None = None, resume: bool = False) -> tuple[DataFrame, list[dict]]:
+    """Accepted surfaces (squares, label) and, for each level, its metrics (METRICS).
 
-    path: folder of the levels; an existing one is an error.
+    path: folder of the levels; an existing one is an error unless resume, which goes on after its last complete level.
     """
     o, path = options, path or folder(spark)
     size = -(-cells.sizes(o.n)[2] // 8)
-    seed = (1).to_bytes(size, "big")
-    spark.createDataFrame([(seed, True, "b" in o.mode)], SCHEMA).write.parquet(f"{path}/level=1")
-    last, metrics, level = o.stop_level or cells.sizes(o.n)[2], [], 1
+    seeds = [(1 << s).to_bytes(size, "big") for s in range(cells.sizes(o.n)[2] if o.seed == "all" else 1)]
+    if not (resume and _complete(spark, f"{path}/level=1")):
+        spark.createDataFrame([(x, True, "b" in o.mode, None) for x in seeds], SCHEMA).write.mode("overwrite" if resume else "errorifexists").parquet(f"{path}/level=1")
+    last, metrics, level = min(o.stop_level or o.cap, o.cap), [], 1
     while level < last:
         done = spark.read.schema(SCHEMA).parquet(f"{path}/level={level}").where("labeled").select("label")
         count = done.count()
         if not count:
             break
-        level += 1
-        # A complex takes milliseconds, so small levels are spread by count, not by bytes.
-        wide = done.repartition(min(count, max(spark.sparkContext.defaultParallelism, -(-count // 2000))))
-        step(wide, o).write.parquet(f"{path}/level={level}")
-        made = spark.read.schema(SCHEMA).parquet(f"{path}/level={level}").agg(F.count_if("labeled"), F.count_if("good")).first()
-        metrics.append({"level": level, "frontier": made[0], "good": made[1]})
+        level, began = level + 1, time.time()
+        if not (resume and _complete(spark, f"{path}/level={level}")):
+            # A complex takes milliseconds, so small levels are spread by count, not by bytes.
+            wide = done.repartition(min(count, max(spark.sparkContext.defaultParallelism, -(-count // 2000))))
+            step(wide, o).write.mode("overwrite" if resume else "errorifexists").parquet(f"{path}/level={level}")
+        made = spark.read.schema(SCHEMA).parquet(f"{path}/level={level}").agg(F.count_if("labeled"), F.count_if("good"), F.max("counts")).first()
+        metrics.append({"level": level, "frontier": made[0], "good": made[1], "ms": int(1000 * (time.time() - began))} | dict(zip(COUNTS, made[2] or [0] * len(COUNTS), strict=True)))
     goods = spark.read.schema(SCHEMA + ", level int").parquet(path).where("good")
     return goods.select(F.col("level").alias("squares"), "label"), metrics
+
+
+def metrics_frame(spark: SparkSession, metrics: list[dict]) -> DataFrame:
+    return spark.createDataFrame([tuple(m[x.split()[0]] for x in METRICS.split(", ")) for m in metrics], METRICS)
+
+
+def log_lines(o: Options, metrics: list[dict], label: str = "-", when: datetime | None = None) -> list[str]:
+    """The run's records as lines of a log, in the form that plans/profile.py reads."""
+    ts = f"{when or datetime.now():%Y-%m-%d %H:%M:%S}"
+    out = [
+        f"{ts} run_start run_label={label} n={o.n} dbprefix={o.mode} max_squares={o.max_squares} global_coverage_prune={str(o.coverage_prune).lower()} edge_neighborhood_prune={str(o.edge_prune).lower()} "
+        f"edge_neighborhood_lookahead={o.lookahead} edge_neighborhood_lookahead_node_budget={o.lookahead_nodes} check_vertex_links={str(o.check_links).lower()}"
+    ]
+    for m in metrics:
+        at = f"{ts} level={m['level']}"
+        out += [
+            f"{at} chunk=1/1 read_ms=0 analyze_ms={m['ms']} reduce_ms=0 proc_ms={m['ms']} generated={m['generated']} labeled_ins={m['frontier']} good_ins={m['good']}",
+            f"{at} commit_ms=0 chunks_in_tx=1",
+            f"{at} prune_global_coverage={m['prune_global_coverage']} prune_edge_neighborhood={m['prune_edge_neighborhood']} global_coverage_prune={str(o.coverage_prune).lower()} edge_neighborhood_prune={str(o.edge_prune).lower()}",
+            f"{at} canon_calls={m['canon_calls']} canon_root_candidates={m['canon_root_candidates']} canon_tau_trials={m['canon_tau_trials']}",
+        ]
+    return [*out, f"{ts} run_end"]
+
+
+def append_log(path: str, lines: list[str]) -> None:
+    with open(path, "a", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def surface_cells(goods: DataFrame, n: int) -> DataFrame:
+    """One line a surface (label): its squares as lists of digits, for text files."""
+    squares = cube(n).squares
+    names = F.array(*[F.lit("".join(map(str, s))) for s in squares])
+    bits = F.reverse(_bits(F.hex("label")))
+    held = F.filter(F.transform(names, lambda x, i: F.when(F.substring(bits, i + 1, F.lit(1)) == "1", x)), lambda x: x.isNotNull())
+    return goods.select(F.concat_ws(" ", held).alias("value"))
+
+
+def _bits(digits) -> object:
+    """Binary digits of hex ones."""
+    table = {f"{k:X}": f"{k:04b}" for k in range(16)}
+    return F.array_join(F.transform(F.split(digits, "(?!^)"), lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), d)), "")

@@ -120,13 +120,25 @@ _CMP = """cmp as (select a.level, a.total_ms as old_ms, b.total_ms as new_ms,
   case when a.total_ms = 0 then 'n/a' else printf('%+.1f%%', (b.total_ms - a.total_ms) * 100.0::double / a.total_ms) end as delta,
   a.generated as old_generated, b.generated as new_generated from lvt a join lvt b on a.level = b.level and a.run = 1 and b.run = 2)"""
 
+_CMP_ALL = ", ".join(f"a.{c} as old_{x}, b.{c} as new_{x}" for c, x in (("total_ms", "ms"), ("commit_ms", "commit_ms"), ("read_ms", "read_ms"), ("reduce_ms", "reduce_ms"), ("prune_global_coverage", "prune_coverage"), ("prune_edge_neighborhood", "prune_edge"), ("generated", "generated")))
+_DELTAS = ", ".join(f"case when a.{c} = 0 then 'n/a' else printf('%+.1f%%', (b.{c} - a.{c}) * 100.0::double / a.{c}) end as {x}" for c, x in (("total_ms", "delta"), ("commit_ms", "commit_delta"), ("read_ms", "read_delta"), ("reduce_ms", "reduce_delta")))
+_LISTS = "ls as (select cast(l_orderkey as bigint) as cid, list(cast(l_partkey % 5 as integer) order by l_linenumber, l_partkey) as x from lineitem group by 1)"
+_BYTES = [f"(mask >> {8 * k}) & 255" for k in range(3)]
+_RANK = """(select cid, cast(count(*) as integer) as k, cast(sum(case when j > sq then 0 else (select round(exp(sum(ln(sq - i) - ln(i + 1)))) from range(j) r(i)) end) as bigint) as rank
+ from (select cid, sq, row_number() over (partition by cid order by sq) as j from cx) group by cid)"""
+
 _D4, _C4 = dims(4), f"{dims(4)}, {cx(4)}"
 _C3 = f"{dims(3)}, {cx(3)}"
 _V4 = f"{_C4}, {verts(4)}"
+_AROUND = lambda x, v: "[" + ", ".join(f"{x}[xor({v}, {1 << (3 - k)}) + 1]" for k in range(4)) + "]"
+#: Lists by vertex, as neighbours of a vertex differ from it in one bit.
 _SIG = f"""{_V4},
-zero as (select cid, vertex, lpad(cast(coalesce(code, 0) as varchar), 2, '0') as sig from (select cid, cast(v as integer) as vertex from (select distinct cid from cx), range(16) r(v)) left join vc using (cid, vertex)),
-one as (select z.cid, z.vertex, z.sig || ':' || a.l as sig1 from zero z join (select y.cid, nb.vertex, string_agg(y.sig, ',' order by y.sig) as l from nb join zero y on y.vertex = nb.nbr group by y.cid, nb.vertex) a using (cid, vertex)),
-two as (select z.cid, z.vertex, z.sig1 || '|' || a.l as sig2 from one z join (select y.cid, nb.vertex, string_agg(y.sig1, ';' order by y.sig1) as l from nb join one y on y.vertex = nb.nbr group by y.cid, nb.vertex) a using (cid, vertex))"""
+zero as (select p.cid, list(lpad(cast(coalesce(code, 0) as varchar), 2, '0') order by v) as z from (select cid, cast(v as integer) as v from (select distinct cid from cx), range(16) r(v)) p left join vc on vc.cid = p.cid and vc.vertex = p.v group by p.cid),
+one as (select cid, list_transform(range(16), lambda v: z[v + 1] || ':' || array_to_string(list_sort({_AROUND("z", "v")}), ',')) as a from zero),
+two as (select cid, a, list_transform(range(16), lambda v: a[v + 1] || '|' || array_to_string(list_sort({_AROUND("a", "v")}), ';')) as b from one)"""
+_ROUNDS = "".join(f""",
+sig{k} as (select cid, r, list_transform(range(16), lambda v: list_prepend(r[v + 1], list_sort({_AROUND("r", "v")}))) as s from rank{k - 1}),
+rank{k} as (select cid, list_transform(s, lambda x: len(list_filter(list_distinct(s), lambda y: y < x))) as r from sig{k})""" for k in (1, 2, 3))
 _CAND = "cand as (select cast(l_partkey % 1000 as bigint) as label, cast(l_orderkey as bigint) * 1024 + l_linenumber as id, cast(l_orderkey as bigint) * 31 + l_linenumber * 7 as cplx from lineitem)"
 
 ORACLES = {
@@ -164,8 +176,10 @@ union all select cid, sq from absent where cid not in (select cid from ff)""",
     "keep_rules": f"""with {_C3}, {verts(3)}, {links(3)}, {TEST}, b as (select *, ok and not hopeless as alive from et join lc using (cid))
 select cid, 'closed' as mode, alive and not closed as keep_labeled, alive and closed and not bad as keep_good from b
 union all select cid, 'closed_disconnected', alive, alive and closed and not bad from b union all select cid, 'boundary', alive, alive and not bad from b""",
-    "vertex_signature": f"with {_SIG} select cid, vertex, sig1, sig2 from one join two using (cid, vertex)",
-    "neighbor_ranks": f"with {_SIG} select two.cid, nb.vertex, nb.coord, cast(dense_rank() over (partition by two.cid, nb.vertex order by sig2) - 1 as integer) as rank from nb join two on two.vertex = nb.nbr",
+    "vertex_signature": f"with {_SIG} select cid, cast(v as integer) as vertex, a[v + 1] as sig1, b[v + 1] as sig2 from two, range(16) r(v)",
+    "neighbor_ranks": f"with {_SIG} select cid, vertex, coord, cast(len(list_filter(list_distinct({_AROUND("b", "vertex")}), lambda y: y < b[nbr + 1])) as integer) as rank from two, nb",
+    "refined_ranks": f"""with {_V4}, rank0 as (select p.cid, list(coalesce(code, 0) order by v) as r from (select cid, cast(v as integer) as v from (select distinct cid from cx), range(16) x(v)) p left join vc on vc.cid = p.cid and vc.vertex = p.v group by p.cid){_ROUNDS}
+select cid, cast(v as integer) as vertex, cast(r[v + 1] as integer) as rank from rank3, range(16) x(v)""",
     "canonical_label": f"with {_C4}, {MASKS}, {group(4)}, {label_of('mk', 4)} select cid, label from mk join lab using (mask)",
     "orbit_sizes": f"with {_C4}, {MASKS}, {group(4)}, {label_of('mk', 4)} select distinct label, images as orbit_size from lab",
     "keep_first": f"with {_CAND} select label, min(id) as id, arg_min(cplx, id) as cplx from cand group by label",
@@ -173,6 +187,15 @@ union all select cid, 'closed_disconnected', alive, alive and closed and not bad
     "insert_if_absent": f"with {_C4}, {MASKS} select mask, min(cid) as cid from mk where cid % 2 = 1 and mask not in (select mask from mk where cid % 2 = 0) group by mask",
     "shard_counts": "select cast(cid % 16 as integer) as shard, count(*) as rows from (select distinct l_orderkey as cid from lineitem) group by 1",
     "good_count": f"with {_C3}, {MASKS} select count(*) as goods from mk where mask = 63",
+    "sparse_blob": f"with {_C4}, {MASKS} select cid, 'A1' || printf('%02X', " + " + ".join(f"case when {b} <> 0 then {1 << k} else 0 end" for k, b in enumerate(_BYTES)) + ") || '000000' || " + " || ".join(f"case when {b} <> 0 then printf('%02X', {b}) else '' end" for b in _BYTES) + " as blob from mk",
+    "combinadic_blob": f"with {_C4}, rk as {_RANK}, hx as (select cid, k, case when rank = 0 then '' else printf('%X', rank) end as h from rk), even as (select cid, k, case when len(h) % 2 = 1 then '0' || h else h end as h from hx) select cid, 'A3' || printf('%02X', k) || printf('%02X', len(h) // 2) || h as blob from even",
+    "surface_decode": f"with {_C4}, {MASKS} select cid, mask from mk",
+    "limb_popcount_n5": f"with {dims(5)}, {cx(5)} select cid, cast(count(*) as integer) as squares from cx group by cid",
+    "extend_closed_n5": f"with {dims(5)}, {cx(5)}, {verts(5)} select p.cid, l.sq from first_prio p join se using (edge) join legal l on l.cid = p.cid and l.sq = se.sq",
+    "stable_order": f"with {_LISTS}, e as (select cid, unnest(x) as v, unnest(range(len(x))) as i from ls) select cid, string_agg(i, ',' order by v, i) as out from e group by cid",
+    "run_lengths": f"with {_LISTS}, e as (select cid, unnest(x) as v from ls), k as (select cid, v, count(*) as n from e group by cid, v) select cid, string_agg(n, ',' order by v) as out from k group by cid",
+    "spread_octal": "select sq, cast(sum(((sq >> b) & 1) << (3 * b)) as bigint) as octal from (select distinct cast(l_partkey % 24 as integer) as sq from lineitem), range(5) r(b) group by sq",
+    "octal_pattern": f"with {_SIG}, rk as (select cid, vertex, coord, len(list_filter(list_distinct({_AROUND('b', 'vertex')}), lambda y: y < b[nbr + 1])) as rank from two, nb) select cid, vertex, cast(sum(rank << (3 * (3 - coord))) as bigint) as pattern from rk group by cid, vertex",
     "combinadic_rank": f"""with {_C4}, nth as (select cid, sq, row_number() over (partition by cid order by sq) as j from cx)
 select cid, cast(count(*) as integer) as k, cast(sum(case when j > sq then 0 else (select round(exp(sum(ln(sq - i) - ln(i + 1)))) from range(j) r(i)) end) as bigint) as rank from nth group by cid""",
     "enumerate_closed_n3": closed(3, True),
@@ -183,5 +206,7 @@ kept as (select cast(m as bigint) as mask from range(1, 64) r(m) where m not in
     "log_runs": f"with {_log()} select cast(run as integer) as run, 'r' || lbl as label, 5 as n, count(*) as lines, bool_or(record = 'run_end') as ended from lines where record is not null group by run, lbl",
     "log_levels": f"with {_log()} select * replace (cast(run as integer) as run) from lvt",
     "log_compare": f"with {_log()}, {_CMP} select * from cmp where level >= 24",
+    "log_canon": f"with {_log()} select cast(run as integer) as run, level, " + ", ".join(f"cast(sum(e % {m}) as bigint) as {f}" for f, m in (("canon_calls", 37), ("canon_root_candidates", 41), ("canon_tau_trials", 43))) + " from lines where record = 'canon' group by run, level",
+    "log_compare_all": f"with {_log()} select a.level, {_CMP_ALL}, {_DELTAS} from lvt a join lvt b on a.level = b.level and a.run = 1 and b.run = 2 where a.level >= 24",
     "pct_delta": f"with {_log()}, {_CMP} select level, delta from cmp",
 }

@@ -33,14 +33,14 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log in which every event is a line; a run is 500 of them."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("long").alias("e"), (F.col("user_id") % 48).cast("string").alias("level"))
     value = lambda name, mod: F.concat(F.lit(f" {name}="), (F.col("e") % mod).cast("string"))
-    level = F.concat(F.lit(" level="), F.col("level"))
+    level = F.concat(F.lit("level="), F.col("level"))
     text = (
-        F.when(F.expr("e % 500 = 0"), F.concat(F.lit("run_start run_label=r"), F.expr("cast(e div 500 % 3 as string)"), F.lit(" n=5 dbprefix= chunksize=1000 backend_bits=128")))
+        F.when(F.expr("e % 500 = 0"), F.concat(F.lit("run_start run_label=r"), F.expr("cast(e div 500 % 3 as string)"), F.lit(" n=5 dbprefix= chunksize=1000 backend_limbs=1 backend_bits=128 run_mode=Safe")))
         .when(F.expr("e % 500 = 499"), F.lit("run_end"))
-        .when(F.expr("e % 10 between 1 and 6"), F.concat(F.lit("chunk"), level, F.lit(" chunk=1/1"), value("read_ms", 17), value("analyze_ms", 101), value("reduce_ms", 13), value("proc_ms", 131), value("generated", 1009), value("labeled_ins", 503), value("good_ins", 7)))
-        .when(F.expr("e % 10 = 7"), F.concat(F.lit("commit"), level, value("commit_ms", 19), F.lit(" chunks_in_tx=16")))
-        .when(F.expr("e % 10 = 8"), F.concat(F.lit("prune"), level, value("prune_global_coverage", 23), value("prune_edge_neighborhood", 29)))
-        .when(F.expr("e % 10 = 9"), F.concat(F.lit("canon"), level, value("canon_calls", 37)))
+        .when(F.expr("e % 10 between 1 and 6"), F.concat(level, F.lit(" chunk=1/1"), value("read_ms", 17), value("analyze_ms", 101), value("reduce_ms", 13), value("proc_ms", 131), value("generated", 1009), value("labeled_ins", 503), value("good_ins", 7)))
+        .when(F.expr("e % 10 = 7"), F.concat(level, value("commit_ms", 19), F.lit(" chunks_in_tx=16")))
+        .when(F.expr("e % 10 = 8"), F.concat(level, value("prune_global_coverage", 23), value("prune_edge_neighborhood", 29)))
+        .when(F.expr("e % 10 = 9"), F.concat(level, value("canon_calls", 37), value("canon_root_candidates", 41), value("canon_tau_trials", 43)))
         .otherwise(F.lit("some other line"))
     )
     return e.select(F.col("e").alias("line_no"), F.concat(F.lit("2024-01-01 00:00:00 "), text).alias("value"))
@@ -62,6 +62,32 @@ def _good_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.insert_if_absent(m.where("cid % 2 = 1").groupBy("mask").agg(F.min("cid").alias("cid")), held, "mask")
 
 
+def _blobs(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    n2 = cells.sizes(N)[2]
+    return symmetry.masks(complexes(spark, sf_dir)).select("cid", F.hex(codecs.encode_column(codecs.fixed_column(F.col("mask"), n2), n2, form)).alias("blob"))
+
+
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks read from the form of tables of accepted surfaces."""
+    n2 = cells.sizes(N)[2]
+    surfaces = symmetry.masks(complexes(spark, sf_dir)).select("cid", codecs.encode_column(codecs.fixed_column(F.col("mask"), n2), n2, "surface").alias("cplx"))
+    return surfaces.select("cid", F.conv(F.hex(codecs.decode_column(F.col("cplx"), n2, "surface")), 16, 10).cast("long").alias("mask"))
+
+
+def _lists(spark: SparkSession, sf_dir: str, f) -> DataFrame:
+    """A function of the line quantities of each order, in order of line numbers, as text."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("long").alias("cid"), "l_linenumber", "l_partkey", (F.col("l_partkey") % 5).cast("int").alias("v"))
+    each = items.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "v"))).alias("x"))
+    return each.select("cid", F.array_join(f(F.col("x.v")).cast("array<string>"), ",").alias("out"))
+
+
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours' ranks around each vertex as one octal number."""
+    ranks = topology.neighbor_ranks(complexes(spark, sf_dir), N)
+    digits = F.transform(F.array_sort(F.collect_list(F.struct("coord", "rank"))), lambda p: p["rank"].cast("long"))
+    return ranks.groupBy("cid", "vertex").agg(digits.alias("d")).select("cid", "vertex", codecs.octal_pattern(F.col("d")).alias("pattern"))
+
+
 def _on(f, n: int = N):
     return lambda spark, sf_dir: f(complexes(spark, sf_dir, n), n)
 
@@ -95,7 +121,8 @@ QUERIES = {
     "extend_disconnected": _on(topology.extend_disconnected, 3),
     "keep_rules": _on(topology.keep_rules, 3),
     "vertex_signature": _on(topology.vertex_signatures),
-    "neighbor_ranks": lambda s, d: symmetry.neighbor_ranks(topology.vertex_signatures(complexes(s, d), N), N),
+    "neighbor_ranks": _on(topology.neighbor_ranks),
+    "refined_ranks": _on(topology.refined_ranks),
     "canonical_label": _labels,
     "orbit_sizes": lambda s, d: symmetry.orbit_sizes(symmetry.masks(complexes(s, d)), N),
     "keep_first": lambda s, d: dedup.keep_first(candidates(s, d), "label", "id"),
@@ -103,6 +130,15 @@ QUERIES = {
     "insert_if_absent": _good_insert,
     "shard_counts": lambda s, d: complexes(s, d).select("cid").distinct().groupBy(dedup.shard_of("cid", 16).alias("shard")).agg(F.count("*").alias("rows")),
     "good_count": lambda s, d: symmetry.masks(complexes(s, d, 3)).where("mask = 63").agg(F.count("*").alias("goods")),
+    "sparse_blob": lambda s, d: _blobs(s, d, "sparse"),
+    "combinadic_blob": lambda s, d: _blobs(s, d, "combinadic"),
+    "surface_decode": _decoded,
+    "limb_popcount_n5": lambda s, d: topology.states(complexes(s, d, 5), 5).select("cid", F.expr("aggregate(limbs, 0, (a, x) -> a + bit_count(x))").alias("squares")),
+    "extend_closed_n5": _on(topology.extend_closed, 5),
+    "stable_order": lambda s, d: _lists(s, d, codecs.stable_order),
+    "run_lengths": lambda s, d: _lists(s, d, codecs.run_lengths),
+    "spread_octal": lambda s, d: complexes(s, d).select("sq").distinct().select("sq", codecs.spread_octal(F.col("sq")).alias("octal")),
+    "octal_pattern": lambda s, d: _patterns(s, d),
     "combinadic_rank": lambda s, d: codecs.combinadic_rank(complexes(s, d)),
     "enumerate_closed_n3": lambda s, d: _surfaces(s, 3, ""),
     "enumerate_closed_n4": lambda s, d: _surfaces(s, 4, ""),
@@ -111,5 +147,7 @@ QUERIES = {
     "log_runs": lambda s, d: profile.runs(log_lines(s, d)),
     "log_levels": lambda s, d: profile.levels(log_lines(s, d)),
     "log_compare": lambda s, d: profile.compare(log_lines(s, d), 1, 2),
+    "log_canon": lambda s, d: profile.canon_levels(log_lines(s, d)),
+    "log_compare_all": lambda s, d: profile.compare_all(log_lines(s, d), 1, 2),
     "pct_delta": lambda s, d: profile.compare(log_lines(s, d), 1, 2, 0).select("level", "delta"),
 }

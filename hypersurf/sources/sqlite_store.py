@@ -1,19 +1,27 @@
 """SQLite files of complexes as a Spark source and sink, one partition a file.
 
 spark.read.format("sqlite_complexes").option("path", "a.db,b.db").option("table", "goodcplxs").load()
+
+path: files, patterns or folders (their *.db), by commas.  With the option squares (of the cube) complexes are read in the form of
+their table (form: surface, frontier, fixed or any) and come in the fixed form, null where they are not of that form; written ones go from
+the fixed form to it.
 """
 
 from __future__ import annotations
 
+import glob
 import os
 import re
 import sqlite3
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
+from ..functions import codecs
+
 SCHEMA = "id bigint, cplx binary"
 
 
@@ -24,6 +32,18 @@ def _table(options: dict) -> str:
     return name
 
 
+def files(path: str) -> list[str]:
+    """Database files that a path option names, in order; a file that is named and missing is an error."""
+    out: list[str] = []
+    for p in filter(None, path.split(",")):
+        found = sorted(glob.glob(os.path.join(p, "*.db"))) if os.path.isdir(p) else sorted(glob.glob(p)) or [p]
+        out += [f for f in found if f not in out]
+    for f in out:
+        if not os.path.exists(f):
+            raise FileNotFoundError(f)
+    return out
+
+
 class File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -32,14 +52,16 @@ class File(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.table = [p for p in options["path"].split(",") if p], _table(options)
+        self.paths, self.table = files(options["path"]), _table(options)
+        self.n2, self.form = int(options.get("squares", 0)), options.get("form", "surface")
 
     def partitions(self) -> list[File]:
         return [File(p) for p in self.paths]
 
     def read(self, partition: File) -> Iterator[tuple]:
         with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as db:
-            yield from db.execute(f"SELECT id, cplx FROM {self.table} ORDER BY id")
+            for i, data in db.execute(f"SELECT id, cplx FROM {self.table} ORDER BY id"):
+                yield i, data if not self.n2 else codecs.read_or_none(data, self.n2, self.form)
 
 
 class Message(WriterCommitMessage):
@@ -51,6 +73,7 @@ class Writer(DataSourceWriter):
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.table = options["path"], _table(options)
+        self.n2, self.form = int(options.get("squares", 0)), options.get("form", "surface")
         if os.path.isdir(self.path) and os.listdir(self.path) and not overwrite:
             raise FileExistsError(self.path)
 
@@ -62,11 +85,14 @@ class Writer(DataSourceWriter):
         draft = f"{name}.{TaskContext.get().taskAttemptId()}"
         with sqlite3.connect(draft) as db:
             db.execute(f"CREATE TABLE {self.table} (cplx BLOB PRIMARY KEY, id INTEGER)")
-            db.executemany(f"INSERT OR IGNORE INTO {self.table} VALUES (?, ?)", ((bytes(r.cplx), r.id) for r in rows))
+            db.executemany(f"INSERT OR IGNORE INTO {self.table} VALUES (?, ?)", ((self._form(bytes(r.cplx)), r.id) for r in rows))
         db.close()
         os.replace(draft, name)
         return Message()
 
+    def _form(self, data: bytes) -> bytes:
+        return codecs.FORMS[self.form](codecs.from_fixed(data), self.n2) if self.n2 else data
+
 
 class SqliteComplexes(DataSource):
     @classmethod
@@ -85,3 +111,14 @@ class SqliteComplexes(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteComplexes)
+
+
+def merge(shards: DataFrame, into: DataFrame | None = None) -> DataFrame:
+    """Complexes of shards (id, cplx), each once with its smallest id, that `into` lacks, in order of ids."""
+    first = shards.groupBy("cplx").agg(F.min("id").alias("id")).select("id", "cplx")
+    return (first if into is None else first.join(into.select("cplx"), "cplx", "left_anti").select("id", "cplx")).orderBy("id")
+
+
+def split(goods: DataFrame, shards: int) -> DataFrame:
+    """Complexes (id, cplx) dealt to partitions by a hash of the complex, a file each if they are written as SQLite."""
+    return goods.repartitionById(shards, F.pmod(F.xxhash64("cplx"), F.lit(shards)).cast("int"))

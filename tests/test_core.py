@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hypersurf.functions import codecs
 from hypersurf.operators import cells
@@ -12,7 +13,7 @@ from hypersurf.plans import profile, registry
 from hypersurf.sources import sqlite_store
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["cells", "square_edges", "link_cycles", "group_action", "keyset_page", "edge_test", "saturated_edges", "coverage_prune", "link_class", "extend_closed", "extend_disconnected", "keep_rules", "canonical_label", "orbit_sizes", "keep_first", "insert_if_absent", "combinadic_rank", "enumerate_closed_n3", "enumerate_boundary_n3", "log_levels", "pct_delta"]
+NAMES = sorted(registry.QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -47,8 +48,49 @@ def _locally(o: en.Options) -> set[int]:
 def test_prunes_lose_no_surface():
     full = _locally(en.Options(4))
     assert sorted(m.bit_count() for m in full) == [6, 10, 12, 12, 14, 14, 16]
-    assert full == _locally(en.Options(4, max_squares=16)) == _locally(en.Options(4, max_squares=16, lookahead=3))
+    bare = en.Options(4, coverage_prune=False, edge_prune=False)
+    assert full == _locally(bare) == _locally(en.Options(4, lookahead=1)) == _locally(en.Options(4, max_squares=16, lookahead=3))
     assert _locally(en.Options(4, max_squares=12)) == {m for m in full if m.bit_count() <= 12}
+    seeds = _locally(en.Options(3, labels="none"))
+    assert seeds == {63}
+
+
+def test_look_ahead_beyond_its_budget_is_an_error():
+    c = en.cube(4)
+    parent = en.Complex(c, 1)
+    with pytest.raises(RuntimeError, match="lookahead_nodes"):
+        parent.extensions(en.Options(4, max_squares=6, lookahead=4, lookahead_nodes=2), dict.fromkeys(en.COUNTS, 0))
+    assert parent.extensions(en.Options(4, max_squares=6, lookahead=3, lookahead_nodes=2), dict.fromkeys(en.COUNTS, 0))
+    counts = dict.fromkeys(en.COUNTS, 0)
+    assert parent.extensions(en.Options(4, max_squares=4), counts) == [] and counts["prune_global_coverage"] + counts["prune_edge_neighborhood"] == 1
+
+
+def test_options_of_the_environment():
+    o = en.Options.from_env(5, "d", {"MAX_SQUARES": " 42 ", "GLOBAL_COVERAGE_PRUNE": "off", "EDGE_NEIGHBORHOOD_LOOKAHEAD": "0", "CHECK_VERTEX_LINKS": "No", "TEST_UP_TO": "x"})
+    assert (o.max_squares, o.coverage_prune, o.edge_prune, o.lookahead, o.check_links, o.stop_level, o.cap) == (42, False, True, 4, False, None, 42)
+    old = en.Options.from_env(6, "", {"RUN35_COMPAT": "1", "MAX_SQUARES": "42"})
+    assert (old.max_squares, old.lookahead, old.cap) == (36, 1, 36)
+    assert en.Options(3, "b", max_squares=2).cap == 6 and en.env_flag("maybe", True)
+
+
+def test_metrics_resume_and_log(spark, tmp_path):
+    path, o = str(tmp_path / "levels"), en.Options(3, stop_level=4)
+    _, first = en.enumerate_surfaces(spark, o, path)
+    assert [m["level"] for m in first] == [2, 3, 4] and all(m["generated"] >= m["frontier"] >= 1 and m["canon_calls"] == m["generated"] for m in first)
+    with pytest.raises(Exception, match="(?i)exists"):
+        en.enumerate_surfaces(spark, o, path)
+    goods, rest = en.enumerate_surfaces(spark, en.Options(3), path, resume=True)
+    assert goods.count() == 1 and [m["frontier"] for m in rest[:3]] == [m["frontier"] for m in first]
+    assert en.metrics_frame(spark, rest).count() == len(rest)
+    assert [r.value for r in en.surface_cells(goods, 3).collect()] == ["022 122 202 212 220 221"]
+    log = str(tmp_path / "run.log")
+    for label in ("a", "b", "a"):
+        en.append_log(log, en.log_lines(en.Options(3), rest, label))
+    lines = profile.read_log(spark, log)
+    assert [(r.run, r.label, r.n, r.ended) for r in profile.runs(lines).orderBy("run").collect()] == [(1, "a", 3, True), (2, "b", 3, True), (3, "a", 3, True)]
+    made = {(r.run, r.level): r for r in profile.levels(lines).collect()}
+    assert all(made[k, m["level"]].generated == m["generated"] and made[k, m["level"]].proc_ms == m["ms"] for k in (1, 2, 3) for m in rest)
+    assert {r.level: r.canon_tau_trials for r in profile.canon_levels(lines).where("run = 2").collect()} == {m["level"]: m["canon_tau_trials"] for m in rest}
 
 
 def test_labels_are_invariant():
@@ -64,14 +106,73 @@ def test_labels_are_invariant():
 @settings(max_examples=60, deadline=None)
 @given(st.sampled_from([24, 80, 240, 672]), st.data())
 def test_codecs_round_trip(n2, data):
-    value = sum(1 << i for i in data.draw(st.sets(st.integers(0, n2 - 1), min_size=1, max_size=40)))
-    assert codecs.from_fixed(codecs.to_fixed(value, n2)) == value
+    value = sum(1 << i for i in data.draw(st.sets(st.integers(0, n2 - 1), min_size=1, max_size=60)))
+    assert codecs.from_fixed(codecs.to_fixed(value, n2)) == value == codecs.from_fixed(codecs.to_plain(value, n2))
     assert codecs.from_combinadic(codecs.to_combinadic(value)) == value
     assert codecs.from_sparse(codecs.to_sparse(value, n2), n2) == value
     assert codecs.decode(codecs.to_adaptive(value, n2), n2) == value
+    assert codecs.decode_surface(codecs.encode_surface(value, n2), n2) == value
+    assert codecs.decode(codecs.encode_frontier(value, n2), n2) == value
+    assert codecs.decode(bytes([codecs.FALLBACK]) + codecs.encode_surface(value, n2), n2) == value
     assert codecs.merge_limbs(codecs.split_limbs(value, 60, 12), 60) == value
 
 
+def test_bytes_of_the_forms():
+    v = 1 << 0 | 1 << 3 | 1 << 77  # bytes 0 and 9, of values 0x09 and 0x20
+    assert codecs.to_sparse(v, 240).hex() == "a1" + "01020000" + "0920"
+    assert codecs.to_gaps(v).hex() == "310a" + "00000201"  # set bits 0, 3 and 13 of the two bytes: distances 1, 3, 10
+    assert codecs.to_combinadic(0b1011).hex() == "a30301" + "01"  # C(0, 1) + C(1, 2) + C(3, 3)
+    assert codecs.to_combinadic(0b111).hex() == "a30300" and codecs.from_combinadic(bytes.fromhex("a30300")) == 0b111
+    assert codecs.to_listed(v, 672).hex() == "0920" + "0102" + "00" * 9
+    assert codecs.to_sparse(v, 672).hex() == "a1" + "0102" + "00" * 9 + "0920"
+    assert codecs.to_adaptive((1 << 240) - 1, 240) == b"\xa2\0\0" + b"\xff" * 30 and len(codecs.to_adaptive((1 << 672) - 1, 672)) == 85
+    assert codecs.from_gaps(b"\0\0\1") == codecs.from_gaps(bytes.fromhex("0100000001")) == 1 and codecs.decode(b"", 24) == 0
+    with pytest.raises(ValueError):
+        codecs.to_gaps((1 << 65) - 1)
+    assert codecs.read_or_none(b"\xa3\1", 240, "any") is None and codecs.read_or_none(None, 24, "any") is None
+
+
+def test_wide_complexes_in_columns(spark):
+    import random
+
+    from hypersurf.operators import topology
+
+    r = random.Random(4)
+    for n in (5, 6, 7):
+        c, n2, rows = en.cube(n), cells.sizes(n)[2], {}
+        for cid in range(25):
+            mask = 1 << r.randrange(n2)
+            for _ in range(r.randrange(12)):
+                x = en.Complex(c, mask)
+                mask |= 1 << r.choice([s for e in x.free for s in c.squares_on[e]] or [0])
+            rows[cid] = mask
+        df = spark.createDataFrame([(k, s) for k, m in rows.items() for s in codecs.positions(m)], "cid long, sq int")
+        each = {k: en.Complex(c, m) for k, m in rows.items()}
+        got = {x.cid: codecs.from_fixed(x.f) for x in topology.states(df, n).select("cid", codecs.limbs_fixed(F.col("limbs"), n2).alias("f")).collect()}
+        assert got == rows
+        back = topology.states(df, n).select("cid", "limbs", codecs.limb_array(codecs.limbs_fixed(F.col("limbs"), n2), n2).alias("b"))
+        assert back.where("b <> limbs").count() == 0
+        assert {(x.cid, x.edge) for x in topology.free_edges(df, n).collect()} == {(k, e) for k, x in each.items() for e in x.free}
+        assert {(x.cid, x.vertex, x.code) for x in topology.vertex_codes(df, n).collect()} == {(k, v, code) for k, x in each.items() for v, code in x.vertex_codes().items()}
+        assert {(x.cid, x.edge) for x in topology.priority_edges(df, n).collect()} == {(k, e) for k, x in each.items() for e in x.priority()}
+        o = en.Options(n, coverage_prune=False, edge_prune=False)
+        assert {(x.cid, x.sq) for x in topology.extend_closed(df, n).collect()} == {(k, s) for k, x in each.items() for s in x.extensions(o, {})}
+        assert {x.cid: (x.bad, x.hopeless) for x in topology.link_class(df, n).collect()} == {k: x.links(x.vertex_codes()) for k, x in each.items()}
+
+
+def test_five_cycles_at_a_vertex_of_the_7_cube(spark):
+    from hypersurf.operators import topology
+
+    c = en.cube(7)
+    five = c.cycles[0][5][0]
+    more = [s for s in c.squares_at[0] if not five >> s & 1]
+    # A cycle of five and two arcs more: six or seven edges at the vertex.
+    rows = {k: five | 1 << more[k] | 1 << more[-1 - k] for k in range(6)}
+    df = spark.createDataFrame([(k, s) for k, m in rows.items() for s in codecs.positions(m)], "cid long, sq int")
+    want = {k: en.Complex(c, m).links(en.Complex(c, m).vertex_codes()) for k, m in rows.items()}
+    assert {x.cid: (x.bad, x.hopeless) for x in topology.link_class(df, 7).collect()} == want and any(h for _, h in want.values())
+
+
 @pytest.mark.parametrize(("operator", "most"), [("rank", 24), ("mask", 63)])
 def test_squares_outside_the_range_raise(spark, operator, most):
     from hypersurf.operators.symmetry import masks
@@ -92,17 +193,64 @@ def test_bad_options():
     assert cells.sizes(7) == (128, 448, 672)
 
 
-def test_log_report(spark):
+def test_log_report(spark, tmp_path, capsys):
     lines = registry.log_lines(spark, DATA)
     assert profile.report(lines, min_level=0).count() > 0
     assert profile.runs(lines.limit(0)).count() == 0
+    log = tmp_path / "x.log"
+    log.write_bytes(b"before any run\n2024-01-01 00:00:00 level=30 commit_ms=5 chunks_in_tx=1\n" + b"".join(
+        f"2024-01-01 00:00:0{k} run_start run_label=r{k % 2} n=5 dbprefix= chunksize=10 backend_bits=128 run_mode=Safe\n2024-01-01 00:00:09 level=30 chunk=1/2 read_ms=10 analyze_ms=20 reduce_ms=5 proc_ms={1000 * (k + 1)} generated=7 labeled_ins=3 good_ins=1\n"
+        f"2024-01-01 00:00:09 level=30 commit_ms={500 * k} chunks_in_tx=1\n2024-01-01 00:00:09 level=30 prune_global_coverage=4 prune_edge_neighborhood=2\n2024-01-01 00:00:09 level=30 source_temp_db=1 est_live_before_finalize=70 est_live_after_finalize=90 est_live_peak=90\nbad \xff bytes\n".encode("latin-1") for k in range(3)))
+    assert profile.main([str(log), "30"], spark) == 0
+    out = capsys.readouterr().out
+    assert "Run 3: 2024-01-01 00:00:02 label=r0 mode=Safe n=5" in out and "L30: chunks=1   total=   4.00s (proc=   3.00s, commit=   1.00s)" in out
+    assert "Compare run 2 -> run 3 (levels >= 30)" in out and "total 2.50s -> 4.00s (+60.0%), commit 0.50s -> 1.00s (+100.0%)" in out
+    assert profile.main([str(log), "31", "--label", "r0"], spark) == 0
+    out = capsys.readouterr().out
+    assert "no levels >= 31" in out and "Compare run 1 -> run 3" in out and "no overlapping levels in range" in out
+    assert profile.main([str(log), "--label", "other"], spark) == 0 and capsys.readouterr().out == "no runs found\n"
+    for bad in (["a", "b"], ["a", "1", "2"], ["--label"], [str(tmp_path / "none.log")]):
+        assert profile.main(bad, spark) == 1 and capsys.readouterr().err
+    assert [r.peak_bytes for r in profile.storage(profile.read_log(spark, str(log))).collect()] == [90] * 3
+    (tmp_path / "logs").mkdir()
+    for name in ("b", "a"):
+        (tmp_path / "logs" / name).write_text(f"2024-01-01 00:00:00 run_start run_label={name}\n")
+    assert [r.label for r in profile.runs(profile.read_log(spark, str(tmp_path / "logs"))).orderBy("run").collect()] == ["a", "b"]
+
+
+def test_cell_store(spark, tmp_path):
+    from hypersurf.sources import cell_store
+
+    path = str(tmp_path / "cells")
+    first = cell_store.read_cells(spark, 3, path)
+    assert first["cells"].count() == 27 and first["square_edges"].count() == 24
+    made = os.path.getmtime(f"{path}/about/_SUCCESS")
+    cell_store.read_cells(spark, 3, path)
+    assert os.path.getmtime(f"{path}/about/_SUCCESS") == made
+    assert cell_store.read_cells(spark, 4, path)["cells"].count() == 81
+    for f in os.listdir(f"{path}/about"):
+        if f.endswith(".parquet"):
+            with open(f"{path}/about/{f}", "wb") as out:
+                out.write(b"broken")
+            os.remove(f"{path}/about/.{f}.crc")
+    assert cell_store.read_cells(spark, 4, path)["edge_vertices"].count() == 64
 
 
 def test_sqlite_round_trip(spark, tmp_path):
     sqlite_store.register(spark)
-    rows = [(1, b"\x01"), (2, b"\x02"), (3, b"\x01")]
+    rows = [(1, b"\x00\x00\x09"), (2, b"\x80\x00\x01"), (3, b"\x00\x00\x09")]
     folder = str(tmp_path / "goods")
-    spark.createDataFrame(rows, sqlite_store.SCHEMA).coalesce(1).write.format("sqlite_complexes").mode("append").save(folder)
-    files = ",".join(sorted(os.path.join(folder, f) for f in os.listdir(folder)))
-    got = spark.read.format("sqlite_complexes").option("path", files).load()
-    assert sorted((r.id, bytes(r.cplx)) for r in got.collect()) == [(1, b"\x01"), (2, b"\x02")]
+    df = spark.createDataFrame(rows, sqlite_store.SCHEMA).coalesce(1)
+    df.write.format("sqlite_complexes").mode("append").save(folder)
+    got = spark.read.format("sqlite_complexes").option("path", folder).load()
+    assert sorted((r.id, bytes(r.cplx)) for r in got.collect()) == [(1, rows[0][1]), (2, rows[1][1])]
+    formed = str(tmp_path / "formed")
+    sqlite_store.split(df, 3).write.format("sqlite_complexes").option("squares", 24).mode("append").save(formed)
+    assert len(sqlite_store.files(formed)) >= 2 and sqlite_store.files(f"{formed}/*.db") == sqlite_store.files(formed)
+    read = spark.read.format("sqlite_complexes").option("path", formed)
+    assert {bytes(r.cplx) for r in read.load().collect()} == {codecs.to_gaps(9), codecs.to_gaps(0x800001)}
+    back = read.option("squares", 24).load()
+    assert [(r.id, bytes(r.cplx)) for r in sqlite_store.merge(back).collect()] == [(1, rows[0][1]), (2, rows[1][1])]
+    assert [r.id for r in sqlite_store.merge(back, spark.createDataFrame([(9, rows[0][1])], sqlite_store.SCHEMA)).collect()] == [2]
+    with pytest.raises(Exception, match="none.db"):
+        spark.read.format("sqlite_complexes").option("path", str(tmp_path / "none.db")).load().collect()

@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents through five filters and encoders, each stage stored and read again."""
+"""The corpus pipeline: documents through five filters and encoders, each stage stored and read again.
+
+Cases: toxicity keeps null and empty texts, which language rejects, as it does texts without letters; rows of one id but different texts are
+judged one by one, up to decontamination, which rejects all rows of an id that leaks; of equal texts, and of equal rows, one row stays, but rows without an
+id all do, as nothing tells them apart; long texts are read whole; an empty table gives no rows; all columns of the documents, whatever their
+names, stay up to the last stage, which returns digests.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ STAGES = [
     ("encode", pieces.encode_kept),
 ]
 
-#: The first stages are trained models, which SQL can't state; tests hold the pipeline against brute force.
+#: The first stages are trained models, which SQL can't state; tests/llm/test_queries.py holds the pipeline against brute force.
 ORACLE_SQL = None
 
 

@@ -1,22 +1,26 @@
 """Language ID by cross-parsing entropy.
 
 Each language's labelled text gives a suffix automaton.  A text is parsed greedily into the longest matches with that
-text: every phrase is the longest string at its place that occurs in it (a single character where none does).  With k
-phrases against a text of N characters the cost is k * log2(N); the language of least cost wins, the first by name of equals.
+text: every phrase is the longest string at its place that occurs in it (a single character where none does).  k phrases cost
+k * log2(N), N being the characters of the largest training text: one measure for all languages, so that one with little labelled text has
+longer texts' phrases at the same price, not cheaper ones.  The language of least cost wins, the first by name of equals.
 
 Each language has an alphabet of its own, of all letters of its training text; a letter that is not in it matches nowhere.
 The automaton's failures lead to the root and count a phrase, which makes it a transition table: plain for the DENSE
 commonest letters, and the transitions that exist, sorted, for the others.  Texts are walked side by side, one
-lookup a character, in segments of SEGMENT characters (a cut adds one phrase at most, to every
-language alike).  Upper and lower case are one; everything between letters is one space.
+lookup a character, in stretches of SEGMENT characters: a phrase ends with its stretch, in every language and in texts of every length
+alike, which adds about one phrase in 200.  Upper and lower case are one; everything between letters is one space.
 
-Training is bounded: about SAMPLE_ROWS labelled rows a language, picked by a hash of the id over the whole table.  Training texts are
-cut: each row gives the same number of characters at most, the largest with which all rows together stay within SAMPLE_CHARS; a
-longer one gives PIECES pieces from places spread evenly from its start to its end.  The tables (at most 2 * SAMPLE_CHARS states of DENSE classes
-and 3 * SAMPLE_CHARS other transitions a language) go to executors by Spark's broadcast.  Prediction is one pass without a shuffle.
+Training is bounded: every labelled text is cut into consecutive pieces of PIECE characters (the last one shorter), and about SAMPLE pieces a language
+are picked by a hash of id and place over all pieces of all rows, so that each part of each text is as likely to be learned.  The tables (at most
+2 * SAMPLE * PIECE states of DENSE classes and 3 * SAMPLE * PIECE other transitions a language) go to executors by Spark's broadcast.
+Prediction is one pass without a shuffle.
 
-Cases: null text or no letter gives `und` with score 0; without any labelled row every text is `und`; rows with null id are never in the
-sample; repeated rows repeat; other columns are ignored.
+The pipeline's stage rejects a text in none of the learned languages: one whose cost, less that of two phrases for its ends, is above
+a bound a letter.
+
+Cases: null text or no letter gives `und` with score 0; without any labelled row (an empty table, too) every text is `und`; rows with null id
+are never in the sample; repeated rows repeat; equal costs go to the first language by name; other columns are ignored, and the stage keeps them.
 """
 
 from __future__ import annotations
@@ -29,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import slices, table
+from .work import columns, own_names, plain_names, release, slices, table
 
-SAMPLE_ROWS, SAMPLE_CHARS, PIECES, SEGMENT, DENSE = 60, 24_000, 4, 1024, 64
-#: Cost a letter, in bits, above which a text of SURE characters or more is in none of the learned languages: a letter of a
-#: script that no language has costs a phrase each, over 14 bits; text of a learned language costs about 3.  One with a
-#: large alphabet costs more, so its bound is half way between its own cost and that of unknown letters if that is higher.
-STRANGE, SURE = 9.0, 20
+SAMPLE, PIECE, SEGMENT, DENSE = 48, 1000, 1024, 64
+#: Cost a letter, in bits, above which a text is in none of the learned languages: a letter of a script that no language has
+#: costs a phrase each, over 14 bits; text of a learned language costs about 3.  One with a large alphabet costs more, so its
+#: bound is half way between its own cost and that of unknown letters if that is higher.
+STRANGE = 9.0
 
 
 class Parser:
@@ -121,14 +125,14 @@ class Model:
             own[[0, *(self.classes[c] for c, _ in seen)]] = [0, *range(2, len(seen) + 2)]
             self.alphabets.append(own)
             self.tables.append(Automaton(own[[self.classes.get(c, 0) for c in clean[k]]]).parser())
-        self.bits = [np.log2(max(2, len(clean[k]))) for k in self.names]
+        self.bits = float(np.log2(max(2, *(len(clean[k]) for k in self.names)))) if self.names else 0.0
         self.bounds = dict.fromkeys(self.names, STRANGE)
-        for k, own, bits in zip(self.names, self.alphabets, self.bits, strict=True):
+        for k, own in zip(self.names, self.alphabets, strict=True):
             if bounds and own.max() >= DENSE:
                 first, rest = clean[k][: len(clean[k]) // 2], clean[k][len(clean[k]) // 2 :]
                 half = Model({k: first}, bounds=False)
                 letters, cost = half.costs([rest], half.code_table())
-                self.bounds[k] = max(STRANGE, (cost[0, 0] / letters[0] + bits) / 2)
+                self.bounds[k] = max(STRANGE, (cost[0, 0] / half.bits * self.bits / letters[0] + self.bits) / 2)
 
     def code_table(self) -> np.ndarray:
         """Class of each code point: 0 no letter, 1 a letter of no language."""
@@ -163,11 +167,11 @@ class Model:
                 got = parser.step(state[:n], mine[starts[:n] + t])
                 state[:n] = got >> 1
                 phrases[:n] += got & 1
-            out[:, k] = np.bincount(seg_owner, phrases, len(texts)) * self.bits[k]
+            out[:, k] = np.bincount(seg_owner, phrases, len(texts)) * self.bits
         return letters, out
 
     def predict(self, texts: list[str | None], codes: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, share of the winner if costs are read as code lengths tempered by 1/16, and cost a letter."""
+        """Language, share of the winner if costs are read as code lengths tempered by 1/16, and cost a letter beyond two phrases."""
         letters, costs = self.costs(texts, codes)
         if not self.names:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
@@ -175,7 +179,7 @@ class Model:
         low = costs.min(1)
         share = 1 / np.exp2(np.maximum((low[:, None] - costs) / 16, -1000)).sum(1)
         none = letters == 0
-        return ["und" if z else self.names[i] for i, z in zip(best, none, strict=True)], np.where(none, 0.0, share), low / np.maximum(letters, 1)
+        return ["und" if z else self.names[i] for i, z in zip(best, none, strict=True)], np.where(none, 0.0, share), np.maximum(low - 2 * self.bits, 0) / np.maximum(letters, 1)
 
 
 def sample(rows: DataFrame, label: str, per_label: int, seed: int = 0) -> DataFrame:
@@ -188,37 +192,21 @@ def sample(rows: DataFrame, label: str, per_label: int, seed: int = 0) -> DataFr
     return rows.withColumn("pick", pick).where(F.col("pick") < limit)
 
 
-def fair_share(sizes: list[int], most: int) -> int:
-    """The largest number that, as a bound of each of sizes, keeps their sum within most."""
-    left = most
-    for k, size in enumerate(sorted(sizes)):
-        if size * (len(sizes) - k) > left:
-            return left // (len(sizes) - k)
-        left -= size
-    return max(sizes, default=0)
-
-
-def spread(text: str, most: int) -> str:
-    """The text, or of one longer than most as many pieces from places spread over it."""
-    width = (most - PIECES + 1) // PIECES
-    if len(text) <= most or width < 1:
-        return text[: max(0, most)]
-    return " ".join(text[k * (len(text) - width) // (PIECES - 1) :][:width] for k in range(PIECES))
-
-
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
+def fit(docs: DataFrame, pieces: int = SAMPLE, piece: int = PIECE) -> Model:
     """From doc_id, text, lang of the documents whose crc32(doc_id) mod 5 is not 0."""
     known = docs.where("lang is not null and doc_id is not null and text is not null and length(text) > 0").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    # Long texts are cut once by executors, so that the driver gets no more than chars of a row.
-    width = max(1, (chars - PIECES + 1) // PIECES)
-    pieces = [F.substring("text", F.floor((F.length("text") - width) * k / (PIECES - 1)).cast("int") + 1, F.lit(width)) for k in range(PIECES)]
-    text = F.when(F.length("text") <= chars, F.col("text")).otherwise(F.concat_ws(" ", *pieces))
-    got = sample(known.select("doc_id", "lang", "text"), "lang", rows).select("lang", "pick", "doc_id", text.alias("text"))
+    known = known.select("doc_id", "lang", "text", F.ceil(F.length("text") / piece).cast("int").alias("n"))
+    pick = F.xxhash64("doc_id", "at").bitwiseAND((1 << 31) - 1)
+    limit = F.lit(-1)
+    for r in known.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        limit = F.when(F.col("lang") == F.lit(r["lang"]), F.lit(min(1 << 31, int((1 << 31) * min(1.0, pieces / r["n"]))))).otherwise(limit)
+    # Only the places that are picked are exploded, so a long text isn't copied for each of its pieces.
+    places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.xxhash64("doc_id", k).bitwiseAND((1 << 31) - 1) < limit)
+    got = known.select("doc_id", "lang", "text", F.explode(places).alias("at")).select("lang", "doc_id", "at", pick.alias("pick"), F.expr(f"substring(text, at * {piece} + 1, {piece})").alias("text"))
     held: dict[str, list[str]] = {}
-    for r in sorted(got.collect(), key=lambda r: (r["pick"], r["doc_id"])):
+    for r in sorted(got.collect(), key=lambda r: (r["pick"], r["doc_id"], r["at"], r["text"])):
         held.setdefault(r["lang"], []).append(r["text"])
-    texts = {k: " ".join(spread(t, fair_share([len(x) + 1 for x in v], chars) - 1) for t in v) for k, v in held.items()}
-    return Model(texts)
+    return Model({k: " ".join(v) for k, v in held.items()})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -230,9 +218,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for b in slices(batch, "text"):
                 langs, scores, costs = shared.value.predict(b.column("text").to_pylist(), codes)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs), pa.array(scores), pa.array(costs)], [*b.schema.names, "lang_pred", "score", "cost"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(costs)], [*b.schema.names, "lang_pred", "score", "cost"])
+        release()
 
-    return docs.mapInArrow(run, f"{','.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, lang_pred string, score double, cost double")
+    return docs.mapInArrow(run, columns(docs, "lang_pred string, score double, cost double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +233,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejects documents without letters and those in none of the learned languages."""
     model = fit(docs)
-    got = predict(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
     bound = F.lit(STRANGE)
     for k, most in model.bounds.items():
-        bound = F.when(F.col("lang_pred") == k, float(most)).otherwise(bound)
-    return got.where((F.col("lang_pred") != "und") & ((F.col("cost") <= bound) | (F.length("text") < SURE))).select("doc_id", "text", "lang", "source", "n_chars")
+        bound = F.when(F.col("lang_pred") == F.lit(k), F.lit(float(most))).otherwise(bound)
+    got = predict(plain_names(docs), model)
+    return own_names(got.where((F.col("lang_pred") != "und") & (F.col("cost") <= bound)), docs)

@@ -89,14 +89,15 @@ def link_cycles(spark: SparkSession, n: int) -> DataFrame:
 
 
 def group_action(spark: SparkSession, n: int) -> DataFrame:
-    """The square to which each symmetry g (a permutation of coordinates after flips) sends each square."""
-    from itertools import permutations
-
-    perms = spark.createDataFrame([(i, list(p)) for i, p in enumerate(permutations(range(n)))], "p int, perm array<int>")
-    flips = spark.range(2**n).select(F.col("id").cast("int").alias("f"))
-    every = cells(spark, n).where("dim = 2").select(F.col("idx").alias("sq"), "digits")
-    moved = F.expr("transform(perm, k -> if(digits[k] = 2, 2, digits[k] ^ (shiftright(f, k) & 1)))")
-    image = F.aggregate(moved, F.lit(0).cast("bigint"), lambda a, x: a * 3 + x)
-    places = cells(spark, n).where("dim = 2").select(F.col("code").alias("to"), F.col("idx").alias("sq_image"))
-    all_g = perms.crossJoin(flips).crossJoin(F.broadcast(every))  # 2^n n! symmetries by the cube's squares, known before any data
-    return all_g.select((F.col("p") * 2**n + F.col("f")).alias("g"), "sq", image.alias("to")).join(F.broadcast(places), "to").select("g", "sq", "sq_image")
+    """The square to which each symmetry g (a permutation of coordinates after flips) sends each square: 2^n n! rows a square, made from their numbers alone."""
+    from itertools import permutations, product
+
+    squares = [c for c in product(range(3), repeat=n) if c.count(2) == 2]
+    index = {c: i for i, c in enumerate(squares)}
+    perms = list(permutations(range(n)))
+    sql = lambda rows: "array(" + ", ".join(sql(r) if isinstance(r, (list, tuple)) else str(r) for r in rows) + ")"
+    places = [index.get(c, -1) for c in product(range(3), repeat=n)]
+    of = spark.range(len(perms) * 2**n * len(squares)).select(F.expr(f"id div {len(squares)}").alias("g"), F.expr(f"cast(id % {len(squares)} as int)").alias("sq"))
+    moved = f"transform({sql(perms)}[cast(g div {2**n} as int)], k -> if({sql(squares)}[sq][k] = 2, 2, {sql(squares)}[sq][k] ^ cast(shiftright(g % {2**n}, k) & 1 as int)))"
+    image = f"{sql(places)}[aggregate({moved}, 0, (a, x) -> a * 3 + x)]"
+    return of.select("g", "sq", F.expr(image).alias("sq_image"))

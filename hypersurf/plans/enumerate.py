@@ -16,8 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from functools import lru_cache
-from itertools import permutations, product
+from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,12 +98,29 @@ class Options:
 
 
 class Cube(Incidence):
-    """Incidence with vertex codes and cycles as masks, for the kernel."""
+    """Incidence as masks of Python integers, and symmetries as tables, for the kernel."""
 
     def __init__(self, n: int):
         super().__init__(n)
+        mask = lambda xs: sum(1 << x for x in xs)
         self.codes, self.other = topology.codes(n), topology.other(n)
-        self.cycles = [{k: [sum(1 << s for s in x) for x in cycles] for k, cycles in at.items()} for at in self.cycles]
+        self.cycles = [{k: [mask(x) for x in cycles] for k, cycles in at.items()} for at in self.cycles]
+        self.edge_mask, self.edge_squares = [mask(x) for x in self.edges_of], [mask(x) for x in self.squares_on]
+        self.vertex_edges, self.vertex_squares = [mask(x) for x in self.edges_at], [mask(x) for x in self.squares_at]
+        digits = np.array(self.squares)
+        place = 3 ** np.arange(n - 1, -1, -1)
+        index = np.full(3**n, -1, np.int16)
+        index[digits @ place] = np.arange(len(digits))
+        self.near_vertices = self.near
+        self.perms = np.array(list(permutations(range(n))))
+        #: flips[v, s]: square s after the coordinates in which vertex v is 1 are flipped; moves[p, s]: after permutation p.
+        self.flips = np.stack([index[np.where(digits == 2, 2, digits ^ np.array(v)) @ place] for v in self.vertices])
+        self.moves = np.stack([index[digits[:, p] @ place] for p in self.perms])
+
+    @lru_cache(maxsize=4096)  # noqa: B019
+    def sorting(self, ranks: tuple[int, ...]) -> np.ndarray:
+        """moves of the permutations that put ranks in order."""
+        return self.moves[(np.diff(np.array(ranks)[self.perms], axis=1) >= 0).all(1)]
 
 
 @lru_cache
@@ -110,33 +128,60 @@ def cube(n: int) -> Cube:
     return Cube(n)
 
 
+def _bits(mask: int) -> list[int]:
+    out = []
+    while mask:
+        low = mask & -mask
+        out.append(low.bit_length() - 1)
+        mask ^= low
+    return out
+
+
 class Complex:
-    """A set of squares with its edge degrees and vertex codes."""
+    """A set of squares: mask; edges in one square or more, two or more, three or more, as masks."""
+
+    __slots__ = ("c", "mask", "one", "two", "three")
 
     def __init__(self, c: Cube, mask: int):
-        self.c, self.mask = c, mask
-        self.squares = [i for i in range(mask.bit_length()) if mask >> i & 1]
-        self.degree: dict[int, int] = {}
-        for s in self.squares:
-            for e in c.edges_of[s]:
-                self.degree[e] = self.degree.get(e, 0) + 1
+        self.c, self.mask, self.one, self.two, self.three = c, mask, 0, 0, 0
+        for s in _bits(mask):
+            self._add(c.edge_mask[s])
+
+    def _add(self, edges: int) -> None:
+        self.three |= self.two & edges
+        self.two |= self.one & edges
+        self.one |= edges
+
+    def plus(self, s: int) -> Complex:
+        """With one more square."""
+        out = Complex.__new__(Complex)
+        out.c, out.mask, out.one, out.two, out.three = self.c, self.mask | 1 << s, self.one, self.two, self.three
+        out._add(self.c.edge_mask[s])
+        return out
+
+    @property
+    def size(self) -> int:
+        return self.mask.bit_count()
+
+    @property
+    def free_mask(self) -> int:
+        return self.one & ~self.two
 
     @property
     def free(self) -> list[int]:
-        return sorted(e for e, m in self.degree.items() if m == 1)
+        return _bits(self.free_mask)
 
     def vertex_codes(self) -> dict[int, int]:
-        edges, squares = {}, {}
-        for e in self.degree:
-            for v in self.c.ends[e]:
-                edges[v] = edges.get(v, 0) + 1
-        for s in self.squares:
-            for v in self.c.vertices_of[s]:
-                squares[v] = squares.get(v, 0) + 1
-        return {v: self.c.codes.get((k, squares.get(v, 0)), self.c.other) for v, k in edges.items()}
+        """Code of every used vertex."""
+        c, out = self.c, {}
+        for v, (es, qs) in enumerate(zip(c.vertex_edges, c.vertex_squares, strict=True)):
+            k = (self.one & es).bit_count()
+            if k:
+                out[v] = c.codes.get((k, (self.mask & qs).bit_count()), c.other)
+        return out
 
     def legal(self, s: int) -> bool:
-        return not self.mask >> s & 1 and all(self.degree.get(e, 0) < 2 for e in self.c.edges_of[s])
+        return not self.mask >> s & 1 and not self.two & self.c.edge_mask[s]
 
     def links(self, codes: dict[int, int]) -> tuple[bool, bool]:
         """(some link has several paths, some link is beyond repair)."""
@@ -151,31 +196,49 @@ class Complex:
         return bad, False
 
     def priority(self) -> list[int]:
-        codes, free = self.vertex_codes(), self.free
-        weight = {e: min(topology.WEIGHTS.get(codes[v], 0) for v in self.c.ends[e]) for e in free}
-        least = min(weight.values(), default=0)
-        return [e for e in free if weight[e] == least]
+        free = self.free
+        if not free:
+            return []
+        codes = self.vertex_codes()
+        weight = {v: topology.WEIGHTS.get(k, 0) for v, k in codes.items()}
+        each = [min(weight[v] for v in self.c.ends[e]) for e in free]
+        least = min(each)
+        return [e for e, w in zip(free, each, strict=True) if w == least]
+
+    def near(self, edges: list[int]) -> list[int]:
+        """Legal squares on any of these edges."""
+        on = 0
+        for e in edges:
+            on |= self.c.edge_squares[e]
+        return [s for s in _bits(on & ~self.mask) if not self.two & self.c.edge_mask[s]]
 
     def coverable(self, left: int) -> bool:
         """Whether the best `left` legal squares cover as many free edges as there are."""
-        free = set(self.free)
-        if len(free) > 4 * left:
+        free = self.free_mask
+        n = free.bit_count()
+        if n > 4 * left:
             return False
-        covers = [sum(e in free for e in self.c.edges_of[s]) for s in {s for e in free for s in self.c.squares_on[e]} if self.legal(s)]
-        return sum(sorted(covers, reverse=True)[:left]) >= len(free)
+        counts = [0] * 5
+        for s in self.near(_bits(free)):
+            counts[(free & self.c.edge_mask[s]).bit_count()] += 1
+        covered = 0
+        for k in (4, 3, 2, 1):
+            take = min(left, counts[k])
+            covered, left = covered + k * take, left - take
+        return covered >= n
 
     def feasible(self, left: int, depth: int, budget: list[int] | None) -> bool:
         """Whether some `depth` legal moves on edges of priority keep the rest coverable; an exhausted budget is an error."""
-        if not self.degree or not self.free:
+        if not self.free_mask:
             return True
         if left <= 0:
             return False
-        for s in sorted({s for e in self.priority() for s in self.c.squares_on[e] if self.legal(s)}):
+        for s in self.near(self.priority()):
             if budget is not None:
                 budget[0] -= 1
                 if budget[0] < 0:
                     raise RuntimeError("the look-ahead visited more complexes than lookahead_nodes allows")
-            child = Complex(self.c, self.mask | 1 << s)
+            child = self.plus(s)
             if child.coverable(left - 1) and (depth <= 1 or child.feasible(left - 1, depth - 1, budget)):
                 return True
         return False
@@ -184,15 +247,14 @@ class Complex:
         """Squares that may be added in this mode."""
         c = self.c
         if o.mode != "":
-            absent = [s for s in range(len(c.squares)) if not self.mask >> s & 1]
+            every = (1 << len(c.squares)) - 1
             if o.mode == "db":
-                return absent
-            if o.mode == "b":
-                on = {s for e in self.free for s in c.squares_on[e]}
-                return [s for s in absent if s in on]
-            free = self.free
-            return [s for s in c.squares_on[free[0]] if not self.mask >> s & 1] if free else absent
-        left = o.cap - len(self.squares)
+                return _bits(every & ~self.mask)
+            free, on = self.free, 0
+            for e in free if o.mode == "b" else free[:1]:
+                on |= c.edge_squares[e]
+            return _bits((on if free or o.mode == "b" else every) & ~self.mask)
+        left = o.cap - self.size
         if left <= 0:
             return []
         if o.coverage_prune and not self.coverable(left):
@@ -201,33 +263,33 @@ class Complex:
         if o.edge_prune and o.lookahead and not self.feasible(left, o.lookahead, [o.lookahead_nodes] if o.lookahead >= BUDGET_DEPTH else None):
             counts["prune_edge_neighborhood"] += 1
             return []
-        edges = self.priority()
-        return [s for s in c.squares_on[edges[0]] if self.legal(s)] if edges else []
+        return self.near(self.priority()[:1])
 
     def label(self, codes: dict[int, int], counts: dict[str, int] | None = None) -> int:
         """Least image under the symmetries that send a vertex of least signature to the origin and sort its neighbours."""
-        c, n = self.c, self.c.n
-        sig = [codes.get(v, 0) for v in range(len(c.vertices))]
-        for _ in range(2):
-            sig = [(sig[v], tuple(sorted(sig[w] for w in c.near[v]))) for v in range(len(c.vertices))]
-        least, best = min(sig), None
+        c = self.c
         counts = counts if counts is not None else dict.fromkeys(COUNTS, 0)
         counts["canon_calls"] += 1
+        sig: list = [codes.get(v, 0) for v in range(len(c.vertices))]
+        for _ in range(2):
+            sig = [(sig[v], tuple(sorted([sig[w] for w in c.near_vertices[v]]))) for v in range(len(sig))]
+        least, squares, best = min(sig), np.array(_bits(self.mask)), None
         for root in (v for v in range(len(sig)) if sig[v] == least):
-            counts["canon_root_candidates"] += 1
-            around = [sig[w] for w in c.near[root]]
+            around = [sig[w] for w in c.near_vertices[root]]
             ranks = {x: i for i, x in enumerate(sorted(set(around)))}
-            groups = [[k for k in range(n) if ranks[around[k]] == r] for r in range(len(ranks))]
-            flipped = [tuple(d if d == 2 else d ^ r for d, r in zip(c.squares[s], c.vertices[root], strict=True)) for s in self.squares]
-            for parts in product(*(permutations(g) for g in groups)):
-                counts["canon_tau_trials"] += 1
-                order = [k for p in parts for k in p]
-                image = 0
-                for s in flipped:
-                    image |= 1 << c.square_index[tuple(s[k] for k in order)]
-                if best is None or image < best:
-                    best = image
-        return best
+            moves = c.sorting(tuple(ranks[x] for x in around))
+            counts["canon_root_candidates"] += 1
+            counts["canon_tau_trials"] += len(moves)
+            # Images have as many squares, so the least number is the least list of squares from the highest down.
+            images = np.sort(moves[:, c.flips[root][squares]], axis=1)[:, ::-1]
+            for k in range(images.shape[1]):
+                if len(images) == 1:
+                    break
+                images = images[images[:, k] == images[:, k].min()]
+            found = images[0].tolist()
+            if best is None or found < best:
+                best = found
+        return sum(1 << s for s in best)
 
 
 def children(o: Options, mask: int, counts: dict[str, int] | None = None) -> Iterator[tuple[int, bool, bool]]:
@@ -236,10 +298,10 @@ def children(o: Options, mask: int, counts: dict[str, int] | None = None) -> Ite
     parent = Complex(c, mask)
     for s in parent.extensions(o, counts):
         counts["generated"] += 1
-        child = Complex(c, mask | 1 << s)
-        if max(child.degree.values()) > 2:
+        child = parent.plus(s)
+        if child.three:
             continue
-        closed = not child.free
+        closed = not child.free_mask
         codes = child.vertex_codes()
         bad, hopeless = child.links(codes) if o.check_links else (False, False)
         if hopeless:
@@ -349,12 +411,12 @@ def surface_cells(goods: DataFrame, n: int) -> DataFrame:
     """One line a surface (label): its squares as lists of digits, for text files."""
     squares = cube(n).squares
     names = F.array(*[F.lit("".join(map(str, s))) for s in squares])
-    bits = F.reverse(_bits(F.hex("label")))
+    bits = F.reverse(_binary(F.hex("label")))
     held = F.filter(F.transform(names, lambda x, i: F.when(F.substring(bits, i + 1, F.lit(1)) == "1", x)), lambda x: x.isNotNull())
     return goods.select(F.concat_ws(" ", held).alias("value"))
 
 
-def _bits(digits) -> object:
+def _binary(digits) -> object:
     """Binary digits of hex ones."""
     table = {f"{k:X}": f"{k:04b}" for k in range(16)}
     return F.array_join(F.transform(F.split(digits, "(?!^)"), lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), d)), "")

@@ -363,18 +363,16 @@ def enumerate_surfaces(spark: SparkSession, options: Options, path: str | None =
     seeds = [(1 << s).to_bytes(size, "big") for s in range(cells.sizes(o.n)[2] if o.seed == "all" else 1)]
     if not (resume and _complete(spark, f"{path}/level=1")):
         spark.createDataFrame([(x, True, "b" in o.mode, None) for x in seeds], SCHEMA).write.mode("overwrite" if resume else "errorifexists").parquet(f"{path}/level=1")
-    last, metrics, level = min(o.stop_level or o.cap, o.cap), [], 1
-    while level < last:
+    last, metrics, level, count = min(o.stop_level or o.cap, o.cap), [], 1, len(seeds)
+    while level < last and count:
         done = spark.read.schema(SCHEMA).parquet(f"{path}/level={level}").where("labeled").select("label")
-        count = done.count()
-        if not count:
-            break
         level, began = level + 1, time.time()
         if not (resume and _complete(spark, f"{path}/level={level}")):
             # A complex takes milliseconds, so small levels are spread by count, not by bytes.
             wide = done.repartition(min(count, max(spark.sparkContext.defaultParallelism, -(-count // 2000))))
             step(wide, o).write.mode("overwrite" if resume else "errorifexists").parquet(f"{path}/level={level}")
         made = spark.read.schema(SCHEMA).parquet(f"{path}/level={level}").agg(F.count_if("labeled"), F.count_if("good"), F.max("counts")).first()
+        count = made[0]
         metrics.append({"level": level, "frontier": made[0], "good": made[1], "ms": int(1000 * (time.time() - began))} | dict(zip(COUNTS, made[2] or [0] * len(COUNTS), strict=True)))
     goods = spark.read.schema(SCHEMA + ", level int").parquet(path).where("good")
     return goods.select(F.col("level").alias("squares"), "label"), metrics

@@ -55,6 +55,13 @@ def test_prunes_lose_no_surface():
     assert seeds == {63}
 
 
+def test_five_dimensions_up_to_sixteen_squares():
+    from collections import Counter
+
+    found = _locally(en.Options(5, max_squares=16, lookahead=1))
+    assert Counter(m.bit_count() for m in found) == {6: 1, 10: 1, 12: 2, 14: 4, 16: 5}
+
+
 def test_look_ahead_beyond_its_budget_is_an_error():
     c = en.cube(4)
     parent = en.Complex(c, 1)

@@ -10,8 +10,13 @@ the documents, so that no document vouches for its own words.
 Training is bounded: at most about TOXIC + CLEAN labelled documents, picked by a hash of the id over all labels, on the driver; seeds are
 fixed.  Scoring is one pass without a shuffle; only the model (about 3 MB) is sent out.
 
+A score is read at a fixed threshold (THRESHOLD), so its calibration may not depend on how rare toxic labels are in a sample: the classes
+are weighted as if PRIOR of the texts were toxic (or more, if more labels are).  A score is thus the probability at that prior.
+
 Cases: a text without words, or null, scores 0; if the labels hold one class only (or none) every text with words scores the share
-of toxic labels; labels repeated for a document count once (toxic if any is); null labels and labels of no document are ignored.
+of toxic labels; labels repeated for a document count once (toxic if any is); null labels and labels of no document are ignored; a
+labelled id with several rows teaches with each of them; repeated rows repeat; an empty table gives no rows; other columns are ignored (score and
+predicted among them, by query), and the stage keeps all columns of its documents.
 """
 
 from __future__ import annotations
@@ -25,13 +30,13 @@ from pyspark.sql import functions as F
 
 from .language import sample
 from .words import mixed, split_words, word_hashes
-from .work import slices, table
+from .work import columns, own_names, plain_names, release, slices, table
 
 WINDOW, STRIDE, HIDDEN, EMBED = 16, 8, 8, 3
 SLOTS, ROWS = 1 << 18, 1 << 12
 TOXIC, CLEAN, STEPS, THRESHOLD = 800, 1200, 240, 0.7
-#: Share of toxic texts that the calibration takes as given at least.
-PRIOR = 0.3
+#: Share of toxic texts that the calibration takes as given at least; text bytes that are scored together.
+PRIOR, SCORE_BYTES = 0.3, 2 << 20
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -46,20 +51,22 @@ class Corpus:
         self.n = len(distinct)
         self.word = (mixed(word_hashes(distinct)) % np.uint64(SLOTS)).astype(np.int64)
         marked = [f"^{w}$" for w in distinct.to_pylist()]
-        codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        owner = np.repeat(np.arange(self.n), [len(w) for w in marked])
-        grams, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        rolled = codes.copy()
+        lengths = np.fromiter(map(len, marked), np.int64, self.n)
+        rolled = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes, owner, first = rolled, np.repeat(np.arange(self.n, dtype=np.int32), lengths), np.cumsum(lengths) - lengths
+        del marked
+        counts = [np.maximum(lengths - k, 0) for k in (2, 3, 4)]  # of 3, 4 and 5 characters
+        self.gram_starts = np.concatenate([[0], np.cumsum(sum(counts))])
+        self.gram, before = np.zeros(self.gram_starts[-1], np.int32), self.gram_starts[:-1].copy()
         for k in range(1, 5):
             if len(codes) <= k:
                 break
             rolled = rolled[:-1] * np.uint64(0x100000001B3) + codes[k:]
-            own = owner[: len(rolled)] == owner[k:]
             if k >= 2:
-                grams.append((mixed(rolled[own] + np.uint64(k)) % np.uint64(SLOTS)).astype(np.int64))
-                owners.append(owner[: len(rolled)][own])
-        order = np.argsort(np.concatenate(owners), kind="stable")
-        self.gram, self.gram_word = np.concatenate(grams)[order], np.concatenate(owners)[order]
+                at = np.flatnonzero(owner[: len(rolled)] == owner[k:])
+                of = owner[at]
+                self.gram[at + (before - first)[of]] = (mixed(rolled[at] + np.uint64(k)) % np.uint64(SLOTS)).astype(np.int32)
+                before += counts[k - 2]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(words of each window with self.n as filler, its text)."""
@@ -73,31 +80,31 @@ class Corpus:
 
     def spans(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in `gram`, count) of the grams of some distinct words; every word has one, as its marks make three characters."""
-        starts = np.searchsorted(self.gram_word, words)
-        sizes = np.searchsorted(self.gram_word, words, side="right") - starts
+        starts = self.gram_starts[words]
+        sizes = self.gram_starts[words + 1] - starts
         return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), sizes
 
     def inputs(self, words: np.ndarray, odds: tuple[np.ndarray, np.ndarray], tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Inputs of some distinct words, and zeros for the filler."""
         x = np.zeros((len(words) + 1, 3 + 2 * EMBED), np.float32)
-        if len(words):
-            at, sizes = self.spans(words)
-            starts, grams = np.cumsum(sizes) - sizes, self.gram[at]
+        for low in range(0, len(words), 1 << 14):  # words' n-grams are many times the words
+            own = words[low : low + (1 << 14)]
+            at, sizes = self.spans(own)
+            starts, grams, part = np.cumsum(sizes) - sizes, self.gram[at], x[low : low + len(own)]
             chars, sizes = odds[1][grams], sizes[:, None].astype(np.float32)
-            x[:-1, 0] = odds[0][self.word[words]]
-            x[:-1, 1] = np.maximum.reduceat(chars, starts)
-            x[:-1, 2] = np.add.reduceat(chars, starts) / sizes[:, 0]
-            x[:-1, 3 : 3 + EMBED] = tables[0][self.word[words] % ROWS]
-            x[:-1, 3 + EMBED :] = np.add.reduceat(tables[1][grams % ROWS], starts, axis=0) / sizes
+            part[:, 0] = odds[0][self.word[own]]
+            part[:, 1] = np.maximum.reduceat(chars, starts)
+            part[:, 2] = np.add.reduceat(chars, starts) / sizes[:, 0]
+            part[:, 3 : 3 + EMBED] = tables[0][self.word[own] % ROWS]
+            part[:, 3 + EMBED :] = np.add.reduceat(tables[1][grams % ROWS], starts, axis=0) / sizes
         return x
 
 
-def log_odds(corpus: Corpus, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shrunken log odds, between toxic and other documents, that a document holds a word slot or a character slot."""
-    counts = np.zeros((2, 2, SLOTS))  # (word or character slots, toxic or not, slot)
-    starts = np.searchsorted(corpus.gram_word, np.arange(corpus.n + 1))
-    for first in range(0, len(corpus.ends), 100):  # documents' n-grams are many times their words
-        low, high = corpus.ends[first - 1] if first else 0, corpus.ends[min(first + 100, len(corpus.ends)) - 1]
+def slot_counts(corpus: Corpus, toxic: np.ndarray) -> np.ndarray:
+    """How many documents hold a slot: (word or character slots, toxic or not, slot)."""
+    counts, starts = np.zeros((2, 2, SLOTS)), corpus.gram_starts
+    for first in range(0, len(corpus.ends), 50):  # documents' n-grams are many times their words
+        low, high = corpus.ends[first - 1] if first else 0, corpus.ends[min(first + 50, len(corpus.ends)) - 1]
         owner = np.searchsorted(corpus.ends, np.arange(low, high), side="right")
         pairs = np.unique(owner * np.int64(corpus.n + 1) + corpus.flat[low:high])
         doc, word = pairs // (corpus.n + 1), pairs % (corpus.n + 1)
@@ -108,9 +115,14 @@ def log_odds(corpus: Corpus, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         for kind, both in enumerate((word_pairs, gram_pairs)):
             for bad in (0, 1):
                 counts[kind, bad] += np.bincount(both[toxic[both // SLOTS] == bad] % SLOTS, minlength=SLOTS)
+    return counts
+
+
+def odds_of(counts: np.ndarray, toxic: int, others: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shrunken log odds, between toxic and other documents, that a document holds a word slot or a character slot."""
     out = []
     for good, bad in counts:
-        odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((1 - toxic).sum() + 1))
+        odds = np.log((bad + 0.5) / (toxic + 1)) - np.log((good + 0.5) / (others + 1))
         out.append((odds * (bad + good) / (bad + good + 4)).astype(np.float32))
     return out[0], out[1]
 
@@ -206,7 +218,9 @@ class Model:
             return
         halves = [np.arange(len(texts)) % 2 == k for k in (0, 1)]
         corpora = [Corpus(pa.array([t for t, own in zip(texts, half, strict=True) if own], pa.large_string())) for half in halves]
-        odds = [log_odds(c, toxic[half]) for c, half in zip(corpora, halves, strict=True)]
+        counts = [slot_counts(c, toxic[half]) for c, half in zip(corpora, halves, strict=True)]
+        odds = [odds_of(x, toxic[half].sum(), (1 - toxic[half]).sum()) for x, half in zip(counts, halves, strict=True)]
+        release()
         self.net, r = Network(seed), np.random.default_rng(seed)
         sets = []
         for k, corpus in enumerate(corpora):
@@ -244,7 +258,8 @@ class Model:
             tops.append(top[np.isfinite(top)])
             labels.append(target[np.isfinite(top)])
         self.scale, self.shift = self._calibrate(np.concatenate(tops), np.concatenate(labels), max(share, PRIOR))
-        self.odds = log_odds(Corpus(pa.array(texts, pa.large_string())), toxic)
+        # Slots are hashes of what they count, so the halves' counts add up.
+        self.odds = odds_of(counts[0] + counts[1], toxic.sum(), (1 - toxic).sum())
 
     @staticmethod
     def _calibrate(top: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float, float]:
@@ -288,7 +303,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, clean_rows:
     # At most about toxic_rows + clean_rows labels are left, so they may be broadcast whatever the size of the corpus.
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("pick", "doc_id", "text", "toxic").collect()
     got.sort(key=lambda r: (r["pick"], r["doc_id"], r["text"] or ""))
-    return Model([r["text"] or "" for r in got], np.array([r["toxic"] for r in got], np.int64), sizes.get(1, 0) / max(1, sum(sizes.values())))
+    texts, toxic = [r["text"] or "" for r in got], np.array([r["toxic"] for r in got], np.int64)
+    del got
+    model = Model(texts, toxic, sizes.get(1, 0) / max(1, sum(sizes.values())))
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -297,11 +316,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SCORE_BYTES):
                 got = shared.value.score(b.column("text"))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64()), pa.array((got >= THRESHOLD).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+        release()
 
-    return docs.mapInArrow(run, f"{','.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, score double, predicted int")
+    return docs.mapInArrow(run, columns(docs, "score double, predicted int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,4 +333,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejects documents that are predicted toxic."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model).where("predicted = 0").drop("score", "predicted")
+    return own_names(score(plain_names(docs), model).where("predicted = 0"), docs)

@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
             return held.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = after
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Stored, so that a hub's rows are not all in the task that finds its smallest neighbour.
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "smallest")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -11,14 +11,16 @@ Scale: equal texts are one node, so copies cost one row each.  Bands are shuffle
 emits all its pairs: its members are compared with one pivot, a few rounds of pivots follow for the members that
 are still in other components.  What is left is dealt anew by its rarest shingles
 (see rare_shingles), and only there pairs of different components are formed and all verified on their texts, so that no
-link is lost.
+link is lost.  Tables of one row a key (copies, sizes, pivots) are stored before the join with the rows of that key, so that a key with a third
+of all rows is split over tasks by adaptive execution and not held in the task that counted it.
 Components are found by star contraction in shared storage.  Texts are shuffled once, for documents
 with candidates.
 
 Misses: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^6)^32 = 0.99994.
 
 Cases: null and empty texts are classes of their own; texts without words are joined with equal texts only; a null id has
-a null class; equal ids are one document; other columns are ignored.
+a null class; of rows with one id but different texts each is in its own text's class, and equal rows are in one; class_id is the smallest id of a
+class; an empty table gives no rows; other columns are ignored, and the stage keeps them.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .words import gram_hashes, mixed, split_words, word_hashes
-from .work import materialise, slices, table
+from .work import materialise, own_names, plain_names, release, slices, table
 
 SHINGLE, THRESHOLD, REGISTERS, ROWS, PIVOTS = 5, 0.8, 192, 6, 2
 #: An estimate this far below the threshold is over four standard errors off: sqrt(0.8 * 0.2 / 192) = 0.029.
@@ -77,8 +79,8 @@ def prob_minhash(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def sketch(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
-    """doc_id, digest (of the text; null for an empty one), bands (array of long) and registers (binary, a byte each)."""
-    names = ["doc_id", "digest", "bands", "registers"]
+    """doc_id, copy and digest (hashes of the text; digest null for an empty one), bands (array of long) and registers (binary, a byte each)."""
+    names = ["doc_id", "copy", "digest", "bands", "registers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,10 +91,11 @@ def sketch(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS, n: int
                 bands = [gram_hashes(won[:, k : k + rows].T.reshape(rows, -1).T.ravel(), rows)[::rows] + np.uint64(k) for k in range(0, registers, rows)]
                 bands = mixed(np.stack(bands, 1)).view(np.int64)
                 kept = mixed(won).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([x if f else [] for x, f in zip(bands.tolist(), full, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in kept], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), b.column("digest"), pa.array([x if f else [] for x, f in zip(bands.tolist(), full, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in kept], pa.binary())], names)
+        release()
 
-    rows_in = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.length("text") > 0, F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
-    return rows_in.mapInArrow(run, "doc_id long, digest string, bands array<long>, registers binary")
+    rows_in = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.when(F.length("text") > 0, F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
+    return rows_in.mapInArrow(run, "doc_id long, copy long, digest string, bands array<long>, registers binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, screen: bool = True) -> DataFrame:
@@ -145,7 +148,8 @@ def rare_shingles(nodes: DataFrame, texts: DataFrame, threshold: float, n: int)
 
     of = texts.select(F.col("doc_id").alias("node"), "text").join(nodes, "node").select("node", "root", "text")
     each = materialise(of.mapInArrow(explode, "node long, root long, key long"), "shingles")
-    ranked = each.join(each.groupBy("key").agg(F.count("*").alias("df")), "key").where("df > 1")
+    often = materialise(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "shingle-counts")
+    ranked = each.join(often, "key")
     sizes = each.groupBy("node").agg(F.count("*").alias("size"))
     rare = ranked.groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held")).join(sizes, "node")
     # Shingles of one document only are the rarest of all and take the first places, though they link nothing.
@@ -155,37 +159,36 @@ def rare_shingles(nodes: DataFrame, texts: DataFrame, threshold: float, n: int)
     return rare.join(shared, "key").select("key", "node", "root", "size", "left")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id (smallest id of its class) of docs (doc_id, text)."""
-    found = materialise(sketch(docs, registers, rows, n), "sketches")
-    groups = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = materialise(found.select("doc_id", "digest").join(groups, "digest", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")), "members")
-    nodes = found.where("size(bands) > 0").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    buckets = materialise(nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")).distinct(), "buckets")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
+    """doc_id, copy (hash of the text), root (number of its class) and class_id (smallest id of the class) of each row of docs (doc_id, text) with an id."""
+    # Numbers of rows are drawn once, as they are stored with the sketches: a node is the number of one of the rows of a text.
+    found = materialise(sketch(docs, registers, rows, n).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    copies = materialise(found.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n")).where("n > 1").select("digest", "node"), "copies")
+    members = materialise(found.select("row", "doc_id", "copy", "digest").join(copies, "digest", "left").select("row", "doc_id", "copy", F.coalesce("node", "row").alias("node")), "members")
+    heads = members.where("row = node").select("node", "doc_id", "copy")
+    nodes = found.where("size(bands) > 0").withColumnRenamed("row", "node").join(heads.select("node"), "node", "left_semi")
+    buckets = materialise(nodes.select(F.explode("bands").alias("key"), "node"), "buckets")
+    shared = materialise(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     buckets = materialise(buckets.join(shared, "key"), "shared-buckets")
-    involved = buckets.select(F.col("node").alias("doc_id")).distinct()
-    registers_of = found.where("size(bands) > 0").select("doc_id", "registers").dropDuplicates(["doc_id"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id").join(registers_of, "doc_id")
-    texts = materialise(texts, "candidate-texts")
-    links, roots = None, None
+    involved = heads.join(buckets.select("node").distinct(), "node").join(found.select(F.col("row").alias("node"), "registers"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text").join(involved, ["doc_id", "copy"])
+    texts = materialise(texts.dropDuplicates(["doc_id", "copy"]).select(F.col("node").alias("doc_id"), "text", "registers"), "candidate-texts")
+    links, roots, whole = None, None, True
     for turn in range(PIVOTS + 1):
         if roots is None:
             at = buckets.withColumn("root", F.col("node"))
         else:
             at = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed_keys = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-            at = materialise(at.join(mixed_keys, "key").select("key", "node", "root"), "mixed-buckets")
+            mixed_keys = materialise(at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "mixed-keys")
+            at = materialise(at.join(mixed_keys, "key").select("key", "node", "root", "n"), "mixed-buckets")
         if turn < PIVOTS:
             # First whoever shares most buckets with others: the original of a family of copies, if it is there.
             if turn == 0:
-                sizes = at.groupBy("key").agg(F.count("*").alias("size"))
-                weight = at.join(sizes, "key").groupBy("node").agg((-F.sum("size")).alias("h"))
-                at = materialise(at.join(weight, "node"), "weighed")
+                weight = materialise(at.groupBy("node").agg((-F.sum("n")).alias("h")), "weights")
+                at = at.join(weight, "node")
             else:
                 at = at.withColumn("h", F.xxhash64("node", F.lit(turn)))
-            pivot = F.min(F.struct("h", "node", "root"))
-            pivots = at.groupBy("key").agg(pivot.alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("proot"))
+            pivots = materialise(at.groupBy("key").agg(F.min(F.struct("h", "node", "root")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("proot")), "pivots")
             pairs = at.join(pivots, "key").where("root <> proot")
             pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         else:
@@ -201,10 +204,36 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
+        # Between the pivots labels that join only what is joined will do; the last labels are whole components.
+        whole = turn + 1 >= PIVOTS
+        roots = materialise(components(links) if whole else near_labels(links), "roots")
+    if not whole:
         roots = materialise(components(links), "roots")
-    if roots is None:
-        return members.select("doc_id", F.col("node").alias("class_id"))
-    return members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
+    rooted = members.select("doc_id", "copy", F.col("node").alias("root"))
+    if roots is not None:
+        rooted = materialise(members.join(roots, "node", "left").select("doc_id", "copy", F.coalesce("root", "node").alias("root")), "rooted")
+    return rooted.join(_least(rooted), "root").select("doc_id", "copy", "root", "class_id")
+
+
+def _least(members: DataFrame) -> DataFrame:
+    """The smallest id of each class, stored: a class can hold many rows."""
+    return materialise(members.groupBy("root").agg(F.min("doc_id").alias("class_id")), "class-ids")
+
+
+def near_labels(links: DataFrame, hops: int = 2) -> DataFrame:
+    """(node, root): the smallest node within some steps; nodes of one root are connected, connected nodes may have several roots."""
+    both = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "both-ways")
+    label = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    for _ in range(hops - 1):
+        label = materialise(label, "labels")
+        seen = both.join(label.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("m2"))
+        label = label.join(seen, "u").select("u", F.least("m", "m2").alias("m"))
+    return label.select(F.col("u").alias("node"), F.col("m").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
+    """doc_id and class_id of each row of docs (doc_id, text) with an id."""
+    return classes(docs, threshold, n, registers, rows).select("doc_id", "class_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +242,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest id stays."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of each class one row stays, that of the smallest id (of rows of that id the smallest text hash, of equal ones the
+    smallest in all columns); rows without an id stay."""
+    found = materialise(classes(docs.select("doc_id", "text")), "classes")
+    first = found.where("doc_id = class_id").groupBy("root").agg(F.min("copy").alias("kept"))
+    each = found.groupBy("doc_id", "copy", "root", "class_id").agg(F.count("*").alias("n"))
+    each = each.join(materialise(first, "kept"), "root", "left")
+    each = materialise(each.select("doc_id", "copy", "n", ((F.col("doc_id") == F.col("class_id")) & (F.col("copy") == F.col("kept"))).alias("stays")).where("not stays or n > 1"), "touched")
+    held = plain_names(docs).withColumn("id", F.col(f"_{docs.columns.index('doc_id')}").cast("long")).withColumn("copy", F.xxhash64("text"))
+    several = each.where("stays").select(F.col("doc_id").alias("id"), "copy")
+    alone = held.join(each.select(F.col("doc_id").alias("id"), "copy"), ["id", "copy"], "left_anti")
+    rows = plain_names(docs).columns
+    one = held.join(several, ["id", "copy"], "left_semi").groupBy("id", "copy").agg(F.min(F.struct(*rows)).alias("r")).select("r.*")
+    return own_names(alone.select(*rows).unionByName(one), docs)

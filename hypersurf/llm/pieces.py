@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .work import materialise, partitions, release, slices, table
 
-BLOCK_BYTES, BUCKET_BYTES, BUCKETS, WINDOW, MOST_KNOWN = 6 << 20, 16 << 20, 16_384, 1 << 18, 400_000
+BLOCK_BYTES, BUCKET_BYTES, BUCKETS, WINDOW, MOST_KNOWN, MOST_CHUNKS = 6 << 20, 16 << 20, 16_384, 1 << 18, 400_000, 1_000_000
 PACKED = "block long, bucket int, data binary, docs binary, ends binary, sums binary"
 _loaded: dict = {}
 
@@ -84,7 +84,7 @@ class ChunkEncoder:
     Byte-level models without a normalizer only.  Strings of added tokens get their own ids, as in the library.
     """
 
-    def __init__(self, path: str, most_known: int = MOST_KNOWN):
+    def __init__(self, path: str, most_known: int):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -109,6 +109,8 @@ class ChunkEncoder:
                 if part.isalpha():
                     piece = outer.space + (part if part.isascii() else part.encode().decode("latin-1").translate(outer.table))
                     got = outer._ids([piece])
+                elif part[-1:] in _MARKS and part[:-1].isalpha():
+                    got = self[part[:-1]] + outer._ids([part[-1]])
                 else:
                     got = outer._ids([p for p, _ in outer.pre_tokenize(f" {part}")])
                 self[part] = got
@@ -137,6 +139,8 @@ class ChunkEncoder:
         return self._plain(text) if len(parts) == 1 else b"".join(self.added.get(p) if k % 2 else self._plain(p) for k, p in enumerate(parts))
 
 
+#: Marks that are a pre-token of their own after letters.
+_MARKS = (".", ",", ";", ":", "!", "?")
 #: A space before white space or the end: only then a part between spaces is not a chunk of its own.
 _ODD = re.compile(r" (?=\s|\Z)").search
 
@@ -148,7 +152,7 @@ def loaded(encoder: tuple):
     return _loaded[name]
 
 
-def tokenizer_encoder(path: str, most_known: int = MOST_KNOWN) -> tuple:
+def tokenizer_encoder(path: str, most_known: int = MOST_CHUNKS) -> tuple:
     """Encodes texts by the tokenizers library, add_special_tokens=False."""
     return (path, most_known), lambda: ChunkEncoder(path, most_known)
 

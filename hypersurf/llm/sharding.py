@@ -6,8 +6,9 @@ bytes; the corpus is cut where that walk cuts.  No group is ever split, so `byte
 
 Scale: only (id, hash, size) are shuffled, never texts.  The driver keeps a histogram of at most CELLS cells of the running size and, for
 the few stretches in which a cut can fall, up to EXACT ends of groups; stretches with more are split into finer cells
-first, so the result is exact at any size.  Within shards rows are numbered by (group, id) through a global range sort
-and per-partition counts, so neither a shard nor a hot group is ever held by one task.
+first, so the result is exact at any size.  Groups are stored before they are joined back to the rows, so that adaptive execution splits the rows
+of a hot group over tasks; within shards rows are numbered by (group, id) through a global range sort (by id within a hot group) and per-partition
+counts.
 
 Cases: an empty table gives no rows; fewer groups than shards leave the last shards empty; rows with null ids sort
 first in their group; repeated rows are separate rows of a group; other columns are ignored.

@@ -9,9 +9,7 @@ with an empty label, so that it is right when tasks run again.  A run that ended
 from __future__ import annotations
 
 import os
-import tempfile
 import time
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
@@ -23,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cells, topology
+from ..operators import cells, storage, topology
 from ..operators.incidence import Incidence
 
 MODES = ("", "d", "b", "db")
@@ -340,13 +338,6 @@ def step(frontier: DataFrame, o: Options) -> DataFrame:
     return frontier.mapInArrow(run, SCHEMA).groupBy("label").agg(F.bool_or("labeled").alias("labeled"), F.bool_or("good").alias("good"), sums.alias("counts"))
 
 
-def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
-    return f"{(base or tempfile.mkdtemp(prefix='hypersurf-')).rstrip('/')}/levels-{uuid.uuid4().hex[:12]}"
-
-
 def _complete(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -358,7 +349,7 @@ def enumerate_surfaces(spark: SparkSession, options: Options, path: str | None =
 
     path: folder of the levels; an existing one is an error unless resume, which goes on after its last complete level.
     """
-    o, path = options, path or folder(spark)
+    o, path = options, path or storage.folder(spark, "levels")
     size = -(-cells.sizes(o.n)[2] // 8)
     seeds = [(1 << s).to_bytes(size, "big") for s in range(cells.sizes(o.n)[2] if o.seed == "all" else 1)]
     if not (resume and _complete(spark, f"{path}/level=1")):

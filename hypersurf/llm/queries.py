@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backoff, decontaminate, language, media, minhash, pieces, sharding, token_file, toxicity, warc
+from . import backoff, clusters, decontaminate, language, media, minhash, pieces, resampling, sharding, token_counts, token_file, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_pieces": pieces.query,
     "op9_shards": sharding.query,
     "op10_token_file": token_file.query,
+    "op11_clusters": clusters.query,
+    "op12_resampling": resampling.query,
+    "op13_token_counts": token_counts.query,
 }
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op4_backoff": backoff.ORACLE}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op4_backoff": backoff.ORACLE, "op11_clusters": clusters.ORACLE, "op12_resampling": resampling.ORACLE}

@@ -33,6 +33,10 @@ def _write(folder, rows, pages, labels, benchmark):
     pq.write_table(pa.table({"page_id": pa.array([r[0] for r in pages], pa.int64()), "url": pa.array([r[1] for r in pages], pa.string()), "html": pa.array([r[2] for r in pages], pa.string()), "offset": pa.array([1] * len(pages), pa.int32())}), f"{folder}/pages.parquet")
     pq.write_table(labels, f"{folder}/labels.parquet")
     pq.write_table(benchmark, f"{folder}/benchmark.parquet")
+    vectors = [(k % 300, [((k * 31 + i * 17) % 97 - 48) / 64 for i in range(64)]) for k in range(360)] if rows else []
+    odd = [(900, None), (901, []), (902, [0.5] * 63), (903, [0.5] * 63 + [None]), (904, [0.5] * 63 + [math.nan]), (905, [math.inf] + [0.5] * 63), (None, [0.25] * 64), (None, [-0.25] * 64), *[(906, [-0.001] * 64)] * 50]
+    vectors += odd if rows else []
+    pq.write_table(pa.table({"vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())), "cluster": pa.array(["x"] * len(vectors))}), f"{folder}/embeddings.parquet")
 
 
 @pytest.fixture(scope="module")
@@ -60,13 +64,24 @@ def _sorted(rows):
     return sorted(rows, key=str)
 
 
+@pytest.mark.parametrize("name", ["op11_clusters", "op12_resampling"])
+def test_query_equals_its_sql_on_odd_rows(spark, corpus, empty, name):
+    for folder in (corpus[0], empty):
+        db = duckdb.connect()
+        for t in ("documents", "benchmark", "embeddings"):
+            db.sql(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+        got = queries.QUERIES[name](spark, folder)
+        want = db.sql(f"select {', '.join(got.columns)} from ({queries.ORACLES[name]})").fetchall()
+        assert _sorted(map(tuple, got.collect())) == _sorted(want) and bool(want) == (folder == corpus[0])
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables_give_no_rows(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).count() == 0
 
 
 def test_every_query_is_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {f"{q.split('_')[0]}_" for q in queries.QUERIES} and entry.queries()["pipeline"] is corpus_pipeline.run
+    assert {f"op{n}_" for n in range(1, 14)} == {f"{q.split('_')[0]}_" for q in queries.QUERIES} and entry.queries()["pipeline"] is corpus_pipeline.run
     assert queries.QUERIES.keys() <= entry.queries().keys() and queries.ORACLES.keys() <= entry.oracle_sql().keys()
 
 
@@ -245,3 +260,14 @@ def test_pipeline_keeps_columns_and_takes_empty_tables(spark, corpus, empty):
         if name != "near_duplicates":
             assert stage(spark, docs, folder).schema == docs.schema, name
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_op13(spark, corpus):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    folder, rows, _ = corpus
+    got = queries.QUERIES["op13_token_counts"](spark, folder).collect()
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    counts = {t: len(encode(t or "", add_special_tokens=False).ids) for _, t, _ in rows}
+    assert _sorted(map(tuple, got)) == _sorted((i, len((t or "").encode()), counts[t], counts[t] > 1024) for i, t, _ in rows)

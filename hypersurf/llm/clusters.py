@@ -55,7 +55,7 @@ def first_centroids(vectors: DataFrame, count: int = CENTROIDS, salt: str = SALT
     """The vectors of the least SHA-256 of `salt:id`, in that order."""
     order = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.orderBy(order.asc_nulls_last(), "vector").limit(count).collect()
-    return np.array([r.vector for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.vector for r in rows], np.int64)
 
 
 def squared(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:

@@ -73,7 +73,8 @@ def test_resampling_prefers_the_target(spark):
     target = spark.createDataFrame([(1, "apple pie " * 50)], "doc_id long, text string")
     rows = resampling.resample(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), target).collect()
     drawn = sorted((r.rank, r.doc_id) for r in rows if r.rank)
-    assert [k for k, _ in drawn] == list(range(1, 101)) and Counter(i % 4 for _, i in drawn)[0] == 100
+    assert drawn == list(enumerate((r.doc_id for r in sorted(rows, key=lambda r: (-r.score, r.doc_id))[:100]), 1))
+    assert Counter(i % 4 for _, i in drawn)[0] > 85  # the noise lets a few others in
     h = int(hashlib.sha256(b"7:8").hexdigest()[:8], 16)
     one = next(r for r in rows if r.doc_id == 8)
     assert one.score == one.weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))

@@ -1,19 +1,19 @@
 """Tests of complexes in long form (cid, sq): one row a square.
 
-Every test gathers a complex in one aggregation on cid, the only shuffle, as a mask of its squares (limbs of 60 bits, the lowest first; one limb
-up to the 4-cube), and is then evaluated row by row against the cube's incidence as literals: numbers of squares are bit counts of masks.
+A complex is gathered in one aggregation on cid, the only shuffle, into packed counters (lanes.py); tests, links, priorities and extensions
+are compiled expressions on these.  Signatures and ranks are expressions on arrays by vertex.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import cells
+from . import lanes
 from .incidence import incidence
 
-#: Bits of a limb: a struct or array of limbs orders as the number, as the sign bit is never set.
-LIMB = 60
+LIMB = lanes.LIMB
 
 #: Code of a vertex with (edges, squares) of the complex; from the 7-cube on also the second table.
 CODES = {(2, 1): 1, (3, 2): 2, (3, 3): 3, (4, 2): 4, (4, 3): 5, (4, 4): 6, (5, 3): 7, (5, 4): 8, (5, 5): 9, (6, 3): 10, (6, 4): 11, (6, 5): 12, (6, 6): 13}
@@ -40,186 +40,240 @@ def literal(x) -> str:
     return f"array({', '.join(map(literal, x))})" if isinstance(x, (list, tuple)) else str(x)
 
 
-def _mask(squares, n: int):
-    """Squares as the mask of a single limb, or as a list of squares where the cube needs more."""
-    return f"{sum(1 << s for s in squares)}L" if one_limb(n) else list(squares)
-
-
-def one_limb(n: int) -> bool:
-    return cells.sizes(n)[2] <= LIMB
-
-
-def limbs(sq: str, n: int) -> list:
-    """Aggregates of squares to limbs; a square outside the cube raises."""
-    n2 = cells.sizes(n)[2]
-    known = f"if({sq} < 0 or {sq} >= {n2}, raise_error('square outside 0 to {n2 - 1}'), {sq})"
-    return [F.bit_or(F.expr(f"if({known} div {LIMB} = {k}, shiftleft(1L, cast({sq} % {LIMB} as int)), 0L)")) for k in range(-(-n2 // LIMB))]
-
-
 def states(c: DataFrame, n: int) -> DataFrame:
-    """cid and limbs of each complex, and deg: how many of its squares lie on each edge."""
-    out = c.groupBy("cid").agg(F.array(*limbs("sq", n)).alias("limbs"))
-    return out.withColumn("deg", F.expr(f"transform({literal([_mask(x, n) for x in incidence(n).squares_on])}, x -> {count('x', n)})"))
-
+    """cid and limbs of each complex, the lowest first."""
+    return lanes.gathered(c, n).select("cid", F.array(*lanes.packing(n).m).alias("limbs"))
 
-def has(sq: str, n: int) -> str:
-    """SQL: whether the complex holds a square."""
-    return f"(shiftright(limbs[0], {sq}) & 1L) = 1L" if one_limb(n) else f"(shiftright(limbs[cast({sq} div {LIMB} as int)], cast({sq} % {LIMB} as int)) & 1L) = 1L"
 
-
-def count(x: str, n: int) -> str:
-    """SQL: how many squares of _mask x the complex holds."""
-    return f"bit_count(limbs[0] & {x})" if one_limb(n) else f"size(filter({x}, q -> {has('q', n)}))"
-
-
-def holds(x: str, n: int) -> str:
-    """SQL: whether the complex holds all squares of _mask x."""
-    return f"(limbs[0] & {x}) = {x}" if one_limb(n) else f"forall({x}, q -> {has('q', n)})"
+def edge_test(c: DataFrame, n: int) -> DataFrame:
+    """ok: no edge in three squares; closed: every used edge in exactly two."""
+    squares = F.expr(lanes.bits(lanes.packing(n).m)).alias("n_squares")
+    return lanes.packed(c, n, "me").select("cid", squares, F.expr(lanes.ok(n)).alias("ok"), F.expr(lanes.closed(n)).alias("closed"))
 
 
-def _edges(where: str) -> str:
-    return f"filter(sequence(0, size(deg) - 1), e -> deg[e] {where})"
+def touched_edges(c: DataFrame, n: int) -> DataFrame:
+    """cid, edge and m, the number of its squares, of every edge that is used."""
+    p = lanes.packing(n)
+    m = f"cast(shiftright({lanes.pick(p.e, f'edge div {lanes.LANES}')}, cast({lanes.LANE} * (edge % {lanes.LANES}) as int)) & {(1 << lanes.LANE) - 1}L as int)"
+    return lanes.exploded(lanes.packed(c, n, "e"), n, "edge", p.n1).select("cid", "edge", F.expr(m).alias("m")).where("m > 0")
 
 
-def edge_test(c: DataFrame, n: int) -> DataFrame:
-    """ok: no edge in three squares; closed: every used edge in exactly two."""
-    ok = F.expr("forall(deg, d -> d <= 2)")
-    return states(c, n).select("cid", F.expr("aggregate(deg, 0, (a, d) -> a + d) div 4").cast("int").alias("n_squares"), ok.alias("ok"), (ok & F.expr("forall(deg, d -> d = 0 or d = 2)")).alias("closed"))
+def _edges(s: DataFrame, n: int, of, *carry: str) -> DataFrame:
+    """carry and edge of the edges for which a limb's bits are set."""
+    p = lanes.packing(n)
+    s = s.select(*carry, *[F.expr(of(e)).alias(f"_{e}") for e in p.e])
+    at = f"(shiftright({lanes.pick([f'_{e}' for e in p.e], f'edge div {lanes.LANES}')}, cast({lanes.LANE} * (edge % {lanes.LANES}) as int)) & 1L) = 1L"
+    return lanes.exploded(s, n, "edge", p.n1).where(at).select(*carry, "edge")
 
 
 def free_edges(c: DataFrame, n: int) -> DataFrame:
-    return states(c, n).select("cid", F.explode(F.expr(_edges("= 1"))).alias("edge"))
+    return _edges(lanes.packed(c, n, "e"), n, lanes.free, "cid")
 
 
 def saturated_edges(c: DataFrame, n: int) -> DataFrame:
-    return states(c, n).select("cid", F.explode(F.expr(_edges("= 2"))).alias("edge"))
+    return _edges(lanes.packed(c, n, "e"), n, lanes.twice, "cid")
 
 
-def _legal(n: int) -> str:
-    """SQL: sq, covers of the absent squares that meet no edge in two or more squares, with the free edges they cover, 1 at least."""
-    near = f"transform({literal(incidence(n).edges_of)}, (es, i) -> named_struct('sq', i, 'most', array_max(transform(es, e -> deg[e])), 'covers', size(filter(es, e -> deg[e] = 1))))"
-    return f"filter({near}, x -> x.most = 1 and not {has('x.sq', n)})"
+def _every_square(s: DataFrame, n: int, parts: str = "me") -> DataFrame:
+    """s with a row for each square of the cube and what it adds, as limbs of the prefix q."""
+    return lanes.exploded(s, n, "sq", lanes.packing(n).n2).join(lanes.square_table(s.sparkSession, n, parts, "q"), "sq")
 
 
 def legal_squares(c: DataFrame, n: int) -> DataFrame:
     """cid, sq, covers: absent squares that meet no edge in two or more squares, with the free edges they cover, 1 at least."""
-    return states(c, n).select("cid", F.inline(F.expr(_legal(n)))).select("cid", "sq", "covers")
+    rows = _every_square(lanes.packed(c, n, "me"), n).where(lanes.legal(n)).select("cid", F.col("sq"), F.expr(lanes.covers(n)).alias("covers"))
+    return rows.where("covers > 0")
 
 
-def _histogram(c: DataFrame, n: int) -> DataFrame:
-    counts = states(c, n).withColumn("legal", F.expr(_legal(n)))
-    return counts.select("cid", "deg", *[F.expr(f"size(filter(legal, x -> x.covers = {k}))").alias(f"b{k}") for k in range(1, 5)])
+def with_histogram(s: DataFrame, n: int) -> DataFrame:
+    """s (with m and e limbs) with b1 to b4, how many legal squares cover so many free edges."""
+    keys = s.columns
+    rows = _every_square(s, n).select(*keys, F.expr(f"if({lanes.legal(n)}, {lanes.covers(n)}, 0)").alias("_covers"))
+    return rows.groupBy(*keys).agg(*[F.count_if(F.col("_covers") == k).cast("int").alias(f"b{k}") for k in range(1, 5)])
 
 
 def coverage_histogram(c: DataFrame, n: int) -> DataFrame:
-    return _histogram(c, n).drop("deg")
+    return with_histogram(lanes.packed(c, n, "me"), n).select("cid", "b1", "b2", "b3", "b4")
+
+
+def cap(left) -> F.Column:
+    """What the best `left` squares of a histogram b1 to b4 cover."""
+    out, rest = F.lit(0), left
+    for k in (4, 3, 2, 1):
+        take = F.least(rest, F.col(f"b{k}"))
+        out, rest = out + k * take, rest - take
+    return out
 
 
 def coverage_prune(c: DataFrame, n: int, max_squares: int) -> DataFrame:
     """Whether a complex can still be closed within max_squares, by what its best legal squares cover."""
-    base = _histogram(c, n).withColumn("n_squares", F.expr("aggregate(deg, 0, (a, d) -> a + d) div 4").cast("int")).withColumn("free", F.expr("size(filter(deg, d -> d = 1))"))
+    base = with_histogram(lanes.packed(c, n, "me"), n).select("cid", F.expr(lanes.bits(lanes.packing(n).m)).alias("n_squares"), F.expr(lanes.n_free(n)).alias("free"), "b1", "b2", "b3", "b4")
     left = F.greatest(F.lit(0), max_squares - F.col("n_squares"))
-    cap, rest = F.lit(0), left
-    for k in (4, 3, 2, 1):
-        take = F.least(rest, F.col(f"b{k}"))
-        cap, rest = cap + k * take, rest - take
-    keep = (F.col("n_squares") < max_squares) & (F.col("free") <= 4 * left) & (cap >= F.col("free"))
-    return base.select("cid", "n_squares", "free", cap.alias("cap"), keep.alias("keep"))
+    base = base.withColumn("cap", cap(left))
+    keep = (F.col("n_squares") < max_squares) & (F.col("free") <= 4 * left) & (F.col("cap") >= F.col("free"))
+    return base.select("cid", "n_squares", "free", "cap", keep.alias("keep"))
 
 
-def with_codes(s: DataFrame, n: int) -> DataFrame:
-    """states with edges, squares and code of every vertex of the cube (code 0 where it is unused)."""
-    at, top = incidence(n), n * (n - 1) // 2 + 1
+def code_of(link: str, n: int) -> str:
+    """SQL: the code of a vertex by its link, 0 where it is unused."""
+    top = n * (n - 1) // 2 + 1
     table = [codes(n).get((e, q), other(n)) if e else 0 for e in range(n + 1) for q in range(top)]
-    s = s.withColumn("edges", F.expr(f"transform({literal(at.edges_at)}, es -> size(filter(es, e -> deg[e] > 0)))"))
-    s = s.withColumn("squares", F.expr(f"transform({literal([_mask(x, n) for x in at.squares_at])}, x -> {count('x', n)})"))
-    return s.withColumn("code", F.expr(f"zip_with(edges, squares, (e, q) -> {literal(table)}[e * {top} + q])"))
+    return f"{literal(table)}[{lanes.directions(link, n)} * {top} + bit_count({link})]"
+
+
+def vertices(s: DataFrame, n: int, *carry: str) -> DataFrame:
+    """carry, vertex, link, edges, squares and code of every used vertex of states with v limbs."""
+    rows = lanes.exploded(s, n, "vertex", lanes.packing(n).n0).select(*carry, "vertex", F.expr(lanes.link_at("vertex", n)).alias("link")).where("link != 0L")
+    rows = rows.select("*", F.expr(lanes.directions("link", n)).alias("edges"), F.expr("cast(bit_count(link) as int)").alias("squares"))
+    return rows.withColumn("code", F.expr(code_of("link", n)))
 
 
 def vertex_codes(c: DataFrame, n: int) -> DataFrame:
     """cid, vertex, edges, squares, code of every used vertex."""
-    rows = F.explode(F.expr("filter(sequence(0, size(code) - 1), v -> edges[v] > 0)")).alias("vertex")
-    return with_codes(states(c, n), n).select("cid", rows, "edges", "squares", "code").select("cid", "vertex", *[F.expr(f"cast({x}[vertex] as int)").alias(x) for x in ("edges", "squares", "code")])
+    return vertices(lanes.packed(c, n, "v"), n, "cid").drop("link")
+
+
+def link_flags(n: int) -> list:
+    """Aggregates of vertices: bad and hopeless (see link_class)."""
+    hopeless = [f"code = {other(n)}"]
+    for length, of in (HOPELESS_7 if n >= 7 else HOPELESS).items():
+        if of:
+            hopeless.append(f"(code in ({', '.join(map(str, of))}) and {lanes.holds_cycle('link', n, length)})")
+    bad = f"code in ({', '.join(map(str, BAD + BAD_7 if n >= 7 else BAD))})"
+    return [F.bool_or(F.expr(bad)).alias("bad"), F.bool_or(F.expr(" or ".join(hopeless))).alias("hopeless")]
 
 
 def link_class(c: DataFrame, n: int) -> DataFrame:
     """bad: a link has several paths; hopeless: a link can't become one path or one cycle any more."""
-    hopeless = [f"exists(code, k -> k = {other(n)})"]
-    for length, of in (HOPELESS_7 if n >= 7 else HOPELESS).items():
-        cycles = [[_mask(x, n) for x in at.get(length, ())] for at in incidence(n).cycles]
-        if of and any(cycles):
-            hopeless.append(f"exists(sequence(0, size(code) - 1), v -> code[v] in ({', '.join(map(str, of))}) and exists({literal(cycles)}[v], x -> {holds('x', n)}))")
-    bad = f"exists(code, k -> k in ({', '.join(map(str, BAD + BAD_7 if n >= 7 else BAD))}))"
-    return with_codes(states(c, n), n).select("cid", F.expr(bad).alias("bad"), F.expr(" or ".join(hopeless)).alias("hopeless"))
+    return vertices(lanes.packed(c, n, "v"), n, "cid").groupBy("cid").agg(*link_flags(n))
+
+
+#: (to the frontier, accepted) by mode: closed (connected or not) or with boundary; of complexes with ok, closed, bad and hopeless.
+RULES = {
+    "closed": ("ok and not hopeless and not closed", "ok and not hopeless and closed and not bad"),
+    "closed_disconnected": ("ok and not hopeless", "ok and not hopeless and closed and not bad"),
+    "boundary": ("ok and not hopeless", "ok and not hopeless and not bad"),
+}
 
 
 def keep_rules(c: DataFrame, n: int) -> DataFrame:
     """cid, mode, keep_labeled, keep_good for modes closed, closed_disconnected and boundary."""
-    both = edge_test(c, n).join(link_class(c, n), "cid")
-    alive = F.col("ok") & ~F.col("hopeless")
-    rules = {
-        "closed": (alive & ~F.col("closed"), alive & F.col("closed") & ~F.col("bad")),
-        "closed_disconnected": (alive, alive & F.col("closed") & ~F.col("bad")),
-        "boundary": (alive, alive & ~F.col("bad")),
-    }
-    rows = F.array(*[F.struct(F.lit(m).alias("mode"), a.alias("keep_labeled"), b.alias("keep_good")) for m, (a, b) in rules.items()])
-    return both.select("cid", F.inline(rows))
+    s = lanes.packed(c, n, "ev").withColumns({"ok": F.expr(lanes.ok(n)), "closed": F.expr(lanes.closed(n))})
+    each = vertices(s, n, "cid", "ok", "closed").groupBy("cid", "ok", "closed").agg(*link_flags(n))
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.expr(a).alias("keep_labeled"), F.expr(b).alias("keep_good")) for m, (a, b) in RULES.items()])
+    return each.select("cid", F.inline(rows))
 
 
-def _priority(c: DataFrame, n: int) -> DataFrame:
-    """states with weight (of each free edge, its lighter end's; null for others), least and first, the first edge of that weight (null without free edges).
-
-    No filter may follow on these: it would be pushed down with a copy of their expressions for each reference.
-    """
-    table = [WEIGHTS.get(k, 0) for k in range(other(n) + 1)]
-    s = with_codes(states(c, n), n)
-    s = s.withColumn("weight", F.expr(f"transform({literal(incidence(n).ends)}, (vs, e) -> if(deg[e] = 1, least({literal(table)}[code[vs[0]]], {literal(table)}[code[vs[1]]]), null))"))
-    s = s.withColumn("least", F.expr("array_min(weight)"))
-    return s.withColumn("first", F.expr("if(least is null, null, cast(array_position(weight, least) as int) - 1)"))
+def _weighed(s: DataFrame, n: int, *carry: str) -> DataFrame:
+    """carry, edge and weight of the free edges of states with e and v limbs; an edge weighs as its lighter end."""
+    table = literal([WEIGHTS.get(k, 0) for k in range(other(n) + 1)])
+    need = [*dict.fromkeys([*carry, *lanes.packing(n).v])]
+    at = _edges(s, n, lanes.free, *need).join(lanes.edge_table(s.sparkSession, n), "edge")
+    at = at.select(*carry, "edge", *[F.expr(lanes.link_at(x, n)).alias(f"_{x}") for x in ("a", "b")])
+    return at.select(*carry, "edge", F.expr("least(" + ", ".join(f"{table}[{code_of(f'_{x}', n)}]" for x in ("a", "b")) + ")").alias("weight"))
 
 
 def priority_edges(c: DataFrame, n: int) -> DataFrame:
-    """Free edges of the least weight of their complex; an edge weighs as its lighter end."""
-    edges = F.explode(F.expr("filter(sequence(0, size(deg) - 1), e -> weight[e] = least)")).alias("edge")
-    return _priority(c, n).select("cid", edges, F.col("least").alias("weight"))
+    """Free edges of the least weight of their complex."""
+    least = F.min("weight").over(W.partitionBy("cid"))
+    return _weighed(lanes.packed(c, n, "ev"), n, "cid").withColumn("least", least).where("weight = least").select("cid", "edge", "weight")
+
 
+def first_priority(s: DataFrame, n: int, *carry: str) -> DataFrame:
+    """carry and edge, the first free edge of least weight, of states with e and v limbs that have a free edge; carry tells states apart."""
+    return _weighed(s, n, *carry).groupBy(*carry).agg(F.min(F.expr("weight * 1024 + edge")).alias("_at")).select(*carry, F.expr("_at % 1024").alias("edge"))
 
-def _on_first(n: int) -> str:
-    """SQL: the legal squares on the first edge of priority."""
-    return f"filter({literal(incidence(n).squares_on)}[first], s -> not {has('s', n)} and forall({literal(incidence(n).edges_of)}[s], e -> deg[e] <= 1))"
+
+def on_first(s: DataFrame, n: int, *carry: str) -> DataFrame:
+    """carry, sq and q limbs of the squares on the first edge of priority; legal ones if carry has the m and e limbs."""
+    return first_priority(s, n, *carry).join(lanes.edge_square_table(s.sparkSession, n), "edge").drop("edge")
 
 
 def extend_closed(c: DataFrame, n: int) -> DataFrame:
     """cid, sq: legal squares on the first edge of priority."""
-    return _priority(c, n).select("cid", F.explode(F.expr(_on_first(n))).alias("sq"))
+    p = lanes.packing(n)
+    return on_first(lanes.packed(c, n), n, "cid", *p.m, *p.e).where(lanes.legal(n)).select("cid", "sq")
 
 
 def extend_any(c: DataFrame, n: int) -> DataFrame:
     """cid, sq: every absent square."""
-    return states(c, n).select("cid", F.explode(F.expr(f"filter(sequence(0, {cells.sizes(n)[2] - 1}), s -> not {has('s', n)})")).alias("sq"))
+    return lanes.exploded(lanes.gathered(c, n), n, "sq", lanes.packing(n).n2).where(f"not {lanes.has('sq', n)}").select("cid", "sq")
 
 
-def _absent_where(n: int, edge: str) -> str:
-    """SQL: absent squares with an edge e for which `edge` holds."""
-    absent = f"filter(transform({literal(incidence(n).edges_of)}, (es, s) -> if(not {has('s', n)} and exists(es, e -> {edge}), s, null)), s -> s is not null)"
-    return absent
+def absent(n: int) -> str:
+    """SQL: the complex lacks the square of the q limbs."""
+    return lanes.none([f"({m} & q{m})" for m in lanes.packing(n).m])
 
 
 def extend_boundary(c: DataFrame, n: int) -> DataFrame:
     """cid, sq: absent squares on any free edge."""
-    return states(c, n).select("cid", F.explode(F.expr(_absent_where(n, "deg[e] = 1"))).alias("sq"))
+    return _every_square(lanes.packed(c, n, "me"), n).where(f"{absent(n)} and {lanes.covers(n)} > 0").select("cid", "sq")
+
+
+def on_edge(edge: str, n: int) -> str:
+    """SQL: the square of the q limbs lies on an edge."""
+    p = lanes.packing(n)
+    return f"(shiftright({lanes.pick([f'q{e}' for e in p.e], f'{edge} div {lanes.LANES}')}, cast({lanes.LANE} * ({edge} % {lanes.LANES}) as int)) & 1L) = 1L"
 
 
 def extend_disconnected(c: DataFrame, n: int) -> DataFrame:
     """cid, sq: absent squares on the first free edge; every absent square where no edge is free."""
-    first = states(c, n).withColumn("first", F.expr("cast(array_position(deg, 1) as int) - 1"))
-    return first.select("cid", F.explode(F.expr(_absent_where(n, "first = -1 or e = first"))).alias("sq"))
+    s = lanes.packed(c, n, "me").withColumn("first", F.expr(lanes.first_edge(n)))
+    return _every_square(s, n).where(f"{absent(n)} and (first is null or {on_edge('first', n)})").select("cid", "sq")
 
 
 def lookahead(c: DataFrame, n: int) -> DataFrame:
-    """Whether some legal square lies on the first edge of priority."""
-    moves = f"if(first is null, array(), transform(array(size({_on_first(n)})), k -> named_struct('moves', k, 'feasible', k > 0)))"
-    return _priority(c, n).select("cid", F.inline(F.expr(moves)))
+    """Whether some legal square lies on the first edge of priority, of complexes with a free edge."""
+    p = lanes.packing(n)
+    rows = on_first(lanes.packed(c, n), n, "cid", *p.m, *p.e)
+    return rows.groupBy("cid").agg(F.count_if(F.expr(lanes.legal(n))).cast("int").alias("moves")).withColumn("feasible", F.col("moves") > 0)
+
+
+def _by_vertex(n: int, of) -> F.Column:
+    """An array by vertex of an SQL expression of a vertex."""
+    return F.expr(f"array({', '.join(of(v) for v in range(lanes.packing(n).n0))})")
+
+
+def _around(x: str, v: int, n: int) -> str:
+    """SQL: an array's values at the neighbours of a vertex, in the coordinates' order."""
+    return f"array({', '.join(f'{x}[{w}]' for w in incidence(n).near[v])})"
+
+
+def coded(s: DataFrame, n: int, *carry: str) -> DataFrame:
+    """carry and code, an array by vertex (0 where it is unused), of states with v limbs."""
+    links = s.select(*carry, _by_vertex(n, lambda v: lanes.link_at(str(v), n)).alias("links"))
+    # A slice, as the optimizer would copy the parts of an array that is only indexed to all its uses.
+    return links.select(*carry, F.slice(_by_vertex(n, lambda v: code_of(f"links[{v}]", n)), 1, lanes.packing(n).n0).alias("code"))
+
+
+def _bits(n: int) -> int:
+    """Bits of a vertex code."""
+    return 5 if n >= 7 else 4
+
+
+def _packed_signatures(s: DataFrame, n: int) -> DataFrame:
+    """s (with code) with sig1 by vertex (its code and its neighbours' in order, as digits of a number) and around (its neighbours' sig1 in order)."""
+    b = _bits(n)
+    rest = [c for c in s.columns if c != "code"]
+    s = s.select("*", _by_vertex(n, lambda v: f"sort_array({_around('code', v, n)})").alias("_near"))
+    number = lambda v: " + ".join([f"shiftleft(cast(code[{v}] as bigint), {b * n})", *(f"shiftleft(cast(_near[{v}][{k}] as bigint), {b * (n - 1 - k)})" for k in range(n))])
+    s = s.select(*rest, _by_vertex(n, number).alias("sig1"))
+    return s.select("*", _by_vertex(n, lambda v: f"sort_array({_around('sig1', v, n)})").alias("around"))
+
+
+def _text(x: str, n: int) -> str:
+    """SQL: a sig1 as text."""
+    names = "array(" + ", ".join(f"'{k:02d}'" for k in range(other(n) + 1)) + ")"
+    digit = lambda k: f"{names}[cast(shiftright({x}, {_bits(n) * (n - k)}) & {(1 << _bits(n)) - 1} as int)]"
+    return f"concat({digit(0)}, ':', concat_ws(',', {', '.join(digit(k) for k in range(1, n + 1))}))"
+
+
+def vertex_signatures(c: DataFrame, n: int) -> DataFrame:
+    """cid, vertex, sig1 (code, then the neighbours' codes in order) and sig2 (the same of sig1) of every vertex of the cube."""
+    s = _packed_signatures(coded(lanes.packed(c, n, "v"), n, "cid"), n)
+    rows = s.select("cid", F.posexplode(F.arrays_zip("sig1", "around")).alias("vertex", "x")).select("cid", "vertex", F.expr("x.sig1 as sig1"), F.expr("x.around as around"))
+    around = ", ".join(_text(f"around[{k}]", n) for k in range(n))
+    return rows.select("cid", "vertex", F.expr(_text("sig1", n)).alias("sig1"), F.expr(f"concat({_text('sig1', n)}, '|', concat_ws(';', {around}))").alias("sig2"))
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -227,21 +281,27 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def _incident(c: DataFrame, n: int) -> DataFrame:
+    """cid and code, an array by vertex, as one expression that isn't an array of parts: those the optimizer copies into every use."""
+    p, top = lanes.packing(n), n * (n - 1) // 2 + 1
+    table = [codes(n).get((e, q), other(n)) if e else 0 for e in range(n + 1) for q in range(top)]
+    around = [sum(1 << k for pair, k in p.pair.items() if d in pair) for d in range(n)]
+    links = lanes.packed(c, n, "v").select("cid", F.array(*p.v).alias("v"))
+    link = f"transform(sequence(0, {p.n0 - 1}), x -> shiftright(v[cast(x div {p.links} as int)], cast({p.width} * (x % {p.links}) as int)) & {(1 << p.width) - 1}L)"
+    edges = " + ".join(f"if((y & {x}L) != 0L, 1, 0)" for x in around)
+    return links.withColumn("code", F.expr(f"transform({link}, y -> {literal(table)}[({edges}) * {top} + bit_count(y)])")).select("cid", "code")
+
+
 def _signed(c: DataFrame, n: int) -> DataFrame:
     """cid, sig1 and sig2 of every vertex of the cube, as arrays by vertex."""
     near = literal(incidence(n).near)
-    s = with_codes(states(c, n), n).select("cid", F.expr("transform(code, k -> lpad(cast(k as string), 2, '0'))").alias("sig"))
+    s = _incident(c, n).select("cid", F.expr("transform(code, k -> lpad(cast(k as string), 2, '0'))").alias("sig"))
     for name, of, by in (("sig1", ":", ","), ("sig2", "|", ";")):
         before = "sig" if name == "sig1" else "sig1"
         s = s.withColumn(name, F.expr(f"transform({near}, (ws, v) -> concat({before}[v], '{of}', array_join(array_sort(transform(ws, w -> {before}[w])), '{by}')))"))
     return s.select("cid", "sig1", "sig2")
 
 
-def vertex_signatures(c: DataFrame, n: int) -> DataFrame:
-    """cid, vertex, sig1 (code, then the neighbours' codes in order) and sig2 (the same of sig1) of every vertex of the cube."""
-    return _signed(c, n).select("cid", F.posexplode(F.arrays_zip("sig1", "sig2")).alias("vertex", "s")).select("cid", "vertex", "s.sig1", "s.sig2")
-
-
 def neighbor_ranks(c: DataFrame, n: int) -> DataFrame:
     """cid, vertex, coord, rank: place of a neighbour's signature among the distinct ones around the vertex."""
     ranks = f"transform({literal(incidence(n).near)}, ws -> transform(ws, w -> size(filter(array_distinct(transform(ws, x -> sig2[x])), y -> y < sig2[w]))))"
@@ -255,4 +315,4 @@ def refined_ranks(c: DataFrame, n: int, rounds: int = 3) -> DataFrame:
     for _ in range(rounds):
         signed = f"transform({near}, (ws, v) -> concat(array(r[v]), array_sort(transform(ws, w -> r[w]))))"
         rank = let(rank, "r", let(signed, "g", let("array_sort(array_distinct(g))", "o", "transform(g, x -> cast(array_position(o, x) as int) - 1)")))
-    return with_codes(states(c, n), n).select("cid", F.posexplode(F.expr(rank)).alias("vertex", "rank"))
+    return _incident(c, n).select("cid", F.posexplode(F.expr(rank)).alias("vertex", "rank"))

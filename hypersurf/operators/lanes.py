@@ -5,14 +5,15 @@ v0, v1, ...: for each vertex the pairs of directions that its squares span, a bi
 squares and cycles are bit counts and bit tests, the same at every vertex of the cube.
 
 The cube is a table with one row a square, broadcast (672 rows at most), whose columns are what that square adds; a complex is gathered in one
-aggregation by cid, the only shuffle, and its state is the sum of its squares' rows.  Plans don't grow with the cube, but for the number of limbs, and
-hold no lambda: everything is compiled.
+aggregation by cid, the only shuffle, and its state is the sum of its squares' rows (of small cubes, of tables of four squares, without a join).  Plans
+don't grow with wider cubes, but for the number of limbs, and hold no lambda: everything is compiled.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .incidence import incidence
 
 #: Bits of a limb; of an edge's counter (an edge lies in n - 1 <= 6 squares); counters of a limb.
 LIMB, LANE, LANES = 60, 3, 20
+#: Cubes up to which a state is looked up from the squares' bits, four at a time; wider ones add up the rows of the squares.
+TABLES = 5
 ONES = sum(1 << LANE * k for k in range(LANES))
 
 
@@ -94,7 +97,12 @@ def gathered(c: DataFrame, n: int) -> DataFrame:
     """cid and m limbs of complexes in long form; a square outside the cube raises, a repeated one counts once."""
     p = packing(n)
     known = f"if(sq < 0 or sq >= {p.n2}, raise_error('square outside 0 to {p.n2 - 1}'), sq)"
-    return c.groupBy("cid").agg(*[F.bit_or(F.expr(f"if({known} div {LIMB} = {k}, shiftleft(1L, cast(sq % {LIMB} as int)), 0L)")).alias(x) for k, x in enumerate(p.m)])
+    return c.groupBy("cid").agg(*[F.bit_or(F.expr(x)).alias(m) for x, m in zip(mask_limbs(known, n), p.m, strict=True)])
+
+
+def mask_limbs(sq: str, n: int) -> list[str]:
+    """SQL: the m limbs of one square."""
+    return [f"if({sq} div {LIMB} = {k}, shiftleft(1L, cast({sq} % {LIMB} as int)), 0L)" for k in range(len(packing(n).m))]
 
 
 def has(sq: str, n: int) -> str:
@@ -107,13 +115,43 @@ def exploded(g: DataFrame, n: int, what: str, count: int) -> DataFrame:
     return g.select("*", F.explode(F.expr(f"sequence(0, {count - 1})")).alias(what))
 
 
+@lru_cache
+def looked_up(limb: str, n: int) -> str:
+    """SQL: a limb of e or v as the sum of what each four squares add, by a table of their 16 sets."""
+    p = packing(n)
+    at = p.limbs("mev").index(limb)
+    add = [p.square(s)[at] for s in range(p.n2)]
+    join = (lambda xs: sum(xs)) if limb[0] == "e" else (lambda xs: reduce(or_, xs, 0))
+    terms = []
+    for first in range(0, p.n2, 4):
+        some = add[first : first + 4]
+        table = ", ".join(f"{join([x for k, x in enumerate(some) if value >> k & 1])}L" for value in range(1 << len(some)))
+        if any(some):
+            terms.append(f"array({table})[cast(shiftright(m{first // LIMB}, {first % LIMB}) & {(1 << len(some)) - 1}L as int)]")
+    return f"({(' + ' if limb[0] == 'e' else ' | ').join(terms)})"
+
+
 def packed(c: DataFrame, n: int, parts: str = "mev") -> DataFrame:
     """cid and the limbs of parts of each complex of c (cid, sq)."""
     p, g = packing(n), gathered(c, n)
     if parts == "m":
         return g
-    squares = exploded(g, n, "sq", p.n2).where(has("sq", n)).select("cid", "sq").join(square_table(c.sparkSession, n, parts), "sq")
-    return squares.groupBy("cid").agg(*[(F.sum(x) if x[0] == "e" else F.bit_or(x)).alias(x) for x in p.limbs(parts)])
+    if n <= TABLES:
+        return g.select("cid", *[F.expr(x if x[0] == "m" else looked_up(x, n)).alias(x) for x in p.limbs(parts)])
+    return summed(g, n, ["cid"], p.limbs(parts))
+
+
+def summed(g: DataFrame, n: int, keys: list[str], limbs: list[str]) -> DataFrame:
+    """keys (which tell rows apart) and some limbs of the complexes of m limbs, as sums of their squares' rows; dealt as g is, if that is by keys."""
+    kinds = "".join(dict.fromkeys(x[0] for x in limbs))
+    rows = exploded(g, n, "sq", packing(n).n2).where(has("sq", n)).select(*keys, "sq").join(square_table(g.sparkSession, n, kinds, "q"), "sq")
+    return rows.groupBy(*keys).agg(*[(F.sum(f"q{x}") if x[0] == "e" else F.bit_or(f"q{x}")).alias(x) for x in limbs])
+
+
+def linked(g: DataFrame, n: int, *keys: str) -> DataFrame:
+    """keys and the v limbs of the complexes of m limbs; keys tell rows apart."""
+    p = packing(n)
+    return g.select(*keys, *[F.expr(looked_up(x, n)).alias(x) for x in p.v]) if n <= TABLES else summed(g, n, list(keys), p.v)
 
 
 def used(e: str) -> str:

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import cells
+from . import cells, lanes, topology
+from .incidence import incidence
 
 
 def masks(c: DataFrame) -> DataFrame:
@@ -79,3 +80,48 @@ def orbit_sizes(m: DataFrame, n: int) -> DataFrame:
     moved = labels.withColumn("sq", F.explode(F.expr(f"sequence(0, {cells.sizes(n)[2] - 1})"))).where("(shiftright(label, sq) & 1) = 1").join(group, "sq")
     each = moved.groupBy("label", "g").agg(F.bit_or(F.expr("shiftleft(1L, sq_image)")).alias("image"))
     return each.groupBy("label").agg(F.countDistinct("image").cast("int").alias("orbit_size"))
+
+
+def _moves(n: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """(root, sq, at: after the flips that bring root to the origin), (perm, at, image), (pattern, perm: one that puts the pattern in order)."""
+    at = incidence(n)
+    index = at.square_index
+    flips = [(v, s, index[tuple(d if d == 2 else d ^ b for d, b in zip(square, bits, strict=True))]) for v, bits in enumerate(at.vertices) for s, square in enumerate(at.squares)]
+    perms = list(permutations(range(n)))
+    moves = [(k, s, index[tuple(square[i] for i in perm)]) for k, perm in enumerate(perms) for s, square in enumerate(at.squares)]
+    dense = [r for r in product(range(n), repeat=n) if set(r) == set(range(max(r) + 1))]
+    keys = [(sum(x * n**i for i, x in enumerate(r)), k) for r in dense for k, perm in enumerate(perms) if all(r[a] <= r[b] for a, b in zip(perm, perm[1:], strict=False))]
+    return flips, moves, keys
+
+
+def restricted_labels_of(s: DataFrame, n: int, *carry: str, rounds: int | None = None) -> DataFrame:
+    """carry, label limbs (l0, the lowest, l1, ...), roots and trials of complexes (carry, which tells them apart, and m limbs).
+
+    The label is the least image under the symmetries that bring a vertex of least signature to the origin and put its neighbours' signatures in
+    order.  rounds: signatures by so many rounds of refinement instead of the two of topology.signed.  The permutations come from a table keyed by the pattern of the neighbours'
+    ranks, images from two tables of moves, all broadcast (for the 6-cube 23,040, 15,360 and 172,800 rows); cubes of up to 6 dimensions.
+    """
+    if n > 6:
+        raise ValueError("the tables of moves of the 7-cube are too large to broadcast")
+    spark, p = s.sparkSession, lanes.packing(n)
+    flips, moves, keys = _moves(n)
+    flips = F.broadcast(spark.createDataFrame(flips, "root int, sq int, at int"))
+    moves = F.broadcast(spark.createDataFrame(moves, "perm int, at int, image int"))
+    keys = F.broadcast(spark.createDataFrame(keys, "pattern long, perm int"))
+    own = [x for x in carry if x not in p.m]
+    near = topology.literal(incidence(n).near)
+    ranks = topology.ranks_of(lanes.linked(s, n, *own, *p.m), n, *own, *p.m, rounds=rounds)
+    around = topology.let("sort_array(array_distinct(g))", "o", f"aggregate(transform(g, (x, i) -> (cast(array_position(o, x) as bigint) - 1) * cast(power({n}, i) as bigint)), 0L, (a, x) -> a + x)")
+    patterns = f"transform({near}, ws -> {topology.let('transform(ws, w -> rank[w])', 'g', around)})"
+    roots = ranks.select(*own, *p.m, "rank", F.posexplode(F.expr(patterns)).alias("root", "pattern")).where("rank[root] = 0").drop("rank")
+    squares = lanes.exploded(roots.join(keys, "pattern"), n, "sq", p.n2).where(lanes.has("sq", n)).select(*own, "root", "perm", "sq")
+    image = lanes.mask_limbs("image", n)
+    images = squares.join(flips, ["root", "sq"]).join(moves, ["perm", "at"]).groupBy(*own, "root", "perm").agg(*[F.bit_or(F.expr(x)).alias(f"l{k}") for k, x in enumerate(image)])
+    highest = [f"l{k}" for k in reversed(range(len(p.m)))]
+    best = images.groupBy(*own).agg(F.min(F.struct(*highest)).alias("best"), F.count_distinct("root").cast("int").alias("roots"), F.count("*").cast("int").alias("trials"))
+    return best.select(*own, *[F.col(f"best.l{k}").alias(f"l{k}") for k in range(len(p.m))], "roots", "trials")
+
+
+def restricted_labels(c: DataFrame, n: int, rounds: int | None = None) -> DataFrame:
+    """cid, label limbs, roots and trials (see restricted_labels_of) of complexes (cid, sq)."""
+    return restricted_labels_of(lanes.gathered(c, n), n, "cid", rounds=rounds)

@@ -74,21 +74,21 @@ def saturated_edges(c: DataFrame, n: int) -> DataFrame:
     return _edges(lanes.packed(c, n, "e"), n, lanes.twice, "cid")
 
 
-def _every_square(s: DataFrame, n: int, parts: str = "me") -> DataFrame:
+def every_square(s: DataFrame, n: int, parts: str = "me") -> DataFrame:
     """s with a row for each square of the cube and what it adds, as limbs of the prefix q."""
     return lanes.exploded(s, n, "sq", lanes.packing(n).n2).join(lanes.square_table(s.sparkSession, n, parts, "q"), "sq")
 
 
 def legal_squares(c: DataFrame, n: int) -> DataFrame:
     """cid, sq, covers: absent squares that meet no edge in two or more squares, with the free edges they cover, 1 at least."""
-    rows = _every_square(lanes.packed(c, n, "me"), n).where(lanes.legal(n)).select("cid", F.col("sq"), F.expr(lanes.covers(n)).alias("covers"))
+    rows = every_square(lanes.packed(c, n, "me"), n).where(lanes.legal(n)).select("cid", F.col("sq"), F.expr(lanes.covers(n)).alias("covers"))
     return rows.where("covers > 0")
 
 
 def with_histogram(s: DataFrame, n: int) -> DataFrame:
     """s (with m and e limbs) with b1 to b4, how many legal squares cover so many free edges."""
     keys = s.columns
-    rows = _every_square(s, n).select(*keys, F.expr(f"if({lanes.legal(n)}, {lanes.covers(n)}, 0)").alias("_covers"))
+    rows = every_square(s, n).select(*keys, F.expr(f"if({lanes.legal(n)}, {lanes.covers(n)}, 0)").alias("_covers"))
     return rows.groupBy(*keys).agg(*[F.count_if(F.col("_covers") == k).cast("int").alias(f"b{k}") for k in range(1, 5)])
 
 
@@ -207,7 +207,7 @@ def absent(n: int) -> str:
 
 def extend_boundary(c: DataFrame, n: int) -> DataFrame:
     """cid, sq: absent squares on any free edge."""
-    return _every_square(lanes.packed(c, n, "me"), n).where(f"{absent(n)} and {lanes.covers(n)} > 0").select("cid", "sq")
+    return every_square(lanes.packed(c, n, "me"), n).where(f"{absent(n)} and {lanes.covers(n)} > 0").select("cid", "sq")
 
 
 def on_edge(edge: str, n: int) -> str:
@@ -219,7 +219,7 @@ def on_edge(edge: str, n: int) -> str:
 def extend_disconnected(c: DataFrame, n: int) -> DataFrame:
     """cid, sq: absent squares on the first free edge; every absent square where no edge is free."""
     s = lanes.packed(c, n, "me").withColumn("first", F.expr(lanes.first_edge(n)))
-    return _every_square(s, n).where(f"{absent(n)} and (first is null or {on_edge('first', n)})").select("cid", "sq")
+    return every_square(s, n).where(f"{absent(n)} and (first is null or {on_edge('first', n)})").select("cid", "sq")
 
 
 def lookahead(c: DataFrame, n: int) -> DataFrame:
@@ -229,90 +229,59 @@ def lookahead(c: DataFrame, n: int) -> DataFrame:
     return rows.groupBy("cid").agg(F.count_if(F.expr(lanes.legal(n))).cast("int").alias("moves")).withColumn("feasible", F.col("moves") > 0)
 
 
-def _by_vertex(n: int, of) -> F.Column:
-    """An array by vertex of an SQL expression of a vertex."""
-    return F.expr(f"array({', '.join(of(v) for v in range(lanes.packing(n).n0))})")
-
-
-def _around(x: str, v: int, n: int) -> str:
-    """SQL: an array's values at the neighbours of a vertex, in the coordinates' order."""
-    return f"array({', '.join(f'{x}[{w}]' for w in incidence(n).near[v])})"
-
-
-def coded(s: DataFrame, n: int, *carry: str) -> DataFrame:
-    """carry and code, an array by vertex (0 where it is unused), of states with v limbs."""
-    links = s.select(*carry, _by_vertex(n, lambda v: lanes.link_at(str(v), n)).alias("links"))
-    # A slice, as the optimizer would copy the parts of an array that is only indexed to all its uses.
-    return links.select(*carry, F.slice(_by_vertex(n, lambda v: code_of(f"links[{v}]", n)), 1, lanes.packing(n).n0).alias("code"))
-
-
-def _bits(n: int) -> int:
-    """Bits of a vertex code."""
-    return 5 if n >= 7 else 4
-
-
-def _packed_signatures(s: DataFrame, n: int) -> DataFrame:
-    """s (with code) with sig1 by vertex (its code and its neighbours' in order, as digits of a number) and around (its neighbours' sig1 in order)."""
-    b = _bits(n)
-    rest = [c for c in s.columns if c != "code"]
-    s = s.select("*", _by_vertex(n, lambda v: f"sort_array({_around('code', v, n)})").alias("_near"))
-    number = lambda v: " + ".join([f"shiftleft(cast(code[{v}] as bigint), {b * n})", *(f"shiftleft(cast(_near[{v}][{k}] as bigint), {b * (n - 1 - k)})" for k in range(n))])
-    s = s.select(*rest, _by_vertex(n, number).alias("sig1"))
-    return s.select("*", _by_vertex(n, lambda v: f"sort_array({_around('sig1', v, n)})").alias("around"))
-
-
-def _text(x: str, n: int) -> str:
-    """SQL: a sig1 as text."""
-    names = "array(" + ", ".join(f"'{k:02d}'" for k in range(other(n) + 1)) + ")"
-    digit = lambda k: f"{names}[cast(shiftright({x}, {_bits(n) * (n - k)}) & {(1 << _bits(n)) - 1} as int)]"
-    return f"concat({digit(0)}, ':', concat_ws(',', {', '.join(digit(k) for k in range(1, n + 1))}))"
-
-
-def vertex_signatures(c: DataFrame, n: int) -> DataFrame:
-    """cid, vertex, sig1 (code, then the neighbours' codes in order) and sig2 (the same of sig1) of every vertex of the cube."""
-    s = _packed_signatures(coded(lanes.packed(c, n, "v"), n, "cid"), n)
-    rows = s.select("cid", F.posexplode(F.arrays_zip("sig1", "around")).alias("vertex", "x")).select("cid", "vertex", F.expr("x.sig1 as sig1"), F.expr("x.around as around"))
-    around = ", ".join(_text(f"around[{k}]", n) for k in range(n))
-    return rows.select("cid", "vertex", F.expr(_text("sig1", n)).alias("sig1"), F.expr(f"concat({_text('sig1', n)}, '|', concat_ws(';', {around}))").alias("sig2"))
-
-
 def let(value: str, name: str, body: str) -> str:
     """SQL of body with a name for a value that it uses several times."""
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _incident(c: DataFrame, n: int) -> DataFrame:
-    """cid and code, an array by vertex, as one expression that isn't an array of parts: those the optimizer copies into every use."""
+def coded(s: DataFrame, n: int, *carry: str) -> DataFrame:
+    """carry and code, an array by vertex (0 where it is unused), of states with v limbs; as one expression that isn't an array of parts: those the optimizer copies into every use."""
     p, top = lanes.packing(n), n * (n - 1) // 2 + 1
     table = [codes(n).get((e, q), other(n)) if e else 0 for e in range(n + 1) for q in range(top)]
     around = [sum(1 << k for pair, k in p.pair.items() if d in pair) for d in range(n)]
-    links = lanes.packed(c, n, "v").select("cid", F.array(*p.v).alias("v"))
+    links = s.select(*carry, F.array(*p.v).alias("v"))
     link = f"transform(sequence(0, {p.n0 - 1}), x -> shiftright(v[cast(x div {p.links} as int)], cast({p.width} * (x % {p.links}) as int)) & {(1 << p.width) - 1}L)"
     edges = " + ".join(f"if((y & {x}L) != 0L, 1, 0)" for x in around)
-    return links.withColumn("code", F.expr(f"transform({link}, y -> {literal(table)}[({edges}) * {top} + bit_count(y)])")).select("cid", "code")
+    return links.withColumn("code", F.expr(f"transform({link}, y -> {literal(table)}[({edges}) * {top} + bit_count(y)])")).select(*carry, "code")
 
 
-def _signed(c: DataFrame, n: int) -> DataFrame:
-    """cid, sig1 and sig2 of every vertex of the cube, as arrays by vertex."""
+def signed(s: DataFrame, n: int, *carry: str) -> DataFrame:
+    """carry, sig1 and sig2 of every vertex of the cube, as arrays by vertex, of states with v limbs."""
     near = literal(incidence(n).near)
-    s = _incident(c, n).select("cid", F.expr("transform(code, k -> lpad(cast(k as string), 2, '0'))").alias("sig"))
+    s = coded(s, n, *carry).select(*carry, F.expr("transform(code, k -> lpad(cast(k as string), 2, '0'))").alias("sig"))
     for name, of, by in (("sig1", ":", ","), ("sig2", "|", ";")):
         before = "sig" if name == "sig1" else "sig1"
         s = s.withColumn(name, F.expr(f"transform({near}, (ws, v) -> concat({before}[v], '{of}', array_join(array_sort(transform(ws, w -> {before}[w])), '{by}')))"))
-    return s.select("cid", "sig1", "sig2")
+    return s.select(*carry, "sig1", "sig2")
+
+
+def vertex_signatures(c: DataFrame, n: int) -> DataFrame:
+    """cid, vertex, sig1 (code, then the neighbours' codes in order) and sig2 (the same of sig1) of every vertex of the cube."""
+    return signed(lanes.packed(c, n, "v"), n, "cid").select("cid", F.posexplode(F.arrays_zip("sig1", "sig2")).alias("vertex", "s")).select("cid", "vertex", "s.sig1", "s.sig2")
 
 
 def neighbor_ranks(c: DataFrame, n: int) -> DataFrame:
     """cid, vertex, coord, rank: place of a neighbour's signature among the distinct ones around the vertex."""
     ranks = f"transform({literal(incidence(n).near)}, ws -> transform(ws, w -> size(filter(array_distinct(transform(ws, x -> sig2[x])), y -> y < sig2[w]))))"
-    rows = _signed(c, n).select("cid", F.posexplode(F.expr(ranks)).alias("vertex", "r"))
+    rows = signed(lanes.packed(c, n, "v"), n, "cid").select("cid", F.posexplode(F.expr(ranks)).alias("vertex", "r"))
     return rows.select("cid", "vertex", F.posexplode("r").alias("coord", "rank"))
 
 
-def refined_ranks(c: DataFrame, n: int, rounds: int = 3) -> DataFrame:
-    """cid, vertex, rank after so many rounds, each of which ranks the vertices by their own rank and their neighbours' in order, starting from the codes."""
+def ranks_of(s: DataFrame, n: int, *carry: str, rounds: int | None = None) -> DataFrame:
+    """carry and rank, by vertex the place of its signature among those of the complex, of states with v limbs.
+
+    The signature is sig2, or the rank after so many rounds, each of which ranks the vertices by their own rank and their neighbours' in order, starting from
+    the codes.
+    """
+    dense = lambda x: let(x, "g", let("array_sort(array_distinct(g))", "o", "transform(g, x -> cast(array_position(o, x) as int) - 1)"))
+    if rounds is None:
+        return signed(s, n, *carry).select(*carry, F.expr(dense("sig2")).alias("rank"))
     near, rank = literal(incidence(n).near), "code"
     for _ in range(rounds):
-        signed = f"transform({near}, (ws, v) -> concat(array(r[v]), array_sort(transform(ws, w -> r[w]))))"
-        rank = let(rank, "r", let(signed, "g", let("array_sort(array_distinct(g))", "o", "transform(g, x -> cast(array_position(o, x) as int) - 1)")))
-    return _incident(c, n).select("cid", F.posexplode(F.expr(rank)).alias("vertex", "rank"))
+        rank = let(rank, "r", dense(f"transform({near}, (ws, v) -> concat(array(r[v]), array_sort(transform(ws, w -> r[w]))))"))
+    return coded(s, n, *carry).select(*carry, F.expr(rank).alias("rank"))
+
+
+def refined_ranks(c: DataFrame, n: int, rounds: int = 3) -> DataFrame:
+    """cid, vertex, rank after so many rounds (see ranks_of)."""
+    return ranks_of(lanes.packed(c, n, "v"), n, "cid", rounds=rounds).select("cid", F.posexplode("rank").alias("vertex", "rank"))

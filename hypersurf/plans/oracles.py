@@ -28,8 +28,9 @@ dirs as (select idx as sq, {dirs} as dirs from cel where dim = 2),
 nb as ({near})"""
 
 
-def cx(n: int) -> str:
-    return f"""cx as (select distinct cast(l_orderkey as bigint) as cid, cast(l_partkey % {_sizes(n)} as integer) as sq from lineitem),
+def cx(n: int, source: str = "") -> str:
+    items = f"select distinct cast(l_orderkey as bigint) as cid, cast(l_partkey % {_sizes(n)} as integer) as sq from lineitem"
+    return f"""cx as ({source or items}),
 deg as (select cid, edge, count(*) as m from cx join se using (sq) group by cid, edge),
 near_sq as (select cid, se.sq, max(m) as most, cast(count(*) filter (m = 1) as integer) as covers from deg join se on se.edge = deg.edge group by cid, se.sq),
 legal as (select cid, sq, covers from near_sq where most = 1 and not exists (select 1 from cx where cx.cid = near_sq.cid and cx.sq = near_sq.sq)),
@@ -89,6 +90,50 @@ img as (select mask, g, bit_or(1::bigint << sq_image) as image from ms join ga o
 lab as (select mask, min(image) as label, cast(count(distinct image) as integer) as images from img group by mask)"""
 
 
+_EXTEND = {
+    "": "select p.cid, l.sq from first_prio p join se using (edge) join legal l on l.cid = p.cid and l.sq = se.sq",
+    "d": """select a.cid, a.sq from absent a join (select cid, min(edge) as edge from free group by cid) f using (cid) join se on se.edge = f.edge and se.sq = a.sq
+  union all select cid, sq from absent where cid not in (select cid from free)""",
+    "b": "select distinct a.cid, a.sq from absent a join se using (sq) join free f on f.cid = a.cid and f.edge = se.edge",
+    "db": "select cid, sq from absent",
+}
+_KEPT = {"": ("ok and not hopeless and not closed", "ok and not hopeless and closed and not bad"), "d": ("ok and not hopeless", "ok and not hopeless and closed and not bad"), "b": ("ok and not hopeless", "ok and not hopeless and not bad")}
+
+
+def level(n: int, mode: str) -> str:
+    """The children of all complexes, tested and labelled as complexes of their own."""
+    labeled, good = _KEPT["b" if "b" in mode else mode]
+    return f"""with {dims(n)}, {cx(n)}, {verts(n)}, ext as ({_EXTEND[mode]}),
+kid as (select row_number() over () as kid, cid, sq from ext),
+kx as (select kid as cid, cx.sq from kid join cx using (cid) union all select kid, sq from kid),
+tested as (with {cx(n, "select * from kx")}, {verts(n)}, {links(n)}, {TEST}, {MASKS} select cid as kid, mask, n_squares, {labeled} as labeled, {good} as good from et join lc using (cid) join mk using (cid)),
+kept as (select * from tested where labeled or good), {group(n)}, {label_of("kept", n)}
+select label, min(n_squares) as squares, bool_or(labeled) as labeled, bool_or(good) as good, count(*) as children, min(cid) as parent from kept join lab using (mask) join kid using (kid) group by label"""
+
+
+def ahead(n: int, most: int, depth: int) -> str:
+    """Look-ahead: level by level, the sets of squares reached from each complex."""
+    n2, out = _sizes(n), []
+    for k in range(1, depth + 1):
+        done = f"{str(k == depth).lower()} or left0 = 1 or f + 4 - 2 * covers = 0"
+        out.append(f"""l{k} as (with {cx(n, f"select node as cid, cast(q as integer) as sq from n{k}, range({n2}) r(q) where (mask >> q) & 1 = 1")}, {verts(n)},
+  ranked as (select cid, sq, covers, row_number() over (partition by cid order by covers desc, sq) as j from legal),
+  tops as (select cid, sq, covers, j, sum(covers) over (partition by cid order by j) as upto, max(j) over (partition by cid) as many from ranked),
+  nf as (select cid, count(*) as f from free group by cid),
+  mv as (select p.cid as node, t.sq, t.covers, t.j from first_prio p join se using (edge) join tops t on t.cid = p.cid and t.sq = se.sq),
+  m0 as (select mv.*, o.cid, o.mask, o.left0, f from mv join n{k} o using (node) join nf on nf.cid = mv.node),
+  m1 as (select m0.*, case when j > left0 - 1 then (select coalesce(max(upto), 0) from tops t where t.cid = m0.node and t.j <= m0.left0 - 1) else (select max(upto) from tops t where t.cid = m0.node and t.j <= m0.left0) - covers end as cap from m0)
+  select cid, node, mask | (1::bigint << sq) as mask, left0 - 1 as left0, f - covers <= cap as fits, f - covers <= cap and ({done}) as success from m1),
+f{k} as (select o.cid, coalesce(bool_or(success), false) as feasible, count(distinct o.node) as nodes from n{k} o left join l{k} using (cid) group by o.cid)""")
+        if k < depth:
+            out.append(f"n{k + 1} as (select row_number() over () as node, * from (select distinct cid, mask, left0 from l{k} where fits and cid not in (select cid from f{k} where feasible)))")
+    found = " union all ".join(f"select * from f{k}" for k in range(1, depth + 1))
+    return f"""with {dims(n)}, {cx(n)},
+n1 as (select cid as node, cid, bit_or(1::bigint << sq) as mask, {most} - count(*) as left0 from cx where cid in (select cid from free) group by cid having count(*) < {most}),
+{", ".join(out)}
+select cid, bool_or(feasible) as feasible, cast(sum(nodes) as bigint) as nodes from ({found}) group by cid"""
+
+
 MASKS = "mk as (select cid, bit_or(1::bigint << sq) as mask from cx group by cid)"
 TEST = "et as (select cid, cast(sum(m) / 4 as integer) as n_squares, max(m) <= 2 as ok, max(m) <= 2 and min(m) = 2 as closed from deg group by cid)"
 
@@ -130,12 +175,29 @@ _RANK = """(select cid, cast(count(*) as integer) as k, cast(sum(case when j > s
 _D4, _C4 = dims(4), f"{dims(4)}, {cx(4)}"
 _C3 = f"{dims(3)}, {cx(3)}"
 _V4 = f"{_C4}, {verts(4)}"
-_AROUND = lambda x, v: "[" + ", ".join(f"{x}[xor({v}, {1 << (3 - k)}) + 1]" for k in range(4)) + "]"
+_AROUND = lambda x, v, n=4: "[" + ", ".join(f"{x}[xor({v}, {1 << (n - 1 - k)}) + 1]" for k in range(n)) + "]"
 #: Lists by vertex, as neighbours of a vertex differ from it in one bit.
-_SIG = f"""{_V4},
-zero as (select p.cid, list(lpad(cast(coalesce(code, 0) as varchar), 2, '0') order by v) as z from (select cid, cast(v as integer) as v from (select distinct cid from cx), range(16) r(v)) p left join vc on vc.cid = p.cid and vc.vertex = p.v group by p.cid),
-one as (select cid, list_transform(range(16), lambda v: z[v + 1] || ':' || array_to_string(list_sort({_AROUND("z", "v")}), ',')) as a from zero),
-two as (select cid, a, list_transform(range(16), lambda v: a[v + 1] || '|' || array_to_string(list_sort({_AROUND("a", "v")}), ';')) as b from one)"""
+def _signatures(n: int) -> str:
+    return f"""{dims(n)}, {cx(n)}, {verts(n)},
+zero as (select p.cid, list(lpad(cast(coalesce(code, 0) as varchar), 2, '0') order by v) as z from (select cid, cast(v as integer) as v from (select distinct cid from cx), range({2**n}) r(v)) p left join vc on vc.cid = p.cid and vc.vertex = p.v group by p.cid),
+one as (select cid, list_transform(range({2**n}), lambda v: z[v + 1] || ':' || array_to_string(list_sort({_AROUND("z", "v", n)}), ',')) as a from zero),
+two as (select cid, a, list_transform(range({2**n}), lambda v: a[v + 1] || '|' || array_to_string(list_sort({_AROUND("a", "v", n)}), ';')) as b from one)"""
+
+
+def restricted(n: int) -> str:
+    """Least image under the symmetries that bring a vertex of least signature to the origin and order its neighbours' signatures."""
+    perms = ", ".join(str((i, *p)) for i, p in enumerate(permutations(range(n))))
+    at = lambda k: f"b[xor(v, 1 << ({n - 1} - p{k})) + 1]"
+    flip = " + ".join(f"((v >> {n - 1 - k}) & 1) * {1 << k}" for k in range(n))
+    limbs = ", ".join(f"cast((label >> {60 * k}) & {(1 << 60) - 1}::hugeint as bigint) as l{k}" for k in range(-(-_sizes(n) // 60)))
+    return f"""with {_signatures(n)}, {group(n)}, perms(i, {", ".join(f"p{k}" for k in range(n))}) as (values {perms}),
+adm as (select cid, v, i, i * {2**n} + {flip} as g from two, range({2**n}) r(v), perms where b[v + 1] = list_min(b) and {" and ".join(f"{at(k)} <= {at(k + 1)}" for k in range(n - 1))}),
+img as (select cid, v, i, bit_or(1::hugeint << sq_image) as image from adm join cx using (cid) join ga using (g, sq) group by cid, v, i),
+best as (select cid, min(image) as label, cast(count(distinct v) as integer) as roots, cast(count(*) as integer) as trials from img group by cid)
+select cid, {limbs}, roots, trials from best"""
+
+
+_SIG = _signatures(4)
 _ROUNDS = "".join(f""",
 sig{k} as (select cid, r, list_transform(range(16), lambda v: list_prepend(r[v + 1], list_sort({_AROUND("r", "v")}))) as s from rank{k - 1}),
 rank{k} as (select cid, list_transform(s, lambda x: len(list_filter(list_distinct(s), lambda y: y < x))) as r from sig{k})""" for k in (1, 2, 3))
@@ -198,6 +260,13 @@ select cid, cast(v as integer) as vertex, cast(r[v + 1] as integer) as rank from
     "octal_pattern": f"with {_SIG}, rk as (select cid, vertex, coord, len(list_filter(list_distinct({_AROUND('b', 'vertex')}), lambda y: y < b[nbr + 1])) as rank from two, nb) select cid, vertex, cast(sum(rank << (3 * (3 - coord))) as bigint) as pattern from rk group by cid, vertex",
     "combinadic_rank": f"""with {_C4}, nth as (select cid, sq, row_number() over (partition by cid order by sq) as j from cx)
 select cid, cast(count(*) as integer) as k, cast(sum(case when j > sq then 0 else (select round(exp(sum(ln(sq - i) - ln(i + 1)))) from range(j) r(i)) end) as bigint) as rank from nth group by cid""",
+    "restricted_label": restricted(4),
+    "restricted_label_n5": restricted(5),
+    **{f"level_{name}{'_n3' * (n == 3)}": level(n, mode) for name, mode in (("closed", ""), ("disconnected", "d"), ("boundary", "b"), ("any", "db")) for n in (3, 4)},
+    "lookahead_depth2": ahead(4, 8, 2),
+    "lookahead_depth4": ahead(4, 8, 4),
+    "lookahead_depth2_n3": ahead(3, 6, 2),
+    "lookahead_depth4_n3": ahead(3, 6, 4),
     "enumerate_closed_n3": closed(3, True),
     "enumerate_closed_n4": closed(4, True),
     "enumerate_disconnected_n4": closed(4, False),

@@ -5,11 +5,13 @@ Complexes are made of line items: order o holds square l_partkey mod the number
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..operators import cells, dedup, symmetry, topology
+from ..operators import cells, dedup, search, symmetry, topology
 from . import profile
 from .enumerate import Options, enumerate_surfaces
 from .oracles import ORACLES
@@ -140,6 +142,13 @@ QUERIES = {
     "spread_octal": lambda s, d: complexes(s, d).select("sq").distinct().select("sq", codecs.spread_octal(F.col("sq")).alias("octal")),
     "octal_pattern": lambda s, d: _patterns(s, d),
     "combinadic_rank": lambda s, d: codecs.combinadic_rank(complexes(s, d)),
+    "restricted_label": _on(symmetry.restricted_labels),
+    "restricted_label_n5": _on(symmetry.restricted_labels, 5),
+    **{f"level_{name}{'_n3' * (n == 3)}": _on(partial(search.level_step, mode=mode), n) for name, mode in (("closed", ""), ("disconnected", "d"), ("boundary", "b"), ("any", "db")) for n in (3, 4)},
+    "lookahead_depth2": _on(partial(search.lookahead, max_squares=8, depth=2)),
+    "lookahead_depth4": _on(partial(search.lookahead, max_squares=8, depth=4)),
+    "lookahead_depth2_n3": _on(partial(search.lookahead, max_squares=6, depth=2), 3),
+    "lookahead_depth4_n3": _on(partial(search.lookahead, max_squares=6, depth=4), 3),
     "enumerate_closed_n3": lambda s, d: _surfaces(s, 3, ""),
     "enumerate_closed_n4": lambda s, d: _surfaces(s, 4, ""),
     "enumerate_disconnected_n4": lambda s, d: _surfaces(s, 4, "d"),

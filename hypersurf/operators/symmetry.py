@@ -109,11 +109,11 @@ def restricted_labels_of(s: DataFrame, n: int, *carry: str, rounds: int | None =
     moves = F.broadcast(spark.createDataFrame(moves, "perm int, at int, image int"))
     keys = F.broadcast(spark.createDataFrame(keys, "pattern long, perm int"))
     own = [x for x in carry if x not in p.m]
-    near = topology.literal(incidence(n).near)
-    ranks = topology.ranks_of(lanes.linked(s, n, *own, *p.m), n, *own, *p.m, rounds=rounds)
-    around = topology.let("sort_array(array_distinct(g))", "o", f"aggregate(transform(g, (x, i) -> (cast(array_position(o, x) as bigint) - 1) * cast(power({n}, i) as bigint)), 0L, (a, x) -> a + x)")
-    patterns = f"transform({near}, ws -> {topology.let('transform(ws, w -> rank[w])', 'g', around)})"
-    roots = ranks.select(*own, *p.m, "rank", F.posexplode(F.expr(patterns)).alias("root", "pattern")).where("rank[root] = 0").drop("rank")
+    # Null-safe, as the optimizer would infer a filter of ranks that are not null, and push that down with copies of all they are made of.
+    ranks = lanes.exploded(topology.ranks_of(lanes.linked(s, n, *own, *p.m), n, *own, *p.m, rounds=rounds), n, "root", p.n0).where("rank[root] <=> 0")
+    near = ranks.select(*own, *p.m, "root", F.array(*[F.expr(f"rank[root ^ {1 << (n - 1 - k)}]") for k in range(n)]).alias("_near")).withColumn("_order", F.expr("sort_array(array_distinct(_near))"))
+    pattern = " + ".join(f"(array_position(_order, _near[{k}]) - 1) * {n**k}L" for k in range(n))
+    roots = near.select(*own, *p.m, "root", F.expr(pattern).alias("pattern"))
     squares = lanes.exploded(roots.join(keys, "pattern"), n, "sq", p.n2).where(lanes.has("sq", n)).select(*own, "root", "perm", "sq")
     image = lanes.mask_limbs("image", n)
     images = squares.join(flips, ["root", "sq"]).join(moves, ["perm", "at"]).groupBy(*own, "root", "perm").agg(*[F.bit_or(F.expr(x)).alias(f"l{k}") for k, x in enumerate(image)])

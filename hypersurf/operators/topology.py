@@ -70,6 +70,21 @@ def free_edges(c: DataFrame, n: int) -> DataFrame:
     return _edges(lanes.packed(c, n, "e"), n, lanes.free, "cid")
 
 
+def boundary(c: DataFrame, n: int) -> DataFrame:
+    """cid, the sum mod 2 of the squares' boundaries as limbs of edges (b0, the lowest, b1, ...), and its number of edges.
+
+    Where no edge lies in three squares these are the free edges.
+    """
+    n1, rows = lanes.packing(n).n1, []
+    count = -(-n1 // LIMB)
+    for s, edges in enumerate(incidence(n).edges_of):
+        rows.append((s, *[sum(1 << e % LIMB for e in edges if e // LIMB == k) for k in range(count)]))
+    table = F.broadcast(c.sparkSession.createDataFrame(rows, "sq int, " + ", ".join(f"b{k} long" for k in range(count))))
+    squares = lanes.exploded(lanes.gathered(c, n), n, "sq", lanes.packing(n).n2).where(lanes.has("sq", n)).select("cid", "sq")
+    sums = squares.join(table, "sq").groupBy("cid").agg(*[F.bit_xor(f"b{k}").alias(f"b{k}") for k in range(count)])
+    return sums.withColumn("edges", F.expr(lanes.bits([f"b{k}" for k in range(count)])))
+
+
 def saturated_edges(c: DataFrame, n: int) -> DataFrame:
     return _edges(lanes.packed(c, n, "e"), n, lanes.twice, "cid")
 

@@ -134,6 +134,49 @@ n1 as (select cid as node, cid, bit_or(1::bigint << sq) as mask, {most} - count(
 select cid, bool_or(feasible) as feasible, cast(sum(nodes) as bigint) as nodes from ({found}) group by cid"""
 
 
+def boundary_sum(n: int) -> str:
+    limbs = -(-(n * 2 ** (n - 1)) // 60)
+    parts = ", ".join(f"cast(coalesce(sum(1::bigint << cast(edge % 60 as integer)) filter (edge // 60 = {k}), 0) as bigint) as b{k}" for k in range(limbs))
+    return f"with {dims(n)}, {cx(n)}, odd as (select cid, edge from deg where m % 2 = 1) select cid, {parts}, cast(count(edge) as integer) as edges from (select distinct cid from cx) left join odd using (cid) group by cid"
+
+
+def wide_numbers(n: int) -> str:
+    """Wide numbers as strings of bits, sums as columns of bits with a carry in 8 limbs of 30 bits a HUGEINT each."""
+    n2 = _sizes(n)
+    limbs = -(-n2 // 30)
+    piece = lambda x, k: f"(('0b' || lpad(substring({x}, greatest({n2} - {30 * (k + 1)}, 0) + 1, least(30, {n2} - {30 * k})), 30, '0'))::bigint)"
+    out, total, less = [], "0", "0"
+    steps = []
+    for k in range(limbs):
+        top = (1 << min(30, n2 - 30 * k)) - 1
+        before = f"step{k - 1}" if k else "bits2"
+        steps.append(f"step{k} as (select *, a{k} + b{k} + {total} as t{k}, a{k} - b{k} + {less} as d{k} from {before})")
+        total, less = f"(t{k} >> 30)", f"(case when d{k} < 0 then -1 else 0 end)"
+        out.append((f"lpad(bin(t{k} & {top}), 30, '0')", f"lpad(bin((d{k} + {(1 << 30)}) & {top}), 30, '0')"))
+    width = 60 * -(-n2 // 60)
+    text = lambda x: f"(select string_agg(lower(hex(('0b' || substring(z, i * 60 + 1, 60))::bigint)).lpad(15, '0'), '' order by i) from (select lpad({x}, {width}, '0') as z), range({width // 60}) r(i))"
+    joined = lambda j: " || ".join(x[j] for x in reversed(out))
+    return f"""with {cx(n)[: cx(n).index(",\ndeg")]},
+ones as (select q.cid, string_agg(case when sq is null then '0' else '1' end, '' order by p desc) as a, min(p) filter (sq is not null) as zeros from (select cid, cast(p as integer) as p from (select distinct cid from cx), range({n2}) r(p)) q left join cx on cx.cid = q.cid and cx.sq = q.p group by q.cid),
+shifted as (select *, rpad(substring(a, cast(cid % {n2} as integer) + 1), {n2}, '0') as b, lpad(substring(a, 1, {n2} - cast(cid % {n2} as integer)), {n2}, '0') as r from ones),
+bits2 as (select *, {", ".join(f"{piece(x, k)} as {x}{k}" for x in "ab" for k in range(limbs))} from shifted),
+{", ".join(steps)}
+select cid, {text("b")} as b, {text("r")} as "right", {text(joined(0))} as total, {text(joined(1))} as less, case when a < b then -1 when a > b then 1 else 0 end as sign, cast(zeros as integer) as zeros from step{limbs - 1}"""
+
+
+def ranks(n: int) -> str:
+    """Ranks as HUGEINT products, in hexadecimal."""
+    n2 = _sizes(n)
+    from math import comb
+
+    size = 12 * -(-comb(n2, n2 // 2).bit_length() // 48)
+    base = cx(n)[: cx(n).index(",\ndeg")]
+    return f"""with recursive {base}, binom(s, j, c) as (select s, 0, 1::hugeint from range({n2}) r(s) union all select s, j + 1, c * (s - j) // (j + 1) from binom where j < 16),
+nth as (select cid, sq, row_number() over (partition by cid order by sq) as j from cx),
+total as (select cid, cast(count(*) as integer) as k, cast(sum(c) as hugeint) as r from nth join binom on s = sq and binom.j = nth.j group by cid)
+select cid, k, right(repeat('0', {size}) || lower(printf('%x', cast(r >> 60 as bigint))) || lpad(lower(printf('%x', cast(r & {(1 << 60) - 1} as bigint))), 15, '0'), {size}) as rank from total"""
+
+
 MASKS = "mk as (select cid, bit_or(1::bigint << sq) as mask from cx group by cid)"
 TEST = "et as (select cid, cast(sum(m) / 4 as integer) as n_squares, max(m) <= 2 as ok, max(m) <= 2 and min(m) = 2 as closed from deg group by cid)"
 
@@ -260,6 +303,17 @@ select cid, cast(v as integer) as vertex, cast(r[v + 1] as integer) as rank from
     "octal_pattern": f"with {_SIG}, rk as (select cid, vertex, coord, len(list_filter(list_distinct({_AROUND('b', 'vertex')}), lambda y: y < b[nbr + 1])) as rank from two, nb) select cid, vertex, cast(sum(rank << (3 * (3 - coord))) as bigint) as pattern from rk group by cid, vertex",
     "combinadic_rank": f"""with {_C4}, nth as (select cid, sq, row_number() over (partition by cid order by sq) as j from cx)
 select cid, cast(count(*) as integer) as k, cast(sum(case when j > sq then 0 else (select round(exp(sum(ln(sq - i) - ln(i + 1)))) from range(j) r(i)) end) as bigint) as rank from nth group by cid""",
+    "boundary_mod2": boundary_sum(4),
+    "boundary_mod2_n5": boundary_sum(5),
+    "touched_edges": f"with {_C4} select cid, edge, cast(m as integer) as m from deg",
+    "link_class_n6": f"with {dims(6)}, {cx(6)}, {verts(6)}, {links(6)} select * from lc",
+    "numbered_candidates": f"with {_V4} select p.cid, l.sq, row_number() over (order by p.cid, l.sq) as id from first_prio p join se using (edge) join legal l on l.cid = p.cid and l.sq = se.sq",
+    "merged_goods": f"""with {_C4}, {MASKS}, one as (select mask as label, min(cid) as id from mk where cid % 2 = 0 group by mask), two as (select mask as label, min(cid) as id from mk where cid % 3 = 0 and mask not in (select label from one) group by mask)
+select label, id, (select count(*) from one) as added_0, (select count(*) from two) as added_1, 0::bigint as added_2 from (select * from one union all select * from two)""",
+    "wide_arithmetic_n5": wide_numbers(5),
+    "wide_arithmetic_n6": wide_numbers(6),
+    **{f"wide_rank_n{n}": ranks(n) for n in (4, 5, 6)},
+    **{f"unrank_n{n}": f"select distinct cast(l_orderkey as bigint) as cid, cast(l_partkey % {_sizes(n)} as integer) as sq from lineitem" for n in (4, 5, 6)},
     "restricted_label": restricted(4),
     "restricted_label_n5": restricted(5),
     **{f"level_{name}{'_n3' * (n == 3)}": level(n, mode) for name, mode in (("closed", ""), ("disconnected", "d"), ("boundary", "b"), ("any", "db")) for n in (3, 4)},

@@ -5,13 +5,15 @@ Complexes are made of line items: order o holds square l_partkey mod the number
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs
-from ..operators import cells, dedup, search, symmetry, topology
+from ..functions import codecs, wide
+from ..operators import cells, dedup, lanes, numbering, search, symmetry, topology
+from ..sources import good_store
 from . import profile
 from .enumerate import Options, enumerate_surfaces
 from .oracles import ORACLES
@@ -90,6 +92,42 @@ def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.groupBy("cid", "vertex").agg(digits.alias("d")).select("cid", "vertex", codecs.octal_pattern(F.col("d")).alias("pattern"))
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a level, numbered in the order of their parents and squares."""
+    return numbering.running_numbers(topology.extend_closed(complexes(spark, sf_dir), N), ["cid", "sq"])
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted complexes in buckets: two staged parts, of which the second is merged twice."""
+    m = symmetry.masks(complexes(spark, sf_dir)).select(F.col("mask").alias("label"), F.col("cid").alias("id"))
+    store = good_store.GoodStore(spark, f"goods_{uuid.uuid4().hex[:12]}")
+    first, second = store.stage(m.where("id % 2 = 0")), store.stage(m.where("id % 3 = 0"))
+    added = [store.merge(first), store.merge(second), store.merge(first, second)]
+    return store.read().select("label", "id", *[F.lit(x).cast("long").alias(f"added_{k}") for k, x in enumerate(added)])
+
+
+def _wide(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Masks as wide numbers: a, b = a shifted left by cid mod the width, their sum, difference and order, a shifted right, its trailing zeros."""
+    p, width = lanes.packing(n), cells.sizes(n)[2]
+    a, by = [F.col(x) for x in p.m], (F.col("cid") % width).cast("int")
+    m = lanes.gathered(complexes(spark, sf_dir, n), n).select("cid", *p.m, *[x.alias(f"b{k}") for k, x in enumerate(wide.shift_left(a, by, width))])
+    b = [F.col(f"b{k}") for k in range(len(a))]
+    out = {"b": b, "right": wide.shift_right(a, by), "total": wide.add(a, b, width), "less": wide.subtract(a, b, width)}
+    return m.select("cid", *[wide.digits(x).alias(c) for c, x in out.items()], wide.compare(a, b).alias("sign"), wide.trailing_zeros(a, width).alias("zeros"))
+
+
+def _unranked(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Squares of the complexes, from their ranks."""
+    n2 = cells.sizes(n)[2]
+    return wide.combinadic_squares(wide.combinadic_ranks(complexes(spark, sf_dir, n), n2), n2)
+
+
+def _ranks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    n2 = cells.sizes(n)[2]
+    limbs = [F.col(f"r{k}") for k in range(wide.rank_limbs(n2))]
+    return wide.combinadic_ranks(complexes(spark, sf_dir, n), n2).select("cid", "k", wide.digits(limbs, wide.RANK_BITS).alias("rank"))
+
+
 def _on(f, n: int = N):
     return lambda spark, sf_dir: f(complexes(spark, sf_dir, n), n)
 
@@ -142,6 +180,16 @@ QUERIES = {
     "spread_octal": lambda s, d: complexes(s, d).select("sq").distinct().select("sq", codecs.spread_octal(F.col("sq")).alias("octal")),
     "octal_pattern": lambda s, d: _patterns(s, d),
     "combinadic_rank": lambda s, d: codecs.combinadic_rank(complexes(s, d)),
+    "boundary_mod2": _on(topology.boundary),
+    "boundary_mod2_n5": _on(topology.boundary, 5),
+    "touched_edges": _on(topology.touched_edges),
+    "link_class_n6": _on(topology.link_class, 6),
+    "numbered_candidates": _numbered,
+    "merged_goods": _merged,
+    "wide_arithmetic_n5": lambda s, d: _wide(s, d, 5),
+    "wide_arithmetic_n6": lambda s, d: _wide(s, d, 6),
+    **{f"wide_rank_n{n}": partial(_ranks, n=n) for n in (4, 5, 6)},
+    **{f"unrank_n{n}": partial(_unranked, n=n) for n in (4, 5, 6)},
     "restricted_label": _on(symmetry.restricted_labels),
     "restricted_label_n5": _on(symmetry.restricted_labels, 5),
     **{f"level_{name}{'_n3' * (n == 3)}": _on(partial(search.level_step, mode=mode), n) for name, mode in (("closed", ""), ("disconnected", "d"), ("boundary", "b"), ("any", "db")) for n in (3, 4)},

@@ -177,6 +177,16 @@ total as (select cid, cast(count(*) as integer) as k, cast(sum(c) as hugeint) as
 select cid, k, right(repeat('0', {size}) || lower(printf('%x', cast(r >> 60 as bigint))) || lpad(lower(printf('%x', cast(r & {(1 << 60) - 1} as bigint))), 15, '0'), {size}) as rank from total"""
 
 
+def counted(n: int, select: str, on: str, use: str) -> str:
+    """A relation with the number of complexes that use each of its rows."""
+    return f"with {dims(n)}, {cx(n)}, us as (select sq, count(*) as complexes from cx group by sq), rel as ({select}), use as ({use}) select rel.*, cast(coalesce(complexes, 0) as bigint) as complexes from rel left join use using ({on})"
+
+
+def given(sql: str, n: int) -> str:
+    """Surfaces (squares, label) with the number of complexes of each label."""
+    return f"with own as (with {dims(n)}, {cx(n)}, {MASKS}, {group(n)}, {label_of('mk', n)} select label, count(*) as complexes from mk join lab using (mask) group by label), s as ({sql}) select s.*, coalesce(complexes, 0) as complexes from s left join own using (label)"
+
+
 MASKS = "mk as (select cid, bit_or(1::bigint << sq) as mask from cx group by cid)"
 TEST = "et as (select cid, cast(sum(m) / 4 as integer) as n_squares, max(m) <= 2 as ok, max(m) <= 2 and min(m) = 2 as closed from deg group by cid)"
 
@@ -247,13 +257,14 @@ rank{k} as (select cid, list_transform(s, lambda x: len(list_filter(list_distinc
 _CAND = "cand as (select cast(l_partkey % 1000 as bigint) as label, cast(l_orderkey as bigint) * 1024 + l_linenumber as id, cast(l_orderkey as bigint) * 31 + l_linenumber * 7 as cplx from lineitem)"
 
 ORACLES = {
-    "cells": f"with {_D4} select cast(dim as integer) as dim, idx, cast(code as bigint) as code from cel",
-    "square_edges": f"with {_D4} select sq, edge from se",
-    "square_vertices": f"with {_D4} select sq, vertex from sv",
-    "edge_squares": f"with {_D4} select edge, cast(count(*) as integer) as squares, min(sq) as first_sq, max(sq) as last_sq from se group by edge",
-    "vertex_neighbors": f"with {_D4} select vertex, coord, nbr from nb",
-    "link_cycles": f"with {_D4}, {cycles(4)} select vertex, len, s1, s2, s3, s4, s5 from cyc",
-    "group_action": f"with {_D4}, {group(4)} select sq, sq_image, count(*) as symmetries from ga group by sq, sq_image",
+    "cells": counted(4, "select cast(dim as integer) as dim, idx, cast(code as bigint) as code from cel", "dim, idx", "select 2 as dim, sq as idx, complexes from us"),
+    "square_edges": counted(4, "select sq, edge from se", "sq", "select * from us"),
+    "square_vertices": counted(4, "select sq, vertex from sv", "sq", "select * from us"),
+    "edge_squares": counted(4, "select edge, cast(count(*) as integer) as squares, min(sq) as first_sq, max(sq) as last_sq from se group by edge", "edge", "select edge, sum(complexes) as complexes from se join us using (sq) group by edge"),
+    "vertex_neighbors": counted(4, "select vertex, coord, nbr from nb", "vertex", "select vertex, sum(complexes) as complexes from sv join us using (sq) group by vertex"),
+    "link_cycles": f"""with {_D4}, {cx(4)}, {cycles(4)}, held as (select y.vertex, y.len, y.s1, y.s2, y.s3, y.s4, y.s5, c.cid, count(*) as k from cx c join cyc y on c.sq in (y.s1, y.s2, y.s3, y.s4, y.s5) group by all),
+n as (select vertex, s1, s2, s3, s4, s5, count(*) as complexes from held where k = len group by all) select cyc.*, coalesce(complexes, 0) as complexes from cyc left join n using (vertex, s1, s2, s3, s4, s5)""",
+    "group_action": counted(4, f"with {group(4)} select sq, sq_image, count(*) as symmetries from ga group by sq, sq_image", "sq", "select * from us"),
     "keyset_page": "select cast(o_orderkey as bigint) as id, cast(o_custkey as bigint) as cplx from orders where o_orderkey > 1000 order by o_orderkey limit 500",
     "merge_shards": f"with {_C4} select cid, count(*) as squares from cx group by cid",
     "complex_mask": f"with {_C4}, {MASKS} select cid, mask from mk",
@@ -321,15 +332,17 @@ select label, id, (select count(*) from one) as added_0, (select count(*) from t
     "lookahead_depth4": ahead(4, 8, 4),
     "lookahead_depth2_n3": ahead(3, 6, 2),
     "lookahead_depth4_n3": ahead(3, 6, 4),
-    "enumerate_closed_n3": closed(3, True),
-    "enumerate_closed_n4": closed(4, True),
-    "enumerate_disconnected_n4": closed(4, False),
-    "enumerate_boundary_n3": f"""with {dims(3)}, pairs as (select bit_or(1::bigint << a.sq) | (1::bigint << b.sq) as mask from range(6) a(sq), range(6) b(sq) where a.sq < b.sq and not exists (select 1 from se x join se y using (edge) where x.sq = a.sq and y.sq = b.sq) group by a.sq, b.sq),
-kept as (select cast(m as bigint) as mask from range(1, 64) r(m) where m not in (select mask from pairs)), {group(3)}, {label_of('kept', 3)} select distinct cast(bit_count(label) as integer) as squares, label from lab""",
+    "enumerate_closed_n3": given(closed(3, True), 3),
+    "enumerate_closed_n4": given(closed(4, True), 4),
+    "enumerate_disconnected_n4": given(closed(4, False), 4),
+    "enumerate_boundary_n3": given(f"""with {dims(3)}, pairs as (select bit_or(1::bigint << a.sq) | (1::bigint << b.sq) as mask from range(6) a(sq), range(6) b(sq) where a.sq < b.sq and not exists (select 1 from se x join se y using (edge) where x.sq = a.sq and y.sq = b.sq) group by a.sq, b.sq),
+kept as (select cast(m as bigint) as mask from range(1, 64) r(m) where m not in (select mask from pairs)), {group(3)}, {label_of('kept', 3)} select distinct cast(bit_count(label) as integer) as squares, label from lab""", 3),
     "log_runs": f"with {_log()} select cast(run as integer) as run, 'r' || lbl as label, 5 as n, count(*) as lines, bool_or(record = 'run_end') as ended from lines where record is not null group by run, lbl",
     "log_levels": f"with {_log()} select * replace (cast(run as integer) as run) from lvt",
     "log_compare": f"with {_log()}, {_CMP} select * from cmp where level >= 24",
     "log_canon": f"with {_log()} select cast(run as integer) as run, level, " + ", ".join(f"cast(sum(e % {m}) as bigint) as {f}" for f, m in (("canon_calls", 37), ("canon_root_candidates", 41), ("canon_tau_trials", 43))) + " from lines where record = 'canon' group by run, level",
     "log_compare_all": f"with {_log()} select a.level, {_CMP_ALL}, {_DELTAS} from lvt a join lvt b on a.level = b.level and a.run = 1 and b.run = 2 where a.level >= 24",
+    "log_previous": f"with {_log()}, p as (select cast(run as integer) as run, level, total_ms, lag(cast(run as integer)) over w as old_run, lag(total_ms) over w as old_ms from lvt where level >= 24 window w as (partition by level order by run)) select *, case when old_run is null then null when old_ms = 0 then 'n/a' else printf('%+.1f%%', (total_ms - old_ms) * 100.0::double / old_ms) end as delta from p",
+    "log_storage": f"with {_log()}, more as (select ev0.*, run from ev0 join starts on e >= s and e < after where e % 10 = 0 and e % 500 <> 0) select cast(run as integer) as run, cast(e % 48 as integer) as level, max(greatest(e % 97, e % 89, e % 83)) as peak_bytes from more group by 1, 2",
     "pct_delta": f"with {_log()}, {_CMP} select level, delta from cmp",
 }

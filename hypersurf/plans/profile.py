@@ -128,6 +128,13 @@ def compare_all(lines: DataFrame, old: int, new: int, min_level: int = MIN_LEVEL
     return both.select("level", *[f"{side}_{x}" for x in names.values() for side in ("old", "new")], *changes)
 
 
+def compare_previous(lines: DataFrame, min_level: int = MIN_LEVEL) -> DataFrame:
+    """run, level, total_ms, the run before it that has the level (old_run, old_ms) and the change; null for a level's first run."""
+    order = W.partitionBy("level").orderBy("run")
+    rows = levels(lines).where(F.col("level") >= min_level).withColumns({"old_run": F.lag("run").over(order), "old_ms": F.lag("total_ms").over(order)})
+    return rows.select("run", "level", "total_ms", "old_run", "old_ms", F.when(F.col("old_run").isNotNull(), pct_delta(F.col("old_ms"), F.col("total_ms"))).alias("delta"))
+
+
 def last_runs(lines: DataFrame, label: str | None = None, most: int = 2) -> list:
     """Rows of settings() of the last runs, of one label if given, the last one first."""
     found = settings(lines)
@@ -147,6 +154,13 @@ def report(lines: DataFrame, label: str | None = None, min_level: int = MIN_LEVE
 def report_text(lines: DataFrame, label: str | None = None, min_level: int = MIN_LEVEL) -> list[str]:
     """The report as lines: the last run, the one before it, and both compared; 'no runs found' without any."""
     lines = lines.cache()
+    try:
+        return _report_text(lines, label, min_level)
+    finally:
+        lines.unpersist()
+
+
+def _report_text(lines: DataFrame, label: str | None, min_level: int) -> list[str]:
     picked = last_runs(lines, label)
     if not picked:
         return ["no runs found"]

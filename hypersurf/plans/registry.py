@@ -50,10 +50,53 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("e").alias("line_no"), F.concat(F.lit("2024-01-01 00:00:00 "), text).alias("value"))
 
 
-def _surfaces(spark: SparkSession, n: int, mode: str) -> DataFrame:
+def storage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log_lines with a record of the bytes in use for each line of no known kind."""
+    e = F.col("line_no")
+    sizes = F.format_string("2024-01-01 00:00:00 level=%d source_temp_db=1 est_live_before_finalize=%d est_live_after_finalize=%d est_live_peak=%d", e % 48, e % 97, e % 89, e % 83)
+    return log_lines(spark, sf_dir).withColumn("value", F.when(F.col("value").endswith("some other line"), sizes).otherwise(F.col("value")))
+
+
+def _surfaces(spark: SparkSession, sf_dir: str, n: int, mode: str) -> DataFrame:
+    """Surfaces up to symmetry, and how many of the given complexes are each of them."""
     goods, _ = enumerate_surfaces(spark, Options(n, mode))
     mask = F.conv(F.hex("label"), 16, 10).cast("long")
-    return goods.select(F.col("squares").cast("int").alias("squares"), symmetry.canonical_label(mask, n).alias("label"))
+    found = goods.select(F.col("squares").cast("int").alias("squares"), symmetry.canonical_label(mask, n).alias("label"))
+    given = symmetry.masks(complexes(spark, sf_dir, n)).select(symmetry.canonical_label(F.col("mask"), n).alias("label")).groupBy("label").agg(F.count("*").alias("complexes"))
+    return _counted(found, given, "label")
+
+
+def _counted(df: DataFrame, use: DataFrame, *on: str) -> DataFrame:
+    """df with complexes, 0 where use has no row."""
+    return df.join(use, list(on), "left").withColumn("complexes", F.coalesce("complexes", F.lit(0).cast("long"))).select(*df.columns, "complexes")
+
+
+def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many complexes hold each square."""
+    return complexes(spark, sf_dir).groupBy("sq").agg(F.count("*").alias("complexes"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use = _uses(spark, sf_dir).select(F.lit(2).alias("dim"), F.col("sq").alias("idx"), "complexes")
+    return _counted(cells.cells(spark, N).select("dim", "idx", "code"), use, "dim", "idx")
+
+
+def _edge_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use = cells.square_edges(spark, N).join(_uses(spark, sf_dir), "sq").groupBy("edge").agg(F.sum("complexes").alias("complexes"))
+    return _counted(cells.edge_squares(spark, N), use, "edge")
+
+
+def _vertex_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use = cells.square_vertices(spark, N).join(_uses(spark, sf_dir), "sq").groupBy("vertex").agg(F.sum("complexes").alias("complexes"))
+    return _counted(cells.vertex_neighbors(spark, N), use, "vertex")
+
+
+def _link_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of links and how many complexes hold all squares of each: those that meet as many of its squares as it has."""
+    cycles = F.broadcast(cells.link_cycles(spark, N))
+    each = cycles.select("*", F.explode(F.array("s1", "s2", "s3", "s4", "s5")).alias("sq")).where("sq >= 0")
+    met = complexes(spark, sf_dir).join(F.broadcast(each), "sq").groupBy("cid", *cycles.columns).count().where("count = len")
+    return _counted(cycles, met.groupBy(*cycles.columns).agg(F.count("*").alias("complexes")), *cycles.columns)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,13 +176,13 @@ def _on(f, n: int = N):
 
 
 QUERIES = {
-    "cells": lambda s, d: cells.cells(s, N).select("dim", "idx", "code"),
-    "square_edges": lambda s, d: cells.square_edges(s, N),
-    "square_vertices": lambda s, d: cells.square_vertices(s, N),
-    "edge_squares": lambda s, d: cells.edge_squares(s, N),
-    "vertex_neighbors": lambda s, d: cells.vertex_neighbors(s, N),
-    "link_cycles": lambda s, d: cells.link_cycles(s, N),
-    "group_action": lambda s, d: cells.group_action(s, N).groupBy("sq", "sq_image").agg(F.count("*").alias("symmetries")),
+    "cells": _cells,
+    "square_edges": lambda s, d: _counted(cells.square_edges(s, N), _uses(s, d), "sq"),
+    "square_vertices": lambda s, d: _counted(cells.square_vertices(s, N), _uses(s, d), "sq"),
+    "edge_squares": _edge_squares,
+    "vertex_neighbors": _vertex_neighbors,
+    "link_cycles": _link_cycles,
+    "group_action": lambda s, d: _counted(cells.group_action(s, N).groupBy("sq", "sq_image").agg(F.count("*").alias("symmetries")), _uses(s, d), "sq"),
     "keyset_page": lambda s, d: dedup.page(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").alias("cplx")), "id", 1000, 500),
     "merge_shards": lambda s, d: dedup.merge_shards([complexes(s, d).where(dedup.shard_of("cid", 4) == k).groupBy("cid").agg(F.count("*").alias("squares")) for k in range(4)], "cid"),
     "complex_mask": lambda s, d: symmetry.masks(complexes(s, d)),
@@ -197,14 +240,16 @@ QUERIES = {
     "lookahead_depth4": _on(partial(search.lookahead, max_squares=8, depth=4)),
     "lookahead_depth2_n3": _on(partial(search.lookahead, max_squares=6, depth=2), 3),
     "lookahead_depth4_n3": _on(partial(search.lookahead, max_squares=6, depth=4), 3),
-    "enumerate_closed_n3": lambda s, d: _surfaces(s, 3, ""),
-    "enumerate_closed_n4": lambda s, d: _surfaces(s, 4, ""),
-    "enumerate_disconnected_n4": lambda s, d: _surfaces(s, 4, "d"),
-    "enumerate_boundary_n3": lambda s, d: _surfaces(s, 3, "b"),
+    "enumerate_closed_n3": lambda s, d: _surfaces(s, d, 3, ""),
+    "enumerate_closed_n4": lambda s, d: _surfaces(s, d, 4, ""),
+    "enumerate_disconnected_n4": lambda s, d: _surfaces(s, d, 4, "d"),
+    "enumerate_boundary_n3": lambda s, d: _surfaces(s, d, 3, "b"),
     "log_runs": lambda s, d: profile.runs(log_lines(s, d)),
     "log_levels": lambda s, d: profile.levels(log_lines(s, d)),
     "log_compare": lambda s, d: profile.compare(log_lines(s, d), 1, 2),
     "log_canon": lambda s, d: profile.canon_levels(log_lines(s, d)),
     "log_compare_all": lambda s, d: profile.compare_all(log_lines(s, d), 1, 2),
+    "log_previous": lambda s, d: profile.compare_previous(log_lines(s, d)),
+    "log_storage": lambda s, d: profile.storage(storage_lines(s, d)),
     "pct_delta": lambda s, d: profile.compare(log_lines(s, d), 1, 2, 0).select("level", "delta"),
 }

@@ -62,7 +62,7 @@ def level_step(c: DataFrame, n: int, mode: str = "", max_squares: int | None = N
     if n <= 4:
         kids, label = kids.withColumn("label", symmetry.canonical_label(F.col("m0"), n)), ["label"]
     else:
-        kids, label = symmetry.restricted_labels_of(kids, n, "cid", "sq", "squares", "labeled", "good"), [f"l{k}" for k in range(len(p.m))]
+        kids, label = symmetry.restricted_labels_of(kids.withColumnRenamed("sq", "added"), n, "cid", "added", "squares", "labeled", "good"), [f"l{k}" for k in range(len(p.m))]
     return kids.groupBy(*label).agg(F.first("squares").alias("squares"), F.bool_or("labeled").alias("labeled"), F.bool_or("good").alias("good"), F.count("*").alias("children"), F.min("cid").alias("parent"))
 
 

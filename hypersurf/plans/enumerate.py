@@ -8,10 +8,11 @@ with an empty label, so that it is right when tasks run again.  A run that ended
 
 from __future__ import annotations
 
+import json
 import os
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import datetime
 from functools import lru_cache
 from itertools import permutations
@@ -135,6 +136,15 @@ def _bits(mask: int) -> list[int]:
     return out
 
 
+def covered(counts: list[int], left: int) -> int:
+    """What the best `left` squares of a histogram cover."""
+    out = 0
+    for k in (4, 3, 2, 1):
+        take = min(left, counts[k])
+        out, left = out + k * take, left - take
+    return out
+
+
 class Complex:
     """A set of squares: mask; edges in one square or more, two or more, three or more, as masks."""
 
@@ -210,35 +220,37 @@ class Complex:
             on |= self.c.edge_squares[e]
         return [s for s in _bits(on & ~self.mask) if not self.two & self.c.edge_mask[s]]
 
-    def coverable(self, left: int) -> bool:
-        """Whether the best `left` legal squares cover as many free edges as there are."""
-        free = self.free_mask
-        n = free.bit_count()
-        if n > 4 * left:
-            return False
-        counts = [0] * 5
+    def histogram(self) -> list[int]:
+        """How many legal squares cover 0 (none is counted), 1, 2, 3, 4 free edges."""
+        free, counts = self.free_mask, [0] * 5
         for s in self.near(_bits(free)):
             counts[(free & self.c.edge_mask[s]).bit_count()] += 1
-        covered = 0
-        for k in (4, 3, 2, 1):
-            take = min(left, counts[k])
-            covered, left = covered + k * take, left - take
-        return covered >= n
+        return counts
 
     def feasible(self, left: int, depth: int, budget: list[int] | None) -> bool:
-        """Whether some `depth` legal moves on edges of priority keep the rest coverable; an exhausted budget is an error."""
-        if not self.free_mask:
-            return True
-        if left <= 0:
-            return False
-        for s in self.near(self.priority()):
-            if budget is not None:
-                budget[0] -= 1
-                if budget[0] < 0:
-                    raise RuntimeError("the look-ahead visited more complexes than lookahead_nodes allows")
-            child = self.plus(s)
-            if child.coverable(left - 1) and (depth <= 1 or child.feasible(left - 1, depth - 1, budget)):
-                return True
+        """Whether some `depth` legal moves, each on the then first edge of priority, always leave enough cover among the node's other legal squares.
+
+        A budget is of nodes; an exhausted one is an error.
+        """
+        if budget is not None:
+            budget[0] -= 1
+            if budget[0] < 0:
+                raise RuntimeError("the look-ahead visited more complexes than lookahead_nodes allows")
+        free = self.free_mask
+        if left <= 0 or not free:
+            return not free
+        counts = self.histogram()
+        for s in self.near(self.priority()[:1]):
+            c = (free & self.c.edge_mask[s]).bit_count()
+            counts[c] -= 1
+            fits = free.bit_count() - c <= covered(counts, left - 1)
+            counts[c] += 1
+            if fits:
+                if depth <= 1 or left == 1:
+                    return True
+                child = self.plus(s)
+                if not child.free_mask or child.feasible(left - 1, depth - 1, budget):
+                    return True
         return False
 
     def extensions(self, o: Options, counts: dict[str, int]) -> list[int]:
@@ -252,10 +264,10 @@ class Complex:
             for e in free if o.mode == "b" else free[:1]:
                 on |= c.edge_squares[e]
             return _bits((on if free or o.mode == "b" else every) & ~self.mask)
-        left = o.cap - self.size
-        if left <= 0:
+        left, n_free = o.cap - self.size, self.free_mask.bit_count()
+        if left <= 0 or not 0 < n_free <= 4 * left:  # a bound, not a prune that can be turned off or is counted
             return []
-        if o.coverage_prune and not self.coverable(left):
+        if o.coverage_prune and n_free > covered(self.histogram(), left):
             counts["prune_global_coverage"] += 1
             return []
         if o.edge_prune and o.lookahead and not self.feasible(left, o.lookahead, [o.lookahead_nodes] if o.lookahead >= BUDGET_DEPTH else None):
@@ -347,10 +359,17 @@ def _complete(spark: SparkSession, path: str) -> bool:
 def enumerate_surfaces(spark: SparkSession, options: Options, path: str | None = None, resume: bool = False) -> tuple[DataFrame, list[dict]]:
     """Accepted surfaces (squares, label) and, for each level, its metrics (METRICS).
 
-    path: folder of the levels; an existing one is an error unless resume, which goes on after its last complete level.
+    path: folder of the levels; an existing one is an error unless resume, which goes on after its last complete level.  A folder that was
+    made with other options than the last level's number is an error, and levels beyond the last one are not read.
     """
     o, path = options, path or storage.folder(spark, "levels")
     size = -(-cells.sizes(o.n)[2] // 8)
+    about = json.dumps(asdict(o) | {"stop_level": None}, sort_keys=True)
+    if resume and _complete(spark, f"{path}/_options"):
+        if (held := spark.read.text(f"{path}/_options", wholetext=True).first()[0].strip()) != about:
+            raise ValueError(f"{path} holds levels of other options: {held}")
+    else:
+        spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite" if resume else "errorifexists").text(f"{path}/_options")
     seeds = [(1 << s).to_bytes(size, "big") for s in range(cells.sizes(o.n)[2] if o.seed == "all" else 1)]
     if not (resume and _complete(spark, f"{path}/level=1")):
         spark.createDataFrame([(x, True, "b" in o.mode, None) for x in seeds], SCHEMA).write.mode("overwrite" if resume else "errorifexists").parquet(f"{path}/level=1")
@@ -365,7 +384,7 @@ def enumerate_surfaces(spark: SparkSession, options: Options, path: str | None =
         made = spark.read.schema(SCHEMA).parquet(f"{path}/level={level}").agg(F.count_if("labeled"), F.count_if("good"), F.max("counts")).first()
         count = made[0]
         metrics.append({"level": level, "frontier": made[0], "good": made[1], "ms": int(1000 * (time.time() - began))} | dict(zip(COUNTS, made[2] or [0] * len(COUNTS), strict=True)))
-    goods = spark.read.schema(SCHEMA + ", level int").parquet(path).where("good")
+    goods = spark.read.schema(SCHEMA + ", level int").parquet(path).where(F.col("good") & (F.col("level") <= level))
     return goods.select(F.col("level").alias("squares"), "label"), metrics
 
 

@@ -13,6 +13,7 @@ import glob
 import os
 import re
 import sqlite3
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,14 +66,18 @@ class Reader(DataSourceReader):
 
 
 class Message(WriterCommitMessage):
-    pass
+    def __init__(self, draft: str):
+        self.draft = draft
 
 
 class Writer(DataSourceWriter):
-    """Writes a file a task below the path; rows whose complex is already there are left out."""
+    """Writes a file a task below the path; of a complex that a task meets several times the smallest id stays.
+
+    Files are drafts until the whole write is committed: only then do those of an overwritten folder go, so a write that fails leaves what was there.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.table = options["path"], _table(options)
+        self.path, self.table, self.overwrite = options["path"], _table(options), overwrite
         self.n2, self.form = int(options.get("squares", 0)), options.get("form", "surface")
         if os.path.isdir(self.path) and os.listdir(self.path) and not overwrite:
             raise FileExistsError(self.path)
@@ -81,14 +86,25 @@ class Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/part-{TaskContext.get().partitionId():05d}.db"
-        draft = f"{name}.{TaskContext.get().taskAttemptId()}"
+        draft = f"{self.path}/part-{TaskContext.get().partitionId():05d}.db.{uuid.uuid4().hex}"
         with sqlite3.connect(draft) as db:
             db.execute(f"CREATE TABLE {self.table} (cplx BLOB PRIMARY KEY, id INTEGER)")
-            db.executemany(f"INSERT OR IGNORE INTO {self.table} VALUES (?, ?)", ((self._form(bytes(r.cplx)), r.id) for r in rows))
+            db.executemany(f"INSERT INTO {self.table} VALUES (?, ?) ON CONFLICT DO UPDATE SET id = min(id, excluded.id)", ((self._form(bytes(r.cplx)), r.id) for r in rows))
         db.close()
-        os.replace(draft, name)
-        return Message()
+        return Message(draft)
+
+    def commit(self, messages: list[Message | None]) -> None:
+        names = {m.draft: m.draft.rpartition(".")[0] for m in messages if m}
+        for draft, name in names.items():
+            os.replace(draft, name)
+        for old in (os.listdir(self.path) if self.overwrite and os.path.isdir(self.path) else []):
+            if old.endswith(".db") and f"{self.path}/{old}" not in names.values():
+                os.remove(f"{self.path}/{old}")
+
+    def abort(self, messages: list[Message | None]) -> None:
+        for m in messages:
+            if m and os.path.exists(m.draft):
+                os.remove(m.draft)
 
     def _form(self, data: bytes) -> bytes:
         return codecs.FORMS[self.form](codecs.from_fixed(data), self.n2) if self.n2 else data

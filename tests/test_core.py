@@ -243,6 +243,177 @@ def test_cell_store(spark, tmp_path):
     assert cell_store.read_cells(spark, 4, path)["edge_vertices"].count() == 64
 
 
+def test_sqlite_overwrite_replaces_all_files(spark, tmp_path):
+    sqlite_store.register(spark)
+    folder = str(tmp_path / "goods")
+    write = lambda ids, parts: spark.createDataFrame([(i, bytes([0, i % 50 + 1, 7])) for i in ids], sqlite_store.SCHEMA).repartition(parts).write.format("sqlite_complexes").mode("overwrite").save(folder)
+    write(range(20), 4)
+    assert len(sqlite_store.files(folder)) == 4
+    write([103, 53, 3], 1)
+    read = lambda: [(r.id, bytes(r.cplx)) for r in spark.read.format("sqlite_complexes").option("path", folder).load().collect()]
+    assert read() == [(3, bytes([0, 4, 7]))] and len(os.listdir(folder)) == 1
+    with pytest.raises(Exception):  # noqa: B017
+        spark.range(4).selectExpr("id", "if(id = 3, cast(raise_error('lost') as binary), cast(string(id) as binary)) as cplx").write.format("sqlite_complexes").mode("overwrite").save(folder)
+    assert read() == [(3, bytes([0, 4, 7]))]
+
+
+def test_resume_refuses_other_options(spark, tmp_path):
+    path = str(tmp_path / "levels")
+    en.enumerate_surfaces(spark, en.Options(3, "b"), path)
+    with pytest.raises(ValueError, match="other options"):
+        en.enumerate_surfaces(spark, en.Options(3), path, resume=True)
+    with pytest.raises(ValueError, match="other options"):
+        en.enumerate_surfaces(spark, en.Options(3, "b", check_links=False), path, resume=True)
+    goods, metrics = en.enumerate_surfaces(spark, en.Options(3, "b", stop_level=3), path, resume=True)
+    assert goods.agg(F.max("squares")).first()[0] == 3 and [m["level"] for m in metrics] == [2, 3]
+
+
+def _random_complexes(n, count, most, seed=5):
+    import random
+
+    r, c, out = random.Random(seed), en.cube(n), {}
+    for cid in range(count):
+        mask = 1 << r.randrange(len(c.squares))
+        for _ in range(r.randrange(most)):
+            x = en.Complex(c, mask)
+            near = x.near(x.free[:1]) or [s for s in range(len(c.squares)) if x.legal(s)]
+            mask |= 1 << r.choice(near) if near else 0
+        out[cid] = mask
+    return out
+
+
+def _long(spark, rows):
+    return spark.createDataFrame([(k, s) for k, m in rows.items() for s in codecs.positions(m)], "cid long, sq int")
+
+
+@pytest.mark.parametrize(("n", "most", "depth"), [(3, 6, 1), (3, 6, 3), (4, 9, 2), (4, 11, 4), (5, 14, 2)])
+def test_look_ahead_equals_the_kernel(spark, n, most, depth):
+    from hypersurf.operators import search
+
+    rows = _random_complexes(n, 40, 8)
+    each = {k: en.Complex(en.cube(n), m) for k, m in rows.items()}
+    got = {r.cid: r.feasible for r in search.lookahead(_long(spark, rows), n, most, depth).collect()}
+    assert got == {k: x.feasible(most - x.size, depth, None) for k, x in each.items() if x.free and x.size < most}
+    if n == 4 and depth == 4:
+        with pytest.raises(search.BudgetExceeded):
+            search.lookahead(_long(spark, rows), n, most, depth, budget=1)
+
+
+@pytest.mark.parametrize(("n", "mode"), [(3, "b"), (4, ""), (4, "d"), (5, ""), (6, "")])
+def test_level_equals_the_kernel(spark, n, mode):
+    from hypersurf.operators import lanes, search
+
+    rows = _random_complexes(n, 25, 9)
+    o = en.Options(n, mode, coverage_prune=False, edge_prune=False, labels="none")
+    want = {k: sorted(en.children(o, m)) for k, m in rows.items()}
+    s = lanes.packed(_long(spark, rows), n)
+    kids = search.judged(search.children(s, n, mode), n, mode).collect()
+    got = {k: sorted((sum(r[f"m{i}"] << 60 * i for i in range(len(lanes.packing(n).m))), r.labeled, r.good) for r in kids if r.cid == k) for k in rows}
+    assert got == want
+    if n <= 5:
+        step = search.level_step(_long(spark, rows), n, mode).collect()
+        labels = {en.Complex(en.cube(n), m).label(en.Complex(en.cube(n), m).vertex_codes()) for kids in want.values() for m, *_ in kids}
+        assert len(step) == len(labels) and sum(r.children for r in step) == sum(map(len, want.values()))
+        if n == 5:
+            assert {r.l0 | r.l1 << 60 for r in step} == labels
+
+
+def test_restricted_labels(spark):
+    from hypersurf.operators import symmetry
+
+    for n in (4, 5):
+        rows = _random_complexes(n, 30, 9)
+        each = {k: en.Complex(en.cube(n), m) for k, m in rows.items()}
+        got = {r.cid: sum(r[f"l{i}"] << 60 * i for i in range(2 if n == 5 else 1)) for r in symmetry.restricted_labels(_long(spark, rows), n).collect()}
+        assert got == {k: x.label(x.vertex_codes()) for k, x in each.items()}
+    c = registry.complexes(spark, DATA)
+    both = symmetry.restricted_labels(c, 4).join(symmetry.restricted_labels(c, 4, rounds=3).select("cid", F.col("l0").alias("by_rounds")), "cid")
+    both = both.join(registry.QUERIES["canonical_label"](spark, DATA), "cid").select("label", "l0", "by_rounds").distinct()
+    assert both.count() == both.select("label").distinct().count() == both.select("l0").distinct().count() == both.select("by_rounds").distinct().count()
+    with pytest.raises(ValueError):
+        symmetry.restricted_labels(c, 7)
+
+
+def test_boundary_is_the_free_edges(spark):
+    from hypersurf.operators import topology
+
+    rows = _random_complexes(6, 20, 9)
+    got = {r.cid: [i for k in range(4) for i in [60 * k + j for j in codecs.positions(r[f"b{k}"])]] for r in topology.boundary(_long(spark, rows), 6).collect()}
+    assert got == {k: en.Complex(en.cube(6), m).free for k, m in rows.items()}
+
+
+def test_plans_of_packed_counters(spark):
+    from hypersurf.operators import lanes, topology
+
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for n in (4, 5):
+        for name in ("edge_test", "free_edges", "vertex_codes", "link_class", "extend_closed"):
+            plan = text(getattr(topology, name)(registry.complexes(spark, DATA, n), n))
+            assert "lambda" not in plan and plan.count("Exchange hashpartitioning") == 1
+    size = {n: len(topology.link_class(registry.complexes(spark, DATA, n), n)._jdf.queryExecution().logical().toString()) / len(lanes.packing(n).limbs("v")) for n in (6, 7)}
+    assert size[7] < 8 * size[6]  # by the cycles of one link, not by the cube's
+
+
+def test_goods_in_buckets(spark):
+    from hypersurf.sources.good_store import GoodStore
+
+    store = GoodStore(spark, "goods_of_a_test", 4)
+    try:
+        df = lambda rows: spark.createDataFrame(rows, "label long, id long")
+        first = store.stage(df([(5, 3), (5, 2), (7, 9)]))
+        assert store.merge(first) == 2 and store.merge(first) == 0
+        assert store.merge(first, store.stage(df([(7, 1), (8, 4), (8, 6)]))) == 1 and GoodStore(spark, "goods_of_a_test", 4).merge(first) == 0
+        assert [tuple(r) for r in store.ordered().collect()] == [(5, 2), (8, 4), (7, 9)]
+        plan = store.absent(spark.range(100).selectExpr("id as label", "id"))._jdf.queryExecution().executedPlan().toString()
+        rows = plan.split("\n")
+        target = rows[max(k for k, r in enumerate(rows) if r.strip().startswith(":")) + 1 :]
+        assert any("Bucketed: true" in r for r in target) and not any("Exchange" in r for r in target)
+    finally:
+        store.drop()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, (1 << 130) - 1), st.integers(0, (1 << 130) - 1), st.integers(0, 200)), min_size=1, max_size=12))
+def test_wide_arithmetic(spark, rows):
+    from hypersurf.functions import wide
+
+    width = 130
+    limb = lambda x: [x >> 60 * k & (1 << 60) - 1 for k in range(3)]
+    df = spark.createDataFrame([(k, *limb(a), *limb(b), by) for k, (a, b, by) in enumerate(rows)], "i int, a0 long, a1 long, a2 long, b0 long, b1 long, b2 long, s int")
+    a, b, by = [F.col(f"a{k}") for k in range(3)], [F.col(f"b{k}") for k in range(3)], F.col("s")
+    ops = {"add": wide.add(a, b, width), "sub": wide.subtract(a, b, width), "left": wide.shift_left(a, by, width), "right": wide.shift_right(a, by)}
+    got = df.select("i", *[F.array(*x).alias(k) for k, x in ops.items()], wide.compare(a, b).alias("sign"), wide.trailing_zeros(a, width).alias("zeros"), wide.digits(a).alias("hex")).collect()
+    wrap = (1 << width) - 1
+    for r in got:
+        x, y, n = rows[r.i]
+        value = lambda c: sum(v << 60 * k for k, v in enumerate(r[c]))  # noqa: B023, E731
+        assert (value("add"), value("sub"), value("left"), value("right")) == (x + y & wrap, x - y & wrap, x << n & wrap, x >> n)
+        assert (r.sign, r.zeros, int(r.hex, 16)) == ((x > y) - (x < y), (x & -x).bit_length() - 1 if x else width, x)
+
+
+def test_running_numbers(spark):
+    from hypersurf.operators.numbering import running_numbers
+
+    df = spark.range(1000).selectExpr("id % 7 as k", "id as v", "'x' as _at").repartition(5)
+    got = running_numbers(df, [F.desc("k"), "v"], "nr", start=10).collect()
+    assert [(r.nr, r.v) for r in sorted(got, key=lambda r: r.nr)] == list(enumerate((v for _, v in sorted(((i % 7, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))), 10))
+    assert running_numbers(df.limit(0), ["v"]).count() == 0 and sorted(r.id for r in running_numbers(df.select(F.lit(1).alias("z")), ["z"]).collect()) == list(range(1, 1001))
+
+
+def test_ranks_of_wide_sets(spark):
+    from math import comb
+
+    from hypersurf.functions import wide
+
+    for n2 in (24, 80, 240):
+        rows = {0: range(0, n2, 2), 1: range(n2 // 2, n2), 2: [n2 - 1], 3: [0], 4: range(n2)}
+        df = spark.createDataFrame([(k, s) for k, xs in rows.items() for s in xs], "cid long, sq int")
+        ranks = wide.combinadic_ranks(df, n2)
+        got = {r.cid: sum(r[f"r{i}"] << wide.RANK_BITS * i for i in range(wide.rank_limbs(n2))) for r in ranks.collect()}
+        assert got == {k: sum(comb(s, j) for j, s in enumerate(sorted(xs), 1)) for k, xs in rows.items()}
+        assert sorted(map(tuple, wide.combinadic_squares(ranks, n2).collect())) == sorted((k, s) for k, xs in rows.items() for s in xs)
+
+
 def test_sqlite_round_trip(spark, tmp_path):
     sqlite_store.register(spark)
     rows = [(1, b"\x00\x00\x09"), (2, b"\x80\x00\x01"), (3, b"\x00\x00\x09")]

@@ -3,14 +3,15 @@
 A mask is a row of 1 and 0; its seed at a place of a text is the hash of the words under the 1s, so words under a 0
 may differ.  An item that is shorter than the shortest mask has one seed, of all its words.  Seeds of the documents are joined with those of the
 benchmark; around each hit the document is laid beside the item at that offset, and the best stretch scores +1 a equal word and
-MISS a differing one.  A stretch of MIN_OVERLAP (or the whole of a shorter item) is an overlap.
+MISS a differing one.  A stretch of MIN_OVERLAP (or the whole of a shorter item) is an overlap; so is an item of fewer than SHORT words of which SHARE per cent
+are the same words at their places, as edits would leave such an item no long stretch.
 
 Scale: seeds are made and probed in one pass over the documents; a seed's row holds its hash, its place and the document's key, never the
 words.  The benchmark's seeds (40 bytes each) are stored and counted first, and sent to every executor if there are at most BROADCAST_SEEDS;
 more are joined by shuffle.  Only distinct (document, item, offset) are left after that, and are stored and counted too: the words
 of their documents come from a second pass, to which they are sent if there are at most BROADCAST_HITS, else by shuffle.
 
-Cases: null or empty texts and items have no overlap; repeated items or documents give one row a pair of ids, the best of the texts
+Cases: null or empty texts and items have no overlap; very long texts are read whole, a row a place; repeated items or documents give one row a pair of ids, the best of the texts
 of an id; rows with null ids give no pair; empty tables give no rows; other columns are ignored.
 """
 
@@ -24,7 +25,9 @@ from .work import materialise, table
 #: The masks' rows of words that count (1) and that may differ (0).
 MASKS = ("1110111", "11011011", "101111")
 MIN_OVERLAP, MISS, BROADCAST_SEEDS, BROADCAST_HITS = 10, -2, 500_000, 200_000
-#: Words that an overlap needs to make the pipeline reject a document.
+#: Words up to which (exclusive) an item is judged by its share of equal words too, and that share in per cent.
+SHORT, SHARE = 20, 80
+#: Equal words that an overlap needs to make the pipeline reject a document: fewer are no evidence, as the one word of an item may be in any clean text.
 REJECT_OVERLAP = 5
 
 
@@ -60,17 +63,18 @@ def item_seeds(items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
     return out.distinct()
 
 
-def best_stretch(document: str, item: str, start: str, miss: int = MISS) -> Column:
-    """Highest sum over a stretch of the item's words, 1 where the document has the same word at `start` plus its place, else miss."""
-    return F.expr(f"""aggregate(sequence(0, size({item}) - 1), named_struct('run', 0, 'best', 0),
+def laid_out(document: str, item: str, start: str, miss: int = MISS) -> Column:
+    """best: highest sum over a stretch of the item's words, 1 where the document has the same word at `start` plus its place, else miss; same: how many are the same."""
+    same = f"coalesce(get({document}, {start} + k) = {item}[k], false)"
+    return F.expr(f"""aggregate(sequence(0, size({item}) - 1), named_struct('run', 0, 'best', 0, 'same', 0),
         (a, k) -> named_struct(
-            'run', greatest(0, a.run + if(coalesce(get({document}, {start} + k) = {item}[k], false), 1, {miss})),
-            'best', greatest(a.best, a.run + if(coalesce(get({document}, {start} + k) = {item}[k], false), 1, {miss}))),
-        a -> a.best)""")
+            'run', greatest(0, a.run + if({same}, 1, {miss})),
+            'best', greatest(a.best, a.run + if({same}, 1, {miss})),
+            'same', a.same + if({same}, 1, 0)))""")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
-    """doc_id, item_id and overlap (score of the best stretch) of docs (doc_id, text) against benchmark (item_id, text)."""
+    """doc_id, item_id, overlap (score of the best stretch) and same (most equal words) of docs (doc_id, text) against benchmark (item_id, text)."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words("text").alias("words")).where("words[0] <> ''")
     items = materialise(items.distinct().withColumn("item", F.xxhash64("item_id", "words")), "items")
     least = min(map(len, masks))
@@ -86,19 +90,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     pairs = hits.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
     hit = hits.select("doc_id", "copy").distinct()
     found = texts.join(F.broadcast(hit) if n_hits <= broadcast_hits else hit, ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"]).select("doc_id", "copy", words("text").alias("words"))
-    scored = pairs.join(found, ["doc_id", "copy"]).select("doc_id", "item_id", F.size("item_words").alias("size"), best_stretch("words", "item_words", "start").alias("overlap"))
+    scored = pairs.join(found, ["doc_id", "copy"]).select("doc_id", "item_id", F.size("item_words").alias("size"), laid_out("words", "item_words", "start").alias("laid"))
     # The threshold is on a row, not on the best of an id: texts of an id may differ in size.
-    kept = scored.where(F.col("overlap") >= F.least(F.lit(min_overlap), F.col("size")))
-    return kept.groupBy("doc_id", "item_id").agg(F.max("overlap").cast("int").alias("overlap"))
+    scored = scored.select("doc_id", "item_id", "size", "laid.best", "laid.same")
+    kept = scored.where((F.col("best") >= F.least(F.lit(min_overlap), F.col("size"))) | ((F.col("size") < SHORT) & (100 * F.col("same") >= SHARE * F.col("size"))))
+    return kept.groupBy("doc_id", "item_id").agg(F.max("best").cast("int").alias("overlap"), F.max("same").cast("int").alias("same"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "overlap")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejects documents that overlap with a benchmark item by REJECT_OVERLAP words or more; a shorter item, however often it occurs, is no leak."""
-    gone = overlaps(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where(F.col("overlap") >= REJECT_OVERLAP).select("doc_id").distinct()
+    """Pipeline stage: rejects documents that overlap with a benchmark item by REJECT_OVERLAP equal words or more; a shorter item, however often it occurs, is no leak."""
+    gone = overlaps(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where(F.col("same") >= REJECT_OVERLAP).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -127,7 +132,7 @@ cells as (
   from laid join d on d.id = doc_id join b on b.id = item_id, unnest(range(0, len(b.words))) as t(k)),
 sums as (select *, sum(s) over (partition by doc_id, item_id, start order by k) as total from cells),
 runs as (select *, total - least(0, coalesce(min(total) over (partition by doc_id, item_id, start order by k rows between unbounded preceding and 1 preceding), 0)) as run from sums),
-best as (select doc_id, item_id, start, any_value(size) as size, max(run) as overlap from runs group by all)
+best as (select doc_id, item_id, start, any_value(size) as size, max(run) as overlap, count(*) filter (s = 1) as same from runs group by all)
 select doc_id, item_id, cast(max(overlap) as integer) as overlap from best
-where overlap >= least({MIN_OVERLAP}, size) group by doc_id, item_id
+where overlap >= least({MIN_OVERLAP}, size) or (size < {SHORT} and 100 * same >= {SHARE} * size) group by doc_id, item_id
 """

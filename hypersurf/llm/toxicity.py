@@ -7,15 +7,15 @@ highest window.  As only documents are labelled, training looks for the window t
 then picks each document's highest windows by the network itself.  Log odds used in training come from the other half of
 the documents, so that no document vouches for its own words.
 
-Training is bounded: at most about TOXIC + CLEAN labelled documents, picked by a hash of the id over all labels, on the driver; seeds are
+Training is bounded: at most about TOXIC + CLEAN labelled documents of up to TEXT_BYTES, one text an id, picked by a hash of the id over all labels, on the driver; seeds are
 fixed.  Scoring is one pass without a shuffle; only the model (about 3 MB) is sent out.
 
 A score is read at a fixed threshold (THRESHOLD), so its calibration may not depend on how rare toxic labels are in a sample: the classes
 are weighted as if PRIOR of the texts were toxic (or more, if more labels are).  A score is thus the probability at that prior.
 
 Cases: a text without words, or null, scores 0; if the labels hold one class only (or none) every text with words scores the share
-of toxic labels; labels repeated for a document count once (toxic if any is); null labels and labels of no document are ignored; a
-labelled id with several rows teaches with each of them; repeated rows repeat; an empty table gives no rows; other columns are ignored (score and
+of toxic labels, and where no labelled text has a word, 0; labels repeated for a document count once (toxic if any is); null labels and labels of no document are ignored; a
+labelled id with several rows teaches with the least of their texts; a labelled text of over TEXT_BYTES is scored, but not learned from; repeated rows repeat; an empty table gives no rows; other columns are ignored (score and
 predicted among them, by query), and the stage keeps all columns of its documents.
 """
 
@@ -35,6 +35,8 @@ from .work import columns, own_names, plain_names, release, slices, table
 WINDOW, STRIDE, HIDDEN, EMBED = 16, 8, 8, 3
 SLOTS, ROWS = 1 << 18, 1 << 12
 TOXIC, CLEAN, STEPS, THRESHOLD = 800, 1200, 240, 0.7
+#: Bytes of the longest text that is learned from.
+TEXT_BYTES = 1 << 20
 #: Share of toxic texts that the calibration takes as given at least; text bytes that are scored together.
 PRIOR, SCORE_BYTES = 0.3, 2 << 20
 
@@ -252,6 +254,9 @@ class Model:
                         self.net.p[k] -= (0.02 * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             if not any(len(s[3]) for s in sets):
                 break
+        if not any(len(s[3]) for s in sets):  # no labelled text has a word
+            self.flat = 0.0
+            return
         tops, labels = [], []
         for corpus, odd, words, doc, target in sets:
             top = self.tops(corpus, odd)
@@ -301,7 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, clean_rows:
         own = sample(known.where(F.col("toxic") == value), "toxic", most, seed=3)
         picked = own if picked is None else picked.unionByName(own)
     # At most about toxic_rows + clean_rows labels are left, so they may be broadcast whatever the size of the corpus.
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("pick", "doc_id", "text", "toxic").collect()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TEXT_BYTES)
+    got = own.join(F.broadcast(picked), "doc_id").groupBy("pick", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (r["pick"], r["doc_id"], r["text"] or ""))
     texts, toxic = [r["text"] or "" for r in got], np.array([r["toxic"] for r in got], np.int64)
     del got

@@ -14,7 +14,7 @@ counted); then by digest and one of SALTS salts, so that a hot payload is in as
 The driver holds a bounded sample of keys, for the bounds of ranges, and the names of runs.  Files of records and runs
 have names of their attempt, which reach the next step by the rows of committed tasks only, so lost and speculative tasks do no harm.
 
-Cases: null html is an empty payload, a null URL an empty one (key `-`); a null id makes a response without reference and sorts first;
+Cases: null html is an empty payload, a null URL an empty one (key `-`); a null id sorts first, and is a response only where no page of its payload has an id;
 rows that repeat the smallest id are each a response; ties of URL and time are ordered by id, ties of all three by run; an empty table gives no
 rows; other columns are ignored.
 """
@@ -199,7 +199,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
                         columns, of = {c: b.column(c).to_pylist() for c in ("page_id", "url", "payload", "first", "sha1")}, b
                     page_id, url, payload, first, sha1 = (columns[c][i] for c in columns)
                     url = " ".join(url.split())
-                    kind = "response" if first is None or page_id is None or page_id == first else "revisit"
+                    kind = "response" if first is None or page_id == first else "revisit"
                     when = EPOCH + timedelta(seconds=(page_id or 0) % (1 << 32))
                     data = record_bytes(page_id, url, when, kind, base64.b32encode(bytes.fromhex(sha1)).decode(), len(payload), payload, first)
                     out.write(data)

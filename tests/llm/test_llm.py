@@ -516,8 +516,11 @@ def test_decontaminate(spark):
     bench = spark.createDataFrame([(7, item, 1), (8, None, 1), (9, "", 1), (10, "too short", 1), (None, item, 1)], "item_id long, text string, overlap int")
     for most in (0, 1000):
         got = {(r.doc_id, r.item_id): r.overlap for r in decontaminate.overlaps(_docs(spark, rows), bench, broadcast_seeds=most, broadcast_hits=most).collect()}
-        assert got.keys() == {(1, 7), (5, 7)} and got[1, 7] == 14
-    assert decontaminate.overlaps(_docs(spark, [(2, changed)]), bench, min_overlap=7).count() == 1
+        assert got.keys() == {(1, 7), (2, 7), (5, 7)} and got[1, 7] == 14
+    # A short item is found by its share of equal words, whatever stretch they leave; half of it isn't.
+    apart = _edit(_edit(changed, 6), 8)
+    assert decontaminate.overlaps(_docs(spark, [(2, changed)]), bench, min_overlap=100).first()[2:] == (8, 12)
+    assert decontaminate.overlaps(_docs(spark, [(2, apart)]), bench).count() == 0
     assert decontaminate.overlaps(_docs(spark, []), bench).count() == decontaminate.overlaps(_docs(spark, rows), bench.limit(0)).count() == 0
     # Short items, repeated words, long texts, repeated rows and items, against the SQL.
     r = random.Random(12)
@@ -534,6 +537,12 @@ def test_decontaminate(spark):
         assert sorted(tuple(x) for x in got.select("doc_id", "item_id", "overlap").collect()) == want
 
 
+def test_leaks_of_short_items_are_rejected(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = _docs(spark, [(1, "x one two three four five six other eight nine ten eleven twelve y"), (2, "one two three other five six seven eight nine other eleven twelve"), (3, "one two x x x three four x x five six x seven"), (4, None)])
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [3, 4]
+
+
 def test_one_word_items_reject_no_document(spark, tmp_path):
     spark.createDataFrame([(1, "the"), (2, "five words make a leak")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = _docs(spark, [(1, "the words"), (2, "here five words make a leak"), (2, "the same id"), (None, "five words make a leak")])
@@ -569,3 +578,20 @@ def test_backoff(spark):
 def test_hash_of_whole_texts(spark, docs):
     key = hashlib.sha256(ODD[-1][1].encode()).hexdigest()
     assert minhash.sketch(docs).where(f"digest = '{key}'").count() == 1
+
+
+def test_toxicity_without_words_to_learn_from(spark):
+    for texts in (["", "!!", "", ".."], ["", ""]):
+        model = toxicity.Model(texts, [k % 2 for k in range(len(texts))], 0.5)
+        got = model.score(pa.array(["hello world", "", None], pa.string()))
+        assert got.tolist() == [0.0, 0.0, 0.0]
+
+
+def test_toxicity_learns_one_bounded_text_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "Model", lambda texts, toxic, share: seen.append((texts, toxic.tolist(), share)))
+    ids = [k for k in range(30) if zlib.crc32(str(k).encode()) % 3 != 1][:4]
+    docs = _docs(spark, [*[(ids[0], "a b")] * 50, (ids[0], "a a"), (ids[1], "x" * (toxicity.TEXT_BYTES + 1)), (ids[2], None), (ids[3], "c")])
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    assert sorted(zip(*seen[0][:2], strict=True)) == [("", 0), ("a a", 0), ("c", 1)] and seen[0][2] == 0.5

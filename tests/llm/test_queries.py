@@ -134,7 +134,7 @@ def test_op5(spark, corpus):
     for i, _, html in pages:
         own = ids[html or ""]
         first = min((x for x in own if x is not None), default=None)
-        revisit = len(own) > 1 and i is not None and i != first
+        revisit = first is not None and i != first
         want.append((i, len((html or "").encode()), warc.base32_sha1((html or "").encode()), "revisit" if revisit else "response", first if revisit else None))
     assert _sorted(map(tuple, got)) == _sorted(want)
 

@@ -105,8 +105,10 @@ def storage(lines: DataFrame) -> DataFrame:
 
 
 def pct_delta(old: Column, new: Column) -> Column:
-    """Signed change in percent with one decimal, n/a from 0."""
-    return F.when(old == 0, F.lit("n/a")).otherwise(F.format_string("%+.1f%%", (new - old) * 100.0 / old))
+    """Signed change in percent with one decimal, halves to the even one, n/a from 0."""
+    change = (new - old) * 100.0 / old
+    tenths = F.bround(change, 1)
+    return F.when(old == 0, F.lit("n/a")).when((change < 0) & (tenths == 0), F.lit("-0.0%")).otherwise(F.format_string("%+.1f%%", tenths))
 
 
 def seconds(ms: Column) -> Column:

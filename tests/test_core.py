@@ -192,6 +192,12 @@ def test_squares_outside_the_range_raise(spark, operator, most):
             of(0, bad).collect()
 
 
+def test_change_in_percent(spark):
+    rows = [(400, 449), (400, 335), (1000, 1001), (100_000, 99_999), (0, 5), (3, 3), (7, 100)]
+    got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a long, b long").select("k", profile.pct_delta(F.col("a"), F.col("b")).alias("x")).orderBy("k").collect()
+    assert [r.x for r in got] == ["n/a" if a == 0 else f"{(b - a) * 100 / a:+.1f}%" for a, b in rows]
+
+
 def test_bad_options():
     with pytest.raises(ValueError):
         en.Options(8)

@@ -40,6 +40,8 @@ SAMPLE, PIECE, SEGMENT, DENSE = 48, 1000, 1024, 64
 #: costs a phrase each, over 14 bits; text of a learned language costs about 3.  One with a large alphabet costs more, so its
 #: bound is half way between its own cost and that of unknown letters if that is higher.
 STRANGE = 9.0
+#: Text bytes that are predicted together.
+PREDICT_BYTES = 1 << 20
 
 
 class Parser:
@@ -216,7 +218,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value.code_table()
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", PREDICT_BYTES):
                 langs, scores, costs = shared.value.predict(b.column("text").to_pylist(), codes)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(costs)], [*b.schema.names, "lang_pred", "score", "cost"])
         release()

@@ -38,7 +38,7 @@ TOXIC, CLEAN, STEPS, THRESHOLD = 800, 1200, 240, 0.7
 #: Bytes of the longest text that is learned from.
 TEXT_BYTES = 1 << 20
 #: Share of toxic texts that the calibration takes as given at least; text bytes that are scored together.
-PRIOR, SCORE_BYTES = 0.3, 2 << 20
+PRIOR, SCORE_BYTES = 0.3, 1 << 20
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

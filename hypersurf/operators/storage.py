@@ -21,3 +21,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path, schema = folder(df.sparkSession, name), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a folder of any file system that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()

@@ -325,7 +325,9 @@ def children(o: Options, mask: int, counts: dict[str, int] | None = None) -> Ite
 
 
 SCHEMA = "label binary, labeled boolean, good boolean, counts array<bigint>"
-METRICS = "level int, frontier long, good long, ms long, " + ", ".join(f"{c} long" for c in COUNTS)
+METRICS = "level int, frontier long, good long, ms long, count_ms long, source_bytes long, level_bytes long, held_bytes long, " + ", ".join(f"{c} long" for c in COUNTS)
+#: A stored level: unstored is the number of complexes of the last possible level that its one row without a label stands for.
+STORED = SCHEMA + ", unstored long"
 
 
 def step(frontier: DataFrame, o: Options) -> DataFrame:
@@ -350,6 +352,14 @@ def step(frontier: DataFrame, o: Options) -> DataFrame:
     return frontier.mapInArrow(run, SCHEMA).groupBy("label").agg(F.bool_or("labeled").alias("labeled"), F.bool_or("good").alias("good"), sums.alias("counts"))
 
 
+def without_frontier(made: DataFrame) -> DataFrame:
+    """A level after which none can follow, as STORED: accepted complexes, the counts, and the number of the others in one row."""
+    label = F.when(F.col("good") | (F.length("label") == 0), F.col("label")).alias("label")
+    others = F.when(F.col("label").isNull(), F.count_if("labeled")).alias("unstored")
+    flags = [(F.bool_or(c) & F.col("label").isNotNull()).alias(c) for c in ("labeled", "good")]
+    return made.select(label, "labeled", "good", "counts").groupBy("label").agg(*flags, F.max("counts").alias("counts"), others)
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -360,7 +370,8 @@ def enumerate_surfaces(spark: SparkSession, options: Options, path: str | None =
     """Accepted surfaces (squares, label) and, for each level, its metrics (METRICS).
 
     path: folder of the levels; an existing one is an error unless resume, which goes on after its last complete level.  A folder that was
-    made with other options than the last level's number is an error, and levels beyond the last one are not read.
+    made with other options than the last level's number is an error, and levels beyond the last one are not read.  Of the level of the most
+    squares only accepted complexes are stored; that of a smaller stop_level is stored whole, as a later run may go on from it.
     """
     o, path = options, path or storage.folder(spark, "levels")
     size = -(-cells.sizes(o.n)[2] // 8)
@@ -374,16 +385,24 @@ def enumerate_surfaces(spark: SparkSession, options: Options, path: str | None =
     if not (resume and _complete(spark, f"{path}/level=1")):
         spark.createDataFrame([(x, True, "b" in o.mode, None) for x in seeds], SCHEMA).write.mode("overwrite" if resume else "errorifexists").parquet(f"{path}/level=1")
     last, metrics, level, count = min(o.stop_level or o.cap, o.cap), [], 1, len(seeds)
+    held = storage.size(spark, f"{path}/level=1")
     while level < last and count:
         done = spark.read.schema(SCHEMA).parquet(f"{path}/level={level}").where("labeled").select("label")
         level, began = level + 1, time.time()
         if not (resume and _complete(spark, f"{path}/level={level}")):
             # A complex takes milliseconds, so small levels are spread by count, not by bytes.
             wide = done.repartition(min(count, max(spark.sparkContext.defaultParallelism, -(-count // 2000))))
-            step(wide, o).write.mode("overwrite" if resume else "errorifexists").parquet(f"{path}/level={level}")
-        made = spark.read.schema(SCHEMA).parquet(f"{path}/level={level}").agg(F.count_if("labeled"), F.count_if("good"), F.max("counts")).first()
-        count = made[0]
-        metrics.append({"level": level, "frontier": made[0], "good": made[1], "ms": int(1000 * (time.time() - began))} | dict(zip(COUNTS, made[2] or [0] * len(COUNTS), strict=True)))
+            made = step(wide, o)
+            (without_frontier(made) if level == o.cap else made).write.mode("overwrite" if resume else "errorifexists").parquet(f"{path}/level={level}")
+        counted = time.time()
+        frontier = F.count_if("labeled") + F.coalesce(F.sum("unstored"), F.lit(0))
+        made = spark.read.schema(STORED).parquet(f"{path}/level={level}").agg(frontier, F.count_if("good"), F.max("counts")).first()
+        count, ended = made[0], time.time()
+        sizes = [storage.size(spark, f"{path}/level={k}") for k in (level - 1, level)]
+        held += sizes[1]
+        times = {"ms": int(1000 * (ended - began)), "count_ms": int(1000 * (ended - counted))}
+        bytes_ = dict(zip(("source_bytes", "level_bytes", "held_bytes"), (*sizes, held), strict=True))
+        metrics.append({"level": level, "frontier": count, "good": made[1]} | times | bytes_ | dict(zip(COUNTS, made[2] or [0] * len(COUNTS), strict=True)))
     goods = spark.read.schema(SCHEMA + ", level int").parquet(path).where(F.col("good") & (F.col("level") <= level))
     return goods.select(F.col("level").alias("squares"), "label"), metrics
 
@@ -393,7 +412,11 @@ def metrics_frame(spark: SparkSession, metrics: list[dict]) -> DataFrame:
 
 
 def log_lines(o: Options, metrics: list[dict], label: str = "-", when: datetime | None = None) -> list[str]:
-    """The run's records as lines of a log, in the form that plans/profile.py reads."""
+    """The run's records as lines of a log, in the form that plans/profile.py reads.
+
+    A level is complete once it is counted, which is its finalize time; the bytes in use before that are those of the levels before it and its own, and as
+    no level is dropped they are so afterwards too.
+    """
     ts = f"{when or datetime.now():%Y-%m-%d %H:%M:%S}"
     out = [
         f"{ts} run_start run_label={label} n={o.n} dbprefix={o.mode} max_squares={o.max_squares} global_coverage_prune={str(o.coverage_prune).lower()} edge_neighborhood_prune={str(o.edge_prune).lower()} "
@@ -404,6 +427,9 @@ def log_lines(o: Options, metrics: list[dict], label: str = "-", when: datetime
         out += [
             f"{at} chunk=1/1 read_ms=0 analyze_ms={m['ms']} reduce_ms=0 proc_ms={m['ms']} generated={m['generated']} labeled_ins={m['frontier']} good_ins={m['good']}",
             f"{at} commit_ms=0 chunks_in_tx=1",
+            f"{at} finalize_total_ms={m['count_ms']} good_count_ms={m['count_ms']}",
+            f"{at} size_main_db={m['held_bytes']} size_temp_db={m['level_bytes']}",
+            f"{at} source_temp_db={m['source_bytes']} next_temp_db={m['level_bytes']} est_live_before_finalize={m['held_bytes']} est_live_after_finalize={m['held_bytes']} est_live_peak={m['held_bytes']}",
             f"{at} prune_global_coverage={m['prune_global_coverage']} prune_edge_neighborhood={m['prune_edge_neighborhood']} global_coverage_prune={str(o.coverage_prune).lower()} edge_neighborhood_prune={str(o.edge_prune).lower()}",
             f"{at} canon_calls={m['canon_calls']} canon_root_candidates={m['canon_root_candidates']} canon_tau_trials={m['canon_tau_trials']}",
         ]

@@ -98,6 +98,25 @@ def test_metrics_resume_and_log(spark, tmp_path):
     made = {(r.run, r.level): r for r in profile.levels(lines).collect()}
     assert all(made[k, m["level"]].generated == m["generated"] and made[k, m["level"]].proc_ms == m["ms"] for k in (1, 2, 3) for m in rest)
     assert {r.level: r.canon_tau_trials for r in profile.canon_levels(lines).where("run = 2").collect()} == {m["level"]: m["canon_tau_trials"] for m in rest}
+    assert {r.level: r.peak_bytes for r in profile.storage(lines).where("run = 2").collect()} == {m["level"]: m["held_bytes"] for m in rest}
+    stored = {m["level"]: sum(f.stat().st_size for f in (tmp_path / "levels" / f"level={m['level']}").iterdir() if not f.name.endswith(".crc")) for m in rest}
+    assert all(m["level_bytes"] >= stored[m["level"]] > 0 and m["held_bytes"] >= m["level_bytes"] + m["source_bytes"] and m["count_ms"] <= m["ms"] for m in rest)
+    assert {(r.record, r["count"]) for r in profile.parse(lines).groupBy("record").count().collect()} >= {(x, 3 * len(rest)) for x in ("chunk", "commit", "finalize", "size", "peak", "prune", "canon")}
+
+
+def test_last_level_stores_accepted_only(spark, tmp_path):
+    rows = [(b"a", True, True, None), (b"b", True, False, None), (b"c", True, False, None), (b"d", False, True, None), (b"", False, False, [1] * len(en.COUNTS))]
+    got = en.without_frontier(spark.createDataFrame(rows, en.SCHEMA))
+    assert {(r.label if r.label is None else bytes(r.label), r.labeled, r.good, r.unstored) for r in got.collect()} == {(None, False, False, 2), (b"", False, False, None), (b"a", True, True, None), (b"d", False, True, None)}
+    assert got.agg(F.max("counts")).first()[0] == [1] * len(en.COUNTS) and en.without_frontier(spark.createDataFrame([], en.SCHEMA)).count() == 0
+    # A run to the cap, and the same run made of a stop before it and a resume, count the same frontiers.
+    o = en.Options(4, "d", max_squares=7)
+    _, whole = en.enumerate_surfaces(spark, o, str(tmp_path / "whole"))
+    en.enumerate_surfaces(spark, en.Options(4, "d", max_squares=7, stop_level=6), str(tmp_path / "parts"))
+    goods, parts = en.enumerate_surfaces(spark, o, str(tmp_path / "parts"), resume=True)
+    again, kept = en.enumerate_surfaces(spark, o, str(tmp_path / "parts"), resume=True)
+    assert [[(m["level"], m["frontier"], m["good"]) for m in run] for run in (whole, kept)] == [[(m["level"], m["frontier"], m["good"]) for m in parts]] * 2
+    assert sorted(goods.collect()) == sorted(again.collect()) and whole[-1]["level"] == 7
 
 
 def test_labels_are_invariant():

@@ -1,4 +1,4 @@
-"""Arithmetic on wide unsigned numbers as lists of limb columns, the lowest first, without leaving the JVM.
+"""Arithmetic on wide unsigned numbers as lists of limb columns, the lowest first, without leaving the JVM (but for unranking).
 
 A limb holds `bits` bits of a BIGINT (60 at most, so that the carry of a sum stays in it).  Numbers wrap at their width, as those of a machine do; a shift
 by the width or more gives 0.
@@ -6,11 +6,16 @@ by the width or more gives 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 BITS = 60
 #: Bits of a rank's limbs: sums of up to 2^13 binomials fit a BIGINT before they are carried.
@@ -115,20 +120,47 @@ def combinadic_ranks(c: DataFrame, n2: int) -> DataFrame:
     return sums.select("cid", "k", *[x.alias(f"r{i}") for i, x in enumerate(carried([F.col(f"r{i}") for i in range(count)], RANK_BITS * count, RANK_BITS))])
 
 
+@lru_cache(maxsize=1024)
+def _binomials_of(j: int, n2: int) -> tuple[np.ndarray, np.ndarray]:
+    """C(s, j) for each square s below n2, as rows of limbs, the highest first, and as their keys."""
+    limbs = np.array([_limbs(comb(s, j), rank_limbs(n2), RANK_BITS)[::-1] for s in range(n2)], np.int64)
+    return limbs, _keys(limbs)
+
+
+def _keys(limbs: np.ndarray) -> np.ndarray:
+    """Rows of limbs, the highest first, as bytes in the order of the numbers."""
+    return np.ascontiguousarray(limbs, ">i8").view(f"S{8 * limbs.shape[1]}").ravel()
+
+
+def _unranked(k: np.ndarray, rest: np.ndarray, n2: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, square) of each square of the sets of sizes k and ranks (rows of limbs, the highest first, which are used up)."""
+    rows, squares = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for j in range(k.max(initial=0), 0, -1):
+        at = np.flatnonzero(k >= j)
+        limbs, keys = _binomials_of(j, n2)
+        s = np.searchsorted(keys, _keys(rest[at]), side="right") - 1
+        left = rest[at] - limbs[s]
+        for i in range(left.shape[1] - 1, 0, -1):
+            owed = left[:, i] < 0
+            left[:, i] += owed * (1 << RANK_BITS)
+            left[:, i - 1] -= owed
+        rest[at] = left
+        rows.append(at)
+        squares.append(s.astype(np.int32))
+    return np.concatenate(rows), np.concatenate(squares)
+
+
 def combinadic_squares(ranks: DataFrame, n2: int) -> DataFrame:
     """cid and sq of sets by k and rank limbs: greedily the largest square whose binomial is not over the rest, k times.
 
-    The binomials are a table of one row, an array by j of arrays by square of limbs (the highest first), which is joined to every set.
+    A batch's sets are searched together, by their j-th squares from the last to the first, in Arrow batches: this is the one step that leaves the JVM.
     """
-    count = rank_limbs(n2)
-    rows = [(j, s, [*reversed(_limbs(comb(s, j), count, RANK_BITS))]) for j in range(1, n2 + 1) for s in range(n2)]
-    spark = ranks.sparkSession
-    by_j = spark.createDataFrame(rows, "j int, sq int, c array<bigint>").groupBy("j").agg(F.transform(F.array_sort(F.collect_list(F.struct("sq", "c"))), lambda x: x["c"]).alias("row"))
-    table = by_j.agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "row"))), lambda x: x["row"]).alias("table"))
-    rest = F.array(*[F.col(f"r{i}") for i in reversed(range(count))])
-    held = ranks.withColumn("rest", rest).crossJoin(F.broadcast(table))
-    # The fold's state: what is left of the rank, the squares found.  Borrows go from the lowest limb, the last, up.
-    less = f"aggregate(sequence({count - 1}, 0, -1), named_struct('out', cast(array() as array<bigint>), 'owed', 0L), (b, i) -> named_struct('out', concat(array(pmod(a.rest[i] - c[i] + b.owed, {1 << RANK_BITS}L)), b.out), 'owed', if(a.rest[i] - c[i] + b.owed < 0, -1L, 0L))).out"
-    step = f"transform(array(table[j - 1][size(filter(table[j - 1], c -> c <= a.rest)) - 1]), c -> named_struct('rest', {less}, 'found', concat(a.found, array(size(filter(table[j - 1], d -> d <= a.rest)) - 1))))[0]"
-    found = F.expr(f"aggregate(if(k > 0, sequence(k, 1, -1), cast(array() as array<int>)), named_struct('rest', rest, 'found', cast(array() as array<int>)), (a, j) -> {step}).found")
-    return held.select("cid", F.explode(found).alias("sq"))
+    limbs = [f"r{i}" for i in reversed(range(rank_limbs(n2)))]
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, found = _unranked(b.column("k").to_numpy(), np.stack([b.column(x).to_numpy() for x in limbs], 1), n2)
+            yield pa.record_batch([b.column("cid").take(pa.array(rows)), pa.array(found)], ["cid", "sq"])
+
+    schema = StructType([ranks.schema["cid"], StructField("sq", IntegerType())])
+    return ranks.select("cid", "k", *limbs).mapInArrow(squares, schema)

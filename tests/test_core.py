@@ -457,3 +457,16 @@ def test_sqlite_round_trip(spark, tmp_path):
     assert [r.id for r in sqlite_store.merge(back, spark.createDataFrame([(9, rows[0][1])], sqlite_store.SCHEMA)).collect()] == [2]
     with pytest.raises(Exception, match="none.db"):
         spark.read.format("sqlite_complexes").option("path", str(tmp_path / "none.db")).load().collect()
+
+
+def test_unranking_joins_no_table_to_every_set(spark):
+    import random
+
+    from hypersurf.functions import wide
+
+    r = random.Random(5)
+    sets = {k: r.sample(range(240), n) for k, n in enumerate([1, 2, 7, 16, 17, 40, 120, 239, 240] + [3] * 500, 1)}
+    ranks = wide.combinadic_ranks(spark.createDataFrame([(k, s) for k, xs in sets.items() for s in xs], "cid long, sq int"), 240)
+    got = wide.combinadic_squares(ranks.localCheckpoint(), 240)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((k, s) for k, xs in sets.items() for s in xs)

@@ -22,9 +22,14 @@ from .oracles import ORACLES
 N = 4
 
 
+def items(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
+    """cid and sq of each line item; an order's may repeat a square."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select(F.col("l_orderkey").cast("long").alias("cid"), (F.col("l_partkey") % cells.sizes(n)[2]).cast("int").alias("sq"))
+
+
 def complexes(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.select(F.col("l_orderkey").cast("long").alias("cid"), (F.col("l_partkey") % cells.sizes(n)[2]).cast("int").alias("sq")).distinct()
+    return items(spark, sf_dir, n).distinct()
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +97,16 @@ def _vertex_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _link_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles of links and how many complexes hold all squares of each: those that meet as many of its squares as it has."""
-    cycles = F.broadcast(cells.link_cycles(spark, N))
-    each = cycles.select("*", F.explode(F.array("s1", "s2", "s3", "s4", "s5")).alias("sq")).where("sq >= 0")
-    met = complexes(spark, sf_dir).join(F.broadcast(each), "sq").groupBy("cid", *cycles.columns).count().where("count = len")
-    return _counted(cycles, met.groupBy(*cycles.columns).agg(F.count("*").alias("complexes")), *cycles.columns)
+    """Cycles of links and how many complexes hold all squares of each: those whose masks have its bits.
+
+    A row a complex, not one a square and cycle of it, is shuffled, and each distinct mask is held against the cycles once.
+    """
+    cycles = cells.link_cycles(spark, N)
+    held = F.expr("aggregate(filter(array(s1, s2, s3, s4, s5), s -> s >= 0), 0L, (m, s) -> m | shiftleft(1L, s))")
+    needs = F.broadcast(cycles.withColumn("need", held))
+    masks = symmetry.masks(items(spark, sf_dir).where("sq >= 0")).groupBy("mask").agg(F.count("*").alias("n"))
+    use = masks.join(needs, F.expr("mask & need = need")).groupBy(*cycles.columns).agg(F.sum("n").alias("complexes"))
+    return _counted(cycles, use, *cycles.columns)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -470,3 +470,11 @@ def test_unranking_joins_no_table_to_every_set(spark):
     got = wide.combinadic_squares(ranks.localCheckpoint(), 240)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted((k, s) for k, xs in sets.items() for s in xs)
+
+
+def test_link_cycles_shuffles_a_row_a_complex(spark):
+    import re
+
+    plan = registry.QUERIES["link_cycles"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    keys = re.findall(r"Aggregate \[([^]]*cid#[^]]*)\]", plan)
+    assert keys and all(re.fullmatch(r"cid#\d+L", k) for k in keys)

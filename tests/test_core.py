@@ -478,3 +478,14 @@ def test_link_cycles_shuffles_a_row_a_complex(spark):
     plan = registry.QUERIES["link_cycles"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     keys = re.findall(r"Aggregate \[([^]]*cid#[^]]*)\]", plan)
     assert keys and all(re.fullmatch(r"cid#\d+L", k) for k in keys)
+
+
+@pytest.mark.parametrize("n2", [80, 240])
+def test_ranks_of_more_squares_than_the_sql_holds(spark, n2):
+    from math import comb
+
+    from hypersurf.functions import wide
+
+    xs = sorted({7 * k * k % n2 for k in range(200)} | set(range(1, n2, 9)))[:17]
+    r = wide.combinadic_ranks(spark.createDataFrame([(1, s) for s in xs], "cid long, sq int"), n2).first()
+    assert len(xs) == r.k == 17 and sum(r[f"r{i}"] << wide.RANK_BITS * i for i in range(wide.rank_limbs(n2))) == sum(comb(s, j) for j, s in enumerate(xs, 1))

@@ -131,14 +131,25 @@ def looked_up(limb: str, n: int) -> str:
     return f"({(' + ' if limb[0] == 'e' else ' | ').join(terms)})"
 
 
+def alike(g: DataFrame, n: int) -> DataFrame:
+    """cid, the least one, m limbs and alike, the number of complexes, of each different complex of g (cid, m limbs): what is found of it holds for all of them."""
+    m = packing(n).m
+    return g.groupBy(*m).agg(F.min("cid").alias("cid"), F.count("*").alias("alike")).select("cid", *m, "alike")
+
+
 def packed(c: DataFrame, n: int, parts: str = "mev") -> DataFrame:
     """cid and the limbs of parts of each complex of c (cid, sq)."""
-    p, g = packing(n), gathered(c, n)
+    return packed_of(gathered(c, n), n, parts)
+
+
+def packed_of(g: DataFrame, n: int, parts: str = "mev", *carry: str) -> DataFrame:
+    """cid, carry and the limbs of parts of each complex of g (cid, carry, m limbs)."""
+    p = packing(n)
     if parts == "m":
         return g
     if n <= TABLES:
-        return g.select("cid", *[F.expr(x if x[0] == "m" else looked_up(x, n)).alias(x) for x in p.limbs(parts)])
-    return summed(g, n, ["cid"], p.limbs(parts))
+        return g.select("cid", *carry, *[F.expr(x if x[0] == "m" else looked_up(x, n)).alias(x) for x in p.limbs(parts)])
+    return summed(g, n, ["cid", *carry], p.limbs(parts))
 
 
 def summed(g: DataFrame, n: int, keys: list[str], limbs: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """A level of the search, and the look-ahead, over given complexes: plans on packed states (lanes.py).
 
-A child is its parent's state plus one square's row, so nothing is gathered again between extension, tests and label: one shuffle by parent, and one
-by label.
+A child is its parent's state plus one square's row, so nothing is gathered again between extension, tests and label: a shuffle by parent, one each by equal
+parents and by equal children, which are judged and labelled once, and one by label.
 """
 
 from __future__ import annotations
@@ -17,34 +17,34 @@ from .storage import stored
 MODES = {"": "closed", "d": "closed_disconnected", "b": "boundary", "db": "boundary"}
 
 
-def children(s: DataFrame, n: int, mode: str = "") -> DataFrame:
-    """cid, sq and the child's state, of states (cid, m, e and v limbs) and each square that the mode adds.
+def children(s: DataFrame, n: int, mode: str = "", *carry: str) -> DataFrame:
+    """cid, carry, sq and the child's state, of states (cid, carry, m, e and v limbs) and each square that the mode adds.
 
     "": legal squares on the first edge of priority; "d": absent squares on the first free edge, or every one where no edge is free;
     "b": absent squares on any free edge; "db": every absent square.
     """
     p = lanes.packing(n)
-    state = ["cid", *p.limbs("mev")]
+    state = ["cid", *carry, *p.limbs("mev")]
     if mode == "":
         rows = topology.on_first(s, n, *state).where(lanes.legal(n))
     else:
         where = {"d": f"first is null or {topology.on_edge('first', n)}", "b": f"{lanes.covers(n)} > 0", "db": "true"}[mode]
         s = s.withColumn("first", F.expr(lanes.first_edge(n))) if mode == "d" else s
         rows = topology.every_square(s, n, "mev").where(f"{topology.absent(n)} and ({where})")
-    return rows.select("cid", "sq", *lanes.plus(n))
+    return rows.select("cid", *carry, "sq", *lanes.plus(n))
 
 
-def judged(kids: DataFrame, n: int, mode: str = "", check_links: bool = True) -> DataFrame:
-    """cid, sq, m limbs, labeled (to the frontier) and good (accepted) of the children (see children) that are either."""
+def judged(kids: DataFrame, n: int, mode: str = "", check_links: bool = True, *carry: str) -> DataFrame:
+    """cid, carry, sq, m limbs, labeled (to the frontier) and good (accepted) of the children (see children) that are either."""
     p = lanes.packing(n)
-    keys = ["cid", "sq", *p.m, "closed"]
+    keys = ["cid", *carry, "sq", *p.m, "closed"]
     kids = kids.where(lanes.ok(n)).withColumns({"ok": F.lit(True), "closed": F.expr(lanes.closed(n))})
     if check_links:
         each = topology.vertices(kids, n, *keys).groupBy(*keys).agg(*topology.link_flags(n)).withColumn("ok", F.lit(True))
     else:
         each = kids.withColumns({"bad": F.lit(False), "hopeless": F.lit(False)})
     labeled, good = (F.expr(x) for x in topology.RULES[MODES[mode]])
-    return each.select("cid", "sq", *p.m, labeled.alias("labeled"), good.alias("good")).where("labeled or good")
+    return each.select("cid", *carry, "sq", *p.m, labeled.alias("labeled"), good.alias("good")).where("labeled or good")
 
 
 def level_step(c: DataFrame, n: int, mode: str = "", max_squares: int | None = None, check_links: bool = True) -> DataFrame:
@@ -55,15 +55,17 @@ def level_step(c: DataFrame, n: int, mode: str = "", max_squares: int | None = N
     whose free edges are more than four for each square left.
     """
     p = lanes.packing(n)
-    s = lanes.packed(c, n)
+    s = lanes.packed_of(lanes.alike(lanes.gathered(c, n), n), n, "mev", "alike")
     if max_squares and mode in ("", "d"):
         s = s.where(f"{lanes.bits(p.m)} < {max_squares} and {lanes.n_free(n)} <= 4 * ({max_squares} - {lanes.bits(p.m)})")
-    kids = judged(children(s, n, mode), n, mode, check_links).withColumn("squares", F.expr(lanes.bits(p.m)))
+    kids = judged(children(s, n, mode, "alike"), n, mode, check_links, "alike")
+    # Equal children of several parents have one label, and what is judged of them is equal too.
+    kids = kids.groupBy(*p.m).agg(F.first("labeled").alias("labeled"), F.first("good").alias("good"), F.sum("alike").alias("alike"), F.min(F.struct("cid", "sq")).alias("of")).select("*", "of.cid", F.col("of.sq").alias("added")).withColumn("squares", F.expr(lanes.bits(p.m)))
     if n <= 4:
         kids, label = kids.withColumn("label", symmetry.canonical_label(F.col("m0"), n)), ["label"]
     else:
-        kids, label = symmetry.restricted_labels_of(kids.withColumnRenamed("sq", "added"), n, "cid", "added", "squares", "labeled", "good"), [f"l{k}" for k in range(len(p.m))]
-    return kids.groupBy(*label).agg(F.first("squares").alias("squares"), F.bool_or("labeled").alias("labeled"), F.bool_or("good").alias("good"), F.count("*").alias("children"), F.min("cid").alias("parent"))
+        kids, label = symmetry.restricted_labels_of(kids, n, "cid", "added", "alike", "squares", "labeled", "good"), [f"l{k}" for k in range(len(p.m))]
+    return kids.groupBy(*label).agg(F.first("squares").alias("squares"), F.bool_or("labeled").alias("labeled"), F.bool_or("good").alias("good"), F.sum("alike").alias("children"), F.min("cid").alias("parent"))
 
 
 class BudgetExceeded(RuntimeError):

@@ -123,5 +123,11 @@ def restricted_labels_of(s: DataFrame, n: int, *carry: str, rounds: int | None =
 
 
 def restricted_labels(c: DataFrame, n: int, rounds: int | None = None) -> DataFrame:
-    """cid, label limbs, roots and trials (see restricted_labels_of) of complexes (cid, sq)."""
-    return restricted_labels_of(lanes.gathered(c, n), n, "cid", rounds=rounds)
+    """cid, label limbs, roots and trials (see restricted_labels_of) of complexes (cid, sq); equal complexes are labelled once."""
+    p, g = lanes.packing(n), lanes.gathered(c, n)
+    own = {x: f"of_{x}" for x in p.m}
+    # By a number of parts of their own, as adaptive execution would put these few bytes, of which each makes thousands of rows, into one task.
+    parts = 4 * int(c.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as the shuffle before has would be left out
+    each = lanes.alike(g, n).select(*p.m, *[F.col(x).alias(of) for x, of in own.items()]).repartition(parts, *own.values())
+    found = restricted_labels_of(each, n, *own.values(), rounds=rounds).withColumnsRenamed({of: x for x, of in own.items()})
+    return g.join(found, p.m).select("cid", *[f"l{k}" for k in range(len(p.m))], "roots", "trials")

@@ -489,3 +489,31 @@ def test_ranks_of_more_squares_than_the_sql_holds(spark, n2):
     xs = sorted({7 * k * k % n2 for k in range(200)} | set(range(1, n2, 9)))[:17]
     r = wide.combinadic_ranks(spark.createDataFrame([(1, s) for s in xs], "cid long, sq int"), n2).first()
     assert len(xs) == r.k == 17 and sum(r[f"r{i}"] << wide.RANK_BITS * i for i in range(wide.rank_limbs(n2))) == sum(comb(s, j) for j, s in enumerate(xs, 1))
+
+
+def _counting(monkeypatch, module, name):
+    """The numbers of rows of the frames that a function is called with."""
+    plain, seen = getattr(module, name), []
+    monkeypatch.setattr(module, name, lambda s, *a, **k: (seen.append(s.count()), plain(s, *a, **k))[1])
+    return seen
+
+
+def test_equal_complexes_are_labelled_once(spark, monkeypatch):
+    from hypersurf.operators import symmetry
+
+    seen = _counting(monkeypatch, symmetry, "restricted_labels_of")
+    c = spark.createDataFrame([(k, s) for k in range(9) for s in ((0, 7), (3, 70), (5,))[k % 3]], "cid long, sq int")
+    rows = {r.cid: tuple(r)[1:] for r in symmetry.restricted_labels(c, 5).collect()}
+    assert seen == [3] and sorted(rows) == list(range(9)) and all(rows[k] == rows[k % 3] for k in range(9))
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_equal_parents_are_extended_once(spark, monkeypatch, n):
+    from hypersurf.operators import search
+
+    seen = _counting(monkeypatch, search, "children")
+    c = spark.createDataFrame([(k, s) for k in range(1, 7) for s in ((0, 7), (3, 11))[k % 2]], "cid long, sq int")
+    mode = "db" if n == 4 else ""
+    level = search.level_step(c, n, mode).collect()
+    once = search.level_step(c.where("cid <= 2"), n, mode).collect()
+    assert seen == [2, 2] and level and sorted((*r[:-2], r.children, r.parent) for r in level) == sorted((*r[:-2], 3 * r.children, r.parent) for r in once)

@@ -54,6 +54,15 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def tails(text: str) -> tuple[str, list[str]]:
+    """The first of a text's chunks, and the others without the space that each of them begins with."""
+    if _ODD(text):
+        first, *rest = chunks(text)
+        return first, [c[1:] for c in rest]
+    first, *rest = text.split(" ")
+    return first, rest
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -124,12 +133,7 @@ class ChunkEncoder:
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        parts = text.split(" ")
-        if _ODD(text):
-            first, *rest = chunks(text)
-            rest = [c[1:] for c in rest]
-        else:
-            first, *rest = parts
+        first, rest = tails(text)
         return self._ids([p for p, _ in self.pre_tokenize(first)]) + b"".join(map(self.tails.__getitem__, rest))
 
     def __call__(self, text: str) -> bytes:
@@ -190,8 +194,19 @@ def split_blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int,
         find, block = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
         schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("data", "docs", "ends", "sums"))])
         words: dict[str, int] = {}
-        memo: dict[str, array] = {}
-        ids, ends, sequence, held = [], [], array("I"), 0
+
+        def numbers(chunk: str) -> bytes:
+            return array("I", [words.setdefault(w, len(words)) for w in find(chunk)]).tobytes()
+
+        class Memo(dict):
+            """Numbers of the words of a chunk, by the chunk without the space before it."""
+
+            def __missing__(self, tail: str) -> bytes:
+                got = self[tail] = numbers(f" {tail}")
+                return got
+
+        memo = Memo()
+        ids, ends, sequence, held = [], [], bytearray(), 0
 
         def flush() -> pa.RecordBatch:
             names = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -212,18 +227,18 @@ def split_blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int,
         for batch in batches:
             for b in slices(batch, "text"):
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column("text").to_pylist(), strict=True):
-                    for chunk in chunks(text) if text else ():
-                        got = memo.get(chunk)
-                        if got is None:
-                            got = memo[chunk] = array("I", [words.setdefault(w, len(words)) for w in find(chunk)])
+                    if text:
+                        first, rest = tails(text)
+                        got = numbers(first) + b"".join(map(memo.__getitem__, rest))
                         if not words_only:
-                            sequence.extend(got)
+                            sequence += got
+                        del got, rest
                     held += len(text or "")
                     ids.append(doc_id)
-                    ends.append(len(sequence))
+                    ends.append(len(sequence) // 4)
                     if held >= block_bytes:
                         yield flush()
-                        block, held, words, memo, ids, ends, sequence = block + 1, 0, {}, {}, [], [], array("I")
+                        block, held, words, memo, ids, ends, sequence = block + 1, 0, {}, Memo(), [], [], bytearray()
         if ids:
             yield flush()
         words, memo = {}, {}

@@ -595,3 +595,21 @@ def test_toxicity_learns_one_bounded_text_of_an_id(spark, monkeypatch):
     labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
     toxicity.fit(docs, labels)
     assert sorted(zip(*seen[0][:2], strict=True)) == [("", 0), ("a a", 0), ("c", 1)] and seen[0][2] == 0.5
+
+
+def test_chunks_are_cut_at_once():
+    import time
+
+    from hypersurf.llm import pieces
+
+    for text in ("", " ", "a", "a b", " a  b \n c ", "\n x", "x  y  ", "a  b 　c"):
+        first, rest = pieces.tails(text)
+        assert [first, *(f" {x}" for x in rest)] == pieces.chunks(text)
+    text = "some words of a text " * 20_000 + "end"
+
+    def seconds(f) -> float:
+        start = time.process_time()
+        f(text)
+        return time.process_time() - start
+
+    assert min(seconds(pieces.tails) for _ in range(9)) < min(seconds(pieces.chunks) for _ in range(9))

@@ -39,6 +39,8 @@ from .work import materialise, own_names, plain_names, release, slices, table
 SHINGLE, THRESHOLD, REGISTERS, ROWS, PIVOTS = 5, 0.8, 192, 6, 2
 #: An estimate this far below the threshold is over four standard errors off: sqrt(0.8 * 0.2 / 192) = 0.029.
 MARGIN = 0.12
+#: Text bytes whose shingles are held together: a byte of text takes some 30 in arrays of shingles and arrivals.
+SHINGLE_BYTES = 1 << 20
 
 
 def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,26 +80,47 @@ def prob_minhash(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs:
     return won.reshape(n_docs, registers)
 
 
+def sketch_batches(batches: Iterator[pa.RecordBatch], registers: int = REGISTERS, rows: int = ROWS, n: int = SHINGLE) -> Iterator[pa.RecordBatch]:
+    """Adds bands and registers to doc_id, copy and digest of batches with text, SHINGLE_BYTES of text or one longer text at a time."""
+    names = ["doc_id", "copy", "digest", "bands", "registers"]
+    for batch in batches:
+        for b in slices(batch, "text", SHINGLE_BYTES):
+            doc, value, _ = shingles(b.column("text"), n)
+            won = prob_minhash(doc, value, np.ones(len(doc)), b.num_rows, registers)
+            full = np.bincount(doc, minlength=b.num_rows) > 0
+            bands = [gram_hashes(won[:, k : k + rows].T.reshape(rows, -1).T.ravel(), rows)[::rows] + np.uint64(k) for k in range(0, registers, rows)]
+            bands = mixed(np.stack(bands, 1)).view(np.int64)
+            kept = mixed(won).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), b.column("digest"), pa.array([x if f else [] for x, f in zip(bands.tolist(), full, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in kept], pa.binary())], names)
+    release()
+
+
 def sketch(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
     """doc_id, copy and digest (hashes of the text; digest null for an empty one), bands (array of long) and registers (binary, a byte each)."""
-    names = ["doc_id", "copy", "digest", "bands", "registers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                doc, value, _ = shingles(b.column("text"), n)
-                won = prob_minhash(doc, value, np.ones(len(doc)), b.num_rows, registers)
-                full = np.bincount(doc, minlength=b.num_rows) > 0
-                bands = [gram_hashes(won[:, k : k + rows].T.reshape(rows, -1).T.ravel(), rows)[::rows] + np.uint64(k) for k in range(0, registers, rows)]
-                bands = mixed(np.stack(bands, 1)).view(np.int64)
-                kept = mixed(won).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), b.column("digest"), pa.array([x if f else [] for x, f in zip(bands.tolist(), full, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in kept], pa.binary())], names)
-        release()
+        return sketch_batches(batches, registers, rows, n)
 
     rows_in = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.when(F.length("text") > 0, F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
     return rows_in.mapInArrow(run, "doc_id long, copy long, digest string, bands array<long>, registers binary")
 
 
+def similar_pairs(batches: Iterator[pa.RecordBatch], threshold: float = THRESHOLD, n: int = SHINGLE) -> Iterator[pa.RecordBatch]:
+    """Those of the pairs (a, b, ta, tb) whose texts are similar, SHINGLE_BYTES of both texts or one longer pair at a time."""
+    for batch in batches:
+        for b in slices(batch, "ta", SHINGLE_BYTES, "tb"):
+            sides = []
+            for c in ("ta", "tb"):
+                doc, value, _ = shingles(b.column(c), n)
+                sides.append(np.split(value, np.searchsorted(doc, np.arange(1, b.num_rows))))
+            good = []
+            for x, y in zip(*sides, strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= threshold * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+    release()
+
+
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, screen: bool = True) -> DataFrame:
     """Of pairs (a, b) of ids of texts (doc_id, text, registers) those with Jaccard similarity of at least threshold.
 
@@ -111,17 +134,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n:
                 yield b.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= threshold - MARGIN))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "ta"):
-                sides = []
-                for c in ("ta", "tb"):
-                    doc, value, _ = shingles(b.column(c), n)
-                    sides.append(np.split(value, np.searchsorted(doc, np.arange(1, b.num_rows))))
-                good = []
-                for x, y in zip(*sides, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both >= threshold * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        return similar_pairs(batches, threshold, n)
 
     def both(pairs: DataFrame, column: str) -> DataFrame:
         a, b = (texts.select(F.col("doc_id").alias(k), F.col(column).alias(f"{column[0]}{k}")) for k in "ab")
@@ -142,9 +155,10 @@ def rare_shingles(nodes: DataFrame, texts: DataFrame, threshold: float, n: int)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SHINGLE_BYTES):
                 doc, value, _ = shingles(b.column("text"), n)
                 yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(doc)), b.column("root").take(pa.array(doc)), pa.array(value.view(np.int64))], ["node", "root", "key"])
+        release()
 
     of = texts.select(F.col("doc_id").alias("node"), "text").join(nodes, "node").select("node", "root", "text")
     each = materialise(of.mapInArrow(explode, "node long, root long, key long"), "shingles")

@@ -81,9 +81,9 @@ def publish(uri: str, name: str, write) -> str:
     return f"{uri}/{name}"
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose values in a string or binary column have at most `most` bytes together."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, *more: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose values in a string or binary column, and in more such columns, have at most `most` bytes together."""
+    sizes = [sum(x) for x in zip(*(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_pylist() for c in (column, *more)), strict=True)]
     start = held = 0
     for i, size in enumerate(sizes):
         if held and held + size > most:

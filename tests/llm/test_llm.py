@@ -3,6 +3,7 @@ import io
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -494,6 +495,24 @@ def test_hot_copies_and_chains(spark):
     assert [got[k] for k, _ in rows] == _classes(rows)
 
 
+def test_shingles_are_held_a_few_texts_at_a_time():
+    r = random.Random(11)
+    words_of = [f"w{k}" for k in range(5000)]
+    long, short = [" ".join(r.choices(words_of, k=3000)) for _ in range(250)], ["one two three four five six"] * 250
+    n, peaks = pa.array(range(250)), []
+    for run, batch in (
+        (minhash.sketch_batches, pa.record_batch({"doc_id": n, "copy": n, "digest": pa.array(long), "text": pa.array(long)})),
+        (minhash.similar_pairs, pa.record_batch({"a": n, "b": n, "ta": pa.array(short), "tb": pa.array(long)})),
+        (minhash.similar_pairs, pa.record_batch({"a": n, "b": n, "ta": pa.array(long), "tb": pa.array(long)})),
+    ):
+        tracemalloc.start()
+        got = [b.num_rows for b in run(iter([batch]))]
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        assert len(got) > 3
+    assert sum(got) == 250 and max(peaks) < 60, peaks
+
+
 def test_prob_minhash_estimates():
     x, y = {1: 3.0, 2: 1.0, 3: 2.0, 9: 1.0}, {1: 1.0, 2: 1.0, 3: 2.0, 8: 4.0}
     won = minhash.prob_minhash(np.array([0] * 4 + [1] * 4), words.mixed(np.array([*x, *y], np.uint64)), np.array([*x.values(), *y.values()]), 2, 20_000)
